@@ -64,9 +64,10 @@ class Encoder:
         out: list = [None] * len(texts)
         words = {}
         for i, text in enumerate(texts):
-            if len(text) > self.chunk:
+            plain = self._plain(text)
+            if len(text) > self.chunk and (plain or not self.lower):  # a normaliser may blur where odd characters lie
                 out[i] = self.spliced(text)
-            elif self._plain(text):
+            elif plain:
                 words[i] = self.words.findall(text.lower() if self.lower else text)
             else:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -85,6 +86,8 @@ class Encoder:
         word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
         at = np.array([o[0] for o in e.offsets], np.int64)
         first = np.flatnonzero((word == -1) | np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.empty(0, np.int64)
+        _, index, times = np.unique(at[first], return_index=True, return_counts=True)
+        first = first[index[times == 1]]  # one character may lower to two words: no place to join
         return np.array(e.ids, "<u4"), at[first], first
 
     def spliced(self, text: str) -> np.ndarray:
