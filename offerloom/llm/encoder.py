@@ -65,8 +65,10 @@ class Encoder:
         words = {}
         for i, text in enumerate(texts):
             plain = self._plain(text)
-            if len(text) > self.chunk and (plain or not self.lower):  # a normaliser may blur where odd characters lie
+            if len(text) > self.chunk and not self.lower:
                 out[i] = self.spliced(text)
+            elif len(text) > self.chunk and plain and len(pieces := self._at_spaces(text)) > 1:
+                out[i] = np.concatenate([self.ids([x])[0] for x in pieces])
             elif plain:
                 words[i] = self.words.findall(text.lower() if self.lower else text)
             else:
@@ -80,6 +82,14 @@ class Encoder:
             out[i] = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
         return out
 
+    def _at_spaces(self, text: str) -> list[str]:
+        """Pieces of a plain text whose words hold no white space: a cut before a space is one between words."""
+        out, at = [], 0
+        while len(text) - at > self.chunk and (space := text.find(" ", at + self.chunk // 2)) > 0:
+            out.append(text[at:space])
+            at = space
+        return [*out, text[at:]]
+
     def _piece(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each word's first token its place in the text and its index."""
         e = self.tokenizer.encode(text, add_special_tokens=False)

@@ -6,6 +6,8 @@ from importlib import import_module
 
 _QUERIES = {
     "op6_token_counts": "op06_token_counts",
+    "op9_token_ids": "op09_token_ids",
+    "op10_packing": "op10_packing",
 }
 
 
