@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_language": "op01_language",
     "op2_media": "op02_media",
     "op6_token_counts": "op06_token_counts",
     "op9_token_ids": "op09_token_ids",
