@@ -7,7 +7,9 @@ from importlib import import_module
 _QUERIES = {
     "op1_language": "op01_language",
     "op2_media": "op02_media",
+    "op5_line_dedup": "op05_line_dedup",
     "op6_token_counts": "op06_token_counts",
+    "op8_toxicity": "op08_toxicity",
     "op9_token_ids": "op09_token_ids",
     "op10_packing": "op10_packing",
 }
