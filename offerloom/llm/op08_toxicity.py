@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices, stored
-from .words import letter_words
+from .words import letter_words, mix
 
 #: Terms are hashed to so many bins.
 BINS = 1 << 18
+#: Sampled texts that agree in one of so many least hashes of their words are copies.
+COPY_SEEDS = 4
 #: A document is predicted toxic from this score on.
 REJECT = 0.7
 
@@ -65,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from about per_class labelled documents of each class at most, taken by a hash of the id.
 
     The sample's ids, 2 * per_class rows, are broadcast to the scan. Of copies, near or exact, one stays (by the
-    least hash of their words), so that a group of copies teaches no words of its own. Spark counts in how many
+    least hashes of their words), so that a group of copies teaches no words of its own. Spark counts in how many
     sampled documents of each class a bin is; bins whose shares differ by least_z standard errors, in least_df
     documents or more, are the terms, max_terms of them at most. Only these, for the sample, go to the driver.
     A document with several labels is toxic if one says so; null ids and labels are left out. Without labels of
@@ -89,13 +91,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             first = np.searchsorted(doc, np.arange(len(texts) + 1))
             sets = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array([int(h[0] >> np.uint64(1)) if len(h) else None for h in sets], pa.int64()), pa.array([np.unique((h % np.uint64(BINS)).astype(np.int32)) for h in sets], pa.list_(pa.int32()))],
+                [batch.column("id"), batch.column("y"), pa.array([[int(mix(h ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in range(COPY_SEEDS)] if len(h) else None for h in sets], pa.list_(pa.int64())), pa.array([np.unique((h % np.uint64(BINS)).astype(np.int32)) for h in sets], pa.list_(pa.int32()))],
                 names=["id", "y", "least", "bins"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.select("id", "y", "text").mapInArrow(terms, f"id {kind}, y int, least long, bins array<int>")
-    kept = stored(found.where("least is not null").groupBy("least").agg(F.min_by(F.struct("y", "bins"), F.struct("id", "y")).alias("x")).select("x.*"), "toxicity-terms")
+    found = rows.select("id", "y", "text").mapInArrow(terms, f"id {kind}, y int, least array<long>, bins array<int>").where("least is not null")
+    for k in range(COPY_SEEDS):
+        found = found.groupBy(F.col("least")[k]).agg(F.min_by(F.struct("id", "y", "least", "bins"), F.struct("id", "y")).alias("x")).select("x.*")
+    kept = stored(found.select("y", "bins"), "toxicity-terms")
     size = {r[0]: r[1] for r in kept.groupBy("y").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:

@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_media": "op02_media",
     "op5_line_dedup": "op05_line_dedup",
     "op6_token_counts": "op06_token_counts",
+    "op7_decontamination": "op07_decontamination",
     "op8_toxicity": "op08_toxicity",
     "op9_token_ids": "op09_token_ids",
     "op10_packing": "op10_packing",
