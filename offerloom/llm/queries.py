@@ -7,6 +7,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_language": "op01_language",
     "op2_media": "op02_media",
+    "op3_ngram_join": "op03_ngram_join",
     "op5_line_dedup": "op05_line_dedup",
     "op6_token_counts": "op06_token_counts",
     "op7_decontamination": "op07_decontamination",
