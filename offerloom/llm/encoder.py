@@ -11,6 +11,7 @@ import itertools
 import json
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,7 +28,7 @@ _MARGIN = 40
 _KEPT: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, memo: int = 300_000) -> Encoder:
+def encoder(path: str, memo: int = 1_000_000) -> Encoder:
     """One per Python worker, so that the memo serves all of its tasks."""
     key = (path, memo)
     if key not in _KEPT:
@@ -38,7 +39,7 @@ def encoder(path: str, memo: int = 300_000) -> Encoder:
 class Encoder:
     """memo: distinct words kept at most; when more come, it starts anew."""
 
-    def __init__(self, path: str, memo: int = 300_000, chunk: int = 1 << 15, overlap: int = 512):
+    def __init__(self, path: str, memo: int = 1_000_000, chunk: int = 1 << 15, overlap: int = 512):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -77,7 +78,7 @@ class Encoder:
             self.memo.clear()
         new = list(set(itertools.chain.from_iterable(words.values())).difference(self.memo))
         for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = np.array(e.ids, "<u4").tobytes()
+            self.memo[word] = array("I", e.ids).tobytes()
         for i, found in words.items():
             out[i] = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
         return out

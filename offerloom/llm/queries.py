@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_language": "op01_language",
     "op2_media": "op02_media",
     "op3_ngram_join": "op03_ngram_join",
+    "op4_substring_dedup": "op04_substring_dedup",
     "op5_line_dedup": "op05_line_dedup",
     "op6_token_counts": "op06_token_counts",
     "op7_decontamination": "op07_decontamination",
