@@ -17,7 +17,7 @@ from collections.abc import Sequence
 import numpy as np
 
 #: Characters on which Python's and the library's classes and case tables agree.
-_UNSAFE = re.compile("[^\t\n\r -~ -ňŊ-ž]")
+_UNSAFE = re.compile("[^\t\n\r -~\u00a0-\u0148\u014a-\u017e]")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ž"
 _NUMBER = "0-9²³¹¼-¾"
 _BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
