@@ -1,8 +1,9 @@
 """N-gram Jaccard join: a blocked sparse product of documents by shingles, within groups that share a rare shingle.
 
 Two sets with a Jaccard of t or more share a member among the first n - ceil(t n) + 1 of each, in any one order of
-all shingles. The order here puts frequent shingles last; documents that share such a first shingle are joined to
-groups, and within a group (in blocks where it is large) the product of the incidence matrix counts all overlaps.
+all shingles. The order here puts frequent shingles last. Documents that share such a first shingle, and whose sizes
+and parity signatures allow the Jaccard, are joined to groups, and within a group (in blocks where it is large) the
+product of the incidence matrix counts all overlaps.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices, stored
 from .components import components
-from .setjoin import star_edges, verified, with_blocks
+from .setjoin import close_edges, signatures, verified, with_blocks
 from .words import byte_words, distinct_sets, mix, shingles
 
 #: Shingles are counted in so many bins to find the frequent ones, of which so many bins at most are put last.
 COUNT_BINS, FREQUENT = 1 << 24, 100_000
 WORDS = 5
+#: Bits of the filter by which texts that are in no group are left out early; a fuller filter lets more pass.
+FILTER_BITS = 1 << 23
 
 
 def _sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,7 +34,7 @@ def _sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _summary(docs: DataFrame, size: int) -> DataFrame:
-    """One pass over the texts: for each document (id, node, n); for the task the bins of shingles that it has often."""
+    """One pass over the texts: for each document (id, node, n, sig); for the task the bins of shingles that it has often."""
     kind = docs.schema["id"].dataType
 
     def run(batches):
@@ -40,14 +43,14 @@ def _summary(docs: DataFrame, size: int) -> DataFrame:
             h, begins, node = _sets([x or "" for x in batch.column("text").to_pylist()], size)
             bins, times = np.unique((h >> np.uint64(40)).astype(np.int64), return_counts=True)
             count[bins] = np.minimum(count[bins].astype(np.int64) + times, 65535)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(np.diff(begins)), pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(node), pa.array(np.diff(begins)), pa.array(signatures(h, begins), pa.binary()), pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64())], names=names)
             id_type = batch.schema.field("id").type
         often = np.flatnonzero(count >= 4)
         if len(often):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.array(often, pa.int64()), pa.array(count[often].astype(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(often), id_type), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.int64()), pa.nulls(len(often), pa.binary()), pa.array(often, pa.int64()), pa.array(count[often].astype(np.int64))], names=names)
 
-    names = ["id", "node", "n", "bin", "times"]
-    return docs.mapInArrow(run, f"id {kind.simpleString()}, node long, n long, bin long, times long")
+    names = ["id", "node", "n", "sig", "bin", "times"]
+    return docs.mapInArrow(run, f"id {kind.simpleString()}, node long, n long, sig binary, bin long, times long")
 
 
 def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) -> DataFrame:
@@ -69,16 +72,22 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
     return docs.select("text").mapInArrow(run, "h long, node long")
 
 
-def _members(rows: DataFrame, size: int) -> DataFrame:
-    """The shingle sets of (node, text) rows whose text has the set of that key, as binary."""
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id may be one of ids, by a filter of FILTER_BITS bits: what is shuffled to meet ids is less then."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        for batch in slices(batches, "text"):
-            h, begins, node = _sets([x or "" for x in batch.column("text").to_pylist()], size)
-            own = node == batch.column("node").to_numpy(zero_copy_only=False)  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(begins, begins[1:])], pa.binary())], names=["node", "members"]).filter(pa.array(own))
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
+            some = (sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1
+            yield batch.filter(pa.array(some.astype(bool))).select(["id", "text"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, members binary")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, text string")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = 80) -> DataFrame:
@@ -94,14 +103,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     summary = stored(_summary(rows, size), "shingle-summary")
     frequent = [r[0] for r in summary.where("bin is not null").groupBy("bin").agg(F.sum("times").alias("t")).orderBy(F.desc("t"), "bin").limit(FREQUENT).collect()]
-    nodes = summary.where("bin is null").drop("bin", "times")
-    classes = stored(nodes.where("n > 0 and id is not null").groupBy("node", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
-    edges = star_edges(_postings(rows.where("id is not null"), size, percent, frequent), ["h"])
+    nodes = summary.where("bin is null").select("id", "node", "n")
+    known = summary.where("n > 0 and id is not null").groupBy("node", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    classes = stored(known, "shingle-classes")
+    edges = close_edges(_postings(rows.where("id is not null"), size, percent, frequent), classes.select("node", "n", "sig"), percent=percent)
     groups = components(edges).select("node", F.col("root").alias("comp"))
-    candidates = stored(groups.join(classes, "node"), "join-candidates")
+    candidates = stored(groups.join(classes.drop("sig"), "node"), "join-candidates")
     blocks = with_blocks(candidates.select("comp", "node", "n", "copies"))
-    texts = rows.join(candidates.select(F.col("rep").alias("id"), "node"), "id")
-    links = stored(verified(_members(texts, size).join(blocks, "node"), percent), "links")
+    reps = candidates.select(F.col("rep").alias("id"), "node")
+    texts = _wanted(rows.where("id is not null"), reps).join(reps.join(blocks, "node"), "id")
+
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        h, begins, _ = _sets(texts, size)
+        return [h[a:b] for a, b in zip(begins, begins[1:])]
+
+    def own(batches):  # an id may have several texts
+        for batch in slices(batches, "text"):
+            node = _sets([x or "" for x in batch.column("text").to_pylist()], size)[2]
+            yield batch.filter(pa.array(node == batch.column("node").to_numpy(zero_copy_only=False)))
+
+    texts = texts.select("group", "side", "node", "copies", "text").mapInArrow(own, "group string, side int, node long, copies long, text string")
+    links = stored(verified(texts, sets_of, percent), "links")
     joined = components(links)
     degree = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     comp = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

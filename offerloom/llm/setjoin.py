@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A block holds about so many sets and so many members of sets at most (or one larger set).
 BLOCK_SETS, BLOCK_MEMBERS = 3000, 3_000_000
 #: Columns of the incidence matrix that are multiplied at once.
@@ -24,7 +26,131 @@ def star_edges(postings: DataFrame, keys: list[str], node: str = "node") -> Data
     return postings.join(shared, keys).where(F.col(node) != F.col("v")).select(F.col(node).alias("u"), "v").distinct()
 
 
-def with_blocks(nodes: DataFrame) -> DataFrame:
+#: Sets of up to so many members have a parity signature of so many bits: bit h % bits is flipped for each member h.
+#: Bits in which two sets' signatures differ are at most the members that only one of them has. A longer signature
+#: folds to a shorter one, so any two can be compared.
+SIGNATURES = ((800, 512), (6400, 4096), (1 << 62, 32768))
+#: Buckets of up to so many sets are compared together, larger ones one by one.
+SMALL_BUCKET = 16
+#: A key of more sets is compared in blocks of sets.
+HOT_KEY = 20_000
+
+
+def signature(h: np.ndarray) -> bytes:
+    bits = next(b for most, b in SIGNATURES if len(h) <= most)
+    out = np.zeros(bits, np.uint8)
+    np.bitwise_xor.at(out, (h % np.uint64(bits)).astype(np.int64), 1)
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def signatures(h: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """The signature of each set h[begins[i]:begins[i + 1]]."""
+    n = np.diff(begins)
+    out: list = [b""] * len(n)
+    low = 0
+    for most, bits in SIGNATURES:
+        own = np.flatnonzero((n > low) & (n <= most))
+        low = most
+        for at in range(0, len(own), max(1, (1 << 22) // bits)):
+            part = own[at : at + max(1, (1 << 22) // bits)]
+            rows = np.repeat(np.arange(len(part)), n[part])
+            members = np.concatenate([h[begins[i] : begins[i + 1]] for i in part]) % np.uint64(bits)
+            flips = np.bincount(rows * bits + members.astype(np.int64), minlength=len(part) * bits) & 1
+            packed = np.packbits(flips.astype(np.uint8).reshape(len(part), bits), axis=1, bitorder="little")
+            for k, i in enumerate(part):
+                out[i] = packed[k].tobytes()
+    return out
+
+
+def _folded(sigs: list[bytes], bits: int) -> np.ndarray:
+    """(sets, words) of signatures folded to bits."""
+    out = np.zeros((len(sigs), bits // 64), np.uint64)
+    for i, x in enumerate(sigs):
+        a = np.frombuffer(x, "<u8")
+        out[i] = np.bitwise_xor.reduce(a.reshape(-1, bits // 64), axis=0)
+    return out
+
+
+def _close(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets may have a Jaccard of percent or more: of the differing members at most this share is allowed."""
+    differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (differ * (100 + percent) <= (n + m) * (100 - percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def close_sets(node: np.ndarray, n: np.ndarray, sigs: list[bytes], side: np.ndarray, bucket: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that join those sets of each bucket (ascending) which the signatures don't tell apart."""
+    out: list[tuple[int, int]] = []
+    low = 0
+    for most, bits in SIGNATURES:
+        here = np.flatnonzero((n > low) & (n * percent <= 100 * most))
+        low = most
+        if len(here) < 2:
+            continue
+        b = bucket[here]
+        begin = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+        size = np.diff(np.append(begin, len(b)))
+        if (size < 2).all():
+            continue
+        words = _folded([sigs[i] for i in here], bits)
+        m = n[here]
+        small = np.flatnonzero((size > 1) & (size <= SMALL_BUCKET))
+        for k in range(2, SMALL_BUCKET + 1):
+            of = begin[small[size[small] == k]]
+            for i, j in zip(*np.triu_indices(k, 1)) if len(of) else ():
+                x, y = of + i, of + j
+                ok = _close(words[x], words[y], m[x], m[y], percent) & ~((side[here[x]] == side[here[y]]) & (side[here[x]] > 0))
+                out += zip(node[here[x[ok]]].tolist(), node[here[y[ok]]].tolist())
+        for g in np.flatnonzero(size > SMALL_BUCKET):
+            left = np.arange(begin[g], begin[g] + size[g])
+            while len(left):  # from one set on, all that can be reached among those not yet reached
+                front, left = left[:1], left[1:]
+                while len(front) and len(left):
+                    at, front = front[0], front[1:]
+                    ok = _close(words[left], words[at], m[left], m[at], percent) & ~((side[here[left]] == side[here[at]]) & (side[here[at]] > 0))
+                    out += zip(node[here[left[ok]]].tolist(), [int(node[here[at]])] * int(ok.sum()))
+                    front, left = np.concatenate((front, left[ok])), left[~ok]
+    return out
+
+
+def close_edges(postings: DataFrame, nodes: DataFrame, key: str = "h", percent: int = 80) -> DataFrame:
+    """Edges (u, v) between nodes (node, n, sig) that share a key and may be linked by their signatures.
+
+    All linked pairs that share a key are connected by these edges, directly or over others. Keys of one node are
+    dropped first, summed up before the shuffle. A key of more than HOT_KEY nodes is split into pairs of blocks.
+    """
+    counts = postings.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("df")).where("a <> b").select(key, "df")
+    shared = stored(postings.join(counts, key).join(nodes, "node"), "shared-keys", compression="zstd")
+    cool = shared.where(F.col("df") <= HOT_KEY).select(F.col(key).cast("string").alias("group"), F.lit(0).alias("side"), "node", "n", "sig")
+    hot = shared.where(F.col("df") > HOT_KEY).select(F.col(key).alias("comp"), "node", "n", F.lit(1).alias("copies"), "sig").dropDuplicates(["comp", "node"])
+    blocked = with_blocks(hot.drop("sig"), sets=HOT_KEY // 2).join(nodes.select("node", "sig"), "node").select("group", "side", "node", "n", "sig")
+
+    def run(batches):
+        held: list = []
+
+        def work(rows):
+            if not rows:
+                return None
+            node, n, side = (np.array([r[k] for r in rows], np.int64) for k in (2, 3, 1))
+            names = {g: i for i, g in enumerate(dict.fromkeys(r[0] for r in rows))}
+            edges = list(dict.fromkeys(close_sets(node, n, [r[4] for r in rows], side, np.array([names[r[0]] for r in rows]), percent)))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], names=["u", "v"]) if edges else None
+
+        for batch in batches:
+            held += zip(*(c.to_pylist() for c in batch.columns))
+            if len(held) > 20_000:
+                last = held[-1][0]
+                cut = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != last), -1) + 1
+                if cut and (out := work(held[:cut])):
+                    yield out
+                held = held[cut:]
+        if out := work(held):
+            yield out
+
+    dealt = cool.unionByName(blocked).repartition("group").sortWithinPartitions("group", "node").select("group", "side", "node", "n", "sig")
+    return dealt.mapInArrow(run, "u long, v long").where("u <> v").distinct()
+
+
+def with_blocks(nodes: DataFrame, sets: int = BLOCK_SETS) -> DataFrame:
     """(comp, node, n, copies) with the blocks it is compared in: group, side (0 both, 1 left, 2 right).
 
     A small component is one group. In a larger one sets are dealt into size classes, each 5/4 of the one before,
@@ -35,9 +161,9 @@ def with_blocks(nodes: DataFrame) -> DataFrame:
     sized = nodes.withColumn("level", level)
     per = sized.groupBy("comp", "level").agg(F.count("*").alias("sets"), F.sum("n").alias("members"))
     whole = per.groupBy("comp").agg(F.sum("sets").alias("all_sets"), F.sum("members").alias("all_members"))
-    small = (F.col("all_sets") <= BLOCK_SETS) & (F.col("all_members") <= BLOCK_MEMBERS)
+    small = (F.col("all_sets") <= sets) & (F.col("all_members") <= BLOCK_MEMBERS)
     one = whole.where(small).select("comp").withColumn("one", F.lit(True))
-    counts = per.join(whole.where(~small).select("comp"), "comp", "left_semi").withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("members") / BLOCK_MEMBERS)))
+    counts = per.join(whole.where(~small).select("comp"), "comp", "left_semi").withColumn("blocks", F.greatest(F.ceil(F.col("sets") / sets), F.ceil(F.col("members") / BLOCK_MEMBERS)))
     around = counts.select("comp", F.col("level").alias("l"), "blocks").withColumn("level", F.explode(F.array(F.col("l") - 1, F.col("l"), F.col("l") + 1)))
     near = around.groupBy("comp", "level").agg(F.sum(F.when(F.col("l") == F.col("level"), F.col("blocks")).otherwise(0)).alias("own"), F.sum(F.when(F.col("l") < F.col("level"), F.col("blocks")).otherwise(0)).alias("below"), F.sum(F.when(F.col("l") > F.col("level"), F.col("blocks")).otherwise(0)).alias("above")).where("own > 0")
     singles = sized.join(one, "comp").select("comp", "node", "n", "copies", F.concat_ws("/", "comp").alias("group"), F.lit(0).alias("side"))
@@ -120,8 +246,8 @@ def roots(m: int, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.nda
     return root
 
 
-def verified(rows: DataFrame, percent: int = 80) -> DataFrame:
-    """(u, v, links) from rows (group, side, node, copies, members as binary of 64-bit hashes).
+def verified(rows: DataFrame, sets_of, percent: int = 80) -> DataFrame:
+    """(u, v, links) from rows (group, side, node, copies, text); sets_of gives the sets of a list of texts.
 
     v is the first node of u's component within the group, links the documents that u is linked with there. Rows
     are dealt and sorted by group; a task holds one group at a time, of two blocks at most.
@@ -145,7 +271,7 @@ def verified(rows: DataFrame, percent: int = 80) -> DataFrame:
         for group in groups(batches):
             if len(group) > 1:
                 nodes, copies = np.array([r[2] for r in group], np.int64), np.array([r[3] for r in group], np.int64)
-                left, right, ok = linked([np.frombuffer(r[4], "<u8") for r in group], np.array([r[1] for r in group]), percent)
+                left, right, ok = linked(sets_of([r[4] for r in group]), np.array([r[1] for r in group]), percent)
                 links = np.zeros(len(group), np.int64)
                 links[left] = ok @ copies[right]
                 if len(left) < len(group) or len(right) < len(group):
@@ -159,5 +285,5 @@ def verified(rows: DataFrame, percent: int = 80) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["u", "v", "links"])
 
-    dealt = rows.select("group", "side", "node", "copies", "members").repartition("group").sortWithinPartitions("group", "node")
+    dealt = rows.select("group", "side", "node", "copies", "text").repartition("group").sortWithinPartitions("group", "node")
     return dealt.mapInArrow(check, "u long, v long, links long")
