@@ -89,8 +89,8 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long, n long, bands array<long>")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """The shingle sets, as binary, of (text, wanted: node, start and end in the text)."""
+def _texts(rows: DataFrame) -> DataFrame:
+    """(node, text) of the paragraphs wanted: node, start and end in (text, wanted)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -98,11 +98,15 @@ def _members(rows: DataFrame) -> DataFrame:
             for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
                 parts += [text[x["start"] : x["end"]] for x in wanted]
                 nodes += [x["node"] for x in wanted]
-            _, key, h, begins = _hashed(parts)
-            own = pa.array(key == np.array(nodes, np.int64))  # an id may have several texts
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(begins, begins[1:])], pa.binary())], names=["node", "members"]).filter(own)
+            own = pa.array(_hashed(parts)[1] == np.array(nodes, np.int64))  # an id may have several texts
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.string())], names=["node", "text"]).filter(own)
 
-    return rows.select("text", "wanted").mapInArrow(run, "node long, members binary")
+    return rows.select("text", "wanted").mapInArrow(run, "node long, text string")
+
+
+def _sets(texts: list[str]) -> list[np.ndarray]:
+    _, _, h, begins = _hashed(texts)
+    return [h[a:b] for a, b in zip(begins, begins[1:])]
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -125,7 +129,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = stored(groups.join(classes, "node"), "paragraph-candidates")
     blocks = with_blocks(candidates.select("comp", "node", "n", "copies"))
     wanted = candidates.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("wanted"))
-    links = stored(verified(_members(rows.join(wanted, "id")).join(blocks, "node"), percent), "paragraph-links")
+    links = stored(verified(_texts(rows.join(wanted, "id")).join(blocks, "node"), _sets, percent), "paragraph-links")
     joined = components(links)
     repeated = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = repeated.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep"), F.max("last").alias("last")).where(F.col("keep.first") != F.col("last"))
