@@ -22,29 +22,31 @@ _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ž"
 _NUMBER = "0-9²³¹¼-¾"
 _BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_GAP = re.compile(r"(?<=\S)\s")
 #: What the pattern or a special string may look at beyond a boundary.
 _MARGIN = 40
 
 _KEPT: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, memo: int = 1_000_000) -> Encoder:
+def encoder(path: str, memo: int = 1_000_000, splice: bool = True) -> Encoder:
     """One per Python worker, so that the memo serves all of its tasks."""
-    key = (path, memo)
+    key = (path, memo, splice)
     if key not in _KEPT:
-        _KEPT[key] = Encoder(path, memo)
+        _KEPT[key] = Encoder(path, memo, splice=splice)
     return _KEPT[key]
 
 
 class Encoder:
-    """memo: distinct words kept at most; when more come, it starts anew."""
+    """memo: distinct words kept at most; when more come, it starts anew. splice: long texts are encoded from
+    overlapping chunks even where they could be cut between words."""
 
-    def __init__(self, path: str, memo: int = 1_000_000, chunk: int = 1 << 15, overlap: int = 512):
+    def __init__(self, path: str, memo: int = 1_000_000, chunk: int = 1 << 15, overlap: int = 512, splice: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo_limit, self.memo, self.chunk, self.overlap = memo, {}, chunk, overlap
+        self.memo_limit, self.memo, self.chunk, self.overlap, self.splice = memo, {}, chunk, overlap, splice
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.words, self.lower = None, False
@@ -66,7 +68,7 @@ class Encoder:
         words = {}
         for i, text in enumerate(texts):
             plain = self._plain(text)
-            if len(text) > self.chunk and not self.lower:
+            if len(text) > self.chunk and not self.lower and (self.splice or not plain):
                 out[i] = self.spliced(text)
             elif len(text) > self.chunk and plain and len(pieces := self._at_spaces(text)) > 1:
                 out[i] = np.concatenate([self.ids([x])[0] for x in pieces])
@@ -84,11 +86,11 @@ class Encoder:
         return out
 
     def _at_spaces(self, text: str) -> list[str]:
-        """Pieces of a plain text whose words hold no white space: a cut before a space is one between words."""
+        """Pieces of a plain text, cut where white space begins: a word ends there, whatever follows."""
         out, at = [], 0
-        while len(text) - at > self.chunk and (space := text.find(" ", at + self.chunk // 2)) > 0:
-            out.append(text[at:space])
-            at = space
+        while len(text) - at > self.chunk and (space := _GAP.search(text, at + self.chunk // 2)):
+            out.append(text[at : space.start()])
+            at = space.start()
         return [*out, text[at:]]
 
     def _piece(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

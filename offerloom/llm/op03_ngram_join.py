@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices, stored
 from .components import components
-from .setjoin import close_edges, signatures, verified, with_blocks
+from .setjoin import SALT_BITS, SALTS, close_edges, signatures, verified, with_blocks
 from .words import byte_words, distinct_sets, mix, shingles
 
 #: Shingles are counted in so many bins to find the frequent ones, of which so many bins at most are put last.
@@ -54,7 +54,10 @@ def _summary(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) -> DataFrame:
-    """(h, node) for the first shingles of each document's set: rare bins first, then frequent ones by their rank."""
+    """(h, node, m) for the first shingles of each document's set: rare bins first, then frequent ones by their rank.
+
+    m holds the set's size and a salt for frequent bins, as shared_keys takes it. Any other bin has few postings.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
 
     def run(batches):
@@ -63,13 +66,19 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
         for batch in slices(batches, "text"):
             h, begins, node = _sets([x or "" for x in batch.column("text").to_pylist()], size)
             n = np.diff(begins)
+            salt = (node.view(np.uint64) % np.uint64(SALTS)).astype(np.int64) + 1
+            once = np.zeros(len(n), bool)  # of copies in a batch one stands for all
+            once[np.unique(node, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, rank[(h >> np.uint64(40)).astype(np.int64)], owner))
             nth = np.arange(len(h)) - begins[:-1][owner]
             first = nth < (n - (percent * n + 99) // 100 + 1)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][first].view(np.int64)), pa.array(node[owner[first]])], names=["h", "node"])
+            first &= once[owner]
+            h, owner = h[order][first], owner[first]
+            m = n[owner] << SALT_BITS | np.where(rank[(h >> np.uint64(40)).astype(np.int64)] > 0, salt[owner], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[owner]), pa.array(m)], names=["h", "node", "m"])
 
-    return docs.select("text").mapInArrow(run, "h long, node long")
+    return docs.select("text").mapInArrow(run, "h long, node long, m long")
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:

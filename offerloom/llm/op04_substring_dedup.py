@@ -125,7 +125,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("id", "start", "end")
     classes = stored(parts.groupBy("node", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies")), "paragraph-classes")
     postings = parts.select("node", F.explode("bands").alias("band"))
-    groups = components(star_edges(postings, ["band"])).select("node", F.col("root").alias("comp"))
+    groups = components(star_edges(postings, "band")).select("node", F.col("root").alias("comp"))
     candidates = stored(groups.join(classes, "node"), "paragraph-candidates")
     blocks = with_blocks(candidates.select("comp", "node", "n", "copies"))
     wanted = candidates.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("wanted"))

@@ -30,7 +30,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int, id_col: s
     kind = docs.schema[id_col].dataType
 
     def encode(batches):
-        enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, before = encoder(path, splice=False), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def row():

@@ -17,13 +17,37 @@ BLOCK_SETS, BLOCK_MEMBERS = 3000, 3_000_000
 COLUMNS = 2048
 
 
-def star_edges(postings: DataFrame, keys: list[str], node: str = "node") -> DataFrame:
-    """Edges (u, v) from each node to the least node it shares a key with.
+def star_edges(postings: DataFrame, key: str, node: str = "node") -> DataFrame:
+    """Edges (u, v) that join all nodes which share a key (a long) with each other, directly or over others.
 
-    Keys are summed up before the shuffle; a hot key's postings meet one row, so that Spark can split them.
+    One exchange by ranges of (key, node), so that a hot key lies over many tasks. Each links the nodes of a key to
+    the first one it has; the two keys that may go on in other tasks, one row for each end, are joined afterwards.
     """
-    shared = postings.groupBy(*keys).agg(F.min(node).alias("v"), F.max(node).alias("w")).where("v <> w").drop("w")
-    return postings.join(shared, keys).where(F.col(node) != F.col("v")).select(F.col(node).alias("u"), "v").distinct()
+
+    def run(batches):
+        key, first, ends = None, None, []
+        for batch in batches:
+            k, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(k):
+                continue
+            if key is None:
+                ends.append((int(k[0]), int(x[0])))
+            new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            v = np.where(head < 0, 0 if first is None else first, x[head])
+            key, first = k[-1], v[-1]
+            far = x != v
+            u, v = np.unique(np.stack((x[far], v[far])), axis=1) if far.any() else (x[far], v[far])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], names=["key", "u", "v"])
+        if key is not None:
+            ends.append((int(key), int(first)))
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.nulls(len(ends), pa.int64())], names=["key", "u", "v"])
+
+    rows = postings.select(F.col(key).alias("key"), F.col(node).alias("node"))
+    found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "key long, u long, v long"), "key-edges", compression="zstd")
+    ends = found.where("key is not null").select("key", "u")
+    across = ends.join(ends.groupBy("key").agg(F.min("u").alias("v")), "key").where("u <> v").select("u", "v")
+    return found.where("key is null").select("u", "v").unionByName(across)
 
 
 #: Sets of up to so many members have a parity signature of so many bits: bit h % bits is flipped for each member h.
@@ -112,17 +136,89 @@ def close_sets(node: np.ndarray, n: np.ndarray, sigs: list[bytes], side: np.ndar
     return out
 
 
-def close_edges(postings: DataFrame, nodes: DataFrame, key: str = "h", percent: int = 80) -> DataFrame:
-    """Edges (u, v) between nodes (node, n, sig) that share a key and may be linked by their signatures.
+#: Rows of one key that a task holds; a key of more is emitted as hot without a look at its sizes.
+HELD_ROWS = 1_000_000
+#: Postings of frequent keys are dealt by so many salts, which the lower SALT_BITS of m hold (0: not salted).
+SALTS, SALT_BITS = 64, 7
+
+
+def shared_keys(postings: DataFrame, percent: int) -> DataFrame:
+    """(h, node, n, df) from postings (h, node, m = n << SALT_BITS | salt): nodes with a partner of fitting size under h.
+
+    One exchange, in which frequent keys are salted. Where a key is whole in a task, nodes without a partner whose
+    size allows a Jaccard of percent go, and df is its number of nodes; a salted key has all its nodes and df 0.
+    """
+
+    def fitting(h, node, m):
+        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+        h, node, n, salted = h[fresh], node[fresh], m[fresh] >> SALT_BITS, (m[fresh] & ((1 << SALT_BITS) - 1)) > 0
+        owner = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+        df = np.bincount(owner)[owner]
+        some = (df > 1) | salted
+        h, node, n, salted, owner, df = (x[some] for x in (h, node, n, salted, owner, df))
+        order = np.lexsort((n, owner))
+        o, s = owner[order], n[order]
+        near = (o[1:] == o[:-1]) & (100 * s[:-1] >= percent * s[1:])
+        keep = np.zeros(len(h), bool)
+        keep[order[1:]] |= near
+        keep[order[:-1]] |= near
+        keep |= salted
+        return [x[keep] for x in (h, node, n, np.where(salted, 0, df))]
+
+    def out(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "node", "n", "df"])
+
+    def run(batches):
+        held, rows, hot = [], 0, None
+        for batch in batches:
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if hot is not None:
+                at = int(np.searchsorted(part[0], hot, side="right"))
+                if at:
+                    yield out([part[0][:at], part[1][:at], part[2][:at] >> SALT_BITS, np.full(at, 1 << 40)])
+                    part = [x[at:] for x in part]
+                hot = hot if not len(part[0]) else None
+            if not len(part[0]):
+                continue
+            held.append(part)
+            rows += len(part[0])
+            if rows < 50_000:
+                continue
+            h, node, m = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield out(fitting(h[:cut], node[:cut], m[:cut]))
+            h, node, m = h[cut:], node[cut:], m[cut:]
+            if len(h) > HELD_ROWS and not m[0] & ((1 << SALT_BITS) - 1):
+                hot = h[0]
+                yield out([h, node, m >> SALT_BITS, np.full(len(h), 1 << 40)])
+                held, rows = [], 0
+            elif len(h) > HELD_ROWS:
+                yield out(fitting(h, node, m))  # salted: each row stands for itself
+                held, rows = [], 0
+            else:
+                held, rows = [[h, node, m]], len(h)
+        if held:
+            yield out(fitting(*(np.concatenate(x) for x in zip(*held))))
+
+    salt = F.col("m").bitwiseAND((1 << SALT_BITS) - 1)
+    return postings.select("h", "node", "m").repartition("h", salt).sortWithinPartitions("h", "node").mapInArrow(run, "h long, node long, n long, df long")
+
+
+def close_edges(postings: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
+    """Edges (u, v) between nodes (node, n, sig) that share a key and may be linked by their sizes and signatures.
 
-    All linked pairs that share a key are connected by these edges, directly or over others. Keys of one node are
-    dropped first, summed up before the shuffle. A key of more than HOT_KEY nodes is split into pairs of blocks.
+    All linked pairs that share a key are connected by these edges, directly or over others. postings are those of
+    shared_keys. A key of more than HOT_KEY nodes is split into pairs of blocks.
     """
-    counts = postings.groupBy(key).agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("df")).where("a <> b").select(key, "df")
-    shared = stored(postings.join(counts, key).join(nodes, "node"), "shared-keys", compression="zstd")
-    cool = shared.where(F.col("df") <= HOT_KEY).select(F.col(key).cast("string").alias("group"), F.lit(0).alias("side"), "node", "n", "sig")
-    hot = shared.where(F.col("df") > HOT_KEY).select(F.col(key).alias("comp"), "node", "n", F.lit(1).alias("copies"), "sig").dropDuplicates(["comp", "node"])
-    blocked = with_blocks(hot.drop("sig"), sets=HOT_KEY // 2).join(nodes.select("node", "sig"), "node").select("group", "side", "node", "n", "sig")
+    shared = stored(shared_keys(postings, percent), "shared-keys", compression="zstd")
+    salted = shared.where("df = 0").select("h", "node", "n").distinct()
+    counts = salted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = shared.where("df > 0").unionByName(salted.join(counts, "h").select("h", "node", "n", "df"))
+    sigs = nodes.select("node", "sig")
+    cool = shared.where(F.col("df") <= HOT_KEY).join(sigs, "node").select(F.col("h").cast("string").alias("group"), F.lit(0).alias("side"), "node", "n", "sig")
+    hot = shared.where(F.col("df") > HOT_KEY).select(F.col("h").alias("comp"), "node", "n", F.lit(1).alias("copies")).dropDuplicates(["comp", "node"])
+    blocked = with_blocks(hot, sets=HOT_KEY // 2).join(sigs, "node").select("group", "side", "node", "n", "sig")
 
     def run(batches):
         held: list = []

@@ -90,10 +90,11 @@ def test_chunks_are_spliced_exactly():
 def test_memo_equals_the_library(path):
     rnd = random.Random(2)
     signs = [chr(c) for c in range(0x20, 0x180)] + list(" '\n\tstrelmvd") * 12 + ["Σ", "ς", "\x85", "\x1c", "<|endoftext|>", "<|startoftext|>"]
-    e = Encoder(path, memo=500, chunk=300)
+    e, cut = Encoder(path, memo=500, chunk=300), Encoder(path, memo=500, chunk=60, splice=False)
     for _ in range(400):
         x = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 700)))
         assert e.ids([x])[0].tolist() == ids_of(path, x)
+        assert cut.ids([x])[0].tolist() == ids_of(path, x)
 
 
 def test_op9_round_trip(spark, docs, tmp_path):
