@@ -16,30 +16,35 @@ from .words import byte_words, distinct_sets, mix, run_hashes, shingles
 BANDS, ROWS = 14, 4
 #: Shorter paragraphs are common phrases; they are left alone.
 LEAST_WORDS = 20
-#: A paragraph of more words is also looked at in pieces, which end at sentence ends chosen by their words alone.
-LONG_WORDS, PIECE_WORDS = 80, 40
+#: A paragraph of more words is also looked at in pieces of whole sentences, of LEAST_WORDS words or a few more.
+LONG_WORDS = 80
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) in characters of the paragraphs of a text, which "\\n" ends, and of the pieces of long ones.
+    """(start, end) in characters of the paragraphs of a text, which "\n" ends, and of pieces of long ones.
 
-    Where a piece ends depends on a few words before it, so a passage within two long paragraphs has the same
-    pieces in both, but for those at its ends.
+    Two of three sentences, chosen by their first letters, begin a piece, which ends with the first sentence end
+    that gives it LEAST_WORDS words; pieces may overlap. Where a piece lies depends on nothing outside it, so a
+    passage within two long paragraphs has the same pieces in both.
     """
     out, at = [], 0
     for line in text.split("\n"):
         if line:
             out.append((at, at + len(line)))
             if len(line) > 4 * LONG_WORDS and line.count(" ") >= LONG_WORDS:
-                begin, end = 0, line.find(". ")
+                starts, end = [0], line.find(". ")
                 while end >= 0:
-                    tail = line[max(begin, end - 12) : end]
-                    if line.count(" ", begin, end) >= PIECE_WORDS // 2 and sum(map(ord, tail)) % 3 == 0:
-                        out.append((at + begin, at + end + 1))
-                        begin = end + 2
+                    starts.append(end + 2)
                     end = line.find(". ", end + 2)
-                if begin:
-                    out.append((at + begin, at + len(line)))
+                blanks = [line.count(" ", a, b) for a, b in zip(starts, [*starts[1:], len(line)])]
+                last = words = 0
+                for k, begin in enumerate(starts):
+                    while last < len(starts) and words < LEAST_WORDS:
+                        words += blanks[last]
+                        last += 1
+                    if words >= LEAST_WORDS and sum(map(ord, line[begin : begin + 12])) % 3:
+                        out.append((at + begin, at + (starts[last] - 1 if last < len(starts) else len(line))))
+                    words -= blanks[k]
         at += len(line) + 1
     return out
 
