@@ -18,19 +18,22 @@ _TAKES = np.array([ZEROS, *COUNTS, 1], np.int64)
 
 def _choices(values: np.ndarray, left: np.ndarray) -> np.ndarray:
     """For each place the selector whose word takes most values from there. left: values up to the block's end."""
-    n = len(values)
     width = np.frexp(values.astype(np.float64))[1]  # bits needed; a rounded-up value over 2**53 asks for one more at most
     run = np.maximum(width, 0).astype(np.int16)
-    best, widest, span = np.where(width > 60, ESCAPE, 14).astype(np.uint8), run.copy(), 1
+    best, span = np.where(width > 60, ESCAPE, 14).astype(np.uint8), 1
+    at = np.flatnonzero(run <= 30)  # what fits a selector also fits those of fewer, wider values: few places stay
+    widest, room = run[at], left[at]
+    padded = np.concatenate((run, np.zeros(COUNTS[0], np.int16)))
     for sel in range(13, 0, -1):
         count = COUNTS[sel - 1]
-        for far in range(span, min(count, n)):
-            widest[: n - far] = np.maximum(widest[: n - far], np.where(left[: n - far] > far, run[far:], 0))
+        for far in range(span, count):
+            widest = np.maximum(widest, np.where(room > far, padded[at + far], 0))
         span = max(span, count)
         fits = widest <= 60 // count
-        if not fits.any():
-            return best
-        best[fits] = sel
+        at, widest, room = at[fits], widest[fits], room[fits]
+        if not len(at):
+            break
+        best[at] = sel
     zeros = values == 0
     best[zeros & (left <= ZEROS) & _all_zero_to_end(zeros, left)] = 0
     return best
