@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +20,17 @@ BANDS, ROWS = 14, 4
 LEAST_WORDS = 20
 #: A paragraph of more words is also looked at in pieces of whole sentences, of LEAST_WORDS words or a few more.
 LONG_WORDS = 80
+#: Of so many sentences in a row one at least begins a piece.
+WINDOW = 5
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
     """(start, end) in characters of the paragraphs of a text, which "\n" ends, and of pieces of long ones.
 
-    Two of three sentences, chosen by their first letters, begin a piece, which ends with the first sentence end
-    that gives it LEAST_WORDS words; pieces may overlap. Where a piece lies depends on nothing outside it, so a
-    passage within two long paragraphs has the same pieces in both.
+    A sentence begins a piece where a hash of its first letters is the least of any WINDOW sentences in a row
+    (winnowing), one of three on the average. The piece ends with the first sentence end that gives it LEAST_WORDS
+    words; pieces may overlap. So a passage of WINDOW sentences and LEAST_WORDS more words, anywhere within two long
+    paragraphs, has a piece that is the same in both.
     """
     out, at = [], 0
     for line in text.split("\n"):
@@ -36,13 +41,15 @@ def pieces(text: str) -> list[tuple[int, int]]:
                 while end >= 0:
                     starts.append(end + 2)
                     end = line.find(". ", end + 2)
+                heads = [crc32(line[a : a + 12].encode("utf-8", "surrogatepass")) for a in starts]
+                chosen = {min(range(k, min(k + WINDOW, len(heads))), key=lambda j: (heads[j], -j)) for k in range(max(1, len(heads) - WINDOW + 1))}
                 blanks = [line.count(" ", a, b) for a, b in zip(starts, [*starts[1:], len(line)])]
                 last = words = 0
                 for k, begin in enumerate(starts):
                     while last < len(starts) and words < LEAST_WORDS:
                         words += blanks[last]
                         last += 1
-                    if words >= LEAST_WORDS and sum(map(ord, line[begin : begin + 12])) % 3:
+                    if words >= LEAST_WORDS and k in chosen:
                         out.append((at + begin, at + (starts[last] - 1 if last < len(starts) else len(line))))
                     words -= blanks[k]
         at += len(line) + 1
