@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from offerloom.plans import catalogue
@@ -20,7 +21,7 @@ def duck():
 
 def rows(df):
     def shown(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
