@@ -29,8 +29,9 @@ def pieces(text: str) -> list[tuple[int, int]]:
 
     A sentence begins a piece where a hash of its first letters is the least of any WINDOW sentences in a row
     (winnowing), one of three on the average. The piece ends with the first sentence end that gives it LEAST_WORDS
-    words; pieces may overlap. So a passage of WINDOW sentences and LEAST_WORDS more words, anywhere within two long
-    paragraphs, has a piece that is the same in both.
+    words; pieces may overlap, but none that would be near copies by what they share in place: such a one is left
+    out, like one of nearly the whole paragraph. So a passage of WINDOW sentences and LEAST_WORDS more words, anywhere within two long
+    paragraphs, has a chosen sentence that is the same in both.
     """
     out, at = [], 0
     for line in text.split("\n"):
@@ -43,15 +44,18 @@ def pieces(text: str) -> list[tuple[int, int]]:
                     end = line.find(". ", end + 2)
                 heads = [crc32(line[a : a + 12].encode("utf-8", "surrogatepass")) for a in starts]
                 chosen = {min(range(k, min(k + WINDOW, len(heads))), key=lambda j: (heads[j], -j)) for k in range(max(1, len(heads) - WINDOW + 1))}
-                blanks = [line.count(" ", a, b) for a, b in zip(starts, [*starts[1:], len(line)])]
-                last = words = 0
-                for k, begin in enumerate(starts):
-                    while last < len(starts) and words < LEAST_WORDS:
-                        words += blanks[last]
+                words = [0]
+                for a, b in zip(starts, [*starts[1:], len(line)]):
+                    words.append(words[-1] + line.count(" ", a, b))
+                before, last = None, 0
+                for k in sorted(chosen):
+                    while last < len(starts) and words[last] - words[k] < LEAST_WORDS:
                         last += 1
-                    if words >= LEAST_WORDS and k in chosen:
-                        out.append((at + begin, at + (starts[last] - 1 if last < len(starts) else len(line))))
-                    words -= blanks[k]
+                    size = words[last] - words[k]
+                    far = before is None or words[k] - words[before[0]] + words[last] - words[before[1]] > size / 4 + 1
+                    if far and LEAST_WORDS <= size <= 0.7 * words[-1]:
+                        out.append((at + starts[k], at + (starts[last] - 1 if last < len(starts) else len(line))))
+                    before = k, last
         at += len(line) + 1
     return out
 
