@@ -7,7 +7,6 @@ Texts with characters for which the library's tables and Python's might differ g
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -20,11 +19,13 @@ import numpy as np
 _UNSAFE = re.compile("[^\t\n\r -~\u00a0-\u0148\u014a-\u017e]")
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ž"
 _NUMBER = "0-9²³¹¼-¾"
-_BYTE_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_BYTE_WORDS = re.compile(rf" [{_LETTER}]+|[{_LETTER}]+| ?[{_NUMBER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 _LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 _GAP = re.compile(r"(?<=\S)\s")
 #: What the pattern or a special string may look at beyond a boundary.
 _MARGIN = 40
+#: New words that go to the library at once.
+_TOGETHER = 4096
 
 _KEPT: dict[tuple, Encoder] = {}
 
@@ -49,7 +50,7 @@ class Encoder:
         self.memo_limit, self.memo, self.chunk, self.overlap, self.splice = memo, {}, chunk, overlap, splice
         spec = json.loads(self.tokenizer.to_str())
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
-        self.words, self.lower = None, False
+        self.words, self.lower, self.edge = None, False, None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
         if not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding"):
             if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
@@ -58,6 +59,9 @@ class Encoder:
             parts = [x.get("pattern", {}).get("Regex", "") for x in pre.get("pretokenizers", [])]
             if kinds == ["NFC", "Replace", "Lowercase"] and parts[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]:
                 self.words, self.lower = _LOWER_WORDS, True
+        if self.words:
+            names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+            self.edge = np.array([x.endswith("</w>") if self.lower else x.startswith("Ġ") for x in names])
 
     def _plain(self, text: str) -> bool:
         return self.words is not None and not _UNSAFE.search(text) and not any(s in text for s in self.special)
@@ -78,13 +82,35 @@ class Encoder:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         if len(self.memo) > self.memo_limit:
             self.memo.clear()
-        new = list(set(itertools.chain.from_iterable(words.values())).difference(self.memo))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[word] = array("I", e.ids).tobytes()
+        known, new = {}, set()
         for i, found in words.items():
-            out[i] = np.frombuffer(b"".join(map(self.memo.__getitem__, found)), "<u4")
+            codes = list(map(self.memo.get, found))
+            gaps = [] if all(codes) else [k for k, code in enumerate(codes) if code is None]
+            new.update(found[k] for k in gaps)
+            known[i] = codes, gaps
+        self._learn(list(new))
+        for i, (codes, gaps) in known.items():
+            for k in gaps:
+                codes[k] = self.memo[words[i][k]]
+            out[i] = np.frombuffer(b"".join(codes), "<u4")
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Put words into the memo. Those that stay words with a space before them go to the library in one text."""
+        for at in range(0, len(new), _TOGETHER):
+            some = new[at : at + _TOGETHER]
+            joined = some if self.lower else [w for w in some if w[0] == " " and not w[-1].isspace()]
+            text = (" " if self.lower else "").join(joined)
+            if joined and not any(s in text for s in self.special):
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                edges = np.flatnonzero(self.edge[ids]) + self.lower  # a word's last token, or its first one
+                if len(edges) == len(joined):
+                    cuts, code = (4 * np.concatenate(([0], edges) if self.lower else (edges, [len(ids)]))).tolist(), ids.tobytes()
+                    self.memo.update((w, code[a:b]) for w, a, b in zip(joined, cuts, cuts[1:]))
+                    some = [] if self.lower else [w for w in some if w not in self.memo]
+            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.memo[word] = array("I", e.ids).tobytes()
+
     def _at_spaces(self, text: str) -> list[str]:
         """Pieces of a plain text, cut where white space begins: a word ends there, whatever follows."""
         out, at = [], 0
