@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -64,11 +65,9 @@ def ids_of(path, text):
     return _library(path).encode(text or "", add_special_tokens=False).ids
 
 
-_LIB = {}
-
-
+@cache
 def _library(path):
-    return _LIB.setdefault(path, Encoder(path)).tokenizer
+    return Encoder(path).tokenizer
 
 
 def test_op6_equals_the_library(docs):
