@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, slices, stored
-from .words import letter_words, mix
+from .words import byte_words, distinct_sets, letter_words, mix, run_hashes
 
 #: Terms are hashed to so many bins.
 BINS = 1 << 18
-#: Sampled texts that agree in one of so many least hashes of their words are copies.
-COPY_SEEDS = 4
+#: Each sampled text has the least hashes of its words under BANDS * ROWS seeds. Two texts are compared if all ROWS of a
+#: band agree, and are copies if SAME of all of them do: so much is the Jaccard of their word sets, to about 0.05.
+BANDS, ROWS, SAME = 16, 4, 0.85
 #: A document is predicted toxic from this score on.
 REJECT = 0.7
 
@@ -64,11 +65,43 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int, rou
     return float(p[0][0]), p[1], p[2]
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """The (id, y, text) that are no copies, as (id, y, bins): a text goes if one of less id has its label y and its words.
+
+    Words are what white space parts, in lower case. Equal word sets are grouped first. Then each band's first text is compared with the band's others by their least
+    hashes, so texts that only share some are kept; the first of all texts that are copies of each other stays.
+    Texts without letters go.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def terms(batches):
+        for batch in slices(batches, "text"):
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            hashes, doc = letter_words(texts)
+            first = np.searchsorted(doc, np.arange(len(texts) + 1))
+            bins = [np.unique((hashes[a:b] % np.uint64(BINS)).astype(np.int32)) for a, b in zip(first, first[1:])]
+            h, begins = distinct_sets(*byte_words(texts))
+            words = run_hashes(h, begins[:-1], begins[1:]).view(np.int64)
+            least = [[int(mix(h[a:b] ^ np.uint64(seed)).min() >> np.uint64(33)) for seed in range(BANDS * ROWS)] if b > a else None for a, b in zip(begins, begins[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("y"), pa.array(words), pa.array(least, pa.list_(pa.int32())), pa.array(bins, pa.list_(pa.int32()))],
+                names=["id", "y", "words", "least", "bins"],
+            )
+
+    found = rows.select("id", "y", "text").mapInArrow(terms, f"id {kind}, y int, words long, least array<int>, bins array<int>").where("size(bins) > 0")
+    sets = stored(found.groupBy("y", "words").agg(F.min_by(F.struct("id", "least", "bins"), "id").alias("x")).select("y", "words", "x.*"), "toxicity-sets")
+    bands = sets.select("y", "words", "id", "least", F.posexplode(F.array(*[F.xxhash64(*[F.col("least")[k * ROWS + j] for j in range(ROWS)]) for k in range(BANDS)])).alias("k", "band"))
+    head = bands.groupBy("y", "k", "band").agg(F.min(F.struct("id", "words", "least")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = F.size(F.filter(F.arrays_zip("least", F.col("head.least").alias("other")), lambda x: x["least"] == x["other"]))
+    copies = bands.join(F.broadcast(head), ["y", "k", "band"]).where((F.col("words") != F.col("head.words")) & (same >= SAME * BANDS * ROWS))
+    return sets.join(copies.select("y", "words").distinct(), ["y", "words"], "left_anti").select("id", "y", "bins")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, max_terms: int = 512, least_z: float = 4.0, least_df: int = 8, factors: int = 4) -> FactorizationMachine:
     """Learn from about per_class labelled documents of each class at most, taken by a hash of the id.
 
-    The sample's ids, 2 * per_class rows, are broadcast to the scan. Of copies, near or exact, one stays (by the
-    least hashes of their words), so that a group of copies teaches no words of its own. Spark counts in how many
+    The sample's ids, 2 * per_class rows, are broadcast to the scan. Of copies with one label, near or exact, one
+    stays (see distinct_texts), so that a group of copies teaches no words of its own. Spark counts in how many
     sampled documents of each class a bin is; bins whose shares differ by least_z standard errors, in least_df
     documents or more, are the terms, max_terms of them at most. Only these, for the sample, go to the driver.
     A document with several labels is toxic if one says so; null ids and labels are left out. Without labels of
@@ -84,30 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(part < F.when(F.col("y") == 1, per_class / pos).otherwise(per_class / neg))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-
-    def terms(batches):
-        for batch in slices(batches, "text"):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            hashes, doc = letter_words(texts)
-            first = np.searchsorted(doc, np.arange(len(texts) + 1))
-            sets = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array([[int(mix(h ^ np.uint64(seed)).min() >> np.uint64(1)) for seed in range(COPY_SEEDS)] if len(h) else None for h in sets], pa.list_(pa.int64())), pa.array([np.unique((h % np.uint64(BINS)).astype(np.int32)) for h in sets], pa.list_(pa.int32()))],
-                names=["id", "y", "least", "bins"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.select("id", "y", "text").mapInArrow(terms, f"id {kind}, y int, least array<long>, bins array<int>").where("least is not null")
-    for k in range(COPY_SEEDS):
-        found = found.groupBy(F.col("least")[k]).agg(F.min_by(F.struct("id", "y", "least", "bins"), F.struct("id", "y")).alias("x")).select("x.*")
-    kept = stored(found.select("y", "bins"), "toxicity-terms")
+    kept = stored(distinct_texts(rows).select("y", "bins"), "toxicity-terms")
     size = {r[0]: r[1] for r in kept.groupBy("y").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return none
     df = kept.select("y", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
     share = (F.col("d1") + F.col("d0")) / float(n1 + n0)
-    z = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    z = F.try_divide(F.col("d1") / n1 - F.col("d0") / n0, F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))  # null for a bin of all
     chosen = df.where(F.col("d1") + F.col("d0") >= least_df).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
     bins = np.array(sorted(r["bin"] for r in chosen.orderBy(F.desc("z"), "bin").limit(max_terms).collect()), np.int64)
     if not len(bins):

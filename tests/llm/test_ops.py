@@ -309,6 +309,18 @@ def test_op8_learns_pairs(spark):
     assert op8.score(d, op8.fit(d, l.where("false"))).where("predicted = 1").count() == 0
 
 
+def test_op8_takes_only_copies_as_copies(spark):
+    rnd = random.Random(11)
+    plain = [f"filler{i}" for i in range(300)]
+    texts = [rnd.sample(plain, 120) for _ in range(200)]
+    near = rnd.sample(plain, 200)
+    rows = [(i, i % 2, " ".join(w)) for i, w in enumerate(texts)]
+    rows += [(300, 0, rows[0][2]), (301, 1, rows[0][2]), (302, 0, " ".join(reversed(texts[0])))]  # copies with one label and the other
+    rows += [(400 + k, 1, " ".join([*near, f"own{k}"])) for k in range(20)] + [(500, 0, None), (501, 1, ".")]
+    got = op8.distinct_texts(spark.createDataFrame(rows, "id long, y int, text string")).collect()
+    assert {(r.id, r.y) for r in got} == {(i, i % 2) for i in range(200)} | {(301, 1), (400, 1)} and len(got) == 202
+
+
 def test_op1_labels_spans(spark):
     rnd = random.Random(4)
     en, de, ru = "the of and that with this from have been which".split(), "der die und nicht eine für über können schließlich auch".split(), "это как что его они был для".split()
