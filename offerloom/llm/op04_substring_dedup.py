@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import documents, slices, stored
 from .components import components
 from .setjoin import star_edges, verified, with_blocks
-from .words import byte_words, distinct_sets, mix, run_hashes, shingles
+from .words import byte_words, distinct_sets, mix, placed_words, run_hashes, shingles
 
 #: Tuned for recall at a Jaccard of 0.8: 1 - (1 - 0.8 ** 4) ** 14 = 0.9994 of such pairs share a band.
 BANDS, ROWS = 14, 4
@@ -22,6 +22,10 @@ LEAST_WORDS = 20
 LONG_WORDS = 80
 #: Of so many sentences in a row one at least begins a piece.
 WINDOW = 5
+#: Runs of so many words are compared anywhere in a text, across lines too; of as many starts in a row one at least is taken.
+RUN = 25
+#: Words whose hash decides whether a run starts there.
+HEAD = 3
 
 
 def pieces(text: str) -> list[tuple[int, int]]:
@@ -105,6 +109,62 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long, n long, bands array<long>")
 
 
+def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words at which runs of RUN words start: the least head of any RUN starts in a row of a text (winnowing).
+
+    Whether a run starts is decided by the 2 * RUN - 1 words around it, so of 2 * RUN - 1 words or more that two texts
+    share both have a run, and a text's runs leave no word between them out. Equal heads close together, as repeated
+    words have, are thinned out to half of RUN.
+    """
+    if len(words) < 2 * RUN - 1:
+        return np.empty(0, np.int64)
+    at = np.arange(len(words) - HEAD + 1)
+    heads = run_hashes(words, at, at + HEAD)
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin = np.flatnonzero(np.arange(len(words)) + 2 * RUN - 1 <= first[1:][own])
+    windows = np.lib.stride_tricks.sliding_window_view(heads, RUN)
+    found = np.unique(begin + windows[begin].argmin(1)) if len(begin) else begin
+    same = np.concatenate(([False], (heads[found[1:]] == heads[found[:-1]]) & (found[1:] - found[:-1] < RUN // 2) & (own[found[1:]] == own[found[:-1]])))
+    if same.any():
+        keep, last = np.ones(len(found), bool), 0
+        for k in range(len(found)):
+            if same[k] and found[k] - found[last] < RUN // 2:
+                keep[k] = False
+            else:
+                last = k
+        found = found[keep]
+    return found
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """(id, start, end, node) of the runs of (id, text) that begin at run_starts; node is a key of a run's words."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            words, first, start, end = placed_words([x or "" for x in batch.column("text").to_pylist()])
+            at = run_starts(words, first)
+            owner = np.searchsorted(first, at, side="right") - 1
+            node = run_hashes(words, at, at + RUN).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(start[at]), pa.array(end[at + RUN - 1]), pa.array(node)], names=["id", "start", "end", "node"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(id, start, end, first) of the runs whose words an earlier run has, by id and start; first is the earliest.
+
+    Runs are counted by their keys alone; only those that repeat are kept with their places. A run that overlaps the
+    first in its own text stays.
+    """
+    found = runs(docs)
+    twice = found.groupBy("node").count().where("count > 1").select("node")
+    again = stored(found.join(twice, "node"), "repeated-runs", compression="zstd")
+    first = again.groupBy("node").agg(F.min(F.struct("id", "start", "end")).alias("first"))
+    later = (F.col("id") != F.col("first.id")) | (F.col("start") >= F.col("first.end"))
+    return again.join(first, "node").where(later).select("id", "start", "end", "first")
+
+
 def _texts(rows: DataFrame) -> DataFrame:
     """(node, text) of the paragraphs wanted: node, start and end in (text, wanted)."""
 
@@ -131,7 +191,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Paragraphs of equal words are one node. Nodes that share a band, through others too, are a group; within it
     sets of five-word shingles are compared exactly, and the links' components are the classes. The first paragraph
     of a class, by id and start, stays and all others are returned: every copy, near (a Jaccard of percent or
-    more) or exact (column exact says that its words are the first one's). A piece is returned only where its own
+    more) or exact (column exact says that its words are the first one's). Runs of RUN words that repeat exactly are
+    returned like paragraphs, wherever they lie, so every passage of 2 * RUN - 1 words or more is found. A piece is returned only where its own
     class repeats, so rows may lie within others; remove their union. Null and empty texts and null ids give no
     rows; repeated rows of one id and text are the same paragraphs; an empty table gives an empty result.
     """
@@ -151,9 +212,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = repeated.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep"), F.max("last").alias("last")).where(F.col("keep.first") != F.col("last"))
     of = repeated.join(first.drop("last"), "root").select("node", "keep")
     out = parts.select("id", "start", "end", "node", "n").join(of, "node").where(place != F.col("keep.first"))
-    return out.select(
+    whole = out.select(
         F.col("id").alias(id_col), "start", "end", F.col("n").alias("n_shingles"), F.col("keep.first.id").alias(f"first_{id_col}"), F.col("keep.first.start").alias("first_start"), (F.col("node") == F.col("keep.node")).alias("exact")
     )
+    inside = repeated_runs(rows).select(F.col("id").alias(id_col), "start", "end", F.lit(RUN - 4).cast("long").alias("n_shingles"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), F.lit(True).alias("exact"))
+    return whole.unionByName(inside)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,17 +62,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def byte_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of bytes other than ASCII white space, A-Z in lower case, and the first word of each text.
-
-    The second array has one entry more than there are texts.
-    """
+def _byte_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     parts = [x.encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer(b"\n".join(parts), np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in parts])))
     edge = np.diff(np.concatenate(([0], (~_SPACE[data]).astype(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return run_hashes(_LOWER[data], start, end), np.searchsorted(start, begins)
+    return data, start, end, np.searchsorted(start, begins)
+
+
+def byte_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of bytes other than ASCII white space, A-Z in lower case, and the first word of each text.
+
+    The second array has one entry more than there are texts.
+    """
+    data, start, end, first = _byte_runs(texts)
+    return run_hashes(_LOWER[data], start, end), first
+
+
+def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """byte_words, and where each word starts and ends in its text, in characters."""
+    data, start, end, first = _byte_runs(texts)
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    begins = np.repeat(np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1], np.diff(first)).astype(np.int64)
+    return run_hashes(_LOWER[data], start, end), first, chars[start] - begins, chars[end] - begins
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

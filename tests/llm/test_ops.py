@@ -231,6 +231,25 @@ def test_op4_finds_copies_and_near_copies(spark, docs):
     assert {(r.doc_id, r.first_doc_id) for r in op4.substring_dedup(inside).collect()} == {(2, 1)}
 
 
+@pytest.mark.parametrize("gap, stop", [(" ", ""), (" ", "?"), ("\n", ""), (" ", ".")])
+def test_op4_finds_every_planted_passage(spark, gap, stop):
+    rnd = random.Random(13)
+    word = lambda: f"ü{rnd.randrange(10**9)}"
+    say = lambda n: [word() + stop * (i % 8 == 7) for i in range(n)]
+    lay = lambda ws: "".join(w + (gap if i % 9 == 8 else " ") for i, w in enumerate(ws))
+    rows = []
+    for k in range(40):
+        passage = say(50)
+        rows += [(2 * k, lay(say(rnd.randint(20, 90)) + passage + say(60))), (2 * k + 1, lay(say(rnd.randint(20, 90)) + passage + say(60)))]
+    got = op4.substring_dedup(spark.createDataFrame([*rows, (200, "so " * 300)], "doc_id long, text string")).collect()
+    texts = dict(rows)
+    assert {(r.first_doc_id, r.doc_id) for r in got if r.doc_id < 200} == {(2 * k, 2 * k + 1) for k in range(40)}
+    for r in got:
+        if r.doc_id < 200 and r.exact:
+            own = texts[r.doc_id][r.start : r.end].split()
+            assert texts[r.first_doc_id][r.first_start :].split()[: len(own)] == own and len(own) >= op4.LEAST_WORDS
+
+
 def test_op5_equals_a_plain_pass(docs):
     rows = sorted({(i, x) for i, x, *_ in corpus() if x is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, gone = {}, defaultdict(set)
