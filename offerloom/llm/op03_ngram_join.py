@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a blocked sparse product of documents by shingles, within groups that share a rare shingle.
+"""N-gram Jaccard join: a blocked product (dense in each block) of documents by shingles, within groups that share a rare shingle.
 
 Two sets with a Jaccard of t or more share a member among the first n - ceil(t n) + 1 of each, in any one order of
 all shingles. The order here puts frequent shingles last. Documents that share such a first shingle, and whose sizes

@@ -312,7 +312,8 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The links of a group: which pairs (a matrix of left and right sets) have a Jaccard of percent or more.
 
-    Pairs whose sizes rule that out are dropped before and during the sums.
+    The product is dense in each block of columns and takes in all pairs; those whose sizes rule a link out are dropped
+    after the sums.
     """
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     n = np.array([len(s) for s in sets], np.int64)
