@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,18 +13,45 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset a temporary folder of a local session, and an error on a cluster.
+
+    Executors on other machines would write to their own disks, and later reads would miss these rows.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return _OWN[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return _OWN[context.applicationId]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no DataFrame still to be run reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def passing(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for tables that nothing reads after the block; it is deleted at its end."""
+    path = new_path(spark, name)
+    try:
+        yield path
+    finally:
+        delete(spark, path)
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet and read back: its lineage ends here and it survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, folder: str | None = None, **options: str) -> DataFrame:
+    """df written as Parquet to the shared folder (or to folder) and read back: its lineage ends here and it survives
+    lost executors."""
+    spark = df.sparkSession
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else new_path(spark, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
