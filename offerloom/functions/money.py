@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import BOUNDARY, WS, bound
 
+#: How currencies are named.
+CURRENCIES = {"USD": rf"\$|(?i:{BOUNDARY}USD{BOUNDARY})", "GBP": f"£|(?i:{BOUNDARY}GBP{BOUNDARY})", "SEK": f"kr|(?i:{BOUNDARY}(?:SEK|NOK|DKK){BOUNDARY})"}
 #: Fixed value: a number with thousands groups or plain, with up to two decimals.
 PRICE = r"(?:\d{1,3}(?:[.,\s]\d{3})+|\d+)(?:[.,]\d{1,2})?"
 
@@ -32,24 +34,19 @@ def stored_total(stored: Column, price: Column, shipping: Column) -> Column:
     return F.coalesce(stored, round2(F.coalesce(price, F.lit(0.0)) + F.coalesce(shipping, F.lit(0.0))))
 
 
-def bound(c: Column, f) -> Column:
-    """f(c) with c evaluated once, however often f uses it."""
-    return F.get(F.transform(F.array(c), f), 0)
-
-
 def price_number(t: Column) -> Column:
     """'1.299,00' and the like with a dot for decimals and no groups.
 
     With both signs the later one is decimal. A sign that occurs twice or more, or once before three or no
     digits, parts thousands.
     """
-    return bound(F.regexp_replace(t, r"\s+", ""), _plain_number)
+    return bound(F.translate(t, " \t\n\x0b\f\r", ""), _plain_number)
 
 
 def _plain_number(t: Column) -> Column:
-    dots, commas = F.length(F.regexp_replace(t, "[^.]", "")), F.length(F.regexp_replace(t, "[^,]", ""))
+    dots, commas = (F.length(t) - F.length(F.translate(t, sign, "")) for sign in ".,")
     after = F.when(dots > 0, F.length(F.substring_index(t, ".", -1))).otherwise(F.length(F.substring_index(t, ",", -1)))
-    bare = F.regexp_replace(t, "[.,]", "")
+    bare = F.translate(t, ".,", "")
     comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
     return (
         F.when((dots > 0) & (commas > 0), F.when(comma_last, F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(""))))
@@ -66,9 +63,9 @@ def parse_price(c: Column) -> Column:
 
 def currency(c: Column, nordic: bool = False) -> Column:
     """USD or GBP by sign or code, with nordic also SEK for crowns, else EUR."""
-    out = F.when(c.rlike(r"(?i)\$|USD"), "USD").when(c.rlike("(?i)£|GBP"), "GBP")
+    out = F.when(c.rlike(CURRENCIES["USD"]), "USD").when(c.rlike(CURRENCIES["GBP"]), "GBP")
     if nordic:
-        out = out.when(c.rlike(r"(?i)kr|SEK|NOK|DKK"), "SEK")
+        out = out.when(c.rlike(CURRENCIES["SEK"]), "SEK")
     return out.otherwise("EUR")
 
 

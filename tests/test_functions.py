@@ -76,7 +76,13 @@ LIST = "https://www.jimms.fi/fi/Product/List/000-0K5/laptops"
         (urls.page_number, LIST + "?Page=3", 3), (urls.page_number, LIST + "?p=0", 1), (urls.is_pagination, LIST, False),
         (urls.category_key, LIST, "fi/product/list/000-0k5"), (urls.category_code, LIST, "000-0k5"),
         (urls.is_facet, LIST + "?fq=1", True), (urls.is_facet, "https://x.fi/?fq=1", False),
-        (urls.category_url, LIST + "?p=2", LIST.replace("www.", "www.") + "?page=2"), (urls.category_url, "https://x.fi/", None),
+        (lambda u: urls.category_url(u, keep_page=True), LIST + "?p=2", LIST + "?page=2"), (urls.category_url, LIST + "?p=2#x", LIST), (urls.category_url, "https://x.fi/", None),
+        (urls.category_url, "https://evil.fi/fi/Product/List/000-0K5/laptops", None), (urls.category_url, "/FI/product/LIST/a b/%C3%A4%2fx//", "https://www.jimms.fi/fi/Product/List/a%20b/%C3%A4/x"), (urls.category_url, "/fi/Product/List/%zz", None),
+        (urls.show_url, "https://Jimms.fi/FI/product/SHOW/12/Näyttö 27(b)?x=1", "https://www.jimms.fi/fi/Product/Show/12/N%C3%A4ytt%C3%B6%2027(b)"), (urls.show_url, "/fi/Product/Show/7", "https://www.jimms.fi/fi/Product/Show/7"),
+        (urls.show_url, "/fi/Product/Show/x7", None), (urls.show_url, "https://evil.fi/fi/Product/Show/7", None), (urls.show_url, "/x/fi/Product/List/7", None),
+        (lambda u: urls.product_url(u, "verkkokauppa.com", True, True), "http://cdn.verkkokauppa.com/fi/product/1/a?x", "https://www.verkkokauppa.com/fi/product/1/a"),
+        (lambda u: urls.is_product(u, "jimms.fi"), "https://www.jimms.fi/fi/Product/Show/12/", False),
+        (lambda u: urls.absolute(u, F.lit("https://a.fi/b/c/d")), "../e/./f?x=/../y", "https://a.fi/b/e/f?x=/../y"), (lambda u: urls.absolute(u, F.lit("https://a.fi/b/c")), "?p=2", "https://a.fi/b/c?p=2"), (lambda u: urls.absolute(u, F.lit("https://a.fi/b/c")), "/x/..", "https://a.fi/"),
         (lambda u: urls.is_product(u, "jimms.fi"), "https://www.jimms.fi/fi/Product/Show/12/a", True), (lambda u: urls.is_product(u, "power.fi"), "https://power.fi/x", False),
         (urls.supported_store, "https://m.power.fi/", "power.fi"), (urls.supported_store, "https://notpower.fi/", None),
         (lambda u: urls.absolute(u, F.lit("https://a.fi/b/c")), "d", "https://a.fi/b/d"), (lambda u: urls.absolute(u, F.lit("https://a.fi/b/c")), "/d", "https://a.fi/d"),
@@ -85,3 +91,19 @@ LIST = "https://www.jimms.fi/fi/Product/List/000-0K5/laptops"
 )
 def test_urls(spark, f, value, want):
     assert one(spark, f, value) == want
+
+
+@pytest.mark.parametrize(
+    "f, value, want",
+    [
+        (text.slug, "Łódź & Ŝtîgő ẞ ș ğ ệ", "odz-ja-stigo-s-g-e"), (text.slug, "A\u0308--Å", "a-a"), (text.slug, "", ""),
+        (text.json_text, r"a\u0026\/b", "a&/b"), (text.json_text, r"bad\q\/", r"bad\q\/"), (lambda c: text.json_text(c, lenient=True), r"bad\q\/\u0026", r"bad\q/&"), (lambda c: text.json_text(c, lenient=True), 'a "b"', 'a "b"'),
+        (text.clean, "\u00a0 NaN\n", None), (text.clean, "[object Object]", None), (text.clean, " \ufeff ", None), (text.clean, " nan1 ", "nan1"), (text.clean, None, None),
+        (text.match_text, "A&B (X/200)\u00a0Ääni+1.5-x |", "a and b x 200 ääni+1.5-x"), (text.match_text, None, ""), (text.canon_title, "Näyttö  27\" (X)", "n ytt 27 x"),
+        (lambda c: text.title_fields(c)["models"], "TV OLED55-c3.4 ja 12kk", ["oled55c34", "12kk"]), (lambda c: text.title_fields(c)["tokens"], "The tv tv12 with tv12", ["tv12"]),
+        (money.currency, "5 usd", "USD"), (money.currency, "USDT", "EUR"), (lambda c: money.currency(c, nordic=True), "5 kr", "SEK"), (lambda c: money.currency(c, nordic=True), "KR", "EUR"), (money.currency, "5 kr", "EUR"),
+        (money.parse_price, "1\u00a0299,00 €", 1299.0), (money.parse_price, "12.990", 12990.0), (money.parse_price, "0.125", 125.0), (money.parse_price, "1234.567", 1234.56), (money.parse_price, "-5,9", 5.9), (money.parse_price, "99,-", 99.0), (money.parse_price, "x", None),
+    ],
+)
+def test_text_and_money(spark, f, value, want):
+    assert one(spark, f, value) == want
