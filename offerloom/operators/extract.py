@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from html.parser import HTMLParser
 
@@ -39,48 +41,93 @@ STORES = {
     "power.fi": {"title": ["h1[data-testid='product-name']", ".pdp-product-title", "h1", "meta[property='og:title']"], "price": [*PRICES, ".product-price"], "shipping": [*DELIVERY, ".delivery-price"], "stock": STOCK},
     "verkkokauppa.com": {"title": ["h1[data-testid='product-name']", ".product__name", "h1", "meta[property='og:title']"], "price": [*PRICES, ".product-price"], "shipping": [*DELIVERY, ".delivery-price"], "stock": STOCK},
 }
+#: The selectors of the browser side, which reads the page before its JSON-LD, and those that it falls back to.
+PAGE_STORES = {
+    "gigantti.fi": {"title": ["[data-testid='product-name']", "h1[data-testid='product-title']", "h1"], "price": ["[data-testid='price-current']", "[itemprop='price']", "[data-price]", ".price"]},
+    "verkkokauppa.com": {"title": ["h1[data-testid='product-name']", ".product__name", "h1"], "price": ["[data-testid='price-current']", "[itemprop='price']", "[data-price]", ".price"]},
+    "power.fi": {"title": ["h1[data-testid='product-name']", ".pdp-product-title", "h1"], "price": ["[data-testid='price-current']", "[itemprop='price']", "[data-price]", ".price"]},
+    "jimms.fi": {"title": ["h1[itemprop='name']", ".product-name", "h1"], "price": ["[itemprop='price']", ".product-price", ".price", "[data-price]"]},
+}
+PAGE_FALLBACK = {
+    "title": ["h1", "[itemprop='name']", "[data-testid='product-title']", ".product-title", ".product-name", "meta[property='og:title']"],
+    "price": ["[itemprop='price']", "meta[property='product:price:amount']", "[data-price]", ".product-price", ".price"],
+}
+PAGE_IDENTIFIERS = [
+    ["[itemprop='sku']", "[data-sku]", "[data-testid*='sku']"],
+    ["[itemprop='mpn']", "[data-mpn]", "[data-testid*='mpn']"],
+    ["[itemprop='gtin13']", "[itemprop='gtin']", "[data-ean]", "[data-testid*='ean']"],
+    ["[itemprop='brand']", "[data-brand]", "[data-testid*='brand']"],
+    ["[data-model]", "[data-testid*='model']"],
+]
+PAGE_MARKS = {"sku": ("sku",), "mpn": ("mpn",), "ean": ("gtin", "ean"), "brand": ("brand",), "model": ("model",)}
+#: What a stock text says.
+IN_STOCK, OUT_OF_STOCK = "instock|in stock|varastossa|available", "outofstock|out of stock|loppu|ei saatavilla|unavailable"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+@dataclass
+class Element:
+    tag: str
+    attrs: dict
+    start: int  # of its text among the page's pieces
+    end: int | None = None
+
+
 class Page(HTMLParser):
-    """The elements of a page in document order: (tag, attributes, pieces of text)."""
+    """The elements of a page in document order; each one's text is a range of the page's pieces of text."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.elements: list[tuple[str, dict, list[str]]] = []
-        self.open: list[tuple[str, list[str]]] = []
+        self.elements: list[Element] = []
+        self.open: list[Element] = []
+        self.pieces: list[str] = []
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        pieces: list[str] = []
-        self.elements.append((tag, dict(attrs), pieces))
+        self.elements.append(Element(tag, dict(attrs), len(self.pieces), len(self.pieces) if tag in VOID else None))
         if tag not in VOID:
-            self.open.append((tag, pieces))
+            self.open.append(self.elements[-1])
 
     def handle_endtag(self, tag):
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i].tag == tag), None)
         if at is not None:
+            for e in self.open[at:]:
+                e.end = len(self.pieces)
             del self.open[at:]
 
     def handle_data(self, data):
-        for _, pieces in self.open:
-            pieces.append(data)
+        self.pieces.append(data)
+
+    def text(self, e: Element) -> str:
+        return "".join(self.pieces[e.start : e.end])
 
-    def first(self, selector: str) -> tuple[dict, str] | None:
-        """Attributes and text of the first element that a selector names."""
+    def all(self, selector: str) -> Iterator[Element]:
+        """The elements that a selector names."""
         tag, cls, attr, op, value = parsed(selector)
-        for name, attrs, pieces in self.elements:
-            have = attrs.get(attr) if attr else ""
-            if (not tag or name == tag) and (not cls or cls in (attrs.get("class") or "").split()) and (not attr or attr in attrs):
+        for e in self.elements:
+            have = e.attrs.get(attr) if attr else ""
+            if (not tag or e.tag == tag) and (not cls or cls in (e.attrs.get("class") or "").split()) and (not attr or attr in e.attrs):
                 if not op or (have or "") == value or (op == "*=" and value in (have or "")):
-                    return attrs, "".join(pieces)
-        return None
+                    yield e
 
     def values(self, selectors: list[str], *names: str) -> list[str]:
-        """Per selector, the first of the named attributes, or the text, that is not blank."""
-        found = (self.first(s) for s in selectors)
-        return [next((v for v in (*(f[0].get(n) for n in names), f[1]) if v and v.strip()), "") for f in found if f]
+        """Per selector, the first of the named attributes, or the text, of its first element that is not blank."""
+        found = (next(self.all(s), None) for s in selectors)
+        return [next((v for v in (*(e.attrs.get(n) for n in names), self.text(e)) if v and v.strip()), "") for e in found if e]
+
+    def marked(self) -> dict[str, str]:
+        """Identifiers of all elements that PAGE_IDENTIFIERS names, by what their itemprop or data-testid says."""
+        out: dict[str, str] = {}
+        for selectors in PAGE_IDENTIFIERS:
+            named = {id(e) for s in selectors for e in self.all(s)}
+            for e in (e for e in self.elements if id(e) in named):
+                value = (e.attrs.get("content") or self.text(e)).strip()
+                mark = (e.attrs.get("itemprop") or e.attrs.get("data-testid") or "").lower()
+                for name, signs in PAGE_MARKS.items():
+                    if value and any(s in mark for s in signs):
+                        out.setdefault(name, value)
+        return out
 
 
 @cache
@@ -90,28 +137,36 @@ def parsed(selector: str) -> tuple[str, str, str, str, str]:
     return tuple(x or "" for x in m.groups())
 
 
-def find_product(value) -> dict | None:
-    """The first Product in a JSON-LD value: itself, in a list, under @graph or mainEntity."""
+def find_product(value, exact: bool = False) -> dict | None:
+    """The first Product in a JSON-LD value: itself, in a list, under @graph or mainEntity.
+
+    exact: the type must be the one word, as written, and a graph without a product ends the search.
+    """
     if isinstance(value, list):
-        return next((p for p in map(find_product, value) if p), None)
+        return next((p for p in (find_product(v, exact) for v in value) if p), None)
     if not isinstance(value, dict):
         return None
-    kinds = value.get("@type")
+    kinds, graph = value.get("@type"), value.get("@graph")
+    if exact:
+        if kinds == "Product":
+            return value
+        return find_product(graph if isinstance(graph, list) else value.get("mainEntity"), exact)
     if any(str(k).lower() == "product" for k in (kinds if isinstance(kinds, list) else [kinds])):
         return value
-    graph = value.get("@graph")
     return (find_product(graph) if isinstance(graph, list) else None) or find_product(value.get("mainEntity"))
 
 
-def json_ld(page: Page) -> dict:
+def json_ld(page: Page, exact: bool = False) -> dict:
     """Raw strings of the first block with a product; blocks that don't parse, or have a null rate, are skipped."""
-    for tag, attrs, pieces in page.elements:
-        if tag != "script" or attrs.get("type") != "application/ld+json":
+    for e in page.elements:
+        if e.tag != "script" or e.attrs.get("type") != "application/ld+json":
             continue
         try:
-            p = find_product(json.loads("".join(pieces)))
+            p = find_product(json.loads(page.text(e)), exact)
             if not p:
                 continue
+            if exact:
+                p = {k: v for k, v in p.items() if k != "offers"}
             offer = p.get("offers") or {}
             offer = (offer[0] if offer else {}) if isinstance(offer, list) else offer
             details = offer.get("shippingDetails") or {}
@@ -130,19 +185,45 @@ def json_ld(page: Page) -> dict:
 
 
 LD = ("title", "brand", "model", "sku", "mpn", "ean", "price", "currency", "availability", "shipping")
-RAW = "ld_found boolean, " + ", ".join(f"ld_{k} string" for k in LD) + ", title array<string>, price array<string>, shipping array<string>, stock array<string>, " + ", ".join(f"{k} array<string>" for k in IDENTIFIERS)
+RAW = "supported boolean, ld_found boolean, " + ", ".join(f"ld_{k} string" for k in LD) + ", title array<string>, price array<string>, shipping array<string>, stock array<string>, " + ", ".join(f"{k} array<string>" for k in IDENTIFIERS)
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    names = [c.split()[0] for c in RAW.split(", ")]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
 
 
 def raw_product(html: pd.Series, store: pd.Series) -> pd.DataFrame:
+    """What the selectors of each page's store name, and its JSON-LD; nothing for a store without selectors."""
     rows = []
     for h, s in zip(html, store):
-        page, lists = Page(h or ""), STORES.get(s) or STORES["jimms.fi"]
+        lists = STORES.get(s)
+        if lists is None:
+            rows.append({"supported": False})
+            continue
+        page = Page(h or "")
         ld = json_ld(page)
         rows.append(
-            {"ld_found": bool(ld), **{f"ld_{k}": ld.get(k) for k in LD}, "title": page.values(lists["title"], "content"), "price": page.values(lists["price"], "content", "data-price"), "shipping": page.values(lists["shipping"]), "stock": page.values(lists["stock"], "content")}
+            {"supported": True, "ld_found": bool(ld), **{f"ld_{k}": ld.get(k) for k in LD}, "title": page.values(lists["title"], "content"), "price": page.values(lists["price"], "content", "data-price"), "shipping": page.values(lists["shipping"]), "stock": page.values(lists["stock"], "content")}
             | {k: page.values(v, "content") for k, v in IDENTIFIERS.items()}
         )
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
+    return _frame(rows)
+
+
+def raw_page_product(html: pd.Series, store: pd.Series) -> pd.DataFrame:
+    """The same by the browser side's selectors; the fallback's are used where neither they nor JSON-LD give a title."""
+    rows = []
+    for h, s in zip(html, store):
+        if s not in PAGE_STORES:
+            rows.append({"supported": False})
+            continue
+        page = Page(h or "")
+        ld = json_ld(page, exact=True)
+        lists = PAGE_STORES[s]
+        if not any(page.values(lists["title"], "content")) and not ld.get("title"):
+            lists = PAGE_FALLBACK
+        rows.append({"supported": True, "ld_found": bool(ld), **{f"ld_{k}": ld.get(k) for k in LD}, "title": page.values(lists["title"], "content"), "price": page.values(lists["price"], "content", "data-price"), "shipping": [], "stock": []} | {k: [v] if (v := page.marked().get(k)) else [] for k in IDENTIFIERS})
+    return _frame(rows)
 
 
 def _first(values: Column) -> Column:
@@ -154,7 +235,7 @@ def in_stock(values: Column, strict: bool = False) -> Column:
 
     strict tests for what is not available first.
     """
-    yes, no = "instock|in stock|varastossa|available", "outofstock|out of stock|loppu|ei saatavilla|unavailable"
+    yes, no = IN_STOCK, OUT_OF_STOCK
 
     def says(v: Column) -> Column:
         v = F.lower(v)
@@ -168,20 +249,22 @@ def availability(c: Column) -> Column:
     return F.when(t.contains("instock"), True).when(t.contains("outofstock") | t.contains("soldout"), False)
 
 
-def product_records(pages: DataFrame, store: str = "store", url: str = "url", html: str = "html", page_first: bool = False, strict_stock: bool = False) -> DataFrame:
-    """pages with a struct product of 13 fields. page_first takes title and price from the page before JSON-LD.
+def product_records(pages: DataFrame, store: str = "store", url: str = "url", html: str = "html", browser: bool = False, strict_stock: bool = False) -> DataFrame:
+    """pages with a struct product of 13 fields, null for a store without selectors.
 
-    A null or broken page gives a product with empty fields, no price and shipping 0.
+    browser reads a page as the browser side does: its own selectors before JSON-LD, for the title and the price, and
+    currencies of the north; stock and shipping are not read there. A null or broken page gives a product with empty
+    fields, no price and shipping 0.
     """
     r = F.col("__raw")
     some = lambda c: F.when(F.coalesce(text.trim_ws(c), F.lit("")) != "", text.trim_ws(c))
-    dom_prices = F.filter(F.transform(r["price"], lambda x: F.struct(money.parse_price(x).alias("price"), money.currency(x).alias("currency"))), lambda x: x["price"].isNotNull())
+    dom_prices = F.filter(F.transform(r["price"], lambda x: F.struct(money.parse_price(x).alias("price"), money.currency(x, nordic=browser).alias("currency"))), lambda x: x["price"].isNotNull())
     dom = F.get(dom_prices, 0)
     ld_price = F.when(r["ld_price"].rlike(r"^\s*-?[0-9.]+([eE][+-]?\d+)?\s*$"), r["ld_price"].cast("double"))
     ld_price = F.when(ld_price != 0, ld_price)
     costs = F.filter(F.transform(F.filter(r["shipping"], lambda x: text.trim_ws(x) != ""), lambda x: F.when(x.rlike("(?i)free|ilmainen"), F.lit(0.0)).otherwise(money.parse_price(x))), lambda x: x.isNotNull())
     ld_ship = F.when(r["ld_found"], F.coalesce(F.when(r["ld_shipping"].rlike(r"^\s*[0-9.]+\s*$"), r["ld_shipping"].cast("double")), F.lit(0.0)))
-    order = (lambda a, b: F.coalesce(b, a)) if page_first else (lambda a, b: F.coalesce(a, b))
+    order = (lambda a, b: F.coalesce(b, a)) if browser else (lambda a, b: F.coalesce(a, b))
     price = order(ld_price, dom["price"])
     shipping = F.coalesce(ld_ship, F.get(costs, 0), F.lit(0.0))
     fields = {
@@ -195,5 +278,10 @@ def product_records(pages: DataFrame, store: str = "store", url: str = "url", ht
         **{k: F.coalesce(some(r[f"ld_{k}"]), _first(r[k])) for k in ("brand", "model", "sku", "ean", "mpn")},
         "in_stock": F.coalesce(availability(r["ld_availability"]), in_stock(r["stock"], strict_stock)),
     }
-    read = pages.withColumn("__raw", F.pandas_udf(raw_product, RAW)(F.col(html), F.col(store)))
-    return read.withColumn("product", F.struct(*[v.alias(k) for k, v in fields.items()])).drop("__raw")
+    read = pages.withColumn("__raw", F.pandas_udf(raw_page_product if browser else raw_product, RAW)(F.col(html), F.col(store)))
+    return read.withColumn("product", F.when(r["supported"], F.struct(*[v.alias(k) for k, v in fields.items()]))).drop("__raw")
+
+
+def is_valid(product: Column) -> Column:
+    """Whether a product record has a title."""
+    return F.coalesce(F.length(product["title"]) > 0, F.lit(False))

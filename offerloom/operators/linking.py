@@ -2,55 +2,79 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .matching import canonical_keys
+from ..sources.scratch import delete, new_path, stored
+from .matching import FIELDS, canonical_keys
+from .numbering import numbered
 
-#: New products are numbered within ranges of so many node ids.
-RANGE = 1 << 17
-#: Products' nodes come before offers' nodes; node = 2 * id for a product and 2 * id + 1 for an offer.
+#: Rows come in the order of (kind, id): products, then offers.
+PRODUCT, OFFER = 0, 1
+
+
+def founders(keys: DataFrame) -> DataFrame:
+    """The rows of (row, key) that found a product: those that share no key with a founder before them.
+
+    row is a struct of kind and id, in whose order rows come; products are founders all. In each round a row that is the
+    first open one under all its keys founds, and the open rows under its keys are matched; at least the first open row
+    is decided, mostly a large share. Rows with the same keys are one from the start on, by the first of them. A round's
+    rows are met by one aggregate per key, so a key that very many rows share is in no group, and each round is written
+    to the shared folder.
+    """
+    spark = keys.sparkSession
+    mine = keys.where(F.col("row.kind") == PRODUCT).select("key").distinct()
+    alike = keys.where(F.col("row.kind") == OFFER).groupBy("row").agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.min("row").alias("row"))
+    every = alike.select("row", F.explode("keys").alias("key"))
+    matched = every.join(mine, "key", "left_semi").select("row").distinct()
+    path, out = new_path(spark, "open"), None
+    still_open = stored(every.join(matched, "row", "left_anti"), "round", path)
+    while not still_open.isEmpty():
+        least = still_open.groupBy("key").agg(F.min("row").alias("least"))
+        seen = still_open.join(least, "key")
+        first = stored(seen.groupBy("row").agg(F.bool_and(F.col("least") == F.col("row")).alias("founds")).where("founds").select("row"), "founders")
+        taken = still_open.join(first, "row", "left_semi").select("key").distinct()
+        matched = still_open.join(taken, "key", "left_semi").select("row").distinct()
+        out = first if out is None else out.unionByName(first)
+        after = new_path(spark, "open")
+        still_open = stored(still_open.join(matched, "row", "left_anti"), "round", after)
+        delete(spark, path)
+        path = after
+    delete(spark, path)
+    return keys.where("false").select("row") if out is None else out
 
 
 def link_offers(offers: DataFrame, products: DataFrame) -> DataFrame:
     """(offer_id, product_id, created): the product of each offer, and whether the offer founded it.
 
-    Linking is a fold over offers: whom an offer joins depends on products founded before. But a match needs a
-    common key, so nothing outside an offer's component in the graph of rows and keys can matter. Components are
-    found by Spark and the fold runs inside each of them, by offer id; a new product's id follows the largest old
-    one in the order of its founders. Within a component the fold only needs the first row of each key, which
-    keeps its memory at the keys' number. Offers without any key found a product each.
+    Linking is a fold over offers: whom an offer joins depends on products founded before. But an offer founds one just
+    where no founder before it shares a key with it, so founders() finds all founders in rounds of joins; an offer then
+    joins, of the founders before it, the first under the best of its keys. A new product's id follows the largest old
+    one in the order of its founders. Offers without any key found a product each. Offers of one id are one offer with
+    all their keys; null ids are left out. Empty tables give empty results.
+    """
+    row = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    offers = offers.where("offer_id is not null")
+    of = [(PRODUCT, canonical_keys(products.where("id is not null"), "id")), (OFFER, canonical_keys(offers, "offer_id"))]
+    parts = [d.select(row(kind, "id").alias("row"), F.struct("rank", "key").alias("key")) for kind, d in of]
+    keys = stored(parts[0].unionByName(parts[1]), "link-keys")
+    new = founders(keys)
+    first = keys.where(F.col("row.kind") == PRODUCT).unionByName(keys.join(new, "row", "left_semi")).groupBy("key").agg(F.min("row").alias("founder"))
+    asked = keys.where(F.col("row.kind") == OFFER).join(first, "key").where(F.col("founder") < F.col("row"))
+    best = asked.groupBy("row").agg(F.min(F.struct(F.col("key.rank").alias("rank"), "founder")).alias("best")).select(F.col("row.id").alias("offer_id"), "best.founder")
+    owned = stored(offers.select(F.col("offer_id").cast("long").alias("offer_id")).distinct().join(best, "offer_id", "left").withColumn("founder", F.coalesce("founder", row(OFFER, "offer_id"))), "link-owners")
+    created = owned.where(F.col("founder") == row(OFFER, "offer_id"))
+    top = products.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    ids = numbered(created.select("offer_id"), "offer_id").select(F.struct(F.lit(OFFER).alias("kind"), F.col("offer_id").alias("id")).alias("founder"), (top + F.col("n")).alias("new_id"))
+    out = owned.join(ids, "founder", "left")
+    return out.select("offer_id", F.coalesce("new_id", F.col("founder.id")).alias("product_id"), (F.col("founder") == row(OFFER, "offer_id")).alias("created"))
+
+
+def founded_products(offers: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of the products that link_offers founded: id and the founder's title, brand, model, sku, ean and mpn.
+
+    Fields that the founder lacks are ''.
     """
-    keys = canonical_keys(products.withColumn("__node", F.col("id") * 2), "__node").union(canonical_keys(offers.withColumn("__node", F.col("offer_id") * 2 + 1), "__node"))
-    star = keys.groupBy("rank", "key").agg(F.min("id").alias("v"))
-    edges = keys.join(star, ["rank", "key"]).select(F.col("id").alias("u"), "v")
-    comp = components(edges)
-    nodes = keys.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "key"))).alias("keys")).join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        first: dict[tuple[int, str], int] = {}
-        out = []
-        rows = sorted(zip(group["id"].tolist(), group["keys"].tolist()), key=lambda r: (r[0] % 2, r[0]))
-        for at, (node, own) in enumerate(rows):
-            ways = sorted(dict(own).items())
-            found = next((first[w] for w in ways if w in first), None)
-            if node % 2 == 0 or found is None:
-                for w in ways:
-                    first.setdefault(w, node)
-            if node % 2:
-                out.append((node // 2, node if found is None else found))
-        return pd.DataFrame(out, columns=["offer_id", "owner"])
-
-    linked = nodes.groupBy("root").applyInPandas(fold, "offer_id long, owner long")
-    every = offers.select("offer_id").join(linked, "offer_id", "left").withColumn("owner", F.coalesce("owner", F.col("offer_id") * 2 + 1))
-    founders = every.where(F.col("owner") == F.col("offer_id") * 2 + 1).select("owner")
-    top = products.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    # numbers in two steps, so that only one row for each range of ids meets in one task
-    ranges = founders.withColumn("range", F.floor(F.col("owner") / RANGE))
-    before = ranges.groupBy("range").count().withColumn("before", F.sum("count").over(Window.orderBy("range")) - F.col("count"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("owner"))
-    numbered = ranges.withColumn("n", place).join(before, "range").crossJoin(F.broadcast(top)).select("owner", (F.col("top") + F.col("before") + F.col("n")).alias("new_id"))
-    out = every.join(numbered, "owner", "left")
-    return out.select("offer_id", F.coalesce("new_id", F.floor(F.col("owner") / 2)).alias("product_id"), (F.col("owner") == F.col("offer_id") * 2 + 1).alias("created"))
+    fields = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) if f in offers.columns else F.lit("").alias(f) for f in FIELDS]
+    new = linked.where("created").select("offer_id", F.col("product_id").alias("id"))
+    return new.join(offers.dropDuplicates(["offer_id"]).select("offer_id", *fields), "offer_id").drop("offer_id")

@@ -40,6 +40,13 @@ def needs_refresh(now: Column, hours: int = 12) -> Column:
     return (F.coalesce("retry_count", F.lit(0)) > 0) | (F.coalesce("last_status_code", F.lit(0)) != 0) | F.col("fetched_at").isNull() | (F.col("fetched_at") <= age)
 
 
+def with_failures(offers: DataFrame, now: Column, error: str = "new_error", code: str = "new_code") -> DataFrame:
+    """offers whose error column is not null get one more retry, that error, now as its time, and the code column."""
+    bad = F.col(error).isNotNull()
+    values = {"retry_count": F.coalesce("retry_count", F.lit(0)) + 1, "last_error": F.col(error), "last_error_at": now, "last_status_code": F.col(code)}
+    return offers.withColumns({c: F.when(bad, v).otherwise(F.col(c)) for c, v in values.items()}).drop(error, code)
+
+
 def retry_state(attempts: DataFrame, key: str = "offer_id", at: str = "ts", tie: str = "attempt_id", ok: str = "ok") -> DataFrame:
     """Per key: retry_count (failures since the last success), last_error_at (of these) and fetched_at (last success).
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from ..sources.scratch import stored
 
 #: Ranks and reasons of the canonical match, scores and reasons of the scored one.
 CANONICAL = {
@@ -78,16 +79,27 @@ def reason_of(rank: Column) -> Column:
 def scored_fields(df: DataFrame, prefix: str) -> DataFrame:
     """df with <prefix>brand, ean, mpn, sku, tokens and models as the scored matcher sees them."""
     have = {f: F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string") for f in FIELDS}
-    return df.withColumns(
-        {
-            f"{prefix}brand": text.match_brand(have["brand"]),
-            f"{prefix}ean": text.match_ean(have["ean"]),
-            f"{prefix}mpn": text.match_id(have["mpn"]),
-            f"{prefix}sku": text.match_id(have["sku"]),
-            f"{prefix}tokens": text.title_tokens(have["title"]),
-            f"{prefix}models": text.model_tokens(have["title"]),
-        }
-    )
+    title = text.title_fields(have["title"])
+    fields = {
+        f"{prefix}brand": text.match_brand(have["brand"]),
+        f"{prefix}ean": text.match_ean(have["ean"]),
+        f"{prefix}mpn": text.match_id(have["mpn"]),
+        f"{prefix}sku": text.match_id(have["sku"]),
+        "__title": title,
+    }
+    rows = df.withColumns(fields)
+    return rows.withColumns({f"{prefix}tokens": F.col("__title.tokens"), f"{prefix}models": F.col("__title.models")}).drop("__title")
+
+
+def distinct_items(df: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(df with <prefix>item, items): the scored fields of each distinct item, computed once and written, and its key.
+
+    Offers repeat their products' texts many times; normalising is most of a comparison's work.
+    """
+    key = F.struct(*[(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string")).alias(f) for f in FIELDS])
+    keyed = df.withColumn(f"{prefix}item", F.sha2(F.to_json(key), 256))
+    items = keyed.groupBy(f"{prefix}item").agg(F.first(key).alias("x")).select(f"{prefix}item", "x.*")
+    return keyed, stored(scored_fields(items, prefix).drop(*FIELDS), "scored-items")
 
 
 def match_reason(q_store: Column, o_store: Column, q: str = "q_", o: str = "o_") -> Column:
@@ -145,17 +157,25 @@ def compare_canonical(queries: DataFrame, products: DataFrame, offers: DataFrame
     hits = hits.join(products.select(F.col("id").alias("product_id"), ean.alias("product_ean")), "product_id")
     if active_only:
         offers = offers.where(F.coalesce("is_active", F.lit(1)) == 1)
-    pairs = candidate_offers(hits, offers).join(hits.select("query_id", F.col("product_id").alias("hit")), "query_id")
-    q = scored_fields(queries, "q_").select("query_id", F.col("store").alias("q_store"), F.col("currency").alias("q_currency"), "q_brand", "q_ean", "q_mpn", "q_sku", "q_tokens", "q_models")
-    stored = F.col("total") if "total" in offers.columns else F.lit(None).cast("double")
-    o = scored_fields(offers.withColumn("__total", money.stored_total(stored, F.col("price"), F.col("shipping"))), "o_")
-    o = o.select("offer_id", F.col("store").alias("o_store"), F.col("currency").alias("o_currency"), F.col("__total").alias("total"), "o_brand", "o_ean", "o_mpn", "o_sku", "o_tokens", "o_models")
-    both = pairs.join(q, "query_id").join(o, "offer_id")
-    other_store = (F.coalesce("q_store", F.lit("")) == "") | ~F.col("q_store").eqNullSafe(F.col("o_store"))
+    keyed, q_items = distinct_items(queries.select("query_id", F.col("store").alias("q_store"), F.col("currency").alias("q_currency"), *[f for f in FIELDS if f in queries.columns]), "q_")
+    total = money.stored_total(F.col("total") if "total" in offers.columns else F.lit(None).cast("double"), F.col("price"), F.col("shipping"))
+    priced = offers.select("offer_id", F.col("store").alias("o_store"), F.col("currency").alias("o_currency"), total.alias("total"), *[f for f in FIELDS if f in offers.columns])
+    o_keyed, o_items = distinct_items(priced, "o_")
+    asked = hits.select("query_id", F.col("product_id").alias("hit")).join(keyed.select("query_id", "q_store", "q_currency", "q_item"), "query_id")
+    both = candidate_offers(hits, offers).join(asked, "query_id").join(o_keyed.select("offer_id", "o_store", "o_currency", "total", "o_item"), "offer_id")
+    # an equal store is a rejection of the scored matcher as well, so what is left depends on the items alone
+    other_store = F.coalesce("q_store", F.lit("")) != F.coalesce("o_store", F.lit(""))
     same_money = (F.coalesce("q_currency", F.lit("")) == "") | (F.coalesce("o_currency", F.lit("")) == "") | (F.col("q_currency") == F.col("o_currency"))
-    reason = match_reason(F.col("q_store"), F.col("o_store"))
-    scored = both.where(other_store & same_money).withColumn("match_reason", reason).withColumn("match_score", score_of(F.col("match_reason"))).where(F.col("match_score") >= least)
-    return ranked(scored.select("query_id", F.col("hit").alias("product_id"), "offer_id", "match_score", "match_reason", "total"))
+    rows = stored(both.where(other_store & same_money).select("query_id", "hit", "offer_id", "total", "q_item", "o_item"), "compared")
+    scored = scored_items(rows.select("q_item", "o_item").distinct(), q_items, o_items, least)
+    return ranked(rows.join(scored, ["q_item", "o_item"]).select("query_id", F.col("hit").alias("product_id"), "offer_id", "match_score", "match_reason", "total"))
+
+
+def scored_items(pairs: DataFrame, q_items: DataFrame, o_items: DataFrame, least: int) -> DataFrame:
+    """(q_item, o_item, match_score, match_reason) of the pairs of items, of other stores, that score least or more."""
+    reason = match_reason(F.lit("q"), F.lit("o"))
+    both = pairs.join(q_items, "q_item").join(o_items, "o_item").select("q_item", "o_item", text.bound(reason, lambda r: F.struct(score_of(r).alias("match_score"), r.alias("match_reason"))).alias("x"))
+    return both.where(F.col("x.match_score") >= least).select("q_item", "o_item", "x.*")
 
 
 def token_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -184,11 +204,12 @@ def compare_fallback(queries: DataFrame, offers: DataFrame, least: int = 75) ->
     Jaccard of 0.75; four equi-joins give these candidates, and the scored matcher decides. total is price and
     shipping without rounding.
     """
-    q = scored_fields(queries, "q_").withColumn("q_key", F.array_sort("q_tokens"))
-    o = scored_fields(offers, "o_").withColumn("o_key", F.array_sort("o_tokens"))
-    qk, ok = q.select("query_id", "q_brand", "q_ean", "q_mpn", "q_sku", "q_key"), o.select("offer_id", "o_brand", "o_ean", "o_mpn", "o_sku", "o_key")
+    priced = offers.select("offer_id", F.col("store").alias("o_store"), (F.coalesce("price", F.lit(0.0)) + F.coalesce("shipping", F.lit(0.0))).alias("total"), *[f for f in FIELDS if f in offers.columns])
+    q_rows, q = distinct_items(queries.select("query_id", F.col("store").alias("q_store"), *[f for f in FIELDS if f in queries.columns]), "q_")
+    o_rows, o = distinct_items(priced, "o_")
+    qk, ok = q.withColumn("q_key", F.array_sort("q_tokens")), o.withColumn("o_key", F.array_sort("o_tokens"))
     named = (F.col("q_brand") == F.col("o_brand")) & (F.col("q_brand") != "")
-    titles = token_pairs(q.select("q_key"), o.select("o_key"))
+    titles = token_pairs(qk.select("q_key"), ok.select("o_key"))
     fits = (F.col("q_brand") == "") | (F.col("o_brand") == "") | (F.col("q_brand") == F.col("o_brand"))
     found = [
         qk.join(ok, F.col("q_ean") == F.col("o_ean")),
@@ -196,14 +217,13 @@ def compare_fallback(queries: DataFrame, offers: DataFrame, least: int = 75) ->
         qk.join(ok, named & (F.col("q_sku") == F.col("o_sku"))),
         qk.join(titles, F.col("q_key") == F.col("a_tokens")).join(ok, (F.col("b_tokens") == F.col("o_key")) & fits),
     ]
-    pairs = found[0].select("query_id", "offer_id")
+    pairs = found[0].select("q_item", "o_item")
     for more in found[1:]:
-        pairs = pairs.union(more.select("query_id", "offer_id"))
-    left = q.select("query_id", F.col("store").alias("q_store"), "q_brand", "q_ean", "q_mpn", "q_sku", "q_tokens", "q_models")
-    right = o.select("offer_id", F.col("store").alias("o_store"), (F.coalesce("price", F.lit(0.0)) + F.coalesce("shipping", F.lit(0.0))).alias("total"), "o_brand", "o_ean", "o_mpn", "o_sku", "o_tokens", "o_models")
-    both = pairs.distinct().join(left, "query_id").join(right, "offer_id").withColumn("match_reason", match_reason(F.col("q_store"), F.col("o_store")))
-    scored = both.withColumn("match_score", score_of(F.col("match_reason"))).where(F.col("match_score") >= least)
-    return ranked(scored.select("query_id", "offer_id", "match_score", "match_reason", "total"))
+        pairs = pairs.union(more.select("q_item", "o_item"))
+    scored = stored(scored_items(pairs.distinct(), q, o, least), "scored-pairs")
+    both = scored.join(q_rows.select("query_id", "q_store", "q_item"), "q_item").join(o_rows.select("offer_id", "o_store", "total", "o_item"), "o_item")
+    other_store = F.coalesce("q_store", F.lit("")) != F.coalesce("o_store", F.lit(""))
+    return ranked(both.where(other_store).select("query_id", "offer_id", "match_score", "match_reason", "total"))
 
 
 def cheapest(offers: DataFrame, by: str, total: str, tie: str) -> DataFrame:

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text, urls
-from ..operators import extract, linking, maintenance, matching, prices
+from ..operators import crawl, extract, linking, maintenance, matching, prices, refresh
 from ..sources import pages, snapshots
 from ..sources.scratch import scratch_dir, stored
 from ..streaming import retries
-from .views import ATTEMPTS_SQL, OFFERS_SQL, STATES_SQL, attempts, offer_states, offers, products, queries_view, table
+from .views import ATTEMPTS_SQL, MATCH_TEXT, OFFERS_SQL, PRODUCTS_SQL, QUERIES_SQL, REASON_SQL, SCORE_SQL, STATES_SQL, attempts, canonical_sql, ean_of, offer_states, offers, products, queries_view, scored_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,19 +52,20 @@ def second_price_by_product(spark, sf_dir):
     return prices.second_prices(table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice", *TIES), "l_partkey", "l_extendedprice", *TIES)
 
 
-@query(f"WITH {OFFERS_SQL}, t AS (SELECT *, {js_round('price + shipping')} AS total FROM offers) SELECT product_id, offer_id, store, price, total FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY total, offer_id) AS n FROM t) x WHERE n = 1")
+@query(f"WITH {OFFERS_SQL}, t AS (SELECT product_id, offer_id, store, price, {js_round('price + shipping')} AS total FROM offers WHERE product_id IS NOT NULL) SELECT product_id, offer_id, store, price, total FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY total, offer_id) AS n FROM t) x WHERE n = 1")
 def cheapest_offer_per_product(spark, sf_dir):
-    o = offers(spark, sf_dir).select("product_id", "offer_id", "store", "price", money.total(F.col("price"), F.col("shipping")).alias("total"))
+    o = offers(spark, sf_dir).where("product_id is not null").select("product_id", "offer_id", "store", "price", money.total(F.col("price"), F.col("shipping")).alias("total"))
     return matching.cheapest(o, "product_id", "total", "offer_id")
 
 
-@query(f"WITH {OFFERS_SQL} SELECT offer_id, {js_round('price + shipping')} AS total, {js_round('price / 7')} AS rounded, price <= {js_round('price + shipping')} AS at_least FROM offers")
+@query(f"WITH {OFFERS_SQL} SELECT offer_id, {js_round('price + shipping')} AS fresh_total, {js_round('price / 7')} AS rounded, price <= {js_round('price * 0.95 + shipping')} AS cheapest, coalesce(total, {js_round('price + shipping')}) AS stored FROM offers")
 def offer_totals(spark, sf_dir):
-    total = money.total(F.col("price"), F.col("shipping"))
-    return offers(spark, sf_dir).select("offer_id", total.alias("total"), money.round2(F.col("price") / 7).alias("rounded"), money.cheaper_now(F.col("price"), total).alias("at_least"))
+    price, shipping = F.col("price"), F.col("shipping")
+    lower = money.total(price * 0.95, shipping)
+    return offers(spark, sf_dir).select("offer_id", money.total(price, shipping).alias("fresh_total"), money.round2(price / 7).alias("rounded"), money.cheaper_now(price, lower).alias("cheapest"), money.stored_total(F.col("total"), price, shipping).alias("stored"))
 
 
-_MATCH_TEXT = "trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), '&', ' and '), '[()#\\[\\],;:/\\\\|]', ' ', 'g'), '[^a-z0-9åäö+\\-.\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_MATCH_TEXT = MATCH_TEXT.format("text")
 
 
 @query(f"SELECT doc_id, md5({_MATCH_TEXT}) AS match_text, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS canon_title FROM documents")
@@ -88,8 +89,8 @@ SELECT doc_id, len(list_distinct(list_filter(string_split(m, ' '), lambda x: len
  md5(array_to_string(list_sort(list_distinct(list_filter(string_split(m, ' '), lambda x: length(x) > 2 AND x NOT IN ('with', 'from', 'for', 'the', 'and', 'musta', 'white', 'black')))), ' ')) AS tokens,
  array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(m, '\\b[a-z]*\\d+[a-z0-9.-]*\\b'), lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')), lambda x: x <> ''))), ' ') AS models FROM t""")
 def title_tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", text.title_tokens(F.col("text")).alias("t"), text.model_tokens(F.col("text")).alias("m"))
-    return t.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ")).alias("tokens"), F.array_join(F.array_sort("m"), " ").alias("models"))
+    fields = text.bound(text.title_fields(F.col("text")), lambda x: F.struct(F.size(x["tokens"]).alias("n_tokens"), F.md5(F.array_join(F.array_sort(x["tokens"]), " ")).alias("tokens"), F.array_join(F.array_sort(x["models"]), " ").alias("models")))
+    return table(spark, sf_dir, "documents").select("doc_id", fields.alias("x")).select("doc_id", "x.*")
 
 
 @query("""
@@ -102,33 +103,58 @@ def title_jaccard_pairs(spark, sf_dir):
     return pairs.select(F.array_join("a_tokens", " ").alias("a"), F.array_join("b_tokens", " ").alias("b"), text.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("jaccard"))
 
 
-@query("""
-WITH i AS (SELECT p_partkey AS id, lower(p_brand) AS brand, replace(lower(p_type), '-', '') || p_size AS model, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g')) AS title FROM part),
-k AS (SELECT id, 4 AS rank, brand || chr(1) || model AS key FROM i UNION ALL SELECT id, 5, title FROM i),
-f AS (SELECT rank, key, min(id) AS product_id FROM k WHERE id % 2 = 0 GROUP BY rank, key),
-m AS (SELECT k.id, k.rank, f.product_id, row_number() OVER (PARTITION BY k.id ORDER BY k.rank, f.product_id) AS n FROM k JOIN f ON k.rank = f.rank AND k.key = f.key)
-SELECT i.id AS item_id, m.product_id, coalesce(m.rank, 99) AS match_rank, CASE m.rank WHEN 4 THEN 'Exact brand + model match' WHEN 5 THEN 'Strict normalized title match' ELSE 'No strong canonical match' END AS match_reason FROM i LEFT JOIN m ON i.id = m.id AND m.n = 1""")
+@query(f"""WITH {PRODUCTS_SQL}, {QUERIES_SQL}, {canonical_sql('asked', 'query_id')}
+SELECT query_id AS item_id, product_id, coalesce(match_rank, 99) AS match_rank, CASE match_rank WHEN 1 THEN 'Exact SKU match' WHEN 2 THEN 'Exact EAN match' WHEN 3 THEN 'Exact MPN match' WHEN 4 THEN 'Exact brand + model match' WHEN 5 THEN 'Strict normalized title match' ELSE 'No strong canonical match' END AS match_reason FROM asked LEFT JOIN hits ON query_id = item_id""")
 def canonical_match(spark, sf_dir):
-    """Every part as an item against a catalogue of the parts with even keys."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("model"))
-    return matching.canonical_match(p, p.where("id % 2 = 0"))
+    """A query for every product, each with some fields, against all products."""
+    return matching.canonical_match(queries_view(spark, sf_dir), products(spark, sf_dir), "query_id")
+
 
+_COMPARED = f"""WITH {OFFERS_SQL}, {QUERIES_SQL}, {canonical_sql('asked', 'query_id')},
+found AS (SELECT item_id AS query_id, h.product_id AS hit, offer_id FROM hits h JOIN offers o ON h.product_id = o.product_id UNION
+  SELECT item_id, h.product_id, offer_id FROM hits h JOIN products p ON h.product_id = p.id JOIN offers o ON o.ean <> '' AND ltrim(replace(o.ean, ' ', ''), '0') = ltrim(regexp_replace(p.ean, '[^0-9]', '', 'g'), '0')),
+{scored_sql('q', 'asked', 'query_id', 'store', 'currency')}, {scored_sql('o', 'offers', 'offer_id', 'store', 'currency', f"coalesce(total, {js_round('price + shipping')}) AS total")},
+m AS (SELECT query_id, hit AS product_id, offer_id, o.total, {REASON_SQL} AS match_reason FROM found JOIN q USING (query_id) JOIN o USING (offer_id) WHERE q.store <> o.store AND (q.currency = '' OR o.currency = '' OR q.currency = o.currency)),
+s AS (SELECT *, {SCORE_SQL} AS match_score FROM m),
+best AS (SELECT query_id, product_id, offer_id, match_score, match_reason, total, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, total, offer_id) AS match_rank FROM s WHERE match_score >= 60)"""
 
-@query(f"""WITH {OFFERS_SQL}, q AS (SELECT id AS query_id, 'Supplier#' || lpad(CAST(id % 10 AS VARCHAR), 9, '0') AS q_store FROM products),
-m AS (SELECT query_id, product_id, offer_id, 88 AS match_score, 'brand + SKU exact match' AS match_reason, {js_round('price + shipping')} AS total FROM q JOIN offers ON query_id = product_id WHERE store <> q_store)
-SELECT query_id, product_id, offer_id, match_score, match_reason, total, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, total, offer_id) AS match_rank FROM m""")
+
+@query(f"{_COMPARED} SELECT * FROM best")
 def compare_canonical(spark, sf_dir):
     return matching.compare_canonical(queries_view(spark, sf_dir), products(spark, sf_dir), offers(spark, sf_dir))
 
 
-@query("""
-WITH p AS (SELECT p_partkey AS id, p_brand AS brand, p_size AS size, p_retailprice AS price, list_sort(list_distinct(string_split(p_name || ' ' || lower(p_type), ' '))) AS t FROM part),
-m AS (SELECT a.id AS query_id, b.id AS offer_id, b.price AS total FROM p a JOIN p b ON a.brand = b.brand AND a.size = b.size AND a.t = b.t AND a.id % 7 <> b.id % 7)
-SELECT query_id, offer_id, 80 AS match_score, 'strong title overlap' AS match_reason, total, row_number() OVER (PARTITION BY query_id ORDER BY total, offer_id) AS match_rank FROM m""")
-def compare_fallback(spark, sf_dir):
-    """Every part against every part as an offer, titles only; stores are seven."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("title"), F.col("p_brand").alias("brand"), F.concat(F.lit("store"), (F.col("p_partkey") % 7).cast("string")).alias("store"), F.col("p_retailprice").alias("price"))
+@query(f"""{_COMPARED}
+SELECT query_id, offer_id, to_json({{'id': offer_id, 'store': store, 'currency': currency, 'url': url, 'matchScore': match_score, 'matchReason': match_reason}}) AS match FROM best JOIN offers USING (offer_id)""")
+def compare_response(spark, sf_dir):
+    """What an interface gets for each match; numbers are left out, as engines write them in different ways."""
+    o = offers(spark, sf_dir)
+    matches = matching.compare_canonical(queries_view(spark, sf_dir), products(spark, sf_dir), o)
+    return snapshots.response_json(matches.drop("total").join(o.select("offer_id", "store", "currency", "url"), "offer_id"))
+
+
+def _listed(spark, sf_dir):
+    """Every part as an item; parts of a brand and size share one identifier of one of three kinds, every fifth has no brand."""
+    key = F.col("p_partkey")
+    kind, pair = F.pmod(key, F.lit(3)), F.concat(F.regexp_extract("p_brand", "([0-9]+)", 1), F.lpad(F.col("p_size").cast("string"), 3, "0"))
+    named = lambda k, c: F.when(kind == k, c).otherwise("")
     # sizes have the form s<digits>: they are model tokens, and words of three letters or more from 10 on
+    return table(spark, sf_dir, "part").select(
+        key.alias("id"), F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("s"), F.col("p_size").cast("string"))).alias("title"), F.when(F.pmod(key, F.lit(5)) == 0, "").otherwise(F.col("p_brand")).alias("brand"), F.concat(F.lit("store"), F.pmod(key, F.lit(7)).cast("string")).alias("store"),
+        named(0, F.concat(F.lit("0-64000"), pair)).alias("ean"), named(1, F.concat(F.lit("m/"), pair)).alias("mpn"), named(2, F.concat(F.lit("k "), pair)).alias("sku"), F.col("p_retailprice").alias("price"),
+    )
+
+
+@query(f"""
+WITH pairs AS (SELECT p_partkey AS id, p_name || ' ' || p_type || ' s' || p_size AS title, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS brand, 'store' || (p_partkey % 7) AS store, regexp_extract(p_brand, '([0-9]+)', 1) || lpad(CAST(p_size AS VARCHAR), 3, '0') AS pair, p_retailprice AS total FROM part),
+listed AS (SELECT *, CASE WHEN id % 3 = 0 THEN '0-64000' || pair ELSE '' END AS ean, CASE WHEN id % 3 = 1 THEN 'm/' || pair ELSE '' END AS mpn, CASE WHEN id % 3 = 2 THEN 'k ' || pair ELSE '' END AS sku FROM pairs),
+{scored_sql('q', 'listed', 'id', 'store')}, {scored_sql('o', 'listed', 'id', 'store', 'total')},
+m AS (SELECT q.id AS query_id, o.id AS offer_id, o.total, {REASON_SQL} AS match_reason FROM q JOIN o ON q.store <> o.store),
+s AS (SELECT *, {SCORE_SQL} AS match_score FROM m)
+SELECT query_id, offer_id, match_score, match_reason, total, row_number() OVER (PARTITION BY query_id ORDER BY match_score DESC, total, offer_id) AS match_rank FROM s WHERE match_score >= 75""")
+def compare_fallback(spark, sf_dir):
+    """Every part as a query against every part as an offer."""
+    p = _listed(spark, sf_dir)
     return matching.compare_fallback(p.withColumnRenamed("id", "query_id"), p.withColumnRenamed("id", "offer_id").withColumn("shipping", F.lit(0.0)))
 
 
@@ -143,11 +169,32 @@ def link_offers(spark, sf_dir):
     return linking.link_offers(p, p.select(F.col("offer_id").alias("id"), "title").where("false"))
 
 
-@query()
+@query("""
+WITH k AS (SELECT p_partkey AS offer_id, p_name, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', ' ', 'g')) AS title FROM part),
+n AS (SELECT owner, row_number() OVER (ORDER BY owner) AS id FROM (SELECT min(offer_id) AS owner FROM k GROUP BY title))
+SELECT id, p_name AS title, '' AS brand, '' AS model, '' AS sku, '' AS ean, '' AS mpn FROM n JOIN k ON owner = offer_id""")
+def founded_products(spark, sf_dir):
+    """The products that the parts' titles found in an empty catalogue."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offer_id"), F.col("p_name").alias("title"))
+    return linking.founded_products(p, linking.link_offers(p, p.select(F.col("offer_id").alias("id"), "title").where("false")))
+
+
+@query("""
+WITH RECURSIVE top AS (SELECT p_brand, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS id, max(p_size) AS size FROM part GROUP BY ALL),
+o AS (SELECT p_partkey AS id, lower(p_brand) || '|' || p_size AS pair, p_name || ' ' || lower(p_type) AS title, p_brand, p_size FROM part),
+k AS (SELECT id, 4 AS rank, pair AS key FROM o UNION ALL SELECT id, 5, title FROM o),
+earlier AS (SELECT a.id, list_distinct(list(b.id)) AS ids FROM k a JOIN k b ON a.rank = b.rank AND a.key = b.key AND b.id < a.id GROUP BY a.id),
+todo AS (SELECT o.id, row_number() OVER (ORDER BY o.id) AS n, ids FROM o LEFT JOIN earlier USING (id) LEFT JOIN top t ON o.p_brand = t.p_brand AND o.p_size = t.size WHERE t.id IS NULL),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS founders UNION ALL SELECT t.n, CASE WHEN t.ids IS NOT NULL AND list_has_any(t.ids, founders) THEN founders ELSE list_append(founders, t.id) END FROM f JOIN todo t ON t.n = f.n + 1),
+found AS (SELECT id, row_number() OVER (ORDER BY id) + (SELECT max(id) FROM top) AS new_id FROM (SELECT unnest(founders) AS id FROM f WHERE n = (SELECT max(n) FROM f))),
+ways AS (SELECT o.id, 4 AS rank, -1 AS founder, t.id AS product FROM o JOIN top t ON o.p_brand = t.p_brand AND o.p_size = t.size UNION ALL SELECT a.id, a.rank, g.id, g.new_id FROM k a JOIN k b ON a.rank = b.rank AND a.key = b.key AND b.id < a.id JOIN found g ON b.id = g.id),
+best AS (SELECT id, arg_min(product, rank * 10000000000 + founder) AS product FROM ways GROUP BY id)
+SELECT o.id AS offer_id, coalesce(new_id, product) AS product_id, new_id IS NOT NULL AS created FROM o LEFT JOIN found USING (id) LEFT JOIN best USING (id)""")
 def link_offers_full(spark, sf_dir):
-    """Every part as an offer with brand, model and title, linked into a catalogue of every tenth part."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("model"))
-    return linking.link_offers(p.withColumnRenamed("id", "offer_id"), p.where("id % 10 = 0"))
+    """Every part as an offer with brand, model and title, linked into a catalogue of each brand's largest size."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offer_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("brand"), F.col("p_size").alias("model"))
+    top = p.groupBy("brand").agg(F.max("model").alias("model")).select(F.regexp_extract("brand", "([0-9]+)", 1).cast("long").alias("id"), F.lit("").alias("title"), "brand", F.col("model").cast("string").alias("model"))
+    return linking.link_offers(p.withColumn("model", F.col("model").cast("string")), top)
 
 
 @query("""
@@ -174,25 +221,13 @@ def normalize_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.strip_address(u).alias("address"), urls.store_of(F.lit(""), u).alias("store"), urls.has_query(u).alias("has_query"), urls.is_pagination(u).alias("paged"), urls.page_number(u).alias("page"))
 
 
-@query(f"WITH a AS (SELECT page_id, {_ADDRESS} AS address FROM pages) SELECT DISTINCT address AS url FROM a WHERE address NOT IN (SELECT address FROM a WHERE page_id % 3 = 0) AND address NOT IN (SELECT address FROM a WHERE page_id % 5 = 0)")
-def new_urls_anti(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.lit("s").alias("store"), urls.strip_address(F.col("url")).alias("url"))
-    return snapshots.new_urls(p, p.where("page_id % 3 = 0"), p.where("page_id % 5 = 0")).select("url")
-
-
-@query("SELECT DISTINCT url FROM (SELECT url FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0)")
-def known_urls_union(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.where("page_id % 2 = 0").select("url").union(p.where("page_id % 3 = 0").select("url")).distinct()
-
-
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE lower('%Re_%') ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 50")
 def search_titles(spark, sf_dir):
     p = table(spark, sf_dir, "part").where(text.contains_term(F.col("p_name"), "Re_"))
     return p.orderBy(F.desc("p_retailprice"), F.desc("p_partkey")).limit(50).select("p_partkey", "p_name")
 
 
-@query(f"WITH {STATES_SQL} SELECT offer_id, CASE WHEN retry_count >= 3 OR coalesce(last_status_code, 0) = 404 THEN 0 ELSE is_active END AS is_active, retry_count FROM states")
+@query(f"WITH {STATES_SQL} SELECT offer_id, CASE WHEN retry_count >= 3 OR coalesce(last_status_code, 0) = 404 THEN 0 ELSE coalesce(is_active, 1) END AS is_active, retry_count FROM states")
 def stale_offers(spark, sf_dir):
     return maintenance.mark_stale(maintenance.migrated(offer_states(spark, sf_dir))).select("offer_id", "is_active", "retry_count")
 
@@ -246,25 +281,59 @@ def parse_prices(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", money.parse_price(euro).alias("euro"), money.parse_price(plain).alias("plain"), money.parse_price(grouped).alias("grouped"), money.currency(sign).alias("currency"), money.currency(sign, nordic=True).alias("page_currency"))
 
 
-_ANCHORS = """a AS (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '(?is)<a[^>]+href\\s*=\\s*["'']([^"'']+)["''][^>]*>(.*?)</a>', 1), regexp_extract_all(html, '(?is)<a[^>]+href\\s*=\\s*["'']([^"'']+)["''][^>]*>(.*?)</a>', 2))) AS x, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
-b AS (SELECT page_id, origin, replace(replace(replace(replace(replace(trim(x[1]), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS href, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x[2], '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS label FROM a),
-links AS (SELECT page_id, CASE WHEN href LIKE '/%' THEN origin || href ELSE href END AS link, label FROM b)"""
+_ANCHOR = """'(?is)<a[^>]+href\\s*=\\s*["'']([^"'']+)["''][^>]*>(.*?)</a>'"""
+_ANCHORS = f"""a AS (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS h, regexp_extract_all(html, {_ANCHOR}, 2) AS t, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
+z AS (SELECT page_id, origin, unnest(list_zip(range(len(h)), h, t)) AS x FROM a),
+b AS (SELECT page_id, origin, x[1] AS pos, replace(replace(replace(replace(replace(trim(x[2]), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS href, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x[3], '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS label FROM z),
+links AS (SELECT page_id, pos, CASE WHEN href LIKE '/%' THEN origin || href ELSE href END AS link, label FROM b)"""
 
 
-@query(f"WITH {_ANCHORS} SELECT page_id, link, label, count(*) AS n FROM links GROUP BY page_id, link, label")
+@query(f"WITH {_ANCHORS} SELECT page_id, pos, link, label FROM links")
 def page_links(spark, sf_dir):
-    return pages.page_links(table(spark, sf_dir, "pages")).groupBy("page_id", "link", "label").agg(F.count("*").alias("n"))
+    return pages.page_links(table(spark, sf_dir, "pages"))
 
 
-@query(f"WITH {_ANCHORS} SELECT link, min(label) AS label, count(*) AS n_links FROM links GROUP BY link")
+@query(f"WITH {_ANCHORS} SELECT link, coalesce(arg_min(label, page_id * 100000 + pos) FILTER (WHERE label <> ''), '') AS label, count(*) AS n_links FROM links GROUP BY link")
 def best_label_per_url(spark, sf_dir):
-    return pages.best_label(pages.page_links(table(spark, sf_dir, "pages")), order=("label",))
+    return pages.best_label(pages.page_links(table(spark, sf_dir, "pages")), order=("page_id", "pos"))
+
+
+_SCORE = " + ".join(f"CASE WHEN contains(t, '{w}') THEN 10 ELSE 0 END" for w in pages.PRIORITY)
 
 
-@query("SELECT page_id, 3 + CASE WHEN contains(lower(html), 'apple') THEN 10 ELSE 0 END + 0 * page_id AS score FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'apple' ELSE 'pear' END AS html FROM pages) t")
+_WORDS = ", ".join(f"'{w}'" for w in pages.PRIORITY)
+
+
+@query(f"WITH {_ANCHORS}, x AS (SELECT *, lower(link || ' ' || label || ' ' || list_extract([{_WORDS}], CAST((page_id + pos) % {len(pages.PRIORITY)} + 1 AS BIGINT))) AS t FROM links) SELECT page_id, pos, {_SCORE} + CASE WHEN contains(t, '?fq=') THEN 0 ELSE 3 END + CASE WHEN contains(t, '/fi/product/list/') THEN 2 ELSE 0 END AS score FROM x")
 def link_scores(spark, sf_dir):
-    label = F.when(F.col("page_id") % 2 == 0, "Apple").otherwise("Pear")
-    return table(spark, sf_dir, "pages").select("page_id", pages.keyword_score(F.lit("/fi/p/1"), label).alias("score"))
+    """The links of all pages, each with one more of the words in its label."""
+    word = F.get(F.array(*[F.lit(w) for w in pages.PRIORITY]), F.pmod(F.col("page_id") + F.col("pos"), F.lit(len(pages.PRIORITY))).cast("int"))
+    return pages.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", pages.keyword_score(F.col("link"), F.concat_ws(" ", "label", word)).alias("score"))
+
+
+@query(f"WITH {_ANCHORS}, known AS (SELECT {_ADDRESS} AS url FROM pages) SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM known)")
+def new_urls_anti(spark, sf_dir):
+    """The links of all pages that are no page's address."""
+    p = table(spark, sf_dir, "pages")
+    known = p.select(F.lit("s").alias("store"), urls.strip_address(F.col("url")).alias("url"))
+    return snapshots.new_urls(pages.page_links(p).select(F.lit("s").alias("store"), F.col("link").alias("url")), known).select("url")
+
+
+@query(f"WITH {_ANCHORS} SELECT link AS url FROM links UNION SELECT {_ADDRESS} FROM pages")
+def known_urls_union(spark, sf_dir):
+    """The distinct addresses that are linked or are a page's."""
+    p = table(spark, sf_dir, "pages")
+    return pages.page_links(p).select(F.col("link").alias("url")).union(p.select(urls.strip_address(F.col("url")))).distinct()
+
+
+@query(f"""WITH {_ANCHORS}, r AS (SELECT CAST(row_number() OVER (ORDER BY link) AS BIGINT) + 1000000 AS id, 's' AS store, link AS url FROM (SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT {_ADDRESS} FROM pages)))
+SELECT * FROM r UNION ALL SELECT page_id, 's', {_ADDRESS} FROM pages""")
+def frontier(spark, sf_dir):
+    """The pages as the raw table, with a row appended for each new link."""
+    p = table(spark, sf_dir, "pages")
+    raw = p.select(F.col("page_id").alias("id"), F.lit("s").alias("store"), urls.strip_address(F.col("url")).alias("url"), "html")
+    known = raw.unionByName(spark.range(1).select(F.lit(1000000).cast("long").alias("id"), F.lit("s").alias("store"), F.lit("last").alias("url"), F.lit("").alias("html")))
+    return snapshots.append_urls(known, pages.page_links(p).select(F.lit("s").alias("store"), F.col("link").alias("url"))).where("url <> 'last'").select("id", "store", "url")
 
 
 @query("SELECT page_id, url FROM pages WHERE url <> ''")
@@ -325,3 +394,126 @@ def crawl_depths(spark, sf_dir):
     name = lambda c: F.concat(F.lit("u"), c.cast("string"))
     links = p.crossJoin(F.broadcast(n)).select(name(F.col("a")).alias("parent"), F.explode(F.array(name((F.col("a") * 7 + 1) % F.col("n")), name((F.col("a") * 3 + 2) % F.col("n")))).alias("link"))
     return pages.crawl(stored(links, "links"), spark.createDataFrame([("u0",)], "url string"))
+
+
+_LIST = "https://www.jimms.fi/fi/Product/List/B"
+
+
+def store_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shop's pages (url, html): its front page, one for each brand, and one for each size of a brand with its parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("string").alias("size"), F.regexp_extract("p_brand", "([0-9]+)", 1).alias("b"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "")
+    front = p.groupBy().agg(F.concat(F.lit("<nav>"), joined(F.format_string("<a href='/fi/Product/List/B%s/merkki'>Merkki <b>%s</b></a>", "b", "b")), F.lit("</nav>")).alias("html")).select(F.lit("https://www.jimms.fi/fi").alias("url"), "html")
+    sizes = joined(F.format_string("<a class='k' href='/FI/product/list/B%s/koko %s/'>Koko\n <b>%s</b></a><a href='/fi/Product/List/B%s/koko?sort=%s'>s</a>", "b", "size", "size", "b", "size"))
+    brands = p.groupBy("b").agg(F.concat(F.lit("<header><a href='/fi/Product/List/X1/out'>x</a></header><main>"), sizes, F.lit('<script>{"url":"/fi/Product/List/B'), F.col("b"), F.lit('/json","id":1,"name":"J&S"}</script></main>')).alias("html"))
+    shown = joined(F.format_string("<a href='/fi/Product/Show/%s/%s?from=list'>%s</a>", "p_partkey", "p_name", "p_name"))
+    parts = p.groupBy("b", "size").agg(F.concat(F.lit("<main>"), shown, F.lit("<a href='/fi/Product/List/B"), F.col("b"), F.lit("/merkki#top'> takaisin </a></main>")).alias("html"))
+    return front.union(brands.select(F.concat(F.lit(_LIST), "b", F.lit("/merkki")), "html")).union(parts.select(F.concat(F.lit(_LIST), "b", F.lit("/koko%20"), "size"), "html"))
+
+
+_SITE_LINKS = f"""t AS (SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1) AS b, p_size FROM part), brands AS (SELECT DISTINCT b FROM t),
+links AS (SELECT 'https://www.jimms.fi/fi' AS url, '{_LIST}' || b || '/merkki' AS link, 'Merkki ' || b AS label FROM brands
+ UNION ALL SELECT '{_LIST}' || b || '/merkki', '{_LIST}' || b || '/koko%20' || p_size, 'Koko ' || p_size FROM t UNION ALL SELECT '{_LIST}' || b || '/merkki', 'https://www.jimms.fi/fi/Product/List/X1/out', 'x' FROM brands
+ UNION ALL SELECT '{_LIST}' || b || '/merkki', '{_LIST}' || b || '/json', 'J&S' FROM brands UNION ALL SELECT '{_LIST}' || b || '/koko%20' || p_size, '{_LIST}' || b || '/merkki', 'takaisin' FROM t)"""
+
+
+@query(f"WITH {_SITE_LINKS} SELECT * FROM links")
+def category_links(spark, sf_dir):
+    return store_site(spark, sf_dir).select("url", F.explode(pages.category_links(F.col("html"))).alias("x")).select("url", F.col("x.url").alias("link"), "x.label")
+
+
+@query(f"""WITH {_SITE_LINKS}, s AS (SELECT url AS parent, link, 7 + CASE WHEN regexp_extract(url, '/List/([^/]+)', 1) = regexp_extract(link, '/List/([^/]+)', 1) THEN 18 ELSE 0 END AS score FROM links)
+SELECT * FROM (SELECT parent, link, score, row_number() OVER (PARTITION BY parent ORDER BY score DESC, length(link), link) AS rank FROM s) WHERE rank <= 100""")
+def ranked_categories(spark, sf_dir):
+    links = store_site(spark, sf_dir).select(F.col("url").alias("parent"), F.explode(pages.category_links(F.col("html"))).alias("x"))
+    return pages.ranked_categories(links.select("parent", F.col("x.url").alias("link")))
+
+
+@query(f"SELECT '{_LIST}' || regexp_extract(p_brand, '([0-9]+)', 1) || '/koko%20' || p_size AS url, 'https://www.jimms.fi/fi/Product/Show/' || p_partkey || '/' || replace(p_name, ' ', '%20') AS product FROM part")
+def product_urls(spark, sf_dir):
+    return store_site(spark, sf_dir).select("url", F.explode(pages.product_links(F.col("html"))).alias("product"))
+
+
+@query()
+def category_crawl(spark, sf_dir):
+    """The products that a crawl of the shop from its front page finds, as its budgets allow; tested on a small shop."""
+    shop = stored(store_site(spark, sf_dir), "shop", compression="zstd")
+    known = spark.createDataFrame([], "url string")
+    front = shop.where("url = 'https://www.jimms.fi/fi'").select(F.posexplode(pages.category_links(F.col("html"))).alias("pos", "x")).select("pos", "x.*")
+    return crawl.crawl_categories(crawl.site(shop, known), pages.first_queue(front))[0]
+
+
+@query("SELECT p_partkey, 'https://www.power.fi/' || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE 'naytto-ja-' || replace(lower(p_name), ' ', '-') END || '/p-' || p_partkey || '/' AS url FROM part")
+def embedded_products(spark, sf_dir):
+    name = F.when(F.pmod("p_partkey", F.lit(10)) == 0, r"\u0020").otherwise(F.concat(F.lit('N\\u00e4ytt\\u00f6 & \\"'), F.col("p_name")))
+    raw = F.concat(F.lit('[{"pid":"'), F.col("p_partkey").cast("string"), F.lit('","name":"'), name, F.lit('","x":1}]'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(pages.embedded_products(raw)).alias("url"))
+
+
+@query("""WITH s AS (SELECT n_name AS store, n_nationkey % 3 AS k, 'https://' || n_nationkey || '.example/' AS root FROM nation)
+SELECT store, 0 AS pos, root || 'a.xml' AS url FROM s WHERE k = 0 UNION ALL SELECT store, CAST(n AS INTEGER), root || 's' || n || '.xml?a&b' FROM s, range(10) r(n) WHERE k = 1""")
+def sitemap_sources(spark, sf_dir):
+    """Stores whose first sitemap is a list, an index behind one that can't be read, and none."""
+    s = table(spark, sf_dir, "nation").select(F.col("n_name").alias("store"), F.pmod("n_nationkey", F.lit(3)).alias("k"), F.concat(F.lit("https://"), F.col("n_nationkey").cast("string"), F.lit(".example/")).alias("at"))
+    candidates = s.select("store", F.explode(F.array(*[F.struct(F.lit(n).alias("pos"), F.concat("at", F.lit(f"{x}.xml")).alias("url")) for n, x in enumerate("abc")])).alias("c")).select("store", "c.*")
+    index = F.concat(F.lit("<SitemapIndex >"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda n: F.concat(F.lit("<sitemap><loc> "), F.col("at"), F.lit("s"), n.cast("string"), F.lit(".xml?a&amp;b</loc></sitemap>"))), ""), F.lit("</SitemapIndex>"))
+    listed = F.lit("<urlset><url><loc>x</loc></url></urlset>")
+    fetched = s.select(F.concat("at", F.lit("a.xml")).alias("url"), F.when(F.col("k") == 0, listed).when(F.col("k") == 1, "<html>").alias("xml")).union(s.select(F.concat("at", F.lit("b.xml")), F.when(F.col("k") < 2, index)))
+    return pages.sitemap_sources(candidates, fetched)
+
+
+_CAP = 5
+_FOUND = f"{_ANCHORS}, f AS (SELECT regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) AS store, link AS url, page_id AS file, pos FROM links WHERE link LIKE '%://%'), n AS (SELECT store, url, min(file * 100000 + pos) AS spot FROM f WHERE url NOT IN (SELECT {_ADDRESS} FROM pages) GROUP BY ALL), k AS (SELECT store, url, spot, row_number() OVER (PARTITION BY store ORDER BY spot) AS n FROM n)"
+
+
+def _found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "pages")
+    host = lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#]+)", 1)
+    found = pages.page_links(p).where(F.col("link").contains("://")).select(host("link").alias("store"), F.col("link").alias("url"), F.col("page_id").alias("file"), "pos")
+    known = p.select(urls.strip_address(F.col("url")).alias("url")).select(host("url").alias("store"), "url")
+    return pages.capped_urls(found, known, _CAP, ("file", "pos"))
+
+
+@query(f"WITH {_FOUND} SELECT store, url, n FROM k WHERE n <= {_CAP}")
+def capped_urls(spark, sf_dir):
+    """The first new links of each host, in the order of pages and places."""
+    return _found(spark, sf_dir)[0]
+
+
+@query(f"WITH {_FOUND}, l AS (SELECT store, spot FROM k WHERE n = {_CAP}) SELECT f.store, count(*) FILTER (WHERE spot IS NULL OR file * 100000 + pos <= spot) + max(CASE WHEN file * 100000 + pos > spot AND file = spot // 100000 THEN 1 ELSE 0 END) AS looked_at FROM f LEFT JOIN l ON f.store = l.store GROUP BY f.store")
+def looked_at_urls(spark, sf_dir):
+    """How many links of each host a reader looks at until it has its new ones."""
+    return _found(spark, sf_dir)[1]
+
+
+@query("""SELECT p_partkey, p_name AS title, p_brand AS brand, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'K' || p_partkey END AS sku, '' AS ean, CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN floor(p_retailprice / 1000) + 0.299 END AS price FROM part""")
+def request_normalised(spark, sf_dir):
+    """Requests as they come: padded titles, lists, an sku of digits, prices with commas or none."""
+    key = F.col("p_partkey")
+    price = F.when(key % 3 == 0, F.translate(F.call_function("format_number", "p_retailprice", F.lit("0.00")), ".", ",")).when(key % 3 == 1, F.concat(F.floor(F.col("p_retailprice") / 1000).cast("string"), F.lit(".299,00 €"))).otherwise("noin 5")
+    r = table(spark, sf_dir, "part").select(key, F.concat(F.lit("\u00a0 "), "p_name", F.lit("\n")).alias("title"), F.array("p_brand", F.lit("x")).alias("brand"), F.when(key % 2 == 0, F.format_string(" 00%s ", key)).otherwise(F.format_string("K%s", key)).alias("sku"), F.lit(None).cast("string").alias("ean"), price.alias("price"))
+    return refresh.request_fields(r)
+
+
+@query(f"""
+WITH b AS (SELECT p_partkey AS k, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com', 'amazon.de', 'gone.fi'][p_partkey % 6 + 1] AS store, p_name || ' ' || p_type || ' ' || p_size AS name, round(p_retailprice + 0.25, 2) AS new_price, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS retries FROM part),
+s AS (SELECT *, CASE WHEN store = 'gone.fi' THEN 'missing' WHEN k % 5 = 0 AND retries = 0 THEN 'skipped' WHEN store = 'amazon.de' THEN 'skipped' WHEN k % 13 = 0 OR k % 11 = 0 THEN 'failed' ELSE 'refreshed' END AS status FROM b)
+SELECT 'https://www.' || store || '/p/' || k AS url, status, CASE WHEN status = 'skipped' THEN CASE WHEN k % 5 = 0 AND retries = 0 THEN 'fresh' ELSE 'unsupported-store' END END AS reason, CASE WHEN status = 'refreshed' THEN true END AS was_updated, CASE WHEN status = 'failed' AND k % 13 <> 0 THEN 404 END AS status_code,
+ CASE WHEN status <> 'failed' THEN NULL WHEN k % 13 = 0 THEN 'fetch failed' ELSE upper(store[1]) || split_part(store[2:], '.', 1) || ' request failed: 404 Not Found' END AS error, CASE WHEN status = 'refreshed' THEN name WHEN status <> 'missing' THEN 'old' END AS title, CASE WHEN status = 'refreshed' THEN new_price WHEN status <> 'missing' THEN 1.0 END AS price,
+ CASE WHEN status = 'refreshed' THEN 0 WHEN status = 'failed' THEN retries + 1 WHEN status <> 'missing' THEN retries END AS retry_count, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS linked, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS stored FROM s""")
+def refresh_pipeline(spark, sf_dir):
+    """Every part as an offer of one of five stores, or of none, refreshed from its page, which may be missing or gone."""
+    key, now = F.col("id"), F.lit(NOW).cast("timestamp")
+    shown = product_pages(spark, sf_dir, True).withColumn("store", F.get(F.array(*[F.lit(x) for x in ("gigantti.fi", "jimms.fi", "power.fi", "verkkokauppa.com", "amazon.de", "gone.fi")]), F.pmod(key, F.lit(6)).cast("int")))
+    shown = shown.withColumn("url", F.concat(F.lit("https://www."), "store", F.lit("/p/"), key.cast("string")))
+    old = shown.where("store <> 'gone.fi'").select(
+        "id", F.lit(None).cast("long").alias("product_id"), "store", F.lit("old").alias("title"), F.lit(1.0).alias("price"), *[F.lit(None).cast(t).alias(c) for c, t in (("shipping", "double"), ("total", "double"), ("currency", "string"))], "url",
+        *[F.lit("").alias(c) for c in ("brand", "model", "sku", "ean", "mpn")], F.lit(None).cast("int").alias("in_stock"), F.lit(1).alias("is_active"), F.when(key % 7 == 0, 1).otherwise(0).alias("retry_count"), (now - F.when(key % 5 == 0, F.make_dt_interval(F.lit(0), F.lit(1))).otherwise(F.make_dt_interval(F.lit(2)))).alias("fetched_at"),
+    )
+    fetched = shown.where(key % 13 != 0).select("url", "html", F.when(key % 11 == 0, 404).otherwise(200).alias("status"), F.when(key % 11 == 0, "Not Found").otherwise("OK").alias("status_text"))
+    raw, catalogue = (spark.createDataFrame([], schema) for schema in (snapshots.RAW_PRODUCTS, snapshots.PRODUCTS))
+    done = refresh.refresh(old, raw, catalogue, refresh.offers_by_url(old, shown.select("url")), fetched, now, fresh_hours=12)
+    state = done.offers.select("url", "title", "price", "retry_count", F.col("product_id").isNotNull().alias("linked"))
+    there = done.raw.where(F.get_json_object("extracted_json", "$.inStock") == "true").select("url", F.lit(True).alias("in_raw"))
+    rows = done.results.drop("offer_id").join(state, "url", "left").join(there, "url", "left")
+    return rows.withColumn("stored", F.when(F.col("status") != "missing", F.coalesce("in_raw", F.lit(False)))).drop("in_raw")

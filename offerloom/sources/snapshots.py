@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import money
+from ..operators.numbering import numbered
 
+#: The three stored tables. Timestamps are UTC.
+PRODUCTS = "id long, title string, brand string, model string, sku string, ean string, mpn string, created_at timestamp, updated_at timestamp"
+OFFERS = (
+    "id long, product_id long, store string, title string, price double, shipping double, total double, currency string, url string, brand string, model string, sku string, ean string, mpn string, "
+    "in_stock int, is_active int, retry_count int, last_error string, last_error_at timestamp, last_status_code int, fetched_at timestamp"
+)
+RAW_PRODUCTS = "id long, store string, url string, html string, extracted_json string, fetched_at timestamp"
+#: Columns without nulls, by table.
+REQUIRED = {"products": ("title",), "offers": ("store", "title", "url"), "raw_store_products": ("store", "url")}
 OFFER_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("store", "title")]
     + [T.StructField(c, T.DoubleType()) for c in ("price", "shipping", "total")]
@@ -16,7 +26,23 @@ OFFER_SCHEMA = T.StructType(
 )
 KEY = ("store", "url")
 #: Columns that an upsert sets from a new row, even to null.
-DATA = ("title", "price", "shipping", "total", "currency", "brand", "model", "sku", "ean", "mpn", "in_stock")
+DATA = ("title", "price", "shipping", "total", "currency", "brand", "model", "sku", "ean", "mpn", "in_stock", "extracted_json")
+
+
+def create_tables(spark: SparkSession, database: str) -> None:
+    """The three tables, empty, in a database; those that are there stay as they are."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, columns in (("products", PRODUCTS), ("offers", OFFERS), ("raw_store_products", RAW_PRODUCTS)):
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def checked(df: DataFrame, table: str) -> DataFrame:
+    """df, whose rows raise an error where a required column of the table is null."""
+    bad = F.lit(False)
+    for c in REQUIRED[table]:
+        bad = bad | F.col(c).isNull()
+    first = REQUIRED[table][0]
+    return df.withColumn(first, F.when(bad, F.raise_error(F.lit(f"a required column of {table} is null"))).otherwise(F.col(first)))
 
 
 def read_offers_json(spark: SparkSession, path: str) -> DataFrame:
@@ -46,10 +72,8 @@ def upsert(old: DataFrame, batch: DataFrame, now, reset: bool = True, order: tup
     renamed = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns], F.lit(True).alias("n_there"))
     both = old.withColumn("o_there", F.lit(True)).join(renamed, F.col("store").eqNullSafe(F.col("n_store")) & F.col("url").eqNullSafe(F.col("n_url")), "full")
     there, was = F.col("n_there").isNotNull(), F.col("o_there").isNotNull()
-    fresh = both.where(~was)
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy("n_seen"))
-    fresh = fresh.withColumn("__n", n).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("__n")).drop("top", "__n")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    fresh = numbered(both.where(~was), "n_seen", "n_store", "n_url", name="__n").withColumn("id", top + F.col("__n")).drop("__n")
     values = {"store": F.coalesce("store", "n_store"), "url": F.coalesce("url", "n_url"), "fetched_at": F.when(there, now).otherwise(F.col("fetched_at"))}
     values |= {c: F.when(there, F.col(f"n_{c}")).otherwise(F.col(c)) for c in DATA if c in old.columns and c in new.columns}
     if reset:
@@ -68,13 +92,30 @@ def new_urls(found: DataFrame, *known: DataFrame) -> DataFrame:
     return found.select("store", "url").distinct().join(all_known.distinct(), ["store", "url"], "left_anti")
 
 
-def write_snapshot(df: DataFrame, root: str, version: int) -> str:
-    """A new folder for each version; nothing that is read is written over."""
-    path = f"{root}/v={version:08d}"
-    df.write.mode("errorifexists").parquet(path)
+def version_path(root: str, version: int) -> str:
+    return f"{root}/v={version:08d}"
+
+
+def write_snapshot(df: DataFrame, root: str, version: int, again: bool = False) -> str:
+    """A new folder for each version; nothing that is read is written over. again: a version may be written once more."""
+    path = version_path(root, version)
+    df.write.mode("overwrite" if again else "errorifexists").parquet(path)
     return path
 
 
+def append_urls(old: DataFrame, found: DataFrame, *known: DataFrame) -> DataFrame:
+    """The raw table old with a row for each address of found that neither it nor known has: no html, no JSON, ids after
+    the largest old one in the order of (store, url)."""
+    new = new_urls(found, old, *known).where("store is not null and url is not null")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = numbered(new, "store", "url").withColumn("id", top + F.col("n"))
+    empty = [F.col(c) if c in ("id", "store", "url") else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    return old.unionByName(rows.select(*empty))
+
+
 def response_json(matches: DataFrame) -> DataFrame:
     """One JSON object for each match, with the names an interface expects; null fields are left out."""
-    return matches.select("query_id", F.to_json(F.struct(F.col("offer_id").alias("id"), *[c for c in ("store", "title", "price", "shipping", "total", "currency", "url") if c in matches.columns], *([F.col("fetched_at").alias("fetchedAt")] if "fetched_at" in matches.columns else []), F.col("match_score").alias("matchScore"), F.col("match_reason").alias("matchReason"))).alias("match"))
+    shown = [c for c in ("store", "title", "price", "shipping", "total", "currency", "url") if c in matches.columns]
+    fetched = [F.col("fetched_at").alias("fetchedAt")] if "fetched_at" in matches.columns else []
+    fields = F.struct(F.col("offer_id").alias("id"), *shown, *fetched, F.col("match_score").alias("matchScore"), F.col("match_reason").alias("matchReason"))
+    return matches.select("query_id", "offer_id", F.to_json(fields).alias("match"))
