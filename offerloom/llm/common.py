@@ -1,34 +1,28 @@
-"""Small helpers shared by the operators: scratch tables and Arrow batches."""
+"""Small helpers shared by the operators: the library's scratch tables and components, names, Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_SCRATCH: dict[str, str] = {}
+from ..operators.components import components
+from ..sources.scratch import passing, scratch_dir, stored
 
+__all__ = ["components", "documents", "free_names", "passing", "scratch_dir", "slices", "stored"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return _OWN_SCRATCH[app]
 
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage is cut and executors may be lost."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores as set it apart from columns (case does not count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices, stored
-from .words import byte_words, distinct_sets, letter_words, mix, run_hashes
+from .common import documents, free_names, slices, stored
+from .words import byte_words, distinct_sets, mix, run_hashes, stem_terms
 
-#: Terms are hashed to so many bins.
-BINS = 1 << 18
+#: Words, and so many first letters of longer words, which forms of one word share, are hashed to so many bins.
+BINS, STEMS = 1 << 20, (3, 4, 5, 6, 7)
+#: A term is a bin that a text has so often or more: number k * BINS + bin for the kth of these.
+TIMES = (1, 2, 4)
 #: Each sampled text has the least hashes of its words under BANDS * ROWS seeds. Two texts are compared if all ROWS of a
 #: band agree, and are copies if SAME of all of them do: so much is the Jaccard of their word sets, to about 0.05.
 BANDS, ROWS, SAME = 16, 4, 0.85
@@ -22,23 +24,36 @@ BANDS, ROWS, SAME = 16, 4, 0.85
 REJECT = 0.7
 
 
+def terms_of(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term) for each term of each text, by text and term; of the bins that known marks alone, if it is given."""
+    hashes, doc = stem_terms(texts, STEMS)
+    bins = (hashes % np.uint64(BINS)).astype(np.int64)
+    if known is not None:
+        doc, bins = doc[known[bins]], bins[known[bins]]
+    pairs, count = np.unique(doc * BINS + bins, return_counts=True)
+    often = [pairs[count >= n] for n in TIMES]
+    doc = np.concatenate([x // BINS for x in often])
+    term = np.concatenate([x % BINS + k * BINS for k, x in enumerate(often)])
+    order = np.lexsort((term, doc))
+    return doc[order], term[order]
+
+
 @dataclass
 class FactorizationMachine:
-    """score = sigmoid(w0 + sum w + sum over pairs of <v_i, v_j>) over the distinct chosen bins of a text."""
+    """score = sigmoid(w0 + sum w + sum over pairs of <v_i, v_j>) over the chosen terms of a text."""
 
-    bins: np.ndarray  # chosen, ascending
+    terms: np.ndarray  # chosen, ascending
     w0: float
     w: np.ndarray
-    v: np.ndarray  # (bins, factors)
+    v: np.ndarray  # (terms, factors)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        hashes, doc = letter_words(texts)
-        place = np.full(BINS, -1, np.int64)
-        place[self.bins] = np.arange(len(self.bins))
-        term = place[(hashes % np.uint64(BINS)).astype(np.int64)]
-        m = max(1, len(self.bins))
-        pairs = np.unique(doc[term >= 0] * m + term[term >= 0])
-        d, t = pairs // m, pairs % m
+        known = np.zeros(BINS, bool)
+        known[self.terms % BINS] = True
+        doc, term = terms_of(texts, known)
+        at = np.minimum(np.searchsorted(self.terms, term), max(0, len(self.terms) - 1))
+        own = self.terms[at] == term if len(self.terms) else np.zeros(len(term), bool)
+        d, t = doc[own], at[own]
         linear = np.bincount(d, self.w[t], len(texts))
         both = np.zeros(len(texts))
         for f in range(self.v.shape[1]):
@@ -66,7 +81,7 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, factors: int, rou
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """The (id, y, text) that are no copies, as (id, y, bins): a text goes if one of less id has its label y and its words.
+    """The (id, y, text) that are no copies, as (id, y, terms): a text goes if one of less id has its label y and its words.
 
     Words are what white space parts, in lower case. Equal word sets are grouped first. Then each band's first text is compared with the band's others by their least
     hashes, so texts that only share some are kept; the first of all texts that are copies of each other stays.
@@ -74,27 +89,26 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     """
     kind = rows.schema["id"].dataType.simpleString()
 
-    def terms(batches):
+    def read(batches):
         for batch in slices(batches, "text"):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            hashes, doc = letter_words(texts)
-            first = np.searchsorted(doc, np.arange(len(texts) + 1))
-            bins = [np.unique((hashes[a:b] % np.uint64(BINS)).astype(np.int32)) for a, b in zip(first, first[1:])]
+            doc, term = terms_of(texts)
+            terms = np.split(term.astype(np.int32), np.searchsorted(doc, np.arange(1, len(texts))))[: len(texts)]
             h, begins = distinct_sets(*byte_words(texts))
             words = run_hashes(h, begins[:-1], begins[1:]).view(np.int64)
             least = [[int(mix(h[a:b] ^ np.uint64(seed)).min() >> np.uint64(33)) for seed in range(BANDS * ROWS)] if b > a else None for a, b in zip(begins, begins[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array(words), pa.array(least, pa.list_(pa.int32())), pa.array(bins, pa.list_(pa.int32()))],
-                names=["id", "y", "words", "least", "bins"],
+                [batch.column("id"), batch.column("y"), pa.array(words), pa.array(least, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))],
+                names=["id", "y", "words", "least", "terms"],
             )
 
-    found = rows.select("id", "y", "text").mapInArrow(terms, f"id {kind}, y int, words long, least array<int>, bins array<int>").where("size(bins) > 0")
-    sets = stored(found.groupBy("y", "words").agg(F.min_by(F.struct("id", "least", "bins"), "id").alias("x")).select("y", "words", "x.*"), "toxicity-sets")
+    found = rows.select("id", "y", "text").mapInArrow(read, f"id {kind}, y int, words long, least array<int>, terms array<int>").where("size(terms) > 0")
+    sets = stored(found.groupBy("y", "words").agg(F.min_by(F.struct("id", "least", "terms"), "id").alias("x")).select("y", "words", "x.*"), "toxicity-sets")
     bands = sets.select("y", "words", "id", "least", F.posexplode(F.array(*[F.xxhash64(*[F.col("least")[k * ROWS + j] for j in range(ROWS)]) for k in range(BANDS)])).alias("k", "band"))
     head = bands.groupBy("y", "k", "band").agg(F.min(F.struct("id", "words", "least")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = F.size(F.filter(F.arrays_zip("least", F.col("head.least").alias("other")), lambda x: x["least"] == x["other"]))
     copies = bands.join(F.broadcast(head), ["y", "k", "band"]).where((F.col("words") != F.col("head.words")) & (same >= SAME * BANDS * ROWS))
-    return sets.join(copies.select("y", "words").distinct(), ["y", "words"], "left_anti").select("id", "y", "bins")
+    return sets.join(copies.select("y", "words").distinct(), ["y", "words"], "left_anti").select("id", "y", "terms")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, max_terms: int = 512, least_z: float = 4.0, least_df: int = 8, factors: int = 4) -> FactorizationMachine:
@@ -102,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sample's ids, 2 * per_class rows, are broadcast to the scan. Of copies with one label, near or exact, one
     stays (see distinct_texts), so that a group of copies teaches no words of its own. Spark counts in how many
-    sampled documents of each class a bin is; bins whose shares differ by least_z standard errors, in least_df
-    documents or more, are the terms, max_terms of them at most. Only these, for the sample, go to the driver.
+    sampled documents of each class a term is; terms whose shares differ by least_z standard errors, in least_df
+    documents or more, are chosen, max_terms of them at most. Only these, for the sample, go to the driver.
     A document with several labels is toxic if one says so; null ids and labels are left out. Without labels of
     both classes the score of every text is the smoothed share of label 1.
     """
@@ -117,46 +131,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(part < F.when(F.col("y") == 1, per_class / pos).otherwise(per_class / neg))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    kept = stored(distinct_texts(rows).select("y", "bins"), "toxicity-terms")
+    kept = stored(distinct_texts(rows).select("y", "terms"), "toxicity-terms")
     size = {r[0]: r[1] for r in kept.groupBy("y").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return none
-    df = kept.select("y", F.explode("bins").alias("bin")).groupBy("bin").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
+    df = kept.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
     share = (F.col("d1") + F.col("d0")) / float(n1 + n0)
     z = F.try_divide(F.col("d1") / n1 - F.col("d0") / n0, F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))  # null for a bin of all
     chosen = df.where(F.col("d1") + F.col("d0") >= least_df).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
-    bins = np.array(sorted(r["bin"] for r in chosen.orderBy(F.desc("z"), "bin").limit(max_terms).collect()), np.int64)
-    if not len(bins):
+    terms = np.array(sorted(r["term"] for r in chosen.orderBy(F.desc("z"), "term").limit(max_terms).collect()), np.int64)
+    if not len(terms):
         return none
-    only = F.array(*[F.lit(int(b)) for b in bins])
-    data = kept.select("y", F.array_intersect("bins", only).alias("bins")).groupBy("y", F.array_sort("bins").alias("bins")).count().orderBy("y", "bins").collect()
-    x = np.zeros((len(data), len(bins)))
+    only = F.array(*[F.lit(int(t)) for t in terms])
+    data = kept.select("y", F.array_intersect("terms", only).alias("terms")).groupBy("y", F.array_sort("terms").alias("terms")).count().orderBy("y", "terms").collect()
+    x = np.zeros((len(data), len(terms)))
     for i, r in enumerate(data):
-        x[i, np.searchsorted(bins, r["bins"])] = 1
+        x[i, np.searchsorted(terms, r["terms"])] = 1
     y = np.array([r["y"] for r in data], float)
     weight = np.array([r["count"] for r in data], float) * np.where(y == 1, pos / n1, neg / n0)  # as common as in the labels
     w0, w, v = _descend(x, y, weight / weight.mean() / len(data), factors, 400, 1e-5)
-    return FactorizationMachine(bins, w0, w, v)
+    return FactorizationMachine(terms, w0, w, v)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), reject: float = REJECT) -> DataFrame:
     """Per row: id, the keep columns, score in 0 to 1, predicted (1 from reject on).
 
     Null and empty texts have the score of a text without terms. Rows are scored where they are scanned, repeated
-    ones each; the model, of max_terms rows, is sent to each task. Other columns are not read.
+    ones each; the model, of max_terms rows, is sent to each task. Keep columns named score or predicted are replaced;
+    other columns are not read. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    keep = tuple(c for c in keep if c.lower() not in ("score", "predicted"))
+    (text,) = free_names((id_col, *keep), "text_read")
 
     def predict(batches):
-        for batch in slices(batches, "__text"):
-            s = sent.value.scores([x or "" for x in batch.column("__text").to_pylist()])
-            columns = [c for name, c in zip(batch.schema.names, batch.columns) if name != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s)], names=[*(x for x in batch.schema.names if x != "__text"), "__score"])
-
-    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "__text"] + [T.StructField("__score", T.DoubleType())])
-    return rows.mapInArrow(predict, schema).withColumnRenamed("__score", "score").withColumn("predicted", (F.col("score") >= reject).cast("int"))
+        for batch in slices(batches, text):
+            s = sent.value.scores([x or "" for x in batch.column(text).to_pylist()])
+            names = [x for x in batch.schema.names if x != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(s)], names=[*names, "score"])
+
+    rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias(text))
+    schema = T.StructType([f for f in rows.schema.fields if f.name != text] + [T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(predict, schema).withColumn("predicted", (F.col("score") >= reject).cast("int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

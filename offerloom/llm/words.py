@@ -13,7 +13,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         a = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
         a[0] = 1
         _powers[base] = np.multiply.accumulate(a)
@@ -29,10 +29,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of values[start:end] for each run, the same wherever the run lies."""
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(values)), dtype=np.uint64)))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    sums[1:] = values
+    sums[1:] += np.uint64(1)
+    sums[1:] *= powers(_BASE, len(values))
+    np.cumsum(sums, out=sums)
     return mix((sums[end] - sums[start]) * powers(_INVERSE, len(values) + 1)[start] ^ (end - start).astype(np.uint64))
 
 
+def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of marked places start and end."""
+    edge = np.zeros(len(marked) + 1, bool)
+    edge[:-1] = marked
+    edge[1:] ^= marked
+    at = np.flatnonzero(edge)
+    return at[::2], at[1::2]
+
+
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     is_letter, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
@@ -46,14 +59,20 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, lower
 
 
-def letter_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case runs of letters, and the text of each."""
+def stem_terms(texts: list[str], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-case runs of letters, and of their first letters, stems of them (of longer words), and the text of each."""
     is_letter, lower = _letters()
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1]
-    edge = np.diff(np.concatenate(([0], is_letter[codes].astype(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return run_hashes(lower[codes], start, end), np.searchsorted(begins, start, side="right") - 1
+    start, end = runs_of(is_letter[codes])
+    doc = np.searchsorted(begins, start, side="right") - 1
+    starts, ends, docs = [start], [end], [doc]
+    for k in stems:
+        longer = end - start > k
+        starts.append(start[longer])
+        ends.append(start[longer] + k)
+        docs.append(doc[longer])
+    return run_hashes(lower[codes], np.concatenate(starts), np.concatenate(ends)), np.concatenate(docs)
 
 
 _SPACE = np.zeros(256, bool)
@@ -66,8 +85,7 @@ def _byte_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     parts = [x.encode("utf-8", "surrogatepass") for x in texts]
     data = np.frombuffer(b"\n".join(parts), np.uint8)
     begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in parts])))
-    edge = np.diff(np.concatenate(([0], (~_SPACE[data]).astype(np.int8), [0])))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    start, end = runs_of(~_SPACE[data])
     return data, start, end, np.searchsorted(start, begins)
 
 
@@ -83,7 +101,8 @@ def byte_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """byte_words, and where each word starts and ends in its text, in characters."""
     data, start, end, first = _byte_runs(texts)
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    chars = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
     begins = np.repeat(np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1], np.diff(first)).astype(np.int64)
     return run_hashes(_LOWER[data], start, end), first, chars[start] - begins, chars[end] - begins
 
