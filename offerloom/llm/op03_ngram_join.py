@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a blocked product (dense in each block) of documents by shingles, within groups that share a rare shingle.
+"""N-gram Jaccard join: a blocked sparse product of documents by shingles, within groups that share rare shingles.
 
-Two sets with a Jaccard of t or more share a member among the first n - ceil(t n) + 1 of each, in any one order of
-all shingles. The order here puts frequent shingles last. Documents that share such a first shingle, and whose sizes
-and parity signatures allow the Jaccard, are joined to groups, and within a group (in blocks where it is large) the
-product of the incidence matrix counts all overlaps.
+Two sets with a Jaccard of t or more share members among the first of each, in any one order of all shingles (see
+setjoin.key_count). The order here puts frequent shingles last. Documents that share enough of such first shingles, and
+whose sizes and parity signatures allow the Jaccard, are joined to groups, and within a group (in blocks where it is
+large) the product of the incidence matrix counts overlaps, discarding pairs that can't reach what their sizes ask for.
 """
 
 from __future__ import annotations
@@ -13,16 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stored
-from .components import components
-from .setjoin import SALT_BITS, SALTS, close_edges, signatures, verified, with_blocks
+from .common import components, documents, passing, slices, stored
+from .setjoin import SALT_BITS, SALTS, close_edges, key_count, signatures, verified, wanted, with_blocks
 from .words import byte_words, distinct_sets, mix, shingles
 
 #: Shingles are counted in so many bins to find the frequent ones, of which so many bins at most are put last.
 COUNT_BINS, FREQUENT = 1 << 24, 100_000
 WORDS = 5
-#: Bits of the filter by which texts that are in no group are left out early; a fuller filter lets more pass.
-FILTER_BITS = 1 << 23
 
 
 def _sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +69,7 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
             owner = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, rank[(h >> np.uint64(40)).astype(np.int64)], owner))
             nth = np.arange(len(h)) - begins[:-1][owner]
-            first = nth < (n - (percent * n + 99) // 100 + 1)[owner]
+            first = nth < key_count(n, percent)[owner]
             first &= once[owner]
             h, owner = h[order][first], owner[first]
             m = n[owner] << SALT_BITS | np.where(rank[(h >> np.uint64(40)).astype(np.int64)] > 0, salt[owner], 0)
@@ -81,24 +78,6 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
     return docs.select("text").mapInArrow(run, "h long, node long, m long")
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id may be one of ids, by a filter of FILTER_BITS bits: what is shuffled to meet ids is less then."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches):
-        for batch in batches:
-            at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
-            some = (sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1
-            yield batch.filter(pa.array(some.astype(bool))).select(["id", "text"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, text string")
-
-
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable by links), n_links (documents linked with).
 
@@ -115,12 +94,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = summary.where("bin is null").select("id", "node", "n")
     known = summary.where("n > 0 and id is not null").groupBy("node", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     classes = stored(known, "shingle-classes")
-    edges = close_edges(_postings(rows.where("id is not null"), size, percent, frequent), classes.select("node", "n", "sig"), percent=percent)
-    groups = components(edges).select("node", F.col("root").alias("comp"))
+    with passing(docs.sparkSession, "join-keys") as folder:
+        edges = close_edges(_postings(rows.where("id is not null"), size, percent, frequent), classes.select("node", "n", "sig"), folder, percent, by_count=True)
+        groups = components(edges).select("node", F.col("root").alias("comp"))
     candidates = stored(groups.join(classes.drop("sig"), "node"), "join-candidates")
     blocks = with_blocks(candidates.select("comp", "node", "n", "copies"))
     reps = candidates.select(F.col("rep").alias("id"), "node")
-    texts = _wanted(rows.where("id is not null"), reps).join(reps.join(blocks, "node"), "id")
+    texts = wanted(rows.where("id is not null"), reps).join(reps.join(blocks, "node"), "id")
 
     def sets_of(texts: list[str]) -> list[np.ndarray]:
         h, begins, _ = _sets(texts, size)

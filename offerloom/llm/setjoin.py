@@ -1,4 +1,4 @@
-"""Verified links between sets of hashes: a blocked product of the sets' incidence matrix within candidate groups."""
+"""Verified links between sets of hashes: a blocked sparse product of the sets' incidence matrix within candidate groups."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: A block holds about so many sets and so many members of sets at most (or one larger set).
-BLOCK_SETS, BLOCK_MEMBERS = 3000, 3_000_000
+BLOCK_SETS, BLOCK_MEMBERS = 500, 3_000_000
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 2048
 
@@ -75,8 +75,8 @@ def signatures(h: np.ndarray, begins: np.ndarray) -> list[bytes]:
     for most, bits in SIGNATURES:
         own = np.flatnonzero((n > low) & (n <= most))
         low = most
-        for at in range(0, len(own), max(1, (1 << 22) // bits)):
-            part = own[at : at + max(1, (1 << 22) // bits)]
+        for at in range(0, len(own), max(1, (1 << 20) // bits)):
+            part = own[at : at + max(1, (1 << 20) // bits)]
             rows = np.repeat(np.arange(len(part)), n[part])
             members = np.concatenate([h[begins[i] : begins[i + 1]] for i in part]) % np.uint64(bits)
             flips = np.bincount(rows * bits + members.astype(np.int64), minlength=len(part) * bits) & 1
@@ -205,16 +205,33 @@ def shared_keys(postings: DataFrame, percent: int) -> DataFrame:
     return postings.select("h", "node", "m").repartition("h", salt).sortWithinPartitions("h", "node").mapInArrow(run, "h long, node long, n long, df long")
 
 
-def close_edges(postings: DataFrame, nodes: DataFrame, percent: int = 80) -> DataFrame:
+#: A linked set of n members has 1 + n // SHARE keys or more in common with each set it is linked with.
+SHARE = 32
+
+
+def key_count(n, percent: int):
+    """So many keys, the first ones in the order of all, a set of n members gives.
+
+    Two sets with a Jaccard of percent or more have that share of the larger one's members in common. The first
+    k = 1 + n // SHARE of these, for the smaller set's n, are among the first n - ceil(percent n / 100) + k of each.
+    """
+    return n - (percent * n + 99) // 100 + 1 + n // SHARE
+
+
+def close_edges(postings: DataFrame, nodes: DataFrame, folder: str, percent: int = 80, by_count: bool = False) -> DataFrame:
     """Edges (u, v) between nodes (node, n, sig) that share a key and may be linked by their sizes and signatures.
 
     All linked pairs that share a key are connected by these edges, directly or over others. postings are those of
-    shared_keys. A key of more than HOT_KEY nodes is split into pairs of blocks.
+    shared_keys. by_count says that they are key_count keys of each set: sets that share fewer than a link takes go. A key
+    of more than HOT_KEY nodes is split into pairs of blocks. What is written on the way is put into folder.
     """
-    shared = stored(shared_keys(postings, percent), "shared-keys", compression="zstd")
+    shared = stored(shared_keys(postings, percent), "shared-keys", folder, compression="zstd")
     salted = shared.where("df = 0").select("h", "node", "n").distinct()
     counts = salted.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = shared.where("df > 0").unionByName(salted.join(counts, "h").select("h", "node", "n", "df"))
+    if by_count:
+        fewest = 1 + F.floor(F.floor((F.col("n") * percent + 99) / 100) / SHARE)  # that the smallest set it may be linked with needs
+        shared = shared.join(shared.groupBy("node").agg(F.count("*").alias("keys"), F.min("n").alias("n")).where(F.col("keys") >= fewest).select("node"), "node", "left_semi")
     sigs = nodes.select("node", "sig")
     cool = shared.where(F.col("df") <= HOT_KEY).join(sigs, "node").select(F.col("h").cast("string").alias("group"), F.lit(0).alias("side"), "node", "n", "sig")
     hot = shared.where(F.col("df") > HOT_KEY).select(F.col("h").alias("comp"), "node", "n", F.lit(1).alias("copies")).dropDuplicates(["comp", "node"])
@@ -284,43 +301,54 @@ def with_blocks(nodes: DataFrame, sets: int = BLOCK_SETS) -> DataFrame:
     return singles.unionByName(blocks)
 
 
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set, summed up over blocks of columns."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1  # a column of one set adds to no intersection
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    owner, column = owner[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = np.zeros((len(left), len(right)), np.float32)
-    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    n = int(shared.sum())
-    for a in range(0, n, COLUMNS):
-        lo, hi = np.searchsorted(column, (a, a + COLUMNS))
-        o, c = owner[lo:hi], column[lo:hi] - a
-        x = np.zeros((len(left), min(COLUMNS, n - a)), np.float32)
-        y = np.zeros((len(right), min(COLUMNS, n - a)), np.float32)
-        x[at_left[o][at_left[o] >= 0], c[at_left[o] >= 0]] = 1
-        y[at_right[o][at_right[o] >= 0], c[at_right[o] >= 0]] = 1
-        total += x @ y.T
-    return total
-
-
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The links of a group: which pairs (a matrix of left and right sets) have a Jaccard of percent or more.
 
-    The product is dense in each block of columns and takes in all pairs; those whose sizes rule a link out are dropped
-    after the sums.
+    A sparse product of the incidence matrix with itself, summed up over blocks of columns, rare ones first: a block
+    takes in the sets with a member in it alone. A pair is discarded as soon as its sum and the members that are still to
+    come, of the set that has fewer of them, are below what its sizes ask for; sets without a pair left are skipped.
     """
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
     n = np.array([len(s) for s in sets], np.int64)
     a, b = n[left][:, None], n[right][None]
-    both = overlaps(sets, left, right).astype(np.int64)
-    ok = (100 * both >= percent * (a + b - both)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (left[:, None] != right[None])
-    return left, right, ok
+    need = -(-percent * (a + b) // (100 + percent))
+    alive = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (left[:, None] != right[None])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # a column of one set adds to no intersection
+    place = np.full(len(times), -1)
+    rare_first = np.flatnonzero(shared)[np.argsort(times[shared], kind="stable")]
+    place[rare_first] = np.arange(len(rare_first))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    rest = np.bincount(owner, minlength=len(sets))
+    alive &= np.minimum(rest[left][:, None], rest[right][None]) >= need
+    total = np.zeros(alive.shape, np.float32)
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    for begin in range(0, len(rare_first), COLUMNS):
+        lo, hi = np.searchsorted(column, (begin, begin + COLUMNS))
+        o, c = owner[lo:hi], column[lo:hi] - begin
+        rest -= np.bincount(o, minlength=len(sets))
+        here = np.zeros(len(sets), bool)
+        here[o] = True
+        i, j = np.flatnonzero(here[left] & alive.any(axis=1)), np.flatnonzero(here[right] & alive.any(axis=0))
+        if len(i) and len(j):
+            x, y = (np.zeros((len(k), min(COLUMNS, len(rare_first) - begin)), np.float32) for k in (i, j))
+            for part, at, k in ((x, at_left, i), (y, at_right, j)):
+                row = np.full(alive.shape[0] if at is at_left else alive.shape[1], -1)
+                row[k] = np.arange(len(k))
+                of = np.where(at[o] >= 0, row[at[o]], -1)
+                part[of[of >= 0], c[of >= 0]] = 1
+            total[np.ix_(i, j)] += x @ y.T
+        for rows, columns in ((i, np.arange(len(right))), (np.arange(len(left)), j)):
+            cut = np.ix_(rows, columns)
+            alive[cut] &= total[cut] + np.minimum(rest[left][rows][:, None], rest[right][columns][None]) >= need[cut]
+        if not alive.any():
+            break
+    return left, right, alive & (total >= need)
 
 
 def roots(m: int, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.ndarray:
@@ -343,6 +371,28 @@ def roots(m: int, left: np.ndarray, right: np.ndarray, ok: np.ndarray) -> np.nda
     return root
 
 
+#: Bits of the filter by which texts that no group needs are left out early; a fuller filter lets more pass.
+FILTER_BITS = 1 << 23
+
+
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The (id, text) of docs whose id may be one of ids, by a filter of FILTER_BITS bits, before they are dealt."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(F.floor(bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(32)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in batches:
+            at = batch.column("bit").to_numpy(zero_copy_only=False).astype(np.int64)
+            some = (sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1
+            yield batch.filter(pa.array(some.astype(bool))).select(["id", "text"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", bit.alias("bit")).mapInArrow(run, f"id {kind}, text string")
+
+
 def verified(rows: DataFrame, sets_of, percent: int = 80) -> DataFrame:
     """(u, v, links) from rows (group, side, node, copies, text); sets_of gives the sets of a list of texts.
 
