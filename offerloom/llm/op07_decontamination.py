@@ -7,6 +7,7 @@ with it (the q-gram lemma), on diagonals at most k apart. Only bands with so man
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from .words import _letters, mix
 Q, PROBE, STRIDE = 8, 128, 64
 #: Edits allowed, as a share of the probe's length.
 EDITS = 0.1
-#: Items are searched in blocks of about so many characters: what a task holds of the benchmark.
+#: Items are searched in blocks of about so many characters: what a task holds of the benchmark at a time.
 BLOCK_CHARS = 4_000_000
+#: So many blocks are searched in one scan of the texts; a larger benchmark takes another scan.
+SCAN_BLOCKS = 16
+#: A task reads so many bytes of texts before it goes through the blocks.
+HELD_BYTES = 1 << 25
 _FILTER = 1 << 22
 
 
@@ -157,13 +162,53 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
-    """The indexes of the benchmark's blocks, one after the other; each is of about block_chars characters."""
+    """(items, texts) of the benchmark's blocks, one after the other; each is of about block_chars characters."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item", "text").collect()
-        yield build_index([r[0] for r in own], [r[1] for r in own])
+        yield [r[0] for r in own], [r[1] for r in own]
+
+
+def scans(benchmark: DataFrame, found, text_col: str, item_col: str, item_text_col: str, block_chars: int = BLOCK_CHARS) -> list:
+    """What mapInArrow runs for each scan of the texts; found(batch, hits) gives the batch that comes of one and its hits.
+
+    hits are those of search() with the item's value for its number. The texts of SCAN_BLOCKS blocks are sent with a scan. A
+    task holds the index of one block at a time: where there are more, it goes through them for each HELD_BYTES of texts.
+    """
+    context = benchmark.sparkSession.sparkContext
+    sent: list[list] = []
+    for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_chars)):
+        if k % SCAN_BLOCKS == 0:
+            sent.append([])
+        sent[-1].append(context.broadcast(block))
+
+    def scan(own: list):
+        def run(batches):
+            only = build_index(*own[0].value) if len(own) == 1 else None
+
+            def through(held):
+                hits: list[list] = [[] for _ in held]
+                for block in own:
+                    index = only or build_index(*block.value)
+                    for mine, batch in zip(hits, held):
+                        mine += [(h[0], index.items[h[1]], *h[2:]) for h in search([x or "" for x in batch.column(text_col).to_pylist()], index)]
+                return [found(batch, mine) for batch, mine in zip(held, hits)]
+
+            held, size = [], 0
+            for batch in slices(batches, text_col):
+                held.append(batch)
+                size += batch.column(text_col).nbytes
+                if only or size >= HELD_BYTES:
+                    yield from through(held)
+                    held, size = [], 0
+            if held:
+                yield from through(held)
+
+        return run
+
+    return [scan(own) for own in sent]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -171,52 +216,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     The stated items are searched in each text where it is scanned, whole, block by block; no shuffle, no pairs.
     Null and empty texts, and null or short items, give nothing; equal items are found each; repeated rows give
-    their rows again; an empty table on either side gives an empty result.
+    their rows again; an empty table on either side gives an empty result. Other columns are not read.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, item {item_kind}, start long, end long, edits int"
 
-    def searcher(index):
-        sent = spark.sparkContext.broadcast(index)
-
-        def run(batches):
-            for batch in slices(batches, "text"):
-                hits = search([x or "" for x in batch.column("text").to_pylist()], sent.value)
-                doc, item, start, end, edits = zip(*hits) if hits else ((),) * 5
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array([sent.value.items[x] for x in item], item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item", "start", "end", "edits"])
-
-        return run
-
-    from pyspark.sql.pandas.types import to_arrow_type
+    def found(batch, hits):
+        doc, item, start, end, edits = zip(*hits) if hits else ((),) * 5
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item", "start", "end", "edits"])
 
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    out = None
-    for index in blocks(benchmark, item_col, item_text_col):
-        found = rows.mapInArrow(searcher(index), schema)
-        out = found if out is None else out.unionByName(found)
-    out = spark.createDataFrame([], schema) if out is None else out
+    parts = [rows.mapInArrow(run, schema) for run in scans(benchmark, found, "text", item_col, item_text_col)]
+    out = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without those that hold an item; all columns stay. Rows pass one filter for each block of the benchmark."""
-
-    def cleaner(index):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches):
-            for batch in slices(batches, text_col):
-                hits = search([x or "" for x in batch.column(text_col).to_pylist()], sent.value)
-                stay = np.ones(batch.num_rows, bool)
-                stay[[x[0] for x in hits]] = False
-                yield batch.filter(pa.array(stay))
+    """docs without those that hold an item; all columns stay, whatever their names. Null and empty texts hold none."""
 
-        return run
+    def clean(batch, hits):
+        stay = np.ones(batch.num_rows, bool)
+        stay[[x[0] for x in hits]] = False
+        return batch.filter(pa.array(stay))
 
-    for index in blocks(benchmark, item_col, item_text_col):
-        docs = docs.mapInArrow(cleaner(index), T.StructType(docs.schema.fields))
+    for run in scans(benchmark, clean, text_col, item_col, item_text_col):
+        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
     return docs
 
 
