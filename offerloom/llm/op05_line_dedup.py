@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_names
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,23 +34,25 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text cut, and n_lines and n_removed; columns of these names, or with a leading __, are replaced.
+    """docs with text cut, and n_lines and n_removed; columns of these two names are replaced, all others stay.
 
     Lines are what "\\n" separates. Every line that lies in a later occurrence of a window goes; a text all of whose
     lines go becomes empty. Null texts stay null and have 0 lines. Texts of fewer than three lines stay. Rows that
     agree in id and text are one document and get the same. An empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed") and not c.startswith("__")]
-    rows = docs.select(*kept).withColumn("__hash", F.xxhash64(text_col))
-    gone = repeated_lines(docs.select(*kept), id_col, text_col)
-    joined = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__hash"] == gone["__text_hash"]), "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    key, of, text_of, where = free_names(kept, "row_hash", "gone_id", "gone_hash", "gone_lines")
+    rows = docs.select(*kept).withColumn(key, F.xxhash64(text_col))
+    found = repeated_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    gone = found.select(F.col("__id").alias(of), F.col("__text_hash").alias(text_of), F.col("__gone").alias(where))
+    joined = rows.join(gone, rows[id_col].eqNullSafe(gone[of]) & (rows[key] == gone[text_of]), "left")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(where))
+    cut = F.when(F.col(where).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
         *[F.col(c) if c != text_col else cut.alias(text_col) for c in kept],
         F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(where), F.lit(0)).alias("n_removed"),
     )
 
 
