@@ -84,10 +84,11 @@ class Refreshed:
     results: DataFrame
 
 
-def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: DataFrame, pages: DataFrame, now: Column, fresh_hours: int | None = None, unsupported: str = "skipped") -> Refreshed:
+def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: DataFrame, pages: DataFrame, now: Column, fresh_hours: int | None = None, unsupported: str = "skipped", unknown: str = "missing") -> Refreshed:
     """Offers written anew from their pages, the raw table, products founded by linking, and a result for each chosen row.
 
-    chosen: (id, store, url), one row for each address, null ids for unknown ones (missing). pages: (url, html, status,
+    chosen: (id, store, url), one row for each address, null ids for unknown ones: these are missing, or, if unknown is
+    "insert", read and stored as new offers. pages: (url, html, status,
     status_text); a null html or a status outside 200 to 299 is a failure, as is no row at all. fresh_hours skips offers
     that are fresh (maintenance.needs_refresh). An offer of a store without an extractor is skipped, or failed if
     unsupported says so. Failures add one to the offer's retries and leave its data as it is. Refreshed offers are linked
@@ -109,7 +110,7 @@ def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: Data
     )
     judged = got.withColumn("error", F.when(known, error)).withColumn(
         "status",
-        F.when(F.col("id").isNull(), "missing").when(F.col("fresh"), "skipped").when(~known, unsupported).when(F.col("error").isNotNull(), "failed").otherwise("refreshed"),
+        F.when(F.col("id").isNull() & F.lit(unknown == "missing"), "missing").when(F.col("fresh"), "skipped").when(~known, unsupported).when(F.col("error").isNotNull(), "failed").otherwise("refreshed"),
     )
     reason = F.when(F.col("status") == "missing", None).when(F.col("fresh"), "fresh").when(~known, "unsupported-store")
     judged = stored(judged.withColumn("reason", reason).select("url", "store", "id", "status", "reason", F.when(F.col("status") == "failed", F.col("error")).alias("error"), F.when(F.col("status") == "refreshed", F.col("html")).alias("html")), "refresh-judged", compression="zstd")
@@ -132,6 +133,17 @@ def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: Data
     return Refreshed(done, new_raw, new_products, results)
 
 
+def discovered(found: DataFrame) -> DataFrame:
+    """The addresses (store, url) that a discovery found, as refresh takes them with unknown="insert"."""
+    return found.select(F.lit(None).cast("long").alias("id"), "store", "url")
+
+
+def summary(done: Refreshed) -> DataFrame:
+    """One row of counters of a refresh (see maintenance.run_summary)."""
+    fresh = F.when(F.col("status") == "refreshed", F.when(F.col("was_updated"), "updated").otherwise("inserted")).when(F.col("status") == "failed", "failed").otherwise("skipped")
+    return maintenance.run_summary(done.results.select(fresh.alias("status")))
+
+
 def refresh_stream(requests: DataFrame, root: str, pages: DataFrame, now: Column, checkpoint: str, fresh_hours: int = 12):
     """A streaming query that refreshes the offers a stream of (url) asks for, batch by batch.
 

@@ -503,17 +503,111 @@ SELECT 'https://www.' || store || '/p/' || k AS url, status, CASE WHEN status =
  CASE WHEN status = 'refreshed' THEN 0 WHEN status = 'failed' THEN retries + 1 WHEN status <> 'missing' THEN retries END AS retry_count, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS linked, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS stored FROM s""")
 def refresh_pipeline(spark, sf_dir):
     """Every part as an offer of one of five stores, or of none, refreshed from its page, which may be missing or gone."""
-    key, now = F.col("id"), F.lit(NOW).cast("timestamp")
-    shown = product_pages(spark, sf_dir, True).withColumn("store", F.get(F.array(*[F.lit(x) for x in ("gigantti.fi", "jimms.fi", "power.fi", "verkkokauppa.com", "amazon.de", "gone.fi")]), F.pmod(key, F.lit(6)).cast("int")))
-    shown = shown.withColumn("url", F.concat(F.lit("https://www."), "store", F.lit("/p/"), key.cast("string")))
-    old = shown.where("store <> 'gone.fi'").select(
-        "id", F.lit(None).cast("long").alias("product_id"), "store", F.lit("old").alias("title"), F.lit(1.0).alias("price"), *[F.lit(None).cast(t).alias(c) for c, t in (("shipping", "double"), ("total", "double"), ("currency", "string"))], "url",
-        *[F.lit("").alias(c) for c in ("brand", "model", "sku", "ean", "mpn")], F.lit(None).cast("int").alias("in_stock"), F.lit(1).alias("is_active"), F.when(key % 7 == 0, 1).otherwise(0).alias("retry_count"), (now - F.when(key % 5 == 0, F.make_dt_interval(F.lit(0), F.lit(1))).otherwise(F.make_dt_interval(F.lit(2)))).alias("fetched_at"),
-    )
-    fetched = shown.where(key % 13 != 0).select("url", "html", F.when(key % 11 == 0, 404).otherwise(200).alias("status"), F.when(key % 11 == 0, "Not Found").otherwise("OK").alias("status_text"))
-    raw, catalogue = (spark.createDataFrame([], schema) for schema in (snapshots.RAW_PRODUCTS, snapshots.PRODUCTS))
+    shown, old, raw, catalogue, fetched, now = _shop(spark, sf_dir)
     done = refresh.refresh(old, raw, catalogue, refresh.offers_by_url(old, shown.select("url")), fetched, now, fresh_hours=12)
     state = done.offers.select("url", "title", "price", "retry_count", F.col("product_id").isNotNull().alias("linked"))
     there = done.raw.where(F.get_json_object("extracted_json", "$.inStock") == "true").select("url", F.lit(True).alias("in_raw"))
     rows = done.results.drop("offer_id").join(state, "url", "left").join(there, "url", "left")
     return rows.withColumn("stored", F.when(F.col("status") != "missing", F.coalesce("in_raw", F.lit(False)))).drop("in_raw")
+
+
+def _shop(spark, sf_dir):
+    """Pages of the parts at six stores, offers of five of them, empty raw and product tables, fetched pages and a time."""
+    key, now = F.col("id"), F.lit(NOW).cast("timestamp")
+    shown = product_pages(spark, sf_dir, True).withColumn("store", F.get(F.array(*[F.lit(x) for x in ("gigantti.fi", "jimms.fi", "power.fi", "verkkokauppa.com", "amazon.de", "gone.fi")]), F.pmod(key, F.lit(6)).cast("int")))
+    shown = shown.withColumn("url", F.concat(F.lit("https://www."), "store", F.lit("/p/"), key.cast("string")))
+    age = F.when(key % 5 == 0, F.make_dt_interval(F.lit(0), F.lit(1))).otherwise(F.make_dt_interval(F.lit(2)))
+    old = _bare_offers(shown.where("store <> 'gone.fi'").select("id", "store", "url", F.when(key % 7 == 0, 1).otherwise(0).alias("retry_count"), (now - age).alias("fetched_at")))
+    fetched = shown.where(key % 13 != 0).select("url", "html", F.when(key % 11 == 0, 404).otherwise(200).alias("status"), F.when(key % 11 == 0, "Not Found").otherwise("OK").alias("status_text"))
+    raw, catalogue = (spark.createDataFrame([], schema) for schema in (snapshots.RAW_PRODUCTS, snapshots.PRODUCTS))
+    return shown, old, raw, catalogue, fetched, now
+
+
+def _bare_offers(rows: DataFrame) -> DataFrame:
+    """Offers (id, store, url and what else is there) with all columns of the table; old ones, of price 1."""
+    have = {"title": F.lit("old"), "price": F.lit(1.0), "is_active": F.lit(1)}
+    kinds = dict(x.split(" ") for x in snapshots.OFFERS.split(", "))
+    return rows.select(*[F.col(c) if c in rows.columns else have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+@query("""
+WITH b AS (SELECT p_partkey AS k, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com', 'amazon.de', 'gone.fi'][p_partkey % 6 + 1] AS store FROM part)
+SELECT 'https://www.' || store || '/p/' || k AS url, CASE WHEN store = 'gone.fi' THEN 'missing' WHEN (k % 5 = 0 AND k % 7 <> 0) OR store = 'amazon.de' THEN 'skipped' WHEN k % 13 = 0 OR k % 11 = 0 THEN 'failed' ELSE 'refreshed' END AS status FROM b""")
+def refresh_stream(spark, sf_dir):
+    """The same by a stream of addresses, whose batches are refreshed one after the other."""
+    shown, old, raw, catalogue, fetched, now = _shop(spark, sf_dir)
+    root = f"{scratch_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    for name, df in (("offers", old), ("raw", raw), ("products", catalogue)):
+        snapshots.write_snapshot(df, f"{root}/{name}", 0)
+    shown.select("url").coalesce(1).write.parquet(f"{root}/asked")
+    fetched = stored(fetched, "fetched", compression="zstd")
+    refresh.refresh_stream(spark.readStream.schema("url string").parquet(f"{root}/asked"), root, fetched, now, f"{root}/state").awaitTermination()
+    return spark.read.parquet(snapshots.version_path(f"{root}/results", 1)).select("url", "status")
+
+
+@query(f"""
+WITH s AS (SELECT p_partkey, p_name, round(p_retailprice + 0.25, 2) AS price, p_name || ' ' || p_type || ' ' || p_size AS title, p_size, '{_LIST}' || regexp_extract(p_brand, '([0-9]+)', 1) || '/koko%20' || p_size AS page, 'https://www.jimms.fi/fi/Product/Show/' || p_partkey || '/' || replace(p_name, ' ', '%20') AS url FROM part),
+n AS (SELECT *, row_number() OVER (ORDER BY page, CAST(p_partkey AS VARCHAR) || '/') AS n FROM s WHERE p_size <= 25)
+SELECT url, CASE WHEN p_partkey % 11 = 0 THEN 'failed' ELSE 'refreshed' END AS status, CASE WHEN p_partkey % 11 <> 0 THEN false END AS was_updated, CASE WHEN p_partkey % 11 <> 0 THEN title END AS title, CASE WHEN p_partkey % 11 <> 0 THEN price END AS price FROM n WHERE n <= 500""")
+def discover_pipeline(spark, sf_dir):
+    """The first 500 new products of a shop's category pages, read and stored; those of large sizes are known."""
+    key = F.col("p_partkey").cast("string")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", F.concat(F.lit("https://www.jimms.fi/fi/Product/Show/"), key, F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("%20"))).alias("url"))
+    old = _bare_offers(p.where("p_size > 25").select("id", F.lit("jimms.fi").alias("store"), "url"))
+    found = store_site(spark, sf_dir).select(F.col("url").alias("file"), F.posexplode(pages.product_links(F.col("html"))).alias("pos", "url")).withColumn("store", F.lit("jimms.fi"))
+    new = pages.capped_urls(found, old, 500, ("file", "pos"))[0]
+    fetched = product_pages(spark, sf_dir, True).select("id", "html").join(p, "id").select("url", "html", F.when(F.col("id") % 11 == 0, 500).otherwise(200).alias("status"), F.lit("").alias("status_text"))
+    raw, catalogue = (spark.createDataFrame([], schema) for schema in (snapshots.RAW_PRODUCTS, snapshots.PRODUCTS))
+    done = refresh.refresh(old, raw, catalogue, refresh.discovered(new), fetched, F.lit(NOW).cast("timestamp"), unknown="insert")
+    return done.results.select("url", "status", "was_updated").join(done.offers.select("url", "title", "price"), "url", "left")
+
+
+@query(f"""WITH {OFFERS_SQL}, u AS (SELECT offer_id, product_id, price FROM offers WHERE product_id IS NOT NULL AND is_active = 1),
+r AS (SELECT *, row_number() OVER w AS n, lead(price) OVER w AS second, count(*) OVER (PARTITION BY product_id) AS c FROM u WINDOW w AS (PARTITION BY product_id ORDER BY price, offer_id))
+SELECT offer_id FROM r WHERE n = 1 AND c >= 2 AND second >= 50 AND price < second * 0.25""")
+def suspicious_offers(spark, sf_dir):
+    """The active offers that are far cheaper than the next one of their product."""
+    return refresh.suspicious_offers(offers(spark, sf_dir).withColumnRenamed("offer_id", "id"), limit=None).select(F.col("id").alias("offer_id"))
+
+
+@query("""SELECT 'jimms.fi' AS store, p_name AS title, p_retailprice AS price, 0.0 AS shipping, p_retailprice AS total, 'EUR' AS currency, 'u' || p_partkey AS url, p_brand AS brand, '' AS model, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS in_stock, 'inserted' AS op FROM part""")
+def import_json(spark, sf_dir):
+    """The parts as JSON files of one array each, by brand, read and written over an empty table."""
+    p = table(spark, sf_dir, "part")
+    item = F.struct(F.lit("jimms.fi").alias("store"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("url"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 3 == 0, True).when(F.col("p_size") % 3 == 1, False).alias("inStock"))
+    folder = f"{scratch_dir(spark)}/json-{uuid.uuid4().hex}"
+    p.groupBy(F.regexp_extract("p_brand", "([0-9]+)", 1).alias("b")).agg(F.to_json(F.collect_list(item)).alias("value")).write.partitionBy("b").text(folder)
+    read = snapshots.read_offers_json(spark, f"{folder}/*")
+    out = snapshots.upsert(spark.createDataFrame([], snapshots.OFFERS), read, F.lit(NOW).cast("timestamp"), reset=False)
+    return out.select("store", "title", "price", "shipping", "total", "currency", "url", "brand", "model", "in_stock", "op")
+
+
+@query("SELECT p_partkey, replace(replace(regexp_replace(regexp_replace(format('{:,.2f}', p_retailprice), '0+$', ''), '\.$', ''), ',', chr(160)), '.', ',') || CASE WHEN p_partkey % 2 = 0 THEN ' EUR' ELSE ' SEK' END AS shown FROM part")
+def format_prices(spark, sf_dir):
+    code = F.when(F.pmod("p_partkey", F.lit(2)) == 0, "").otherwise("SEK")
+    return table(spark, sf_dir, "part").select("p_partkey", money.format_price(F.col("p_retailprice"), code).alias("shown"))
+
+
+@query("SELECT p_partkey AS id, p_name || ' ' || p_type || ' ' || p_size AS title, round(p_retailprice + 0.25, 2) AS price, p_brand AS brand, '' AS sku, 'EUR' AS currency FROM part")
+def browser_roundtrip(spark, sf_dir):
+    """The parts' pages as the browser side reads them: identifiers count only where itemprop or data-testid names them."""
+    r = extract.product_records(product_pages(spark, sf_dir, False), browser=True).where(extract.is_valid(F.col("product")))
+    return r.select("id", *[f"product.{c}" for c in ("title", "price", "brand", "sku", "currency")])
+
+
+_URLS = ["https://WWW.gigantti.fi/product/a b/{0}?x=1#y", "https://www.jimms.fi/FI/product/show/{0}/N%C3%A4ytt%C3%B6?ref=a", "https://power.fi/tv/p-{0}/", "http://m.verkkokauppa.com/fi/product/{0}/x?y", "https://www.jimms.fi/fi/Product/List/000-1/x/{0}?page=3", "https://www.jimms.fi/fi/Product/Show/x{0}"]
+
+
+@query("""SELECT p_partkey, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com', 'jimms.fi', 'jimms.fi'][p_partkey % 6 + 1] AS store, p_partkey % 6 < 4 AS product, p_partkey % 6 = 4 AS facet,
+ CASE p_partkey % 6 WHEN 0 THEN 'https://www.gigantti.fi/product/a%20b/' || p_partkey WHEN 1 THEN 'https://www.jimms.fi/fi/Product/Show/' || p_partkey || '/N%C3%A4ytt%C3%B6' WHEN 2 THEN 'https://www.power.fi/tv/p-' || p_partkey || '/' WHEN 3 THEN 'https://www.verkkokauppa.com/fi/product/' || p_partkey || '/x' END AS address,
+ CASE WHEN p_partkey % 6 = 4 THEN 'https://www.jimms.fi/fi/Product/List/000-1/x/' || p_partkey || '?page=3' END AS category, CASE WHEN p_partkey % 6 = 4 THEN 'fi/product/list/000-1' END AS category_key, CASE WHEN p_partkey % 6 = 4 THEN 'https://www.jimms.fi/fi/Product/List/000-1/x/' || p_partkey || '?p=4' END AS next_page FROM part""")
+def store_urls(spark, sf_dir):
+    """Addresses of four stores as they are written, told apart and rebuilt."""
+    key = F.pmod("p_partkey", F.lit(6)).cast("int")
+    url = F.get(F.array(*[F.replace(F.lit(u), F.lit("{0}"), F.col("p_partkey").cast("string")) for u in _URLS]), key)
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.replace(url, F.lit(" "), F.lit("%20")).alias("u"))
+    u, store = F.col("u"), urls.supported_store(F.col("u"))
+    own = lambda f: F.coalesce(*[F.when(store == s, f(s)) for s in urls.PRODUCT_PATHS])
+    address = own(lambda s: urls.show_url(u) if s == "jimms.fi" else urls.product_url(u, s, force_www=True, any_containing=s == "verkkokauppa.com"))
+    category = urls.category_url(u, keep_page=True)
+    return rows.select("p_partkey", store.alias("store"), own(lambda s: urls.is_product(u, s)).alias("product"), urls.is_facet(u).alias("facet"), address.alias("address"), category.alias("category"), F.when(category.isNotNull(), urls.category_key(category)).alias("category_key"), F.get(urls.page_candidates(category, F.lit(4)), 1).alias("next_page"))
