@@ -1,75 +1,38 @@
-"""Substring dedup: paragraphs that repeat, near or exact, by MinHash bands, exact Jaccard and components."""
+"""Substring dedup: paragraphs that repeat, near or exact, by MinHash bands, exact Jaccard and components; and runs of
+words that repeat exactly anywhere in a text."""
 
 from __future__ import annotations
 
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stored
-from .components import components
-from .setjoin import star_edges, verified, with_blocks
+from .common import components, documents, passing, slices, stored
+from .setjoin import SALT_BITS, close_edges, signatures, verified, wanted, with_blocks
 from .words import byte_words, distinct_sets, mix, placed_words, run_hashes, shingles
 
 #: Tuned for recall at a Jaccard of 0.8: 1 - (1 - 0.8 ** 4) ** 14 = 0.9994 of such pairs share a band.
 BANDS, ROWS = 14, 4
 #: Shorter paragraphs are common phrases; they are left alone.
 LEAST_WORDS = 20
-#: A paragraph of more words is also looked at in pieces of whole sentences, of LEAST_WORDS words or a few more.
-LONG_WORDS = 80
-#: Of so many sentences in a row one at least begins a piece.
-WINDOW = 5
-#: Runs of so many words are compared anywhere in a text, across lines too; of as many starts in a row one at least is taken.
-RUN = 25
+#: Runs of so many words are compared anywhere in a text, across lines; of as many starts in a row one at least is taken.
+RUN = 20
 #: Words whose hash decides whether a run starts there.
 HEAD = 3
-
-
-def pieces(text: str) -> list[tuple[int, int]]:
-    """(start, end) in characters of the paragraphs of a text, which "\n" ends, and of pieces of long ones.
-
-    A sentence begins a piece where a hash of its first letters is the least of any WINDOW sentences in a row
-    (winnowing), one of three on the average. The piece ends with the first sentence end that gives it LEAST_WORDS
-    words; pieces may overlap, but none that would be near copies by what they share in place: such a one is left
-    out, like one of nearly the whole paragraph. So a passage of WINDOW sentences and LEAST_WORDS more words, anywhere within two long
-    paragraphs, has a chosen sentence that is the same in both.
-    """
-    out, at = [], 0
-    for line in text.split("\n"):
-        if line:
-            out.append((at, at + len(line)))
-            if len(line) > 4 * LONG_WORDS and line.count(" ") >= LONG_WORDS:
-                starts, end = [0], line.find(". ")
-                while end >= 0:
-                    starts.append(end + 2)
-                    end = line.find(". ", end + 2)
-                heads = [crc32(line[a : a + 12].encode("utf-8", "surrogatepass")) for a in starts]
-                chosen = {min(range(k, min(k + WINDOW, len(heads))), key=lambda j: (heads[j], -j)) for k in range(max(1, len(heads) - WINDOW + 1))}
-                words = [0]
-                for a, b in zip(starts, [*starts[1:], len(line)]):
-                    words.append(words[-1] + line.count(" ", a, b))
-                before, last = None, 0
-                for k in sorted(chosen):
-                    while last < len(starts) and words[last] - words[k] < LEAST_WORDS:
-                        last += 1
-                    size = words[last] - words[k]
-                    far = before is None or words[k] - words[before[0]] + words[last] - words[before[1]] > size / 4 + 1
-                    if far and LEAST_WORDS <= size <= 0.7 * words[-1]:
-                        out.append((at + starts[k], at + (starts[last] - 1 if last < len(starts) else len(line))))
-                    before = k, last
-        at += len(line) + 1
-    return out
+#: A task works on so many bytes of texts at a time.
+SLICE_BYTES = 1 << 18
+#: A paragraph or run says something if its words are this share of them different ones; the like of one word over and
+#: over is no passage.
+VARIED = 0.4
 
 
 def _hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each part, a key of its words' sequence, its distinct shingles and where each part's begin."""
+    """Words and their texts' first ones, a key of each text's sequence of words, its distinct shingles and where they begin."""
     words, first = byte_words(parts)
     key = run_hashes(words, first[:-1], first[1:]).view(np.int64)
     h, begins = distinct_sets(*shingles(words, first))
-    return np.diff(first), key, h, begins
+    return words, first, key, h, begins
 
 
 def _bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -81,32 +44,43 @@ def _bands(h: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def paragraph_places(text: str) -> list[tuple[int, int]]:
+    """(start, end) in characters of the paragraphs of a text that are not empty; "\\n" ends one."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if line:
+            out.append((at, at + len(line)))
+        at += len(line) + 1
+    return out
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, start, end, node, n, bands) of the paragraphs and pieces of LEAST_WORDS words or more of (id, text)."""
+    """(id, start, end, node, n, bands, sig) of the varied paragraphs of LEAST_WORDS words or more of (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "start", "end", "node", "n", "bands", "sig"]
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             at, where, parts = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for a, b in pieces(text or ""):
-                    at.append(i)
-                    where.append((a, b))
-                    parts.append(text[a:b])
-            count, key, h, begins = _hashed(parts)
-            ok = np.flatnonzero(count >= LEAST_WORDS)
+                for a, b in paragraph_places(text or ""):
+                    if b - a >= 2 * LEAST_WORDS - 1:
+                        at.append(i)
+                        where.append((a, b))
+                        parts.append(text[a:b])
+            words, first, key, h, begins = _hashed(parts)
+            different = np.diff(distinct_sets(words, first)[1])
+            own = (np.diff(first) >= LEAST_WORDS) & (different >= VARIED * np.minimum(np.diff(first), 2 * LEAST_WORDS))
+            ok = np.flatnonzero(own)
             if not len(ok):
                 continue
-            own = np.repeat(count >= LEAST_WORDS, np.diff(begins))
             n = np.diff(begins)[ok]
-            bands = _bands(h[own], np.concatenate(([0], np.cumsum(n))))
+            h, begins = h[np.repeat(own, np.diff(begins))], np.concatenate(([0], np.cumsum(n)))
             place = np.array(where, np.int64)[ok]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(np.array(at)[ok])), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(key[ok]), pa.array(n), pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))],
-                names=["id", "start", "end", "node", "n", "bands"],
-            )
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(ok) + 1, dtype=np.int32) * BANDS), pa.array(_bands(h, begins).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(np.array(at)[ok])), pa.array(place[:, 0]), pa.array(place[:, 1]), pa.array(key[ok]), pa.array(n), bands, pa.array(signatures(h, begins), pa.binary())], names=names)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long, n long, bands array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long, n long, bands array<long>, sig binary")
 
 
 def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -114,7 +88,7 @@ def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
     Whether a run starts is decided by the 2 * RUN - 1 words around it, so of 2 * RUN - 1 words or more that two texts
     share both have a run, and a text's runs leave no word between them out. Equal heads close together, as repeated
-    words have, are thinned out to half of RUN.
+    words have, are thinned out to half of RUN. Runs of few different words are left out.
     """
     if len(words) < 2 * RUN - 1:
         return np.empty(0, np.int64)
@@ -133,7 +107,10 @@ def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
             else:
                 last = k
         found = found[keep]
-    return found
+    if not len(found):
+        return found
+    inside = np.sort(np.lib.stride_tricks.sliding_window_view(words, RUN)[found], axis=1)
+    return found[1 + (inside[:, 1:] != inside[:, :-1]).sum(1) >= VARIED * RUN]
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -141,7 +118,7 @@ def runs(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             words, first, start, end = placed_words([x or "" for x in batch.column("text").to_pylist()])
             at = run_starts(words, first)
             owner = np.searchsorted(first, at, side="right") - 1
@@ -154,68 +131,77 @@ def runs(docs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(id, start, end, first) of the runs whose words an earlier run has, by id and start; first is the earliest.
 
-    Runs are counted by their keys alone; only those that repeat are kept with their places. A run that overlaps the
+    Runs are counted by their keys alone, summed up before they are dealt; only those that repeat keep their places. A key
+    that very many texts share meets one row, in a stage of its own, which Spark can split. A run that overlaps the
     first in its own text stays.
     """
-    found = runs(docs)
-    twice = found.groupBy("node").count().where("count > 1").select("node")
-    again = stored(found.join(twice, "node"), "repeated-runs", compression="zstd")
-    first = again.groupBy("node").agg(F.min(F.struct("id", "start", "end")).alias("first"))
+    with passing(docs.sparkSession, "runs") as folder:
+        found = stored(runs(docs), "all", folder, compression="zstd")
+        twice = stored(found.groupBy("node").agg(F.count("*").alias("count"), F.min("id").alias("least")).where("count > 1").select("node", "least"), "twice", folder)
+        again = stored(found.join(twice, "node"), "repeated-runs", compression="zstd")
+    first = again.where("id = least").groupBy("node").agg(F.min(F.struct("id", "start", "end")).alias("first"))
     later = (F.col("id") != F.col("first.id")) | (F.col("start") >= F.col("first.end"))
-    return again.join(first, "node").where(later).select("id", "start", "end", "first")
+    return again.join(stored(first, "first-runs"), "node").where(later).select("id", "start", "end", "first")
 
 
 def _texts(rows: DataFrame) -> DataFrame:
     """(node, text) of the paragraphs wanted: node, start and end in (text, wanted)."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             parts, nodes = [], []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                parts += [text[x["start"] : x["end"]] for x in wanted]
-                nodes += [x["node"] for x in wanted]
-            own = pa.array(_hashed(parts)[1] == np.array(nodes, np.int64))  # an id may have several texts
+            for text, places in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                parts += [text[x["start"] : x["end"]] for x in places]
+                nodes += [x["node"] for x in places]
+            own = pa.array(_hashed(parts)[2] == np.array(nodes, np.int64))  # an id may have several texts
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(parts, pa.string())], names=["node", "text"]).filter(own)
 
     return rows.select("text", "wanted").mapInArrow(run, "node long, text string")
 
 
 def _sets(texts: list[str]) -> list[np.ndarray]:
-    _, _, h, begins = _hashed(texts)
+    *_, h, begins = _hashed(texts)
     return [h[a:b] for a, b in zip(begins, begins[1:])]
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Per paragraph to remove: id, start, end (characters), n_shingles, and the kept one's first_<id>, first_start.
-
-    Paragraphs of equal words are one node. Nodes that share a band, through others too, are a group; within it
-    sets of five-word shingles are compared exactly, and the links' components are the classes. The first paragraph
-    of a class, by id and start, stays and all others are returned: every copy, near (a Jaccard of percent or
-    more) or exact (column exact says that its words are the first one's). Runs of RUN words that repeat exactly are
-    returned like paragraphs, wherever they lie, so every passage of 2 * RUN - 1 words or more is found. A piece is returned only where its own
-    class repeats, so rows may lie within others; remove their union. Null and empty texts and null ids give no
-    rows; repeated rows of one id and text are the same paragraphs; an empty table gives an empty result.
+def near_paragraphs(rows: DataFrame, percent: int = 80) -> DataFrame:
+    """Per paragraph of (id, text) that a class has before: id, start, end, n, keep (first, node of the class), exact.
+
+    Paragraphs of equal words are one node from the start. Nodes that share a band are compared by sizes and parity
+    signatures there; those that these don't tell apart are a group, in which sets of five-word shingles are compared
+    exactly. The links' components are the classes, and the first paragraph of each, by id and start, is kept.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = paragraphs(rows)
-    parts = stored(found, "paragraphs", compression="zstd")
+    parts = stored(paragraphs(rows), "paragraphs", compression="zstd")
     place = F.struct("id", "start", "end")
-    classes = stored(parts.groupBy("node", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies")), "paragraph-classes")
-    postings = parts.select("node", F.explode("bands").alias("band"))
-    groups = components(star_edges(postings, "band")).select("node", F.col("root").alias("comp"))
-    candidates = stored(groups.join(classes, "node"), "paragraph-candidates")
+    classes = stored(parts.groupBy("node", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "paragraph-classes", compression="zstd")
+    postings = classes.select("node", F.shiftleft("n", SALT_BITS).alias("m"), F.explode("bands").alias("h"))
+    with passing(rows.sparkSession, "paragraph-keys") as folder:
+        groups = components(close_edges(postings, classes.select("node", "n", "sig"), folder, percent)).select("node", F.col("root").alias("comp"))
+    candidates = stored(groups.join(classes.select("node", "n", "first", "copies"), "node"), "paragraph-candidates")
     blocks = with_blocks(candidates.select("comp", "node", "n", "copies"))
-    wanted = candidates.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("wanted"))
-    links = stored(verified(_texts(rows.join(wanted, "id")).join(blocks, "node"), _sets, percent), "paragraph-links")
-    joined = components(links)
-    repeated = classes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    places = candidates.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("node", F.col("first.start").alias("start"), F.col("first.end").alias("end"))).alias("wanted"))
+    links = stored(verified(_texts(wanted(rows, places.select("id")).join(places, "id")).join(blocks, "node"), _sets, percent), "paragraph-links")
+    repeated = classes.select("node", "first", "last").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = repeated.groupBy("root").agg(F.min(F.struct("first", "node")).alias("keep"), F.max("last").alias("last")).where(F.col("keep.first") != F.col("last"))
-    of = repeated.join(first.drop("last"), "root").select("node", "keep")
-    out = parts.select("id", "start", "end", "node", "n").join(of, "node").where(place != F.col("keep.first"))
-    whole = out.select(
-        F.col("id").alias(id_col), "start", "end", F.col("n").alias("n_shingles"), F.col("keep.first.id").alias(f"first_{id_col}"), F.col("keep.first.start").alias("first_start"), (F.col("node") == F.col("keep.node")).alias("exact")
-    )
-    inside = repeated_runs(rows).select(F.col("id").alias(id_col), "start", "end", F.lit(RUN - 4).cast("long").alias("n_shingles"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), F.lit(True).alias("exact"))
+    of = stored(repeated.join(first.drop("last"), "root").select("node", "keep"), "paragraph-kept")
+    later = parts.select("id", "start", "end", "node", "n").join(of, "node").where(place != F.col("keep.first"))
+    return later.select("id", "start", "end", "n", "keep", (F.col("node") == F.col("keep.node")).alias("exact"))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """Per passage to remove: id, start, end (characters), n_shingles, exact, and the kept one's first_<id>, first_start.
+
+    Passages are paragraphs of LEAST_WORDS words or more that are a copy, near (a Jaccard of percent or more over
+    five-word shingles) or exact (exact says that the words are the kept one's), of an earlier paragraph's class, and
+    runs of RUN words that an earlier run repeats exactly, wherever they lie, so every passage of 2 * RUN - 1 words or more
+    is found. Rows may lie within others; remove their union. Passages of few different words (VARIED) are left
+    alone. Null and empty texts and null ids give no rows; repeated rows of one id and text are the same passages; an
+    empty table gives an empty result. Other columns are not read.
+    """
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = [F.col("id").alias(id_col), F.col("start"), F.col("end")]
+    whole = near_paragraphs(rows, percent).select(*kept, F.col("n").alias("n_shingles"), F.col("keep.first.id").alias(f"first_{id_col}"), F.col("keep.first.start").alias("first_start"), "exact")
+    inside = repeated_runs(rows).select(*kept, F.lit(RUN - 4).cast("long").alias("n_shingles"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), F.lit(True).alias("exact"))
     return whole.unionByName(inside)
 
 

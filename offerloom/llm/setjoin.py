@@ -17,39 +17,6 @@ BLOCK_SETS, BLOCK_MEMBERS = 500, 3_000_000
 COLUMNS = 2048
 
 
-def star_edges(postings: DataFrame, key: str, node: str = "node") -> DataFrame:
-    """Edges (u, v) that join all nodes which share a key (a long) with each other, directly or over others.
-
-    One exchange by ranges of (key, node), so that a hot key lies over many tasks. Each links the nodes of a key to
-    the first one it has; the two keys that may go on in other tasks, one row for each end, are joined afterwards.
-    """
-
-    def run(batches):
-        key, first, ends = None, None, []
-        for batch in batches:
-            k, x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(k):
-                continue
-            if key is None:
-                ends.append((int(k[0]), int(x[0])))
-            new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-            v = np.where(head < 0, 0 if first is None else first, x[head])
-            key, first = k[-1], v[-1]
-            far = x != v
-            u, v = np.unique(np.stack((x[far], v[far])), axis=1) if far.any() else (x[far], v[far])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(u), pa.array(v)], names=["key", "u", "v"])
-        if key is not None:
-            ends.append((int(key), int(first)))
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.nulls(len(ends), pa.int64())], names=["key", "u", "v"])
-
-    rows = postings.select(F.col(key).alias("key"), F.col(node).alias("node"))
-    found = stored(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(run, "key long, u long, v long"), "key-edges", compression="zstd")
-    ends = found.where("key is not null").select("key", "u")
-    across = ends.join(ends.groupBy("key").agg(F.min("u").alias("v")), "key").where("u <> v").select("u", "v")
-    return found.where("key is null").select("u", "v").unionByName(across)
-
-
 #: Sets of up to so many members have a parity signature of so many bits: bit h % bits is flipped for each member h.
 #: Bits in which two sets' signatures differ are at most the members that only one of them has. A longer signature
 #: folds to a shorter one, so any two can be compared.
