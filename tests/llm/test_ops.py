@@ -22,7 +22,7 @@ from offerloom.llm import op08_toxicity as op8
 from offerloom.llm import op09_token_ids as op9
 from offerloom.llm import op10_packing as op10
 from offerloom.llm import setjoin
-from offerloom.llm.components import components
+from offerloom.operators.components import components
 from offerloom.llm.encoder import Encoder
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
