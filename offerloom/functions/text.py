@@ -6,12 +6,15 @@ space and the byte-order mark; word characters at a boundary are ASCII only. Jav
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space class, its characters, and the ASCII word boundary, in Java's syntax.
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -189,6 +192,27 @@ def slug(c: Column) -> Column:
     return F.btrim(F.regexp_replace(t, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+@F.pandas_udf(T.StringType())
+def last_json_object(c: pd.Series) -> pd.Series:
+    """The JSON object that a text ends with (white space may follow), tried from the last { backwards; null if none parses."""
+
+    def last(t: str | None) -> str | None:
+        at = len(t or "")
+        while (at := (t or "").rfind("{", 0, at)) >= 0:
+            try:
+                return json.dumps(json.loads(t[at:]), ensure_ascii=False)
+            except ValueError:
+                continue
+        return None
+
+    return c.map(last, na_action="ignore").astype(object).where(c.notna(), None)
+
+
+def positive_int(c: Column, fallback: int) -> Column:
+    """The whole number that a text begins with if it is 1 or more, else fallback."""
+    return bound(F.try_to_number(F.regexp_extract(c, rf"^{WS}*\+?([0-9]{{1,18}})", 1), F.lit("999999999999999999")).cast("long"), lambda n: F.when(n >= 1, n).otherwise(fallback))
+
+
 def status_code(c: Column) -> Column:
     """The first number of exactly three digits, or null."""
     return bound(F.regexp_extract(c, BOUNDARY + r"(\d{3})" + BOUNDARY, 1), lambda n: F.when(n != "", n).cast("int"))

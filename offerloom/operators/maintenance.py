@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Added by the migration, with the values that rows without them get.
@@ -50,16 +50,27 @@ def with_failures(offers: DataFrame, now: Column, error: str = "new_error", code
 def retry_state(attempts: DataFrame, key: str = "offer_id", at: str = "ts", tie: str = "attempt_id", ok: str = "ok") -> DataFrame:
     """Per key: retry_count (failures since the last success), last_error_at (of these) and fetched_at (last success).
 
-    ok is a boolean column. One window by key; the streaming form of this is in streaming.retries.
+    ok is a boolean column. Two aggregates that are summed up before they are dealt, and a join that Spark can split, so a
+    key with very many attempts is in no window; the streaming form of this is in streaming.retries.
     """
-    order = Window.partitionBy(key).orderBy(at, tie)
-    good = F.sum(F.when(F.col(ok), 1).otherwise(0)).over(order)
-    runs = attempts.withColumn("__run", good)
-    last = runs.groupBy(key, "__run").agg(F.count_if(~F.col(ok)).alias("retry_count"), F.max(F.when(~F.col(ok), F.col(at))).alias("last_error_at"), F.max(F.when(F.col(ok), F.col(at))).alias("fetched_at"))
-    return last.groupBy(key).agg(F.max_by(F.struct("retry_count", "last_error_at", "fetched_at"), "__run").alias("x")).select(key, "x.*")
+    place = F.struct(at, tie)
+    good = attempts.groupBy(key).agg(F.max(F.when(F.col(ok), place)).alias("__last"))
+    bad = attempts.where(~F.col(ok)).select(key, at, tie).join(good, key).where(F.col("__last").isNull() | (place > F.col("__last")))
+    failures = bad.groupBy(key).agg(F.count("*").alias("retry_count"), F.max(at).alias("last_error_at"))
+    return good.join(failures, key, "left").select(key, F.coalesce("retry_count", F.lit(0)).alias("retry_count"), "last_error_at", F.col("__last")[at].alias("fetched_at"))
 
 
 def run_summary(results: DataFrame, status: str = "status") -> DataFrame:
     """One row of counters: inserted, updated, linked, created, skipped, failed and total."""
     names = ("inserted", "updated", "linked", "created", "skipped", "failed")
     return results.agg(*[F.count_if(F.col(status) == n).alias(n) for n in names], F.count("*").alias("total"))
+
+
+def merged_summary(*summaries: DataFrame) -> DataFrame:
+    """One row with the sums of the counters of several runs; a counter that a run lacks, or that is no number, counts 0."""
+    names = list(dict.fromkeys(c for s in summaries for c in s.columns))
+    every = summaries[0]
+    for s in summaries[1:]:
+        every = every.unionByName(s, allowMissingColumns=True)
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c))
+    return every.agg(*[F.coalesce(F.sum(number(c)), F.lit(0)).alias(c) for c in names])

@@ -582,7 +582,7 @@ def import_json(spark, sf_dir):
     return out.select("store", "title", "price", "shipping", "total", "currency", "url", "brand", "model", "in_stock", "op")
 
 
-@query("SELECT p_partkey, replace(replace(regexp_replace(regexp_replace(format('{:,.2f}', p_retailprice), '0+$', ''), '\.$', ''), ',', chr(160)), '.', ',') || CASE WHEN p_partkey % 2 = 0 THEN ' EUR' ELSE ' SEK' END AS shown FROM part")
+@query("SELECT p_partkey, replace(replace(regexp_replace(regexp_replace(format('{:,.2f}', p_retailprice), '0+$', ''), '[.]$', ''), ',', chr(160)), '.', ',') || CASE WHEN p_partkey % 2 = 0 THEN ' EUR' ELSE ' SEK' END AS shown FROM part")
 def format_prices(spark, sf_dir):
     code = F.when(F.pmod("p_partkey", F.lit(2)) == 0, "").otherwise("SEK")
     return table(spark, sf_dir, "part").select("p_partkey", money.format_price(F.col("p_retailprice"), code).alias("shown"))

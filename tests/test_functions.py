@@ -101,6 +101,8 @@ def test_urls(spark, f, value, want):
         (text.clean, "\u00a0 NaN\n", None), (text.clean, "[object Object]", None), (text.clean, " \ufeff ", None), (text.clean, " nan1 ", "nan1"), (text.clean, None, None),
         (text.match_text, "A&B (X/200)\u00a0Ääni+1.5-x |", "a and b x 200 ääni+1.5-x"), (text.match_text, None, ""), (text.canon_title, "Näyttö  27\" (X)", "n ytt 27 x"),
         (lambda c: text.title_fields(c)["models"], "TV OLED55-c3.4 ja 12kk", ["oled55c34", "12kk"]), (lambda c: text.title_fields(c)["tokens"], "The tv tv12 with tv12", ["tv12"]),
+        (text.last_json_object, 'log {x\n{"a": {"b": 1}} \n', '{"a": {"b": 1}}'), (text.last_json_object, 'log {"a": 1}\n', '{"a": 1}'), (text.last_json_object, "none {", None), (text.last_json_object, None, None),
+        (lambda c: text.positive_int(c, 7), " 12x", 12), (lambda c: text.positive_int(c, 7), "0", 7), (lambda c: text.positive_int(c, 7), "-3", 7), (lambda c: text.positive_int(c, 7), "x", 7), (lambda c: text.positive_int(c, 7), None, 7),
         (money.currency, "5 usd", "USD"), (money.currency, "USDT", "EUR"), (lambda c: money.currency(c, nordic=True), "5 kr", "SEK"), (lambda c: money.currency(c, nordic=True), "KR", "EUR"), (money.currency, "5 kr", "EUR"),
         (money.parse_price, "1\u00a0299,00 €", 1299.0), (money.parse_price, "12.990", 12990.0), (money.parse_price, "0.125", 125.0), (money.parse_price, "1234.567", 1234.56), (money.parse_price, "-5,9", 5.9), (money.parse_price, "99,-", 99.0), (money.parse_price, "x", None),
     ],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from offerloom.operators import crawl, extract, linking, maintenance, matching, prices, refresh
 from offerloom.operators.numbering import numbered
-from offerloom.sources import pages, snapshots
+from offerloom.sources import fetch, pages, snapshots
 
 
 def test_greedy_linking_equals_a_plain_fold(spark):
@@ -259,3 +259,34 @@ def test_failed_offers_come_newest_first(spark):
     rows = [(1, 0, None, None, 404, "2020-01-01"), (2, 1, "e", "2024-01-30", 500, None), (3, 2, "e", "2024-01-30", 500, None), (4, 9, "e", "2024-01-01", 500, None), (5, 0, "e", None, None, "2024-01-29")]
     df = spark.createDataFrame(rows, "offer_id int, retry_count int, last_error string, last_error_at string, last_status_code int, fetched_at string").withColumns({c: F.col(c).cast("timestamp") for c in ("last_error_at", "fetched_at")})
     assert [r.offer_id for r in maintenance.failed(df, now).collect()] == [3, 2, 5, 1]
+
+
+def test_fetched_pages_keep_their_status(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Shop(BaseHTTPRequestHandler):
+        def do_GET(self):
+            gone = self.path == "/gone"
+            self.send_response(404 if gone else 200)
+            self.send_header("content-type", "text/html; charset=utf-8")
+            self.end_headers()
+            self.wfile.write(b"" if gone else f"<h1>Näyttö {self.headers['user-agent']}</h1>".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Shop)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    wanted = spark.createDataFrame([(f"{base}/a",), (f"{base}/a",), (f"{base}/gone",), ("http://127.0.0.1:1/x",), ("file:///etc/hosts",), (None,)], "url string")
+    got = {r.url: r for r in fetch.fetch_pages(wanted, "test", timeout_ms=3000, delay_ms=0).collect()}
+    server.shutdown()
+    assert len(got) == 3 and (got[f"{base}/a"].html, got[f"{base}/a"].status) == ("<h1>Näyttö test</h1>", 200)
+    assert (got[f"{base}/gone"].html, got[f"{base}/gone"].status, got[f"{base}/gone"].status_text) == (None, 404, "Not Found") and got["http://127.0.0.1:1/x"].status is None
+
+
+def test_summaries_add_up(spark):
+    a = spark.createDataFrame([(1, 2.0)], "inserted long, failed double")
+    b = spark.createDataFrame([(4, float("nan"), 3)], "inserted long, failed double, updated long")
+    assert maintenance.merged_summary(a, b).first().asDict() == {"inserted": 5, "failed": 2.0, "updated": 3}
