@@ -7,23 +7,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE = "retry_count int, last_error_at timestamp, fetched_at timestamp, seen timestamp"
+STATE = "retry_count int, last_error_at timestamp, fetched_at timestamp"
 
 
 def retry_states(attempts: DataFrame, key: str = "offer_id", at: str = "ts", tie: str = "attempt_id", ok: str = "ok") -> DataFrame:
     """Update-mode rows (key, retry_count, last_error_at, fetched_at) whenever an offer had attempts.
 
-    State is one small row for each offer. Attempts of a batch are applied by time; those older than what was
-    seen of their offer in an earlier batch are applied when they come, as a late report would be.
+    State is one small row for each offer. Attempts of a batch are applied by time; those older than what was seen of
+    their offer in an earlier batch are applied when they come, as a late report would be. Of an offer's attempts in a batch
+    a task holds the failures after the last success that it has met so far, by time and tie alone.
     """
 
     def step(k, batches, state: GroupState):
-        n, failed_at, fetched_at, seen = state.get if state.exists else (0, None, None, None)
-        rows = pd.concat(list(batches)).sort_values([at, tie])
-        for t, good in zip(rows[at], rows[ok]):
-            n, failed_at, fetched_at = (0, None, t) if good else (n + 1, t, fetched_at)
-            seen = t if seen is None or t > seen else seen
-        state.update((n, failed_at, fetched_at, seen))
+        n, failed_at, fetched_at = state.get if state.exists else (0, None, None)
+        success, failures = None, []
+        for rows in batches:
+            good = rows[ok].astype(bool)
+            if good.any():
+                last = max(zip(rows.loc[good, at], rows.loc[good, tie]))
+                success = last if success is None else max(success, last)
+            failures.append(rows.loc[~good, [at, tie]])
+            if success is not None:
+                failures = [f[(f[at] > success[0]) | ((f[at] == success[0]) & (f[tie] > success[1]))] for f in failures]
+        if success is not None:
+            n, failed_at, fetched_at = 0, None, success[0]
+        times = [f[at].max() for f in failures if len(f)]
+        n, failed_at = n + sum(map(len, failures)), max(times) if times else failed_at
+        state.update((n, failed_at, fetched_at))
         yield pd.DataFrame({key: [k[0]], "retry_count": pd.array([n], "int32"), "last_error_at": pd.to_datetime([failed_at]), "fetched_at": pd.to_datetime([fetched_at])})
 
     kind = attempts.schema[key].dataType.simpleString()
