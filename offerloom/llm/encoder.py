@@ -11,7 +11,8 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -30,19 +31,23 @@ _TOGETHER = 4096
 _KEPT: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, memo: int = 1_000_000, splice: bool = True) -> Encoder:
-    """One per Python worker, so that the memo serves all of its tasks."""
-    key = (path, memo, splice)
+@contextmanager
+def encoding(path: str, splice: bool = True) -> Iterator[Encoder]:
+    """One encoder per Python worker, whose memo serves one task: a worker that goes on to other work keeps no words."""
+    key = (path, splice)
     if key not in _KEPT:
-        _KEPT[key] = Encoder(path, memo, splice=splice)
-    return _KEPT[key]
+        _KEPT[key] = Encoder(path, splice=splice)
+    try:
+        yield _KEPT[key]
+    finally:
+        _KEPT[key].memo.clear()
 
 
 class Encoder:
     """memo: distinct words kept at most; when more come, it starts anew. splice: long texts are encoded from
     overlapping chunks even where they could be cut between words."""
 
-    def __init__(self, path: str, memo: int = 1_000_000, chunk: int = 1 << 15, overlap: int = 512, splice: bool = True):
+    def __init__(self, path: str, memo: int = 500_000, chunk: int = 1 << 15, overlap: int = 512, splice: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

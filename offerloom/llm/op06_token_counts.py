@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices
-from .encoder import encoder
+from .encoder import encoding
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
@@ -20,13 +20,13 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches):
-        enc = encoder(path)
-        for batch in slices(batches, "text"):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array([len(x) for x in enc.ids(texts)], pa.int64())],
-                names=["id", "n_bytes", "n_tokens"],
-            )
+        with encoding(path) as enc:
+            for batch in slices(batches, "text", 1 << 20):
+                texts = [x or "" for x in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array([len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()), pa.array([len(x) for x in enc.ids(texts)], pa.int64())],
+                    names=["id", "n_bytes", "n_tokens"],
+                )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counted = rows.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")

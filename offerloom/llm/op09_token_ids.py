@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import documents, scratch_dir, slices
-from .encoder import encoder
+from .encoder import encoding
 
 #: A file row is closed when it has so many ids; it always holds whole documents.
 ROW_IDS = 1 << 16
@@ -30,7 +30,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int, id_col: s
     kind = docs.schema[id_col].dataType
 
     def encode(batches):
-        enc, part, before = encoder(path, splice=False), TaskContext.get().partitionId(), 0
+        part, before = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
 
         def row():
@@ -46,14 +46,15 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int, id_col: s
             return out
 
         size = 0
-        for batch in slices(batches, "text"):
-            id_type = batch.schema.field("id").type
-            for i, x in zip(batch.column("id").to_pylist(), enc.ids([t or "" for t in batch.column("text").to_pylist()])):
-                held.append((i, np.append(x, np.uint32(end_id))))
-                size += len(x) + 1
-                if size >= ROW_IDS:
-                    yield row()
-                    size = 0
+        with encoding(path, splice=False) as enc:
+            for batch in slices(batches, "text", 1 << 20):
+                id_type = batch.schema.field("id").type
+                for i, x in zip(batch.column("id").to_pylist(), enc.ids([t or "" for t in batch.column("text").to_pylist()])):
+                    held.append((i, np.append(x, np.uint32(end_id))))
+                    size += len(x) + 1
+                    if size >= ROW_IDS:
+                        yield row()
+                        size = 0
         if held:
             yield row()
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, slices
-from .encoder import encoder
+from .encoder import encoding
 
 #: Pieces that are packed together, at most: it bounds a task's memory.
 PACK_ROWS = 200_000
@@ -79,7 +79,6 @@ def packed(docs: DataFrame, path: str, end_id: int, size: int = 2048, id_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches):
-        enc = encoder(path)
         next_id = TaskContext.get().partitionId() << 40
         pieces: list[tuple] = []
 
@@ -93,14 +92,15 @@ def packed(docs: DataFrame, path: str, end_id: int, size: int = 2048, id_col: st
             return out
 
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in slices(batches, "text"):
-            id_type = batch.schema.field("id").type
-            for i, x in zip(batch.column("id").to_pylist(), enc.ids([t or "" for t in batch.column("text").to_pylist()])):
-                x = np.append(x, np.uint32(end_id)).astype("<u4")
-                for a in range(0, len(x), size):
-                    pieces.append((i, a, min(size, len(x) - a), zlib.crc32(x[a : a + size].tobytes()), len(x)))
-                if len(pieces) >= PACK_ROWS:
-                    yield close()
+        with encoding(path) as enc:
+            for batch in slices(batches, "text", 1 << 20):
+                id_type = batch.schema.field("id").type
+                for i, x in zip(batch.column("id").to_pylist(), enc.ids([t or "" for t in batch.column("text").to_pylist()])):
+                    x = np.append(x, np.uint32(end_id)).astype("<u4")
+                    for a in range(0, len(x), size):
+                        pieces.append((i, a, min(size, len(x) - a), zlib.crc32(x[a : a + size].tobytes()), len(x)))
+                    if len(pieces) >= PACK_ROWS:
+                        yield close()
         if pieces:
             yield close()
 
