@@ -55,11 +55,19 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
 
     m holds the set's size and a salt for frequent bins, as shared_keys takes it. Any other bin has few postings.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(np.array(frequent, np.int64))
+    by_bin = np.argsort(np.array(frequent, np.int64), kind="stable")
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(frequent, np.int64)[by_bin], len(frequent) - by_bin))  # the most frequent has the highest
 
     def run(batches):
-        rank = np.zeros(COUNT_BINS, np.int32)
-        rank[sent.value[::-1]] = np.arange(1, len(sent.value) + 1)  # the most frequent has the highest
+        some = np.zeros(COUNT_BINS, bool)
+        some[sent.value[0]] = True
+
+        def rank_of(h):
+            out, bins = np.zeros(len(h), np.int32), (h >> np.uint64(40)).astype(np.int64)
+            at = np.flatnonzero(some[bins])
+            out[at] = sent.value[1][np.searchsorted(sent.value[0], bins[at])]
+            return out
+
         for batch in slices(batches, "text"):
             h, begins, node = _sets([x or "" for x in batch.column("text").to_pylist()], size)
             n = np.diff(begins)
@@ -67,12 +75,13 @@ def _postings(docs: DataFrame, size: int, percent: int, frequent: list[int]) ->
             once = np.zeros(len(n), bool)  # of copies in a batch one stands for all
             once[np.unique(node, return_index=True)[1]] = True
             owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, rank[(h >> np.uint64(40)).astype(np.int64)], owner))
+            rank = rank_of(h)
+            order = np.lexsort((h, rank, owner))
             nth = np.arange(len(h)) - begins[:-1][owner]
             first = nth < key_count(n, percent)[owner]
             first &= once[owner]
-            h, owner = h[order][first], owner[first]
-            m = n[owner] << SALT_BITS | np.where(rank[(h >> np.uint64(40)).astype(np.int64)] > 0, salt[owner], 0)
+            h, rank, owner = h[order][first], rank[order][first], owner[first]
+            m = n[owner] << SALT_BITS | np.where(rank > 0, salt[owner], 0)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[owner]), pa.array(m)], names=["h", "node", "m"])
 
     return docs.select("text").mapInArrow(run, "h long, node long, m long")
