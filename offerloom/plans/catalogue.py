@@ -13,7 +13,7 @@ from ..operators import crawl, extract, linking, maintenance, matching, prices,
 from ..sources import pages, snapshots
 from ..sources.scratch import scratch_dir, stored
 from ..streaming import retries
-from .views import ATTEMPTS_SQL, MATCH_TEXT, OFFERS_SQL, PRODUCTS_SQL, QUERIES_SQL, REASON_SQL, SCORE_SQL, STATES_SQL, attempts, canonical_sql, ean_of, offer_states, offers, products, queries_view, scored_sql, table
+from .views import ATTEMPTS_SQL, MATCH_TEXT, OFFERS_SQL, PRODUCTS_SQL, QUERIES_SQL, REASON_SQL, SCORE_SQL, STATES_SQL, attempts, canonical_sql, offer_states, offers, products, queries_view, scored_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -390,9 +390,9 @@ SELECT 'u' || page AS url, min(depth) AS depth FROM w GROUP BY page""")
 def crawl_depths(spark, sf_dir):
     """A crawl of three rounds from one page over a table of links."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("a"))
-    n = p.agg(F.count("*").alias("n"))
+    n = p.agg(F.count("*")).scalar()
     name = lambda c: F.concat(F.lit("u"), c.cast("string"))
-    links = p.crossJoin(F.broadcast(n)).select(name(F.col("a")).alias("parent"), F.explode(F.array(name((F.col("a") * 7 + 1) % F.col("n")), name((F.col("a") * 3 + 2) % F.col("n")))).alias("link"))
+    links = p.select("a", n.alias("n")).select(name(F.col("a")).alias("parent"), F.explode(F.array(name((F.col("a") * 7 + 1) % F.col("n")), name((F.col("a") * 3 + 2) % F.col("n")))).alias("link"))
     return pages.crawl(stored(links, "links"), spark.createDataFrame([("u0",)], "url string"))
 
 
