@@ -46,7 +46,7 @@ def write_token_ids(docs: DataFrame, out: str, path: str, end_id: int, id_col: s
             return out
 
         size = 0
-        with encoding(path, splice=False) as enc:
+        with encoding(path, splice=False, memo=1_000_000, keep=True) as enc:
             for batch in slices(batches, "text", 1 << 20):
                 id_type = batch.schema.field("id").type
                 for i, x in zip(batch.column("id").to_pylist(), enc.ids([t or "" for t in batch.column("text").to_pylist()])):
