@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_toxicity": "op08_toxicity",
     "op9_token_ids": "op09_token_ids",
     "op10_packing": "op10_packing",
+    "op11_fill_in_middle": "op11_fill_in_middle",
+    "op12_importance_resampling": "op12_importance_resampling",
+    "op13_html_extraction": "op13_html_extraction",
 }
 
 
