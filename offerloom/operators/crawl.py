@@ -1,110 +1,69 @@
-"""Best-first crawl of a store's categories over a table of pages: budgets bound what is read and what the driver holds."""
+"""A crawl of a store's categories as rounds over a whole frontier: each ranks, cuts and joins DataFrames, and budgets are window sums."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..sources import pages as p
 from ..sources.scratch import stored
 
-COUNTERS = ("categories", "subcategories", "pages", "products_found")
 
+def site(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(category, number, products, links) of each category page, its links read once for all rounds.
 
-def site(pages: DataFrame, known: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, products, categories, next_pages) of each page, read once for all pages.
-
-    products: (url, known) in the page's order, known by the table known (url). categories: (url, score, plain), best
-    first as seen from the page. Pages with a null url or html are left out.
+    category is the page's address without a page number, number the page's own, products the addresses in the page's order,
+    links (url, score, plain) those to other categories in the main content, with their scores as seen from the page and
+    by their words alone. Other pages, and pages with a null url or html, are left out; of two with one address one stays.
     """
-    read = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).dropDuplicates([url])
-    inside = F.filter(p.category_links(p.main_content(F.col(html)), json_links=False), lambda x: x["url"] != F.coalesce(urls.category_url(F.col(url)), F.col(url)))
-    scored = F.transform(inside, lambda x, i: F.struct((-p.category_rank(x["url"], F.col(url))).alias("minus"), F.length(x["url"]).alias("length"), i.alias("pos"), x["url"].alias("url"), p.keyword_score(x["url"], F.lit("")).alias("plain")))
-    ranked = F.transform(F.array_sort(scored), lambda x: F.struct(x["url"].alias("url"), (-x["minus"]).alias("score"), x["plain"].alias("plain")))
-    parts = stored(read.select(F.col(url).alias("url"), p.product_links(F.col(html)).alias("products"), ranked.alias("categories"), p.pagination_links(F.col(html), F.col(url)).alias("next_pages")), "site")
-    there = known.select(F.col("url").alias("product"), F.lit(True).alias("known")).distinct()
-    links = parts.select("url", F.posexplode("products").alias("pos", "product")).join(there, "product", "left")
-    marked = links.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "product", F.coalesce("known", F.lit(False)).alias("known")))), lambda x: F.struct(x["product"].alias("url"), x["known"].alias("known"))).alias("products"))
-    return stored(parts.drop("products").join(marked, "url", "left"), "site-known")
-
-
-def category_pages(first: str, read: Callable[[str, list[str]], Row | None], budget: int, most: int) -> tuple[list[Row], int] | None:
-    """A category's pages in the order of a breadth-first walk over its numbered pages, most of them at most, and how
-    many are not its first; None if the first can't be read.
+    read = pages.where(F.col(url).isNotNull() & F.col(html).isNotNull()).dropDuplicates([url]).withColumns({"category": urls.category_url(F.col(url)), "number": urls.page_number(F.col(url))})
+    found = F.filter(p.category_links(p.main_content(F.col(html)), json_links=False), lambda x: x["url"] != F.col("category"))
+    links = F.transform(found, lambda x: F.struct(x["url"].alias("url"), p.category_rank(x["url"], F.col("category")).alias("score"), p.keyword_score(x["url"], F.lit("")).alias("plain")))
+    return stored(read.where("category is not null").select("category", "number", p.product_links(F.col(html)).alias("products"), links.alias("links")), "site", compression="zstd")
 
-    budget bounds the pages after the first. A numbered page that the table lacks is read as an empty one. read takes an
-    address and those that will follow.
-    """
-    queue, seen, out, extra = [(first, 0)], set(), [], 0
-    while queue and len(seen) < most:
-        url, depth = queue.pop(0)
-        if url in seen or (depth and extra >= budget):
-            continue
-        page = read(url, [u for u, _ in queue[:most]])
-        seen.add(url)
-        extra += depth > 0
-        if page is None and not depth:
-            return None
-        out += [page] if page else []
-        if extra < budget:
-            # the page after this one is tried as well, where the walk is at a numbered page
-            guess = [f"{url.split('?')[0]}?page={depth + 1}"] if depth else []
-            queue += [(u, depth + 1) for u in [*(page["next_pages"] if page else []), *guess] if u not in seen]
-    return out, extra
 
+@dataclass
+class Crawled:
+    """categories: (url, score, depth, place); pages: (url, depth, place, number); products: (place, url), numbered from 1."""
 
-def crawl_categories(table: DataFrame, queue: DataFrame, depth: int = 3, categories: int = 120, budget: int = 240, per_category: int = 25, products: int = 500, noisy: int = 100) -> tuple[DataFrame, dict[str, int]]:
-    """(n, url) of the new product addresses in the order found, and counters of what was read.
+    categories: DataFrame
+    pages: DataFrame
+    products: DataFrame
 
-    table is that of site(), queue (url, depth, score) that of pages.first_queue. The best category is taken, its pages are
-    walked and its subcategories join the queue, 2 points worse for each step down, until categories, products, or the
-    queue are used up. budget numbered pages are read in all, per_category pages of one category; of more than noisy
-    subcategories the best stay. The driver holds the queue (4 * categories at most), what the table has of its pages, and the products; they are read
-    together when one of them is missing. products_found counts known and repeated ones, and the one over the limit.
-    """
-    spark = table.sparkSession
-    waiting = [(r["url"], r["depth"], r["score"]) for r in queue.collect()]
-    seen, found, counts = {w[0] for w in waiting}, {}, dict.fromkeys(COUNTERS, 0)
 
-    got: dict[str, Row | None] = {}
+def crawl_categories(site: DataFrame, queue: DataFrame, known: DataFrame, depth: int = 3, categories: int = 120, per_category: int = 25, budget: int = 240, products: int = 500, noisy: int = 100) -> Crawled:
+    """What a crawl reads from the categories of queue (url, score) on, and the products that known (url) lacks.
 
-    def read(url: str, later: list[str]) -> Row | None:
-        if url not in got:
-            wanted = list(dict.fromkeys([url, *later, *(w[0] for w in waiting)]))
-            got.update(dict.fromkeys(wanted))
-            got.update({r["url"]: r for r in table.where(F.col("url").isin(wanted)).collect()})
-        return got.pop(url)
+    Round d reads the d-th ring of the frontier whole: its categories, best score first, as many as are left of categories;
+    of each the pages numbered up to per_category; and of all pages but the first ones as many as are left of budget, in
+    the ring's order. Links of what was read, noisy of each category at most, that no ring has are the next ring, their
+    score less 2 for each step down. products are numbered in the order of ring, category, page and place.
 
-    while waiting and len(found) < products and counts["categories"] < categories:
-        url, at, _ = waiting.pop(0)
-        if at > depth:
-            continue
-        counts["categories"] += 1
-        walked = category_pages(url, read, budget - counts["pages"], per_category)
-        if walked is None:
-            continue
-        counts["pages"] += walked[1]
-        here = {x["url"]: x["known"] for page in walked[0] for x in page["products"] or []}
-        for product, known in here.items():
-            counts["products_found"] += 1
-            if len(found) >= products:
-                break
-            if not known:
-                found.setdefault(product, len(found))
-        below = {}
-        for page in walked[0]:
-            for x in page["categories"]:
-                below.setdefault(x["url"], x)
-        counts["subcategories"] += len(below)
-        ranked = sorted((x for u, x in below.items() if u != url), key=lambda x: (-x["score"], len(x["url"])))
-        for x in ranked[:noisy] if at < depth else ():
-            if x["url"] not in seen:
-                if len(seen) >= categories * 4:
-                    break
-                seen.add(x["url"])
-                waiting.append((x["url"], at + 1, x["plain"] - 2 * (at + 1)))
-        waiting.sort(key=lambda w: -w[2])
-    return spark.createDataFrame([(n, u) for u, n in found.items()], "n int, url string"), counts
+    A ring is bounded by the budgets (categories * per_category rows), so that its sums run in one task and it is broadcast;
+    the site's table is only joined, once a round, and the rounds are depth + 1 at most. The driver holds two counts.
+    """
+    best = F.struct(-F.col("score"), F.length("url"), "url")
+    front = queue.groupBy("url").agg(F.max("score").alias("score"))
+    seen = pages = None
+    for d in range(depth + 1):
+        place = F.row_number().over(Window.orderBy(best))
+        ring = stored(front.withColumns({"depth": F.lit(d), "place": place}).where(F.col("place") <= categories), "ring")
+        read = site.join(F.broadcast(ring.select(F.col("url").alias("category"), "place")), "category").withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("number")))
+        within = F.sum(F.when(F.col("nth") > 1, 1).otherwise(0)).over(Window.orderBy("place", "nth"))
+        read = stored(read.where(F.col("nth") <= per_category).withColumn("extra", within).where((F.col("nth") == 1) | (F.col("extra") <= budget)).withColumn("depth", F.lit(d)), "ring-pages")
+        seen, pages = (ring, read) if seen is None else (seen.unionByName(ring), pages.unionByName(read))
+        used = read.agg(F.count("*").alias("n"), F.count_if(F.col("nth") > 1).alias("extra")).first()
+        categories, budget = categories - ring.count(), budget - used["extra"]
+        if not used["n"] or categories <= 0:
+            break
+        linked = read.select("category", F.explode("links").alias("x")).groupBy("category", "x.url").agg(F.max("x.score").alias("score"), F.max("x.plain").alias("plain"))
+        kept = linked.withColumn("n", F.row_number().over(Window.partitionBy("category").orderBy(best))).where(F.col("n") <= noisy)
+        front = kept.groupBy("url").agg((F.max("plain") - 2 * (d + 1)).alias("score")).join(seen, "url", "left_anti")
+    shown = pages.select(F.posexplode("products").alias("pos", "url"), "depth", "place", "nth")
+    first = shown.groupBy("url").agg(F.min(F.struct("depth", "place", "nth", "pos")).alias("at")).join(known.select("url").distinct(), "url", "left_anti")
+    # the pages read are bounded, and so are their products: as many as their links
+    numbered = first.orderBy("at", "url").limit(products).select(F.row_number().over(Window.orderBy("at", "url")).alias("place"), "url")
+    return Crawled(seen, pages.select(F.col("category").alias("url"), "depth", "place", "number"), numbered)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,56 +14,84 @@ from .numbering import numbered
 
 #: Rows come in the order of (kind, id): products, then offers.
 PRODUCT, OFFER = 0, 1
+#: Keys of a range of open rows: they bound what a task holds.
+PER_RANGE = 200_000
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a range of open rows (id, keys) in order: those that are decided within it, and whether they found.
+
+    A row under a key that a founder of the range has is matched. Else, where an open row before the range, or one that is
+    undecided, has one of its keys, it is undecided; else it founds.
+    """
+    begins, taken, unsure = None, set(), set()
+    for batch in batches:
+        ids, founds = [], []
+        for i, keys in zip(batch.column("id").to_pylist(), batch.column("keys").to_pylist()):
+            begins = i if begins is None else begins
+            names = [k["key"] for k in keys]
+            if not taken.isdisjoint(names):
+                ids.append(i)
+                founds.append(False)
+            elif not unsure.isdisjoint(names) or any(k["least"] < begins for k in keys):
+                unsure.update(names)
+            else:
+                taken.update(names)
+                ids.append(i)
+                founds.append(True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(founds, pa.bool_())], names=["id", "founds"])
 
 
-def founders(keys: DataFrame) -> DataFrame:
-    """The rows of (row, key) that found a product: those that share no key with a founder before them.
+def founders(keys: DataFrame, products: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """The ids of the rows of (id, key) that found a product: those that share no key with a founder before them, nor one
+    of products (key).
 
-    row is a struct of kind and id, in whose order rows come; products are founders all. In each round a row that is the
-    first open one under all its keys founds, and the open rows under its keys are matched; at least the first open row
-    is decided, mostly a large share. Rows with the same keys are one from the start on, by the first of them. A round's
-    rows are met by one aggregate per key, so a key that very many rows share is in no group, and each round is written
-    to the shared folder.
+    Rows come in the order of their ids. In each round the open rows are dealt by ranges of per_range keys; within a range
+    they are decided one after the other, but for those that hang on open rows of earlier ranges (see settle). So the
+    first range is decided whole in each round, and of the others what is not chained to earlier ones: a chain of n rows
+    takes n / per_range rounds at most. Rows with the same keys are one from the start on, by the first of them. A key that very many rows
+    share is met by one aggregate and is in no group; each round is written to the shared folder.
     """
     spark = keys.sparkSession
-    mine = keys.where(F.col("row.kind") == PRODUCT).select("key").distinct()
-    alike = keys.where(F.col("row.kind") == OFFER).groupBy("row").agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.min("row").alias("row"))
-    every = alike.select("row", F.explode("keys").alias("key"))
-    matched = every.join(mine, "key", "left_semi").select("row").distinct()
+    alike = keys.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).groupBy("keys").agg(F.min("id").alias("id"))
+    every = alike.select("id", F.explode("keys").alias("key"))
+    matched = every.join(products.select("key").distinct(), "key", "left_semi").select("id").distinct()
     path, out = new_path(spark, "open"), None
-    still_open = stored(every.join(matched, "row", "left_anti"), "round", path)
-    while not still_open.isEmpty():
-        least = still_open.groupBy("key").agg(F.min("row").alias("least"))
-        seen = still_open.join(least, "key")
-        first = stored(seen.groupBy("row").agg(F.bool_and(F.col("least") == F.col("row")).alias("founds")).where("founds").select("row"), "founders")
-        taken = still_open.join(first, "row", "left_semi").select("key").distinct()
-        matched = still_open.join(taken, "key", "left_semi").select("row").distinct()
+    still_open = stored(every.join(matched, "id", "left_anti"), "round", path)
+    while n := still_open.count():
+        least = still_open.groupBy("key").agg(F.min("id").alias("least"))
+        rows = still_open.join(least, "key").groupBy("id").agg(F.collect_list(F.struct(F.concat_ws("|", "key.rank", "key.key").alias("key"), "least")).alias("keys"))
+        decided = stored(rows.repartitionByRange(-(-n // per_range), "id").sortWithinPartitions("id").mapInArrow(settle, "id long, founds boolean"), "founders")
+        first = decided.where("founds").select("id")
         out = first if out is None else out.unionByName(first)
+        taken = still_open.join(first, "id", "left_semi").select("key").distinct()
+        gone = decided.select("id").union(still_open.join(taken, "key", "left_semi").select("id")).distinct()
         after = new_path(spark, "open")
-        still_open = stored(still_open.join(matched, "row", "left_anti"), "round", after)
+        still_open = stored(still_open.join(gone, "id", "left_anti"), "round", after)
         delete(spark, path)
         path = after
     delete(spark, path)
-    return keys.where("false").select("row") if out is None else out
+    return keys.where("false").select("id") if out is None else out
 
 
-def link_offers(offers: DataFrame, products: DataFrame) -> DataFrame:
+def link_offers(offers: DataFrame, products: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """(offer_id, product_id, created): the product of each offer, and whether the offer founded it.
 
     Linking is a fold over offers: whom an offer joins depends on products founded before. But an offer founds one just
     where no founder before it shares a key with it, so founders() finds all founders in rounds of joins; an offer then
     joins, of the founders before it, the first under the best of its keys. A new product's id follows the largest old
     one in the order of its founders. Offers without any key found a product each. Offers of one id are one offer with
-    all their keys; null ids are left out. Empty tables give empty results.
+    all their keys; null ids are left out. Of the products only those under a key of some offer are written on the way.
+    Empty tables give empty results.
     """
     row = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
     offers = offers.where("offer_id is not null")
-    of = [(PRODUCT, canonical_keys(products.where("id is not null"), "id")), (OFFER, canonical_keys(offers, "offer_id"))]
-    parts = [d.select(row(kind, "id").alias("row"), F.struct("rank", "key").alias("key")) for kind, d in of]
-    keys = stored(parts[0].unionByName(parts[1]), "link-keys")
-    new = founders(keys)
-    first = keys.where(F.col("row.kind") == PRODUCT).unionByName(keys.join(new, "row", "left_semi")).groupBy("key").agg(F.min("row").alias("founder"))
-    asked = keys.where(F.col("row.kind") == OFFER).join(first, "key").where(F.col("founder") < F.col("row"))
+    named = lambda d, c: canonical_keys(d, c).select(F.col("id").cast("long").alias("id"), F.struct("rank", "key").alias("key"))
+    asked_for = stored(named(offers, "offer_id"), "link-keys")
+    known = stored(named(products.where("id is not null"), "id").join(asked_for.select("key").distinct(), "key", "left_semi"), "link-products")
+    new = founders(asked_for, known, per_range)
+    first = known.select("key", row(PRODUCT, "id").alias("row")).unionByName(asked_for.join(new, "id", "left_semi").select("key", row(OFFER, "id").alias("row"))).groupBy("key").agg(F.min("row").alias("founder"))
+    asked = asked_for.select("key", row(OFFER, "id").alias("row")).join(first, "key").where(F.col("founder") < F.col("row"))
     best = asked.groupBy("row").agg(F.min(F.struct(F.col("key.rank").alias("rank"), "founder")).alias("best")).select(F.col("row.id").alias("offer_id"), "best.founder")
     owned = stored(offers.select(F.col("offer_id").cast("long").alias("offer_id")).distinct().join(best, "offer_id", "left").withColumn("founder", F.coalesce("founder", row(OFFER, "offer_id"))), "link-owners")
     created = owned.where(F.col("founder") == row(OFFER, "offer_id"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text, urls
 from ..sources import snapshots
+from ..sources.buckets import Buckets
 from ..sources.scratch import stored
 from . import extract, linking, maintenance, prices
 
@@ -76,15 +77,17 @@ def requested(matches: DataFrame, by: str = "query_id", order: str = "match_rank
 
 @dataclass
 class Refreshed:
-    """Tables after a refresh, and results: url, status, reason, offer_id, was_updated, status_code, error."""
+    """Tables after a refresh, the products it founded, and results: url, status, reason, offer_id, was_updated,
+    status_code, error."""
 
     offers: DataFrame
     raw: DataFrame
     products: DataFrame
     results: DataFrame
+    founded: DataFrame
 
 
-def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: DataFrame, pages: DataFrame, now: Column, fresh_hours: int | None = None, unsupported: str = "skipped", unknown: str = "missing") -> Refreshed:
+def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: DataFrame, pages: DataFrame, now: Column, fresh_hours: int | None = None, unsupported: str = "skipped", unknown: str = "missing", tops: tuple[int | None, int | None] = (None, None)) -> Refreshed:
     """Offers written anew from their pages, the raw table, products founded by linking, and a result for each chosen row.
 
     chosen: (id, store, url), one row for each address, null ids for unknown ones: these are missing, or, if unknown is
@@ -93,6 +96,9 @@ def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: Data
     that are fresh (maintenance.needs_refresh). An offer of a store without an extractor is skipped, or failed if
     unsupported says so. Failures add one to the offer's retries and leave its data as it is. Refreshed offers are linked
     in the order of their ids; a match before stays where linking finds no other. Empty tables give empty results.
+    offers and raw may be the parts of larger tables that hold all rows of the chosen addresses; tops are then the largest
+    ids of the two whole tables. What linking and failures change is joined to the rows that were asked for; all other
+    rows only pass through.
     """
     state = maintenance.migrated(offers)
     store = urls.store_of(F.col("store"), F.col("url"))
@@ -116,21 +122,22 @@ def refresh(offers: DataFrame, raw: DataFrame, products: DataFrame, chosen: Data
     judged = stored(judged.withColumn("reason", reason).select("url", "store", "id", "status", "reason", F.when(F.col("status") == "failed", F.col("error")).alias("error"), F.when(F.col("status") == "refreshed", F.col("html")).alias("html")), "refresh-judged", compression="zstd")
     records = stored(extract.product_records(judged.where("status = 'refreshed'")).select(F.col("id").alias("pos"), "product.*"), "refresh-records")
 
-    written = stored(snapshots.upsert(state, scraped(records), now), "refresh-offers")
+    written = stored(snapshots.upsert(state, scraped(records), now, top=tops[0]), "refresh-offers")
     batch = records.select("pos", "store", "url", F.to_json(F.struct(*[c for c in records.columns if c not in ("pos", "in_stock")], F.col("in_stock").alias("inStock")), {"ignoreNullFields": "false"}).alias("extracted_json"))
-    new_raw = snapshots.upsert(raw, batch, now, reset=False).drop("op")
+    new_raw = snapshots.upsert(raw, batch, now, reset=False, top=tops[1]).drop("op")
 
     touched = written.where("op <> 'kept'").withColumn("offer_id", F.col("id"))
     linked = stored(linking.link_offers(touched, products), "refresh-linked")
-    new_products = products.unionByName(linking.founded_products(touched, linked), allowMissingColumns=True)
+    founded = linking.founded_products(touched, linked)
     fk = linked.select(F.col("offer_id").alias("id"), F.col("product_id").alias("linked_to"))
     failures = judged.where("status = 'failed' and error is not null").select("id", F.col("error").alias("new_error"), text.status_code(F.col("error")).alias("new_code"))
-    both = written.join(fk, "id", "left").join(failures, "id", "left").withColumn("product_id", F.coalesce("linked_to", "product_id")).drop("linked_to")
+    changes = fk.join(failures, "id", "full")
+    both = written.join(changes, "id", "left").withColumn("product_id", F.coalesce("linked_to", "product_id")).drop("linked_to")
     done = maintenance.with_failures(both, now).select(*state.columns)
 
     upserted = written.where("op <> 'kept'").select("url", "store", F.col("id").alias("offer_id"), (F.col("op") == "updated").alias("was_updated"))
     results = judged.drop("html").join(upserted, ["url", "store"], "left").select("url", "status", "reason", F.coalesce("offer_id", "id").alias("offer_id"), "was_updated", text.status_code(F.col("error")).alias("status_code"), "error")
-    return Refreshed(done, new_raw, new_products, results)
+    return Refreshed(done, new_raw, products.unionByName(founded, allowMissingColumns=True), results, founded)
 
 
 def discovered(found: DataFrame) -> DataFrame:
@@ -144,18 +151,74 @@ def summary(done: Refreshed) -> DataFrame:
     return maintenance.run_summary(done.results.select(fresh.alias("status")))
 
 
-def refresh_stream(requests: DataFrame, root: str, pages: DataFrame, now: Column, checkpoint: str, fresh_hours: int = 12):
+@dataclass(frozen=True)
+class Store:
+    """The tables of a refresh stream under one root: offers, raw and products in buckets, results by batch."""
+
+    root: str
+    buckets: int = 64
+
+    @property
+    def offers(self) -> Buckets:
+        return Buckets(f"{self.root}/offers", snapshots.OFFERS, self.buckets)
+
+    @property
+    def raw(self) -> Buckets:
+        return Buckets(f"{self.root}/raw", snapshots.RAW_PRODUCTS, self.buckets)
+
+    @property
+    def products(self) -> Buckets:
+        return Buckets(f"{self.root}/products", snapshots.PRODUCTS, self.buckets, "id")
+
+    def results(self, version: int) -> str:
+        return snapshots.version_path(f"{self.root}/results", version)
+
+    def begin(self, offers: DataFrame, raw: DataFrame, products: DataFrame) -> None:
+        """Write the tables as version 0."""
+        for table, rows in ((self.offers, offers), (self.raw, raw), (self.products, products)):
+            table.write(rows, 0)
+
+    def apply(self, batch: DataFrame, n: int, pages: DataFrame, now: Column, fresh_hours: int | None = 12) -> None:
+        """Refresh the offers of a batch (url) against version n, and write version n + 1.
+
+        Of offers and raw only the buckets of the batch's addresses are read, and only those of addresses that were
+        refreshed or failed are written. Products are read for their keys; of a bucket of theirs that gets new ones a new
+        folder is written.
+        """
+        spark = batch.sparkSession
+        asked = stored(batch.select("url").where("url <> ''").distinct(), "asked")
+        touched = self.offers.touched(asked)
+        offers, raw = (t.read(spark, n, touched) for t in (self.offers, self.raw))
+        products = self.products.read(spark, n)
+        tops = [t.top(spark, n) for t in (self.offers, self.raw, self.products)]
+        done = refresh(offers, raw, products, offers_by_url(offers, asked), pages, now, fresh_hours, tops=(tops[0], tops[1]))
+        results = stored(done.results, "refresh-results")
+        changed = self.offers.touched(results.where("status in ('refreshed', 'failed')"))
+        number = self.offers.number()
+        self.offers.write(done.offers.where(number.isin(changed)), n + 1, tops[0])
+        self.raw.write(done.raw.where(number.isin(changed)), n + 1, tops[1])
+        founded = stored(_as_schema(done.founded, snapshots.PRODUCTS), "refresh-founded")
+        grown = self.products.touched(founded)
+        self.products.write(self.products.read(spark, n, grown).unionByName(founded) if grown else founded, n + 1, tops[2])
+        results.write.mode("overwrite").parquet(self.results(n + 1))
+
+
+def _as_schema(rows: DataFrame, schema: str) -> DataFrame:
+    kinds = dict(x.split(" ") for x in schema.split(", "))
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def refresh_stream(requests: DataFrame, store: Store, pages: DataFrame, now: Column, checkpoint: str, fresh_hours: int | None = 12, vacuum_every: int = 20):
     """A streaming query that refreshes the offers a stream of (url) asks for, batch by batch.
 
-    root has the folders offers, raw, products and results with a snapshot for each version; version 0 is there at the
-    start. Batch n reads version n and writes version n + 1, so that a batch that runs again writes the same again.
+    Version 0 of the store's tables is there at the start (Store.begin). Batch n reads version n and writes version n + 1,
+    so that a batch that runs again writes the same again. Folders that only older versions read go now and then.
     """
-    spark = requests.sparkSession
 
     def step(batch: DataFrame, n: int) -> None:
-        offers, raw, products = (spark.read.parquet(snapshots.version_path(f"{root}/{t}", n)) for t in ("offers", "raw", "products"))
-        done = refresh(offers, raw, products, offers_by_url(offers, batch), pages, now, fresh_hours)
-        for t, df in (("offers", done.offers), ("raw", done.raw), ("products", done.products), ("results", done.results)):
-            snapshots.write_snapshot(df, f"{root}/{t}", n + 1, again=True)
+        store.apply(batch, n, pages, now, fresh_hours)
+        if vacuum_every and n and n % vacuum_every == 0:
+            for t in (store.offers, store.raw, store.products):
+                t.vacuum(batch.sparkSession, n)
 
     return requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1 +1,5 @@
 """Views of the driver's tables and the registered queries."""
+
+from . import catalogue, stored_offers
+
+__all__ = ["catalogue", "stored_offers"]

@@ -3,34 +3,21 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text, urls
-from ..operators import crawl, extract, linking, maintenance, matching, prices, refresh
+from ..operators import extract, linking, maintenance, matching, prices, refresh
 from ..sources import pages, snapshots
 from ..sources.scratch import scratch_dir, stored
 from ..streaming import retries
+from .registry import NOW, QUERIES, SQL, query
 from .views import ATTEMPTS_SQL, MATCH_TEXT, OFFERS_SQL, PRODUCTS_SQL, QUERIES_SQL, REASON_SQL, SCORE_SQL, STATES_SQL, attempts, canonical_sql, offer_states, offers, products, queries_view, scored_sql, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-NOW = "2024-01-31 00:00:00"
 TIES = ("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def js_round(x: str) -> str:
     return f"(CASE WHEN ({x}) * 8 = floor(({x}) * 8) THEN round({x}, 2) ELSE CAST(printf('%.2f', {x}) AS DOUBLE) END)"
 
@@ -434,15 +421,6 @@ def product_urls(spark, sf_dir):
     return store_site(spark, sf_dir).select("url", F.explode(pages.product_links(F.col("html"))).alias("product"))
 
 
-@query()
-def category_crawl(spark, sf_dir):
-    """The products that a crawl of the shop from its front page finds, as its budgets allow; tested on a small shop."""
-    shop = stored(store_site(spark, sf_dir), "shop", compression="zstd")
-    known = spark.createDataFrame([], "url string")
-    front = shop.where("url = 'https://www.jimms.fi/fi'").select(F.posexplode(pages.category_links(F.col("html"))).alias("pos", "x")).select("pos", "x.*")
-    return crawl.crawl_categories(crawl.site(shop, known), pages.first_queue(front))[0]
-
-
 @query("SELECT p_partkey, 'https://www.power.fi/' || CASE WHEN p_partkey % 10 = 0 THEN '' ELSE 'naytto-ja-' || replace(lower(p_name), ' ', '-') END || '/p-' || p_partkey || '/' AS url FROM part")
 def embedded_products(spark, sf_dir):
     name = F.when(F.pmod("p_partkey", F.lit(10)) == 0, r"\u0020").otherwise(F.concat(F.lit('N\\u00e4ytt\\u00f6 & \\"'), F.col("p_name")))
@@ -495,15 +473,18 @@ def request_normalised(spark, sf_dir):
     return refresh.request_fields(r)
 
 
-@query(f"""
+REFRESHED_SQL = f"""
 WITH b AS (SELECT p_partkey AS k, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com', 'amazon.de', 'gone.fi'][p_partkey % 6 + 1] AS store, p_name || ' ' || p_type || ' ' || p_size AS name, round(p_retailprice + 0.25, 2) AS new_price, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS retries FROM part),
 s AS (SELECT *, CASE WHEN store = 'gone.fi' THEN 'missing' WHEN k % 5 = 0 AND retries = 0 THEN 'skipped' WHEN store = 'amazon.de' THEN 'skipped' WHEN k % 13 = 0 OR k % 11 = 0 THEN 'failed' ELSE 'refreshed' END AS status FROM b)
 SELECT 'https://www.' || store || '/p/' || k AS url, status, CASE WHEN status = 'skipped' THEN CASE WHEN k % 5 = 0 AND retries = 0 THEN 'fresh' ELSE 'unsupported-store' END END AS reason, CASE WHEN status = 'refreshed' THEN true END AS was_updated, CASE WHEN status = 'failed' AND k % 13 <> 0 THEN 404 END AS status_code,
  CASE WHEN status <> 'failed' THEN NULL WHEN k % 13 = 0 THEN 'fetch failed' ELSE upper(store[1]) || split_part(store[2:], '.', 1) || ' request failed: 404 Not Found' END AS error, CASE WHEN status = 'refreshed' THEN name WHEN status <> 'missing' THEN 'old' END AS title, CASE WHEN status = 'refreshed' THEN new_price WHEN status <> 'missing' THEN 1.0 END AS price,
- CASE WHEN status = 'refreshed' THEN 0 WHEN status = 'failed' THEN retries + 1 WHEN status <> 'missing' THEN retries END AS retry_count, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS linked, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS stored FROM s""")
+ CASE WHEN status = 'refreshed' THEN 0 WHEN status = 'failed' THEN retries + 1 WHEN status <> 'missing' THEN retries END AS retry_count, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS linked, CASE WHEN status <> 'missing' THEN status = 'refreshed' END AS stored FROM s"""
+
+
+@query(REFRESHED_SQL)
 def refresh_pipeline(spark, sf_dir):
     """Every part as an offer of one of five stores, or of none, refreshed from its page, which may be missing or gone."""
-    shown, old, raw, catalogue, fetched, now = _shop(spark, sf_dir)
+    shown, old, raw, catalogue, fetched, now = shop(spark, sf_dir)
     done = refresh.refresh(old, raw, catalogue, refresh.offers_by_url(old, shown.select("url")), fetched, now, fresh_hours=12)
     state = done.offers.select("url", "title", "price", "retry_count", F.col("product_id").isNotNull().alias("linked"))
     there = done.raw.where(F.get_json_object("extracted_json", "$.inStock") == "true").select("url", F.lit(True).alias("in_raw"))
@@ -511,40 +492,25 @@ def refresh_pipeline(spark, sf_dir):
     return rows.withColumn("stored", F.when(F.col("status") != "missing", F.coalesce("in_raw", F.lit(False)))).drop("in_raw")
 
 
-def _shop(spark, sf_dir):
+def shop(spark, sf_dir):
     """Pages of the parts at six stores, offers of five of them, empty raw and product tables, fetched pages and a time."""
     key, now = F.col("id"), F.lit(NOW).cast("timestamp")
     shown = product_pages(spark, sf_dir, True).withColumn("store", F.get(F.array(*[F.lit(x) for x in ("gigantti.fi", "jimms.fi", "power.fi", "verkkokauppa.com", "amazon.de", "gone.fi")]), F.pmod(key, F.lit(6)).cast("int")))
     shown = shown.withColumn("url", F.concat(F.lit("https://www."), "store", F.lit("/p/"), key.cast("string")))
     age = F.when(key % 5 == 0, F.make_dt_interval(F.lit(0), F.lit(1))).otherwise(F.make_dt_interval(F.lit(2)))
-    old = _bare_offers(shown.where("store <> 'gone.fi'").select("id", "store", "url", F.when(key % 7 == 0, 1).otherwise(0).alias("retry_count"), (now - age).alias("fetched_at")))
+    old = bare_offers(shown.where("store <> 'gone.fi'").select("id", "store", "url", F.when(key % 7 == 0, 1).otherwise(0).alias("retry_count"), (now - age).alias("fetched_at")))
     fetched = shown.where(key % 13 != 0).select("url", "html", F.when(key % 11 == 0, 404).otherwise(200).alias("status"), F.when(key % 11 == 0, "Not Found").otherwise("OK").alias("status_text"))
     raw, catalogue = (spark.createDataFrame([], schema) for schema in (snapshots.RAW_PRODUCTS, snapshots.PRODUCTS))
     return shown, old, raw, catalogue, fetched, now
 
 
-def _bare_offers(rows: DataFrame) -> DataFrame:
+def bare_offers(rows: DataFrame) -> DataFrame:
     """Offers (id, store, url and what else is there) with all columns of the table; old ones, of price 1."""
     have = {"title": F.lit("old"), "price": F.lit(1.0), "is_active": F.lit(1)}
     kinds = dict(x.split(" ") for x in snapshots.OFFERS.split(", "))
     return rows.select(*[F.col(c) if c in rows.columns else have.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
-@query("""
-WITH b AS (SELECT p_partkey AS k, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com', 'amazon.de', 'gone.fi'][p_partkey % 6 + 1] AS store FROM part)
-SELECT 'https://www.' || store || '/p/' || k AS url, CASE WHEN store = 'gone.fi' THEN 'missing' WHEN (k % 5 = 0 AND k % 7 <> 0) OR store = 'amazon.de' THEN 'skipped' WHEN k % 13 = 0 OR k % 11 = 0 THEN 'failed' ELSE 'refreshed' END AS status FROM b""")
-def refresh_stream(spark, sf_dir):
-    """The same by a stream of addresses, whose batches are refreshed one after the other."""
-    shown, old, raw, catalogue, fetched, now = _shop(spark, sf_dir)
-    root = f"{scratch_dir(spark)}/refresh-{uuid.uuid4().hex}"
-    for name, df in (("offers", old), ("raw", raw), ("products", catalogue)):
-        snapshots.write_snapshot(df, f"{root}/{name}", 0)
-    shown.select("url").coalesce(1).write.parquet(f"{root}/asked")
-    fetched = stored(fetched, "fetched", compression="zstd")
-    refresh.refresh_stream(spark.readStream.schema("url string").parquet(f"{root}/asked"), root, fetched, now, f"{root}/state").awaitTermination()
-    return spark.read.parquet(snapshots.version_path(f"{root}/results", 1)).select("url", "status")
-
-
 @query(f"""
 WITH s AS (SELECT p_partkey, p_name, round(p_retailprice + 0.25, 2) AS price, p_name || ' ' || p_type || ' ' || p_size AS title, p_size, '{_LIST}' || regexp_extract(p_brand, '([0-9]+)', 1) || '/koko%20' || p_size AS page, 'https://www.jimms.fi/fi/Product/Show/' || p_partkey || '/' || replace(p_name, ' ', '%20') AS url FROM part),
 n AS (SELECT *, row_number() OVER (ORDER BY page, CAST(p_partkey AS VARCHAR) || '/') AS n FROM s WHERE p_size <= 25)
@@ -553,7 +519,7 @@ def discover_pipeline(spark, sf_dir):
     """The first 500 new products of a shop's category pages, read and stored; those of large sizes are known."""
     key = F.col("p_partkey").cast("string")
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", F.concat(F.lit("https://www.jimms.fi/fi/Product/Show/"), key, F.lit("/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("%20"))).alias("url"))
-    old = _bare_offers(p.where("p_size > 25").select("id", F.lit("jimms.fi").alias("store"), "url"))
+    old = bare_offers(p.where("p_size > 25").select("id", F.lit("jimms.fi").alias("store"), "url"))
     found = store_site(spark, sf_dir).select(F.col("url").alias("file"), F.posexplode(pages.product_links(F.col("html"))).alias("pos", "url")).withColumn("store", F.lit("jimms.fi"))
     new = pages.capped_urls(found, old, 500, ("file", "pos"))[0]
     fetched = product_pages(spark, sf_dir, True).select("id", "html").join(p, "id").select("url", "html", F.when(F.col("id") % 11 == 0, 500).otherwise(200).alias("status"), F.lit("").alias("status_text"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import money
 from ..operators.numbering import numbered
+from .scratch import stored
 
 #: The three stored tables. Timestamps are UTC.
 PRODUCTS = "id long, title string, brand string, model string, sku string, ean string, mpn string, created_at timestamp, updated_at timestamp"
@@ -61,27 +62,30 @@ def last_of_batch(batch: DataFrame, key: tuple[str, ...], *order: str) -> DataFr
     return batch.groupBy(*key).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("x"), F.min(F.struct(*order)).alias("seen")).select("x.*", "seen")
 
 
-def upsert(old: DataFrame, batch: DataFrame, now, reset: bool = True, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+def upsert(old: DataFrame, batch: DataFrame, now, reset: bool = True, order: tuple[str, ...] = ("pos",), top: int | None = None) -> DataFrame:
     """old with the batch's rows written over it by key: the columns of old and op (kept, updated, inserted).
 
     A new row's data columns win even where null; id and product_id stay. reset (a scrape, not an import) also sets
-    is_active 1, retry_count 0 and no last error. New keys get ids after the largest old one, in batch order.
-    Null keys match null keys.
+    is_active 1, retry_count 0 and no last error. New keys get ids after top, or after the largest old one, in batch order.
+    Null keys match null keys. The batch's last rows are written once; only new keys and their places are numbered.
     """
-    new = last_of_batch(batch, KEY, *order)
+    new = stored(last_of_batch(batch, KEY, *order), "upsert-batch")
     renamed = new.select(*[F.col(c).alias(f"n_{c}") for c in new.columns], F.lit(True).alias("n_there"))
-    both = old.withColumn("o_there", F.lit(True)).join(renamed, F.col("store").eqNullSafe(F.col("n_store")) & F.col("url").eqNullSafe(F.col("n_url")), "full")
-    there, was = F.col("n_there").isNotNull(), F.col("o_there").isNotNull()
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = numbered(both.where(~was), "n_seen", "n_store", "n_url", name="__n").withColumn("id", top + F.col("__n")).drop("__n")
-    values = {"store": F.coalesce("store", "n_store"), "url": F.coalesce("url", "n_url"), "fetched_at": F.when(there, now).otherwise(F.col("fetched_at"))}
-    values |= {c: F.when(there, F.col(f"n_{c}")).otherwise(F.col(c)) for c in DATA if c in old.columns and c in new.columns}
+    same = F.col("store").eqNullSafe(F.col("n_store")) & F.col("url").eqNullSafe(F.col("n_url"))
+    there = F.col("n_there").isNotNull()
+    highest = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if top is None else F.lit(top).cast("long")
+    fresh = renamed.select("n_store", "n_url", "n_seen").join(old.select("store", "url"), same, "left_anti")
+    ids = numbered(fresh, "n_seen", "n_store", "n_url", name="__n").select(F.col("n_store").alias("__store"), F.col("n_url").alias("__url"), (highest + F.col("__n")).alias("__id"))
+    inserted = renamed.join(ids, F.col("n_store").eqNullSafe(F.col("__store")) & F.col("n_url").eqNullSafe(F.col("__url")))
+
+    given = {c: F.col(f"n_{c}") for c in DATA if c in old.columns and c in new.columns} | {"fetched_at": now}
     if reset:
         blank = {"is_active": F.lit(1), "retry_count": F.lit(0), "last_error": F.lit(None), "last_error_at": F.lit(None), "last_status_code": F.lit(None)}
-        values |= {c: F.when(there, v.cast(old.schema[c].dataType)).otherwise(F.col(c)) for c, v in blank.items() if c in old.columns}
-    op = F.when(was & there, "updated").when(there, "inserted").otherwise("kept")
-    columns = [values.get(c, F.col(c)).alias(c) for c in old.columns]
-    return both.where(was).select(*columns, op.alias("op")).unionByName(fresh.select(*columns, op.alias("op")))
+        given |= {c: v for c, v in blank.items() if c in old.columns}
+    kind = lambda c: old.schema[c].dataType
+    first = {"id": F.col("__id"), "store": F.col("n_store"), "url": F.col("n_url")} | given
+    kept = old.join(renamed, same, "left").select(*[F.when(there, given[c].cast(kind(c))).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in old.columns], F.when(there, "updated").otherwise("kept").alias("op"))
+    return kept.unionByName(inserted.select(*[first.get(c, F.lit(None)).cast(kind(c)).alias(c) for c in old.columns], F.lit("inserted").alias("op")))
 
 
 def new_urls(found: DataFrame, *known: DataFrame) -> DataFrame:

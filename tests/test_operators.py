@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from offerloom.operators import crawl, extract, linking, maintenance, matching, prices, refresh
 from offerloom.operators.numbering import numbered
 from offerloom.sources import fetch, pages, snapshots
+from offerloom.sources.buckets import Buckets
 
 
 def test_greedy_linking_equals_a_plain_fold(spark):
@@ -166,24 +167,26 @@ def test_crawl_keeps_its_budgets(spark):
     base = "https://www.jimms.fi/fi/Product"
     link, show = (lambda n, q="": f"<a href='/fi/Product/List/{n}/x{q}'>l</a>"), lambda n: f"<a href='/fi/Product/Show/{n}'>p</a>"
     rows = {
-        "A": link("B") + link("C") + show(1) + link("A", "?page=2"), "A?page=2": show(2) + show(1) + link("A", "?page=3"), "A?page=3": show(3),
-        "B": show(4) + link("D"), "C": show(1) + show(5), "D": show(6) + link("E"), "E": show(7),
+        "A": link("B") + link("C") + show(1) + link("A", "?page=2"), "A?page=2": show(2) + show(1), "A?page=3": show(3),
+        "B": show(4) + link("D"), "C": show(1) + show(5) + link("A"), "D": show(6) + link("E"), "E": show(7), "E?page=2": show(8),
     }
     at = lambda n: f"{base}/List/{n[0]}/x{n[1:]}"
-    table = spark.createDataFrame([(at(n), f"<main>{h}</main>") for n, h in rows.items()], "url string, html string")
-    shop = crawl.site(table, spark.createDataFrame([(f"{base}/Show/4",)], "url string"))
-    queue = spark.createDataFrame([(at("A"), 0, 5), (at("Q"), 0, 4)], "url string, depth int, score int")
+    site = crawl.site(spark.createDataFrame([*((at(n), f"<main>{h}</main>") for n, h in rows.items()), (None, "x"), ("https://www.jimms.fi/fi", link("Z"))], "url string, html string"))
+    known = spark.createDataFrame([(f"{base}/Show/4",)], "url string")
+    queue = spark.createDataFrame([(at("A"), 5), (at("Q"), 4), (at("A"), 1)], "url string, score int")
 
     def run(**limits):
-        got, counts = crawl.crawl_categories(shop, queue, **limits)
-        return [r.url.rsplit("/")[-1] for r in got.orderBy("n").collect()], counts
+        got = crawl.crawl_categories(site, queue, known, **limits)
+        depths = {r.url.split("/")[-2]: r.depth for r in got.categories.collect()}
+        return [r.url.rsplit("/")[-1] for r in got.products.orderBy("place").collect()], depths, got.pages.count()
 
-    found, counts = run(depth=2)
-    assert found == ["1", "2", "3", "5", "6"] and counts == {"categories": 5, "subcategories": 4, "pages": 2, "products_found": 7}
-    assert run(depth=0) == (["1", "2", "3"], {"categories": 2, "subcategories": 2, "pages": 2, "products_found": 3})
-    assert run(depth=2, budget=1)[1]["pages"] == 1 and run(depth=2, budget=1)[0] == ["1", "2", "5", "6"]
-    assert run(per_category=1)[0] == ["1", "5", "6", "7"] and run(products=2) == (["1", "2"], {"categories": 1, "subcategories": 2, "pages": 2, "products_found": 3})
-    assert run(categories=2)[1]["categories"] == 2
+    assert run() == (["1", "2", "3", "5", "6", "7", "8"], {"A": 0, "Q": 0, "B": 1, "C": 1, "D": 2, "E": 3}, 8)
+    assert run(depth=0) == (["1", "2", "3"], {"A": 0, "Q": 0}, 3)
+    assert run(depth=2, budget=1)[0] == ["1", "2", "5", "6"] and run(budget=3)[0] == ["1", "2", "3", "5", "6", "7", "8"]
+    assert run(per_category=1)[0] == ["1", "5", "6", "7"] and run(products=2)[0] == ["1", "2"]
+    assert run(categories=3)[1] == {"A": 0, "Q": 0, "B": 1} and run(noisy=1)[1] == {"A": 0, "Q": 0, "B": 1, "D": 2, "E": 3}
+    none = site.where("false")
+    assert crawl.crawl_categories(none, queue, known).products.count() == 0
 
 
 def test_numbers_have_no_gaps(spark):
@@ -227,14 +230,43 @@ def test_refresh_and_its_stream(spark, tmp_path):
     assert len(rows) == 5 and rows["jimms.fi", "https://jimms.fi/1"].id == 5 and rows["jimms.fi", "https://jimms.fi/1"].price == 1.5 and rows["jimms.fi", "https://jimms.fi/1"].in_stock == 1
     assert rows["power.fi", "https://power.fi/2"].retry_count == 1 and rows["x.de", "https://x.de/3"].retry_count == 0
     assert [r.title for r in done.products.collect()] == ["T1"] and rows["jimms.fi", "https://jimms.fi/1"].product_id == 1 and done.raw.count() == 1
-    root = f"file://{tmp_path}"
-    for t, df in (("offers", offers), ("raw", raw), ("products", products)):
-        snapshots.write_snapshot(df, f"{root}/{t}", 0)
-    (tmp_path / "asked").mkdir()
-    spark.createDataFrame([("https://jimms.fi/1",), ("nowhere",)], "url string").write.mode("append").json(f"{root}/asked")
-    refresh.refresh_stream(spark.readStream.schema("url string").json(f"{root}/asked"), root, pages_, now, f"{root}/state").awaitTermination()
-    assert {r.status for r in spark.read.parquet(snapshots.version_path(f"{root}/results", 1)).collect()} == {"refreshed", "missing"}
-    assert spark.read.parquet(snapshots.version_path(f"{root}/offers", 1)).where("price = 1.5").count() == 1
+    store = refresh.Store(f"file://{tmp_path}", buckets=16)
+    store.begin(offers, raw, products)
+    asked = [["https://jimms.fi/1", "nowhere", None], ["https://power.fi/2", "https://jimms.fi/1"], ["https://power.fi/2", "https://evil.com/4", ""]]
+    for k, urls_ in enumerate(asked):
+        spark.createDataFrame([(u,) for u in urls_], "url string").coalesce(1).write.json(f"file://{tmp_path}/asked/{k}")
+    stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(f"file://{tmp_path}/asked")
+    refresh.refresh_stream(stream, store, pages_, now, f"file://{tmp_path}/state").awaitTermination()
+    results = [{r.url: r.status for r in spark.read.parquet(store.results(v)).collect()} for v in (1, 2, 3)]
+    assert results == [{"https://jimms.fi/1": "refreshed", "nowhere": "missing"}, {"https://power.fi/2": "failed", "https://jimms.fi/1": "refreshed"}, {"https://power.fi/2": "failed", "https://evil.com/4": "failed"}]
+    state = {r.url: r for r in store.offers.read(spark, 3).where("store <> 'www.jimms.fi'").collect()}
+    assert state["https://power.fi/2"].retry_count == 2 and state["https://evil.com/4"].retry_count == 1 and state["https://jimms.fi/1"].product_id == 1
+    assert store.offers.read(spark, 3).count() == 5 and store.products.read(spark, 3).count() == 1 and store.raw.read(spark, 3).count() == 1
+    # a version holds the buckets of the addresses that it changed, and no others
+    bucket = {r.url: r.b for r in offers.select("url", store.offers.number().alias("b")).collect()}
+    held = lambda t, v: sorted(t._folders(spark, t._path(v), "bucket="))
+    assert [held(store.offers, v) for v in (1, 2, 3)] == [sorted({bucket[u] for u in us if u in bucket}) for us in asked]
+    assert held(store.products, 3) == [] and store.offers.top(spark, 3) == 5
+
+
+def test_buckets_keep_versions(spark, tmp_path):
+    t = Buckets(f"file://{tmp_path}/t", "id long, url string, x int", 32)
+    rows = lambda *x: spark.createDataFrame([(i, f"u{i}", v) for i, v in x], t.schema)
+    assert t.write(rows(*((i, 0) for i in range(200))), 0) == 199
+    batch = rows((3, 1), (70, 1), (140, 1))
+    touched = t.touched(batch)
+    before = t.read(spark, 0, touched)
+    assert len(touched) <= 3 and before.count() < 60 and set(t.touched(before)) == set(touched)
+    merged = before.join(batch.select("id"), "id", "left_anti").unionByName(batch)
+    for _ in range(2):  # a batch that runs again replaces its version
+        assert t.write(merged, 1, t.top(spark, 0)) == 199
+    assert sorted(t._folders(spark, t._path(1), "bucket=")) == touched
+    assert t.read(spark, 1).where("x = 1").count() == 3 and t.read(spark, 1).count() == 200 and t.read(spark, 0).where("x = 1").count() == 0
+    (tmp_path / "t" / "v=00000002" / "bucket=0").mkdir(parents=True)  # a write that did not end
+    assert t.versions(spark) == [0, 1] and t.read(spark, 5).count() == 200
+    assert t.vacuum(spark, 1) == len(touched) and t.read(spark, 1).count() == 200 and t.vacuum(spark, 1) == 0
+    empty = Buckets(f"file://{tmp_path}/e", t.schema)
+    assert empty.write(rows(), 0) == 0 and empty.read(spark, 0).count() == 0 and empty.read(spark, 0, [1]).columns == ["id", "url", "x"]
 
 
 def test_tables_are_created_once_and_checked(spark):
@@ -246,12 +278,43 @@ def test_tables_are_created_once_and_checked(spark):
         snapshots.checked(spark.createDataFrame([(None,)], "title string"), "products").collect()
 
 
-def test_linking_of_long_chains_and_hot_keys(spark):
-    chain = [(i, f"a{i}", f"a{i + 1}") for i in range(40)]
-    offers = spark.createDataFrame(chain + [(100 + i, "hot", f"t{i}") for i in range(50)], "offer_id long, sku string, title string")
-    # sku a<i> and title a<i+1> are keys of other kinds, so only equal skus and equal titles link
-    got = {r.offer_id: (r.product_id, r.created) for r in linking.link_offers(offers, spark.createDataFrame([], "id long, sku string, title string")).collect()}
-    assert all(got[i] == (i + 1, True) for i in range(40)) and all(got[100 + i] == (41, i == 0) for i in range(50))
+def plain_fold(offers):
+    """Whom each offer (id, keys in the order of rank) joins, one after the other."""
+    first, out = {}, {}
+    for i, keys in sorted(offers):
+        found = next((first[k] for k in keys if k in first), None)
+        out[i] = i if found is None else found
+        if found is None:
+            for k in keys:
+                first[k] = i
+    return out
+
+
+@pytest.mark.parametrize(("per_range", "rounds"), [(10_000, 1), (600, 6)])
+def test_linking_of_a_real_chain(spark, monkeypatch, per_range, rounds):
+    # offer i has the sku of i - 1 and i, so each of a thousand hangs on the one before
+    chain = [(i, f"K{i - i % 2}", f"t{i + i % 2}") for i in range(1000)]
+    hot = [(2000 + i, "hot", f"hot{i}") for i in range(300)]
+    seen = []
+    plain = linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df, name, *a, **k: (seen.append(name), plain(df, name, *a, **k))[1])
+    offers = spark.createDataFrame(chain + hot, "offer_id long, sku string, title string")
+    got = {r.offer_id: (r.product_id, r.created) for r in linking.link_offers(offers, spark.createDataFrame([], "id long, sku string, title string"), per_range).collect()}
+    want = plain_fold([(i, (f"sku {s}", f"title {t}")) for i, s, t in chain + hot])
+    number = {i: n for n, i in enumerate(sorted({f for f in want.values()}), 1)}
+    assert got == {i: (number[f], i == f) for i, f in want.items()}
+    assert seen.count("founders") <= rounds
+
+
+def test_linking_equals_the_fold_in_any_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"s{rnd.randint(0, 60)}" if rnd.random() < 0.6 else "", f"t{rnd.randint(0, 90)}" if rnd.random() < 0.8 else "") for i in range(250)]
+    offers = spark.createDataFrame(rows, "offer_id long, sku string, title string")
+    keys = linking.canonical_keys(offers, "offer_id").select("id", F.struct("rank", "key").alias("key"))
+    want = plain_fold([(i, [k for k in (s and f"sku {s}", t and f"title {t}") if k]) for i, s, t in rows])
+    founds = {f for i, f in want.items() if f == i and (rows[i][1] or rows[i][2])}
+    for per_range in (40, 1000):
+        assert {r.id for r in linking.founders(keys, keys.where("false"), per_range).collect()} == founds
 
 
 def test_failed_offers_come_newest_first(spark):
