@@ -1,5 +1,5 @@
 """Views of the driver's tables and the registered queries."""
 
-from . import catalogue, stored_offers
+from . import analytics, catalogue, events, stored_offers
 
-__all__ = ["catalogue", "stored_offers"]
+__all__ = ["analytics", "catalogue", "events", "stored_offers"]
