@@ -398,18 +398,18 @@ def store_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return front.union(brands.select(F.concat(F.lit(_LIST), "b", F.lit("/merkki")), "html")).union(parts.select(F.concat(F.lit(_LIST), "b", F.lit("/koko%20"), "size"), "html"))
 
 
-_SITE_LINKS = f"""t AS (SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1) AS b, p_size FROM part), brands AS (SELECT DISTINCT b FROM t),
+SITE_LINKS = f"""t AS (SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)', 1) AS b, p_size FROM part), brands AS (SELECT DISTINCT b FROM t),
 links AS (SELECT 'https://www.jimms.fi/fi' AS url, '{_LIST}' || b || '/merkki' AS link, 'Merkki ' || b AS label FROM brands
  UNION ALL SELECT '{_LIST}' || b || '/merkki', '{_LIST}' || b || '/koko%20' || p_size, 'Koko ' || p_size FROM t UNION ALL SELECT '{_LIST}' || b || '/merkki', 'https://www.jimms.fi/fi/Product/List/X1/out', 'x' FROM brands
  UNION ALL SELECT '{_LIST}' || b || '/merkki', '{_LIST}' || b || '/json', 'J&S' FROM brands UNION ALL SELECT '{_LIST}' || b || '/koko%20' || p_size, '{_LIST}' || b || '/merkki', 'takaisin' FROM t)"""
 
 
-@query(f"WITH {_SITE_LINKS} SELECT * FROM links")
+@query(f"WITH {SITE_LINKS} SELECT * FROM links")
 def category_links(spark, sf_dir):
     return store_site(spark, sf_dir).select("url", F.explode(pages.category_links(F.col("html"))).alias("x")).select("url", F.col("x.url").alias("link"), "x.label")
 
 
-@query(f"""WITH {_SITE_LINKS}, s AS (SELECT url AS parent, link, 7 + CASE WHEN regexp_extract(url, '/List/([^/]+)', 1) = regexp_extract(link, '/List/([^/]+)', 1) THEN 18 ELSE 0 END AS score FROM links)
+@query(f"""WITH {SITE_LINKS}, s AS (SELECT url AS parent, link, 7 + CASE WHEN regexp_extract(url, '/List/([^/]+)', 1) = regexp_extract(link, '/List/([^/]+)', 1) THEN 18 ELSE 0 END AS score FROM links)
 SELECT * FROM (SELECT parent, link, score, row_number() OVER (PARTITION BY parent ORDER BY score DESC, length(link), link) AS rank FROM s) WHERE rank <= 100""")
 def ranked_categories(spark, sf_dir):
     links = store_site(spark, sf_dir).select(F.col("url").alias("parent"), F.explode(pages.category_links(F.col("html"))).alias("x"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .scratch import stored
 
 #: Words of categories that are crawled first.
 PRIORITY = ("kannettava", "laptop", "apple", "mac", "emolevy", "motherboard", "prosessori", "cpu", "naytonohjain", "näytönohjain", "gpu", "ssd", "kiintolevy", "hard drive", "virtalahde", "virtalähde", "power supply", "kotelo", "case")
@@ -217,3 +218,30 @@ def crawl(links: DataFrame, seeds: DataFrame, depth: int = 3, pages: int = 120)
             break
         seen, left = seen.unionByName(step.withColumn("depth", F.lit(d))), left - n
     return seen
+
+
+_TREE = """
+WITH RECURSIVE tree (url, parent, depth, path) MAX RECURSION LEVEL {levels} AS (
+  SELECT url, CAST(NULL AS STRING), 0, url FROM {roots}
+  UNION ALL
+  SELECT p.url, p.parent, t.depth + 1, t.path || ' > ' || p.url FROM tree t JOIN {parents} p ON p.parent = t.url WHERE t.depth < {depth})
+SELECT * FROM tree
+"""
+
+
+def category_tree(links: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """(url, parent, depth, path) of the categories below roots (url), by a recursive common table expression.
+
+    links: (parent, link). A category hangs on one parent: the one with the shortest address, then the first by address. So
+    no category comes twice, whatever cycles the links have, and each level is one join; depth bounds the levels.
+    Links to itself, to a root, and nulls are left out; categories that hang on no root are in no tree.
+    """
+    spark = links.sparkSession
+    known = links.where(F.col("parent") != F.col("link")).join(roots.select(F.col("url").alias("link")), "link", "left_anti")
+    parents = known.groupBy(F.col("link").alias("url")).agg(F.min(F.struct(F.length("parent").alias("n"), "parent"))["parent"].alias("parent"))
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the tree has a row for each category, not for each path
+    try:
+        return stored(spark.sql(_TREE, levels=depth + 1, depth=depth, roots=stored(roots.select("url").distinct(), "roots"), parents=stored(parents, "parents")), "tree")
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
