@@ -15,23 +15,27 @@ from .words import byte_words, distinct_sets, mix, run_hashes, stem_terms
 
 #: Words, and so many first letters of longer words, which forms of one word share, are hashed to so many bins.
 BINS, STEMS = 1 << 20, (3, 4, 5, 6, 7)
-#: A term is a bin that a text has so often or more: number k * BINS + bin for the kth of these.
-TIMES = (1, 2, 4)
+#: A term is a bin that a text has so often or more, or twice or more and once in so many words or more: number
+#: k * BINS + bin for the kth of these.
+TIMES, RATES = (1, 2, 4), (100, 50, 25)
 #: Each sampled text has the least hashes of its words under BANDS * ROWS seeds. Two texts are compared if all ROWS of a
 #: band agree, and are copies if SAME of all of them do: so much is the Jaccard of their word sets, to about 0.05.
 BANDS, ROWS, SAME = 16, 4, 0.85
 #: A document is predicted toxic from this score on.
 REJECT = 0.7
+#: The share of the clean rows that calibration may let be taken at most.
+CLEAN_LOSS = 0.002
+FOLDS = 4
 
 
 def terms_of(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, term) for each term of each text, by text and term; of the bins that known marks alone, if it is given."""
-    hashes, doc = stem_terms(texts, STEMS)
+    hashes, doc, words = stem_terms(texts, STEMS)
     bins = (hashes % np.uint64(BINS)).astype(np.int64)
     if known is not None:
         doc, bins = doc[known[bins]], bins[known[bins]]
     pairs, count = np.unique(doc * BINS + bins, return_counts=True)
-    often = [pairs[count >= n] for n in TIMES]
+    often = [pairs[count >= n] for n in TIMES] + [pairs[(count >= 2) & (count * r >= words[pairs // BINS])] for r in RATES]
     doc = np.concatenate([x // BINS for x in often])
     term = np.concatenate([x % BINS + k * BINS for k, x in enumerate(often)])
     order = np.lexsort((term, doc))
@@ -111,6 +115,30 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return sets.join(copies.select("y", "words").distinct(), ["y", "words"], "left_anti").select("id", "y", "terms")
 
 
+def _logit(share: float) -> float:
+    return float(np.log(share / (1 - share)))
+
+
+def decision(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reject: float = REJECT, clean_loss: float = CLEAN_LOSS) -> float:
+    """The log-odds from which rows are best taken, the log-odds of reject at most, from scores of rows not learned from.
+
+    It takes most toxic rows less clean ones, counted by weight, and no more clean rows than leave clean_loss likely:
+    of n clean rows, one fewer than clean_loss * (n + 1). It lies midway to the next lower score.
+    """
+    top = _logit(reject)
+    clean = y == 0
+    allowed = clean_loss * (weight[clean].sum() + 1) - 1
+    order = np.argsort(-z, kind="stable")
+    z, gain, lost = z[order], np.cumsum(np.where(clean, -weight, weight)[order]), np.cumsum(np.where(clean, weight, 0)[order])
+    last = np.append(z[1:] != z[:-1], True) if len(z) else np.empty(0, bool)
+    now = gain[z >= top][-1] if (z >= top).any() else 0.0
+    fits = np.flatnonzero(last & (z < top) & (lost <= allowed) & (gain > now))
+    if not len(fits):
+        return top
+    best = fits[np.argmax(gain[fits])]
+    return float((z[best] + z[best + 1]) / 2) if best + 1 < len(z) else float(z[best])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, max_terms: int = 512, least_z: float = 4.0, least_df: int = 8, factors: int = 4) -> FactorizationMachine:
     """Learn from about per_class labelled documents of each class at most, taken by a hash of the id.
 
@@ -118,6 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stays (see distinct_texts), so that a group of copies teaches no words of its own. Spark counts in how many
     sampled documents of each class a term is; terms whose shares differ by least_z standard errors, in least_df
     documents or more, are chosen, max_terms of them at most. Only these, for the sample, go to the driver.
+    The same is done with each of FOLDS parts of the sample left out; their scores, of rows not learned from, tell from which
+    log-odds on rows are best taken (see decision), and the model is moved so that these are the score REJECT.
     A document with several labels is toxic if one says so; null ids and labels are left out. Without labels of
     both classes the score of every text is the smoothed share of label 1.
     """
@@ -131,27 +161,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = F.pmod(F.xxhash64(F.lit("sample"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     sample = known.where(part < F.when(F.col("y") == 1, per_class / pos).otherwise(per_class / neg))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    kept = stored(distinct_texts(rows).select("y", "terms"), "toxicity-terms")
-    size = {r[0]: r[1] for r in kept.groupBy("y").count().collect()}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
+    fold = F.pmod(F.xxhash64("terms"), F.lit(FOLDS)).cast("int").alias("fold")
+    kept = stored(distinct_texts(rows).select("y", fold, "terms"), "toxicity-terms")
+    size = {(r.y, r.fold): r["count"] for r in kept.groupBy("y", "fold").count().collect()}
+    n1, n0 = (sum(size.get((k, f), 0) for f in range(FOLDS)) for k in (1, 0))
     if not n1 or not n0:
         return none
-    df = kept.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("y").alias("d1"), F.sum(1 - F.col("y")).alias("d0"))
-    share = (F.col("d1") + F.col("d0")) / float(n1 + n0)
-    z = F.try_divide(F.col("d1") / n1 - F.col("d0") / n0, F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)))  # null for a bin of all
-    chosen = df.where(F.col("d1") + F.col("d0") >= least_df).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
-    terms = np.array(sorted(r["term"] for r in chosen.orderBy(F.desc("z"), "term").limit(max_terms).collect()), np.int64)
+    counts = [F.count_if((F.col("y") == k) & (F.col("fold") == f)).alias(f"d{k}_{f}") for k in (1, 0) for f in range(FOLDS)]
+    df = stored(kept.select("y", "fold", F.explode("terms").alias("term")).groupBy("term").agg(*counts), "toxicity-counts")
+
+    def chosen(out: int | None) -> np.ndarray:
+        """The terms that tell the classes apart best without a fold."""
+        folds = [f for f in range(FOLDS) if f != out]
+        d1, d0 = (sum((F.col(f"d{k}_{f}") for f in folds), F.lit(0)) for k in (1, 0))
+        m1, m0 = (sum(size.get((k, f), 0) for f in folds) for k in (1, 0))
+        if not m1 or not m0:
+            return np.empty(0, np.int64)
+        share = (d1 + d0) / float(m1 + m0)
+        z = F.try_divide(d1 / m1 - d0 / m0, F.sqrt(share * (1 - share) * (1 / m1 + 1 / m0)))  # null for a bin of all
+        best = df.where(d1 + d0 >= least_df).select("term", F.abs(z).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(max_terms)
+        return np.array(sorted(r["term"] for r in best.collect()), np.int64)
+
+    by_fold = {f: chosen(f) for f in (None, *range(FOLDS))}
+    terms = by_fold[None]
     if not len(terms):
         return none
-    only = F.array(*[F.lit(int(t)) for t in terms])
-    data = kept.select("y", F.array_intersect("terms", only).alias("terms")).groupBy("y", F.array_sort("terms").alias("terms")).count().orderBy("y", "terms").collect()
-    x = np.zeros((len(data), len(terms)))
+    every = np.unique(np.concatenate(list(by_fold.values())))
+    only = F.array(*[F.lit(int(t)) for t in every])
+    data = kept.select("y", "fold", F.array_intersect("terms", only).alias("terms")).groupBy("y", "fold", F.array_sort("terms").alias("terms")).count().orderBy("y", "fold", "terms").collect()
+    x = np.zeros((len(data), len(every)))
     for i, r in enumerate(data):
-        x[i, np.searchsorted(terms, r["terms"])] = 1
-    y = np.array([r["y"] for r in data], float)
-    weight = np.array([r["count"] for r in data], float) * np.where(y == 1, pos / n1, neg / n0)  # as common as in the labels
-    w0, w, v = _descend(x, y, weight / weight.mean() / len(data), factors, 400, 1e-5)
-    return FactorizationMachine(terms, w0, w, v)
+        x[i, np.searchsorted(every, r["terms"])] = 1
+    y, of = np.array([r["y"] for r in data], float), np.array([r["fold"] for r in data])
+    times = np.array([r["count"] for r in data], float)
+    weight = times * np.where(y == 1, pos / n1, neg / n0)  # as common as in the labels
+
+    def learned(out: int | None) -> FactorizationMachine:
+        here = of != out if out is not None else np.ones(len(y), bool)
+        at = np.searchsorted(every, by_fold[out])
+        w = weight[here]
+        return FactorizationMachine(by_fold[out], *_descend(x[here][:, at], y[here], w / w.mean() / here.sum(), factors, 400, 1e-5))
+
+    model = learned(None)
+    unseen = np.full(len(y), -np.inf)
+    for f in range(FOLDS):
+        if len(by_fold[f]) and (of == f).any():
+            m, rows_x = learned(f), x[of == f][:, np.searchsorted(every, by_fold[f])]
+            unseen[of == f] = m.w0 + rows_x @ m.w + ((rows_x @ m.v) ** 2 - rows_x @ m.v**2).sum(1) / 2
+    model.w0 += _logit(REJECT) - decision(unseen, y, times)
+    return model
 
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), reject: float = REJECT) -> DataFrame:

@@ -59,8 +59,9 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, lower
 
 
-def stem_terms(texts: list[str], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case runs of letters, and of their first letters, stems of them (of longer words), and the text of each."""
+def stem_terms(texts: list[str], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-case runs of letters, and of their first letters, stems of them (of longer words), the text of
+    each, and how many runs each text has."""
     is_letter, lower = _letters()
     codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     begins = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))[:-1]
@@ -72,7 +73,7 @@ def stem_terms(texts: list[str], stems: tuple[int, ...]) -> tuple[np.ndarray, np
         starts.append(start[longer])
         ends.append(start[longer] + k)
         docs.append(doc[longer])
-    return run_hashes(lower[codes], np.concatenate(starts), np.concatenate(ends)), np.concatenate(docs)
+    return run_hashes(lower[codes], np.concatenate(starts), np.concatenate(ends)), np.concatenate(docs), np.bincount(doc, minlength=len(texts))
 
 
 _SPACE = np.zeros(256, bool)

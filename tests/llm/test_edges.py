@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from offerloom.llm import op01_language as op1
 from offerloom.llm import op02_media as op2
@@ -208,11 +209,53 @@ def test_op8_scores_are_the_plain_sums():
 
 
 def test_op8_terms_are_words_stems_and_counts():
-    assert len(op8.terms_of(["ab ab abc"])[1]) == 3  # ab, ab twice, abc
+    assert len(op8.terms_of(["ab ab abc"])[1]) == 6  # ab, ab twice, ab once in 100, 50 and 25 words, abc
+    assert len(op8.terms_of(["ab ab" + " -x" * 48])[1]) == 5 + 6  # of 50 words ab is one in 25
     word, other = (set(op8.terms_of([x])[1].tolist()) for x in ("blargen", "blarger"))
     assert len(word & other) == 4 and op8.terms_of([".", ""])[0].size == 0
 
 
+def test_op8_decides_where_most_is_won():
+    z = np.array([3.0, 2.0, 0.5, 0.2, 0.0, -1.0, -2.0])
+    y = np.array([1, 1, 1, 1, 0, 1, 0])
+    top = op8._logit(op8.REJECT)
+    assert op8.decision(z, y, np.ones(7)) == top  # too few clean rows to know that so few are lost
+    many = np.append(z, np.full(600, -5.0)), np.append(y, np.zeros(600)), np.ones(607)
+    assert np.isclose(op8.decision(*many), 0.1)  # after 0.2: one more would cost a clean row for each toxic one
+    assert op8.decision(many[0][:0], many[1][:0], many[2][:0]) == top and op8.decision(-many[0], 1 - many[1], many[2]) <= top
+
+
+def test_op8_pairs_are_more_than_a_sum():
+    rng = np.random.default_rng(3)
+    x = (rng.random((600, 12)) < 0.5).astype(float)
+    y = (x[:, 0] != x[:, 1]).astype(float)  # either word alone, not both
+    right = []
+    for factors in (0, 4):
+        w0, w, v = op8._descend(x[:400], y[:400], np.ones(400) / 400, factors, 400, 1e-5)
+        z = w0 + x[400:] @ w + ((x[400:] @ v) ** 2 - x[400:] @ v**2).sum(1) / 2
+        right.append(((z > 0) == y[400:]).mean())
+    assert right[0] < 0.65 and right[1] > 0.97
+
+
+def test_op8_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = op8.op8_toxicity(spark, sf).where("held_out").join(labels, "doc_id").groupBy("lang", "toxic").agg(F.sum("predicted").alias("taken"), F.count("*").alias("n")).collect()
+    toxic, clean = ({r.lang: (r.taken, r.n) for r in rows if r.toxic == k} for k in (1, 0))
+    # 8 of the 82 English rows with label 1 hold none of the words that the others do
+    assert sum(a for a, _ in toxic.values()) / sum(n for _, n in toxic.values()) >= 0.92
+    assert all(toxic[k][0] / toxic[k][1] >= least for k, least in (("en", 0.9), ("de", 0.9), ("fr", 0.9), ("es", 1.0)))
+    assert sum(a for a, _ in clean.values()) <= 0.002 * sum(n for _, n in clean.values())
+
+
+def test_op8_very_long_texts(spark):
+    rows, labels = labelled(random.Random(44), 300, [f"filler{i}" for i in range(100)])
+    d = spark.createDataFrame([*rows, (900, "filler1 " * 300_000), (901, "x" * 2_000_000)], "doc_id long, text string")
+    m = op8.fit(d, spark.createDataFrame([*labels, (900, 0)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in op8.score(d, m).collect()}
+    assert got[900].predicted == 0 and got[901].predicted == 0
+
+
 def test_op8_learns_nothing_from_held_out_labels(spark):
     rnd = random.Random(42)
     words = [f"filler{i}" for i in range(300)]
