@@ -13,8 +13,8 @@ from .common import stored
 
 #: A block holds about so many sets and so many members of sets at most (or one larger set).
 BLOCK_SETS, BLOCK_MEMBERS = 500, 3_000_000
-#: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 2048
+#: Pairs of a block of columns of the incidence matrix that are written out at once, about.
+PAIRS = 1 << 21
 
 
 #: Sets of up to so many members have a parity signature of so many bits: bit h % bits is flipped for each member h.
@@ -268,23 +268,41 @@ def with_blocks(nodes: DataFrame, sets: int = BLOCK_SETS) -> DataFrame:
     return singles.unionByName(blocks)
 
 
+def _pairs(c: np.ndarray, i: np.ndarray, d: np.ndarray, j: np.ndarray, columns: int, shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the sparse product of entries (column c, row i) and (column d, row j), both ascending by column."""
+    times = np.bincount(d, minlength=columns)
+    begins = np.cumsum(times) - times
+    n = times[c]
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[c], n)
+    return np.bincount(np.repeat(i, n) * shape[1] + j[at], minlength=shape[0] * shape[1]).reshape(shape)
+
+
+def _absent(c: np.ndarray, i: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries (column, row) that are not among (c, i)."""
+    gone = np.ones((columns, rows), bool)
+    gone[c, i] = False
+    return np.nonzero(gone)
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The links of a group: which pairs (a matrix of left and right sets) have a Jaccard of percent or more.
 
-    A sparse product of the incidence matrix with itself, summed up over blocks of columns, rare ones first: a block
-    takes in the sets with a member in it alone. A pair is discarded as soon as its sum and the members that are still to
-    come, of the set that has fewer of them, are below what its sizes ask for; sets without a pair left are skipped.
+    A sparse product of the incidence matrix with itself: for each column the pairs of sets that have it are written out
+    and counted. Of a column that most sets have, as near copies do, the pairs of sets that lack it are, as
+    x y = 1 - (1 - x) - (1 - y) + (1 - x)(1 - y). The counts are summed up over blocks of columns, rare ones first, of
+    about PAIRS pairs each. A pair is discarded as soon as its sum and the members that are still to come, of the set that
+    has fewer of them, are below what its sizes ask for; sets without a pair left are skipped.
     """
     left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    shape = (len(left), len(right))
     n = np.array([len(s) for s in sets], np.int64)
     a, b = n[left][:, None], n[right][None]
     need = -(-percent * (a + b) // (100 + percent))
     alive = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (left[:, None] != right[None])
     owner = np.repeat(np.arange(len(sets)), n)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times > 1  # a column of one set adds to no intersection
+    rare_first = np.flatnonzero(times > 1)[np.argsort(times[times > 1], kind="stable")]  # a column of one set adds to no intersection
     place = np.full(len(times), -1)
-    rare_first = np.flatnonzero(shared)[np.argsort(times[shared], kind="stable")]
     place[rare_first] = np.arange(len(rare_first))
     column = place[column]
     owner, column = owner[column >= 0], column[column >= 0]
@@ -292,29 +310,38 @@ def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = 80) -> tuple
     owner, column = owner[order], column[order]
     rest = np.bincount(owner, minlength=len(sets))
     alive &= np.minimum(rest[left][:, None], rest[right][None]) >= need
-    total = np.zeros(alive.shape, np.float32)
+    total = np.zeros(shape, np.int64)
     at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
-    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
-    for begin in range(0, len(rare_first), COLUMNS):
-        lo, hi = np.searchsorted(column, (begin, begin + COLUMNS))
-        o, c = owner[lo:hi], column[lo:hi] - begin
-        rest -= np.bincount(o, minlength=len(sets))
-        here = np.zeros(len(sets), bool)
-        here[o] = True
-        i, j = np.flatnonzero(here[left] & alive.any(axis=1)), np.flatnonzero(here[right] & alive.any(axis=0))
-        if len(i) and len(j):
-            x, y = (np.zeros((len(k), min(COLUMNS, len(rare_first) - begin)), np.float32) for k in (i, j))
-            for part, at, k in ((x, at_left, i), (y, at_right, j)):
-                row = np.full(alive.shape[0] if at is at_left else alive.shape[1], -1)
-                row[k] = np.arange(len(k))
-                of = np.where(at[o] >= 0, row[at[o]], -1)
-                part[of[of >= 0], c[of >= 0]] = 1
-            total[np.ix_(i, j)] += x @ y.T
-        for rows, columns in ((i, np.arange(len(right))), (np.arange(len(left)), j)):
-            cut = np.ix_(rows, columns)
-            alive[cut] &= total[cut] + np.minimum(rest[left][rows][:, None], rest[right][columns][None]) >= need[cut]
+    at_left[left], at_right[right] = np.arange(shape[0]), np.arange(shape[1])
+    in_left, in_right = (np.bincount(column[at[owner] >= 0], minlength=len(rare_first)) for at in (at_left, at_right))
+    work, lacking = in_left * in_right, (shape[0] - in_left) * (shape[1] - in_right)
+    by_lack = lacking < work
+    sum_before = np.cumsum(np.minimum(work, lacking))
+    cuts = np.searchsorted(sum_before, np.arange(1, sum_before[-1] // PAIRS + 1) * PAIRS, side="left") + 1 if len(sum_before) else []
+    bounds = np.unique(np.concatenate(([0], cuts, [len(rare_first)]))).astype(np.int64)
+    for begin, end in zip(bounds, bounds[1:]):
         if not alive.any():
             break
+        lo, hi = np.searchsorted(column, (begin, end))
+        o, c = owner[lo:hi], column[lo:hi] - begin
+        rest = rest - np.bincount(o, minlength=len(sets))
+        some_left, some_right = alive.any(axis=1), alive.any(axis=0)
+        for lack in (False, True):
+            mine = np.flatnonzero(by_lack[begin:end] == lack)
+            if not len(mine):
+                continue
+            number = np.full(end - begin, -1)
+            number[mine] = np.arange(len(mine))
+            own = number[c] >= 0
+            k, who = number[c[own]], owner[lo:hi][own]
+            i, j = at_left[who], at_right[who]
+            x, y = (k[i >= 0], i[i >= 0]), (k[j >= 0], j[j >= 0])
+            if lack:
+                x, y = _absent(*x, len(mine), shape[0]), _absent(*y, len(mine), shape[1])
+                total += len(mine) - np.bincount(x[1], minlength=shape[0])[:, None] - np.bincount(y[1], minlength=shape[1])[None]
+            (kx, ix), (ky, iy) = ((q[r[w]], w[r[w]]) for (q, w), r in ((x, some_left), (y, some_right)))
+            total += _pairs(kx, ix, ky, iy, len(mine), shape)
+        alive &= total + np.minimum(rest[left][:, None], rest[right][None]) >= need
     return left, right, alive & (total >= need)
 
 
