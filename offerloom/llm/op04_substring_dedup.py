@@ -14,16 +14,17 @@ from .words import byte_words, distinct_sets, mix, placed_words, run_hashes, shi
 
 #: Tuned for recall at a Jaccard of 0.8: 1 - (1 - 0.8 ** 4) ** 14 = 0.9994 of such pairs share a band.
 BANDS, ROWS = 14, 4
-#: Shorter paragraphs are common phrases; they are left alone.
+#: Shorter paragraphs are common phrases; they are left alone. 1 compares all.
 LEAST_WORDS = 20
-#: Runs of so many words are compared anywhere in a text, across lines; of as many starts in a row one at least is taken.
+#: Runs of so many words are compared anywhere in a text, across lines; of as many starts in a row one at least is taken,
+#: so every passage of 2 * RUN - 1 words that repeats exactly is found.
 RUN = 20
 #: Words whose hash decides whether a run starts there.
 HEAD = 3
 #: A task works on so many bytes of texts at a time.
 SLICE_BYTES = 1 << 18
 #: A paragraph or run says something if its words are this share of them different ones; the like of one word over and
-#: over is no passage.
+#: over is no passage. 0 takes all.
 VARIED = 0.4
 
 
@@ -54,8 +55,8 @@ def paragraph_places(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, start, end, node, n, bands, sig) of the varied paragraphs of LEAST_WORDS words or more of (id, text)."""
+def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS, varied: float = VARIED) -> DataFrame:
+    """(id, start, end, node, n, bands, sig) of the varied paragraphs of least_words words or more of (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "start", "end", "node", "n", "bands", "sig"]
 
@@ -64,13 +65,13 @@ def paragraphs(docs: DataFrame) -> DataFrame:
             at, where, parts = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for a, b in paragraph_places(text or ""):
-                    if b - a >= 2 * LEAST_WORDS - 1:
+                    if b - a >= 2 * least_words - 1:
                         at.append(i)
                         where.append((a, b))
                         parts.append(text[a:b])
             words, first, key, h, begins = _hashed(parts)
             different = np.diff(distinct_sets(words, first)[1])
-            own = (np.diff(first) >= LEAST_WORDS) & (different >= VARIED * np.minimum(np.diff(first), 2 * LEAST_WORDS))
+            own = (np.diff(first) >= max(1, least_words)) & (different >= varied * np.minimum(np.diff(first), 2 * least_words))
             ok = np.flatnonzero(own)
             if not len(ok):
                 continue
@@ -83,52 +84,55 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long, n long, bands array<long>, sig binary")
 
 
-def run_starts(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words at which runs of RUN words start: the least head of any RUN starts in a row of a text (winnowing).
+def run_starts(words: np.ndarray, first: np.ndarray, size: int = RUN, varied: float = VARIED) -> np.ndarray:
+    """Words at which runs of size words start: the least head of any size starts in a row of a text (winnowing).
 
-    Whether a run starts is decided by the 2 * RUN - 1 words around it, so of 2 * RUN - 1 words or more that two texts
-    share both have a run, and a text's runs leave no word between them out. Equal heads close together, as repeated
-    words have, are thinned out to half of RUN. Runs of few different words are left out.
+    Whether a run starts is decided by the 2 * size - 1 words around it, so of 2 * size - 1 words or more that two texts
+    share both have a run, and a text's runs leave no word between them out. Unless varied is 0, equal heads close
+    together, as repeated words have, are thinned out to half of size, and runs of few different words are left out.
     """
-    if len(words) < 2 * RUN - 1:
+    if len(words) < 2 * size - 1:
         return np.empty(0, np.int64)
-    at = np.arange(len(words) - HEAD + 1)
-    heads = run_hashes(words, at, at + HEAD)
+    head = min(HEAD, size)
+    at = np.arange(len(words) - head + 1)
+    heads = run_hashes(words, at, at + head)
     own = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    begin = np.flatnonzero(np.arange(len(words)) + 2 * RUN - 1 <= first[1:][own])
-    windows = np.lib.stride_tricks.sliding_window_view(heads, RUN)
+    begin = np.flatnonzero(np.arange(len(words)) + 2 * size - 1 <= first[1:][own])
+    windows = np.lib.stride_tricks.sliding_window_view(heads, size)
     found = np.unique(begin + windows[begin].argmin(1)) if len(begin) else begin
-    same = np.concatenate(([False], (heads[found[1:]] == heads[found[:-1]]) & (found[1:] - found[:-1] < RUN // 2) & (own[found[1:]] == own[found[:-1]])))
+    if not varied:
+        return found
+    same = np.concatenate(([False], (heads[found[1:]] == heads[found[:-1]]) & (found[1:] - found[:-1] < size // 2) & (own[found[1:]] == own[found[:-1]])))
     if same.any():
         keep, last = np.ones(len(found), bool), 0
         for k in range(len(found)):
-            if same[k] and found[k] - found[last] < RUN // 2:
+            if same[k] and found[k] - found[last] < size // 2:
                 keep[k] = False
             else:
                 last = k
         found = found[keep]
     if not len(found):
         return found
-    inside = np.sort(np.lib.stride_tricks.sliding_window_view(words, RUN)[found], axis=1)
-    return found[1 + (inside[:, 1:] != inside[:, :-1]).sum(1) >= VARIED * RUN]
+    inside = np.sort(np.lib.stride_tricks.sliding_window_view(words, size)[found], axis=1)
+    return found[1 + (inside[:, 1:] != inside[:, :-1]).sum(1) >= varied * size]
 
 
-def runs(docs: DataFrame) -> DataFrame:
+def runs(docs: DataFrame, size: int = RUN, varied: float = VARIED) -> DataFrame:
     """(id, start, end, node) of the runs of (id, text) that begin at run_starts; node is a key of a run's words."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
             words, first, start, end = placed_words([x or "" for x in batch.column("text").to_pylist()])
-            at = run_starts(words, first)
+            at = run_starts(words, first, size, varied)
             owner = np.searchsorted(first, at, side="right") - 1
-            node = run_hashes(words, at, at + RUN).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(start[at]), pa.array(end[at + RUN - 1]), pa.array(node)], names=["id", "start", "end", "node"])
+            node = run_hashes(words, at, at + size).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner)), pa.array(start[at]), pa.array(end[at + size - 1]), pa.array(node)], names=["id", "start", "end", "node"])
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, start long, end long, node long")
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, size: int = RUN, varied: float = VARIED) -> DataFrame:
     """(id, start, end, first) of the runs whose words an earlier run has, by id and start; first is the earliest.
 
     Runs are counted by their keys alone, summed up before they are dealt; only those that repeat keep their places. A key
@@ -136,7 +140,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     first in its own text stays.
     """
     with passing(docs.sparkSession, "runs") as folder:
-        found = stored(runs(docs), "all", folder, compression="zstd")
+        found = stored(runs(docs, size, varied), "all", folder, compression="zstd")
         twice = stored(found.groupBy("node").agg(F.count("*").alias("count"), F.min("id").alias("least")).where("count > 1").select("node", "least"), "twice", folder)
         again = stored(found.join(twice, "node"), "repeated-runs", compression="zstd")
     first = again.where("id = least").groupBy("node").agg(F.min(F.struct("id", "start", "end")).alias("first"))
@@ -164,14 +168,14 @@ def _sets(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(begins, begins[1:])]
 
 
-def near_paragraphs(rows: DataFrame, percent: int = 80) -> DataFrame:
+def near_paragraphs(rows: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS, varied: float = VARIED) -> DataFrame:
     """Per paragraph of (id, text) that a class has before: id, start, end, n, keep (first, node of the class), exact.
 
     Paragraphs of equal words are one node from the start. Nodes that share a band are compared by sizes and parity
     signatures there; those that these don't tell apart are a group, in which sets of five-word shingles are compared
     exactly. The links' components are the classes, and the first paragraph of each, by id and start, is kept.
     """
-    parts = stored(paragraphs(rows), "paragraphs", compression="zstd")
+    parts = stored(paragraphs(rows, least_words, varied), "paragraphs", compression="zstd")
     place = F.struct("id", "start", "end")
     classes = stored(parts.groupBy("node", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "paragraph-classes", compression="zstd")
     postings = classes.select("node", F.shiftleft("n", SALT_BITS).alias("m"), F.explode("bands").alias("h"))
@@ -188,20 +192,20 @@ def near_paragraphs(rows: DataFrame, percent: int = 80) -> DataFrame:
     return later.select("id", "start", "end", "n", "keep", (F.col("node") == F.col("keep.node")).alias("exact"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, least_words: int = LEAST_WORDS, run: int = RUN, varied: float = VARIED) -> DataFrame:
     """Per passage to remove: id, start, end (characters), n_shingles, exact, and the kept one's first_<id>, first_start.
 
-    Passages are paragraphs of LEAST_WORDS words or more that are a copy, near (a Jaccard of percent or more over
+    Passages are paragraphs of least_words words or more that are a copy, near (a Jaccard of percent or more over
     five-word shingles) or exact (exact says that the words are the kept one's), of an earlier paragraph's class, and
-    runs of RUN words that an earlier run repeats exactly, wherever they lie, so every passage of 2 * RUN - 1 words or more
-    is found. Rows may lie within others; remove their union. Passages of few different words (VARIED) are left
-    alone. Null and empty texts and null ids give no rows; repeated rows of one id and text are the same passages; an
+    runs of run words that an earlier run repeats exactly, wherever they lie, so every passage of 2 * run - 1 words or more
+    is found. Rows may lie within others; remove their union. Passages of few different words (varied) are left
+    alone. With least_words 1 and varied 0 no paragraph and no run is left out. Null and empty texts and null ids give no rows; repeated rows of one id and text are the same passages; an
     empty table gives an empty result. Other columns are not read.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kept = [F.col("id").alias(id_col), F.col("start"), F.col("end")]
-    whole = near_paragraphs(rows, percent).select(*kept, F.col("n").alias("n_shingles"), F.col("keep.first.id").alias(f"first_{id_col}"), F.col("keep.first.start").alias("first_start"), "exact")
-    inside = repeated_runs(rows).select(*kept, F.lit(RUN - 4).cast("long").alias("n_shingles"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), F.lit(True).alias("exact"))
+    whole = near_paragraphs(rows, percent, least_words, varied).select(*kept, F.col("n").alias("n_shingles"), F.col("keep.first.id").alias(f"first_{id_col}"), F.col("keep.first.start").alias("first_start"), "exact")
+    inside = repeated_runs(rows, run, varied).select(*kept, F.lit(max(1, run - 4)).cast("long").alias("n_shingles"), F.col("first.id").alias(f"first_{id_col}"), F.col("first.start").alias("first_start"), F.lit(True).alias("exact"))
     return whole.unionByName(inside)
 
 

@@ -120,6 +120,55 @@ def test_op4_recall_and_clean_texts(spark):
 # line dedup
 
 
+@pytest.mark.parametrize(("size", "varied"), [(3, 0), (6, 0), (6, 0.4)])
+def test_op4_runs_equal_all_windows(spark, size, varied):
+    rnd = random.Random(size)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda k: [rnd.choice(words) for _ in range(k)]
+    passages = [say(rnd.randint(size, 5 * size)) for _ in range(8)] + [["x"] * 4 * size]
+    docs = [(i, [w for _ in range(rnd.randint(0, 5)) for w in rnd.choice([say(rnd.randint(1, 20)), rnd.choice(passages)])]) for i in range(60)]
+    rows = spark.createDataFrame([(i, " \n".join(w)) for i, w in docs], "id long, text string").repartition(3)
+    text = {i: " \n".join(w) for i, w in docs}
+    found = op4.repeated_runs(rows, size, varied).collect()
+    for r in found:  # each is really there before
+        assert text[r.id][r.start : r.end] == text[r.first.id][r.first.start : r.first.end] and (r.first.id, r.first.end) <= (r.id, r.start) and len(text[r.id][r.start : r.end].split()) == size
+    inside = defaultdict(set)
+    for r in found:
+        inside[r.id].add(len(text[r.id][: r.start].split()))
+    earlier = defaultdict(list)
+    for i, w in docs:
+        for k in range(len(w) - 2 * size + 2):
+            earlier[tuple(w[k : k + 2 * size - 1])].append((i, k))
+    wide = lambda t: all(len(set(t[k : k + size])) >= varied * size for k in range(size))
+    windows = [(i, k) for t, places in earlier.items() if not varied or (wide(t) and len(set(t)) == len(t)) for i, k in places if places[0][0] != i]
+    assert len(windows) > 50
+    for i, k in windows:  # each window of 2 * size - 1 words that a text before has holds a run
+        assert any(k <= at <= k + size - 1 for at in inside[i])
+
+
+def test_op4_all_short_paragraphs(spark):
+    rnd = random.Random(8)
+    short = [" ".join(f"q{rnd.randint(0, 5000)}" for _ in range(k)) for k in range(1, 19)]
+    rows = [(i, f"{x}\n" + " ".join(f"u{rnd.randint(0, 99999)}" for _ in range(30))) for i, x in enumerate(short * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert op4.substring_dedup(d).count() == 0
+    got = op4.substring_dedup(d, least_words=1, varied=0).collect()
+    assert {(r.doc_id, r.start, r.end, r.first_doc_id) for r in got} == {(i + 18, 0, len(x), i) for i, x in enumerate(short)}
+
+
+def test_products_count_all_overlaps(monkeypatch):
+    rng = np.random.default_rng(1)
+    for trial in range(120):
+        monkeypatch.setattr(setjoin, "PAIRS", int(rng.choice([3, 40, 1 << 21])))
+        base, m = rng.integers(0, 2**63, 60, dtype=np.uint64), int(rng.integers(2, 14))
+        sets = [np.unique(np.concatenate((base[rng.random(60) < rng.choice([0.1, 0.85, 0.97, 1])], rng.integers(0, 2**63, int(rng.integers(1, 4)), dtype=np.uint64)))) for _ in range(m)]
+        side = np.zeros(m, int) if trial % 2 else np.append([1, 2], rng.integers(1, 3, m - 2))
+        left, right, ok = setjoin.linked(sets, side)
+        both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if i != j and 100 * both(i, j) >= 80 * (len(sets[i]) + len(sets[j]) - both(i, j))}
+        assert {(int(left[i]), int(right[j])) for i, j in zip(*np.nonzero(ok))} == want
+
+
 def test_op5_keeps_all_other_columns(spark):
     text = "a\nb\nc\nd"
     got = sorted(op5.line_dedup(clashing(spark, [(1, text), (2, text), (3, None)])).collect())
