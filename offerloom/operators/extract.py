@@ -83,6 +83,10 @@ class Page(HTMLParser):
         self.pieces: list[str] = []
         self.feed(html)
         self.close()
+        self.named: dict[tuple[str, str], list[Element]] = {}  # elements by tag, class and attribute
+        for e in self.elements:
+            for name in {("tag", e.tag), *(("class", c) for c in (e.attrs.get("class") or "").split()), *(("attr", a) for a in e.attrs)}:
+                self.named.setdefault(name, []).append(e)
 
     def handle_starttag(self, tag, attrs):
         self.elements.append(Element(tag, dict(attrs), len(self.pieces), len(self.pieces) if tag in VOID else None))
@@ -105,7 +109,8 @@ class Page(HTMLParser):
     def all(self, selector: str) -> Iterator[Element]:
         """The elements that a selector names."""
         tag, cls, attr, op, value = parsed(selector)
-        for e in self.elements:
+        rarest = ("attr", attr) if attr else ("class", cls) if cls else ("tag", tag)
+        for e in self.named.get(rarest, ()):
             have = e.attrs.get(attr) if attr else ""
             if (not tag or e.tag == tag) and (not cls or cls in (e.attrs.get("class") or "").split()) and (not attr or attr in e.attrs):
                 if not op or (have or "") == value or (op == "*=" and value in (have or "")):
@@ -222,7 +227,8 @@ def raw_page_product(html: pd.Series, store: pd.Series) -> pd.DataFrame:
         lists = PAGE_STORES[s]
         if not any(page.values(lists["title"], "content")) and not ld.get("title"):
             lists = PAGE_FALLBACK
-        rows.append({"supported": True, "ld_found": bool(ld), **{f"ld_{k}": ld.get(k) for k in LD}, "title": page.values(lists["title"], "content"), "price": page.values(lists["price"], "content", "data-price"), "shipping": [], "stock": []} | {k: [v] if (v := page.marked().get(k)) else [] for k in IDENTIFIERS})
+        marked = page.marked()
+        rows.append({"supported": True, "ld_found": bool(ld), **{f"ld_{k}": ld.get(k) for k in LD}, "title": page.values(lists["title"], "content"), "price": page.values(lists["price"], "content", "data-price"), "shipping": [], "stock": []} | {k: [v] if (v := marked.get(k)) else [] for k in IDENTIFIERS})
     return _frame(rows)
 
 

@@ -201,8 +201,9 @@ def compare_fallback(queries: DataFrame, offers: DataFrame, least: int = 75) ->
     """Ranked offers for queries without a canonical product: query_id, offer_id, match_score, match_reason, total, match_rank.
 
     All offers count, inactive ones too. A pair of least 75 shares an EAN, a branded MPN or SKU, or titles with a
-    Jaccard of 0.75; four equi-joins give these candidates, and the scored matcher decides. total is price and
-    shipping without rounding.
+    Jaccard of 0.75; equi-joins give these candidates, and the scored matcher decides. Titles that name models must share one
+    of them, so their join is by a model token too, and equal titles of many models are not all paired. total is price
+    and shipping without rounding.
     """
     priced = offers.select("offer_id", F.col("store").alias("o_store"), (F.coalesce("price", F.lit(0.0)) + F.coalesce("shipping", F.lit(0.0))).alias("total"), *[f for f in FIELDS if f in offers.columns])
     q_rows, q = distinct_items(queries.select("query_id", F.col("store").alias("q_store"), *[f for f in FIELDS if f in queries.columns]), "q_")
@@ -211,11 +212,14 @@ def compare_fallback(queries: DataFrame, offers: DataFrame, least: int = 75) ->
     named = (F.col("q_brand") == F.col("o_brand")) & (F.col("q_brand") != "")
     titles = token_pairs(qk.select("q_key"), ok.select("o_key"))
     fits = (F.col("q_brand") == "") | (F.col("o_brand") == "") | (F.col("q_brand") == F.col("o_brand"))
+    asked, same = qk.join(titles, F.col("q_key") == F.col("a_tokens")), F.col("b_tokens") == F.col("o_key")
     found = [
         qk.join(ok, F.col("q_ean") == F.col("o_ean")),
         qk.join(ok, named & (F.col("q_mpn") == F.col("o_mpn"))),
         qk.join(ok, named & (F.col("q_sku") == F.col("o_sku"))),
-        qk.join(titles, F.col("q_key") == F.col("a_tokens")).join(ok, (F.col("b_tokens") == F.col("o_key")) & fits),
+        asked.where("size(q_models) = 0").join(ok, same & fits),
+        asked.where("size(q_models) > 0").join(ok.where("size(o_models) = 0"), same & fits),
+        asked.withColumn("q_model", F.explode("q_models")).join(ok.withColumn("o_model", F.explode("o_models")), same & (F.col("q_model") == F.col("o_model")) & fits),
     ]
     pairs = found[0].select("q_item", "o_item")
     for more in found[1:]:

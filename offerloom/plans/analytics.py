@@ -132,9 +132,9 @@ def category_links_lateral(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {SITE_LINKS}, k AS (SELECT link AS url, arg_min(url, (length(url), url)) AS parent FROM links WHERE url <> link AND link <> 'https://www.jimms.fi/fi' GROUP BY link),
-w AS (SELECT 'https://www.jimms.fi/fi' AS url, CAST(NULL AS VARCHAR) AS parent, 0 AS depth, 'https://www.jimms.fi/fi' AS path UNION ALL SELECT k.url, k.parent, depth + 1, path || ' > ' || k.url FROM w JOIN k ON k.parent = w.url WHERE depth < 4)
-SELECT * FROM w""")
+WITH RECURSIVE {SITE_LINKS}, w AS (SELECT 'https://www.jimms.fi/fi' AS url, 0 AS depth UNION SELECT link, depth + 1 FROM w JOIN links l ON l.url = w.url WHERE depth < 4),
+d AS (SELECT url, min(depth) AS depth FROM w GROUP BY url)
+SELECT d.url, d.depth, arg_min(l.url, (length(l.url), l.url)) AS parent FROM d LEFT JOIN (links l JOIN d a ON l.url = a.url) ON l.link = d.url AND a.depth = d.depth - 1 GROUP BY d.url, d.depth""")
 def category_tree(spark, sf_dir):
     """The categories of a shop below its front page, from the links of its pages."""
     found = links.category_links(store_site(spark, sf_dir)).select(F.col("url").alias("parent"), "link")

@@ -199,10 +199,10 @@ def upsert_latest(spark, sf_dir):
     return out.select(F.col("store").cast("long").alias("store_key"), F.col("url").cast("long").alias("part_key"), "price", "op")
 
 
-_ADDRESS = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END"
+ADDRESS_SQL = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) END"
 
 
-@query(f"SELECT page_id, {_ADDRESS} AS address, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '') AS store, contains(url, '?') AS has_query, contains(url, 'page=') AS paged, coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INTEGER), 1) AS page FROM pages")
+@query(f"SELECT page_id, {ADDRESS_SQL} AS address, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '') AS store, contains(url, '?') AS has_query, contains(url, 'page=') AS paged, coalesce(TRY_CAST(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INTEGER), 1) AS page FROM pages")
 def normalize_urls(spark, sf_dir):
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", urls.strip_address(u).alias("address"), urls.store_of(F.lit(""), u).alias("store"), urls.has_query(u).alias("has_query"), urls.is_pagination(u).alias("paged"), urls.page_number(u).alias("page"))
@@ -269,36 +269,36 @@ def parse_prices(spark, sf_dir):
 
 
 _ANCHOR = """'(?is)<a[^>]+href\\s*=\\s*["'']([^"'']+)["''][^>]*>(.*?)</a>'"""
-_ANCHORS = f"""a AS (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS h, regexp_extract_all(html, {_ANCHOR}, 2) AS t, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
+ANCHORS_SQL = f"""a AS (SELECT page_id, url, regexp_extract_all(html, {_ANCHOR}, 1) AS h, regexp_extract_all(html, {_ANCHOR}, 2) AS t, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS origin FROM pages),
 z AS (SELECT page_id, origin, unnest(list_zip(range(len(h)), h, t)) AS x FROM a),
 b AS (SELECT page_id, origin, x[1] AS pos, replace(replace(replace(replace(replace(trim(x[2]), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') AS href, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(x[3], '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS label FROM z),
 links AS (SELECT page_id, pos, CASE WHEN href LIKE '/%' THEN origin || href ELSE href END AS link, label FROM b)"""
 
 
-@query(f"WITH {_ANCHORS} SELECT page_id, pos, link, label FROM links")
+@query(f"WITH {ANCHORS_SQL} SELECT page_id, pos, link, label FROM links")
 def page_links(spark, sf_dir):
     return pages.page_links(table(spark, sf_dir, "pages"))
 
 
-@query(f"WITH {_ANCHORS} SELECT link, coalesce(arg_min(label, page_id * 100000 + pos) FILTER (WHERE label <> ''), '') AS label, count(*) AS n_links FROM links GROUP BY link")
+@query(f"WITH {ANCHORS_SQL} SELECT link, coalesce(arg_min(label, page_id * 100000 + pos) FILTER (WHERE label <> ''), '') AS label, count(*) AS n_links FROM links GROUP BY link")
 def best_label_per_url(spark, sf_dir):
     return pages.best_label(pages.page_links(table(spark, sf_dir, "pages")), order=("page_id", "pos"))
 
 
-_SCORE = " + ".join(f"CASE WHEN contains(t, '{w}') THEN 10 ELSE 0 END" for w in pages.PRIORITY)
+LINK_SCORE_SQL = " + ".join(f"CASE WHEN contains(t, '{w}') THEN 10 ELSE 0 END" for w in pages.PRIORITY)
 
 
 _WORDS = ", ".join(f"'{w}'" for w in pages.PRIORITY)
 
 
-@query(f"WITH {_ANCHORS}, x AS (SELECT *, lower(link || ' ' || label || ' ' || list_extract([{_WORDS}], CAST((page_id + pos) % {len(pages.PRIORITY)} + 1 AS BIGINT))) AS t FROM links) SELECT page_id, pos, {_SCORE} + CASE WHEN contains(t, '?fq=') THEN 0 ELSE 3 END + CASE WHEN contains(t, '/fi/product/list/') THEN 2 ELSE 0 END AS score FROM x")
+@query(f"WITH {ANCHORS_SQL}, x AS (SELECT *, lower(link || ' ' || label || ' ' || list_extract([{_WORDS}], CAST((page_id + pos) % {len(pages.PRIORITY)} + 1 AS BIGINT))) AS t FROM links) SELECT page_id, pos, {LINK_SCORE_SQL} + CASE WHEN contains(t, '?fq=') THEN 0 ELSE 3 END + CASE WHEN contains(t, '/fi/product/list/') THEN 2 ELSE 0 END AS score FROM x")
 def link_scores(spark, sf_dir):
     """The links of all pages, each with one more of the words in its label."""
     word = F.get(F.array(*[F.lit(w) for w in pages.PRIORITY]), F.pmod(F.col("page_id") + F.col("pos"), F.lit(len(pages.PRIORITY))).cast("int"))
     return pages.page_links(table(spark, sf_dir, "pages")).select("page_id", "pos", pages.keyword_score(F.col("link"), F.concat_ws(" ", "label", word)).alias("score"))
 
 
-@query(f"WITH {_ANCHORS}, known AS (SELECT {_ADDRESS} AS url FROM pages) SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM known)")
+@query(f"WITH {ANCHORS_SQL}, known AS (SELECT {ADDRESS_SQL} AS url FROM pages) SELECT DISTINCT link AS url FROM links WHERE link NOT IN (SELECT url FROM known)")
 def new_urls_anti(spark, sf_dir):
     """The links of all pages that are no page's address."""
     p = table(spark, sf_dir, "pages")
@@ -306,15 +306,15 @@ def new_urls_anti(spark, sf_dir):
     return snapshots.new_urls(pages.page_links(p).select(F.lit("s").alias("store"), F.col("link").alias("url")), known).select("url")
 
 
-@query(f"WITH {_ANCHORS} SELECT link AS url FROM links UNION SELECT {_ADDRESS} FROM pages")
+@query(f"WITH {ANCHORS_SQL} SELECT link AS url FROM links UNION SELECT {ADDRESS_SQL} FROM pages")
 def known_urls_union(spark, sf_dir):
     """The distinct addresses that are linked or are a page's."""
     p = table(spark, sf_dir, "pages")
     return pages.page_links(p).select(F.col("link").alias("url")).union(p.select(urls.strip_address(F.col("url")))).distinct()
 
 
-@query(f"""WITH {_ANCHORS}, r AS (SELECT CAST(row_number() OVER (ORDER BY link) AS BIGINT) + 1000000 AS id, 's' AS store, link AS url FROM (SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT {_ADDRESS} FROM pages)))
-SELECT * FROM r UNION ALL SELECT page_id, 's', {_ADDRESS} FROM pages""")
+@query(f"""WITH {ANCHORS_SQL}, r AS (SELECT CAST(row_number() OVER (ORDER BY link) AS BIGINT) + 1000000 AS id, 's' AS store, link AS url FROM (SELECT DISTINCT link FROM links WHERE link NOT IN (SELECT {ADDRESS_SQL} FROM pages)))
+SELECT * FROM r UNION ALL SELECT page_id, 's', {ADDRESS_SQL} FROM pages""")
 def frontier(spark, sf_dir):
     """The pages as the raw table, with a row appended for each new link."""
     p = table(spark, sf_dir, "pages")
@@ -441,7 +441,7 @@ def sitemap_sources(spark, sf_dir):
 
 
 _CAP = 5
-_FOUND = f"{_ANCHORS}, f AS (SELECT regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) AS store, link AS url, page_id AS file, pos FROM links WHERE link LIKE '%://%'), n AS (SELECT store, url, min(file * 100000 + pos) AS spot FROM f WHERE url NOT IN (SELECT {_ADDRESS} FROM pages) GROUP BY ALL), k AS (SELECT store, url, spot, row_number() OVER (PARTITION BY store ORDER BY spot) AS n FROM n)"
+_FOUND = f"{ANCHORS_SQL}, f AS (SELECT regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) AS store, link AS url, page_id AS file, pos FROM links WHERE link LIKE '%://%'), n AS (SELECT store, url, min(file * 100000 + pos) AS spot FROM f WHERE url NOT IN (SELECT {ADDRESS_SQL} FROM pages) GROUP BY ALL), k AS (SELECT store, url, spot, row_number() OVER (PARTITION BY store ORDER BY spot) AS n FROM n)"
 
 
 def _found(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -1,18 +1,19 @@
-"""Queries over stored offers: crawls, refresh streams over bucketed tables."""
+"""Queries over stored offers and their sources: crawls, refresh streams over bucketed tables, jobs, selectors."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crawl, refresh
+from ..functions import text, urls
+from ..operators import crawl, extract, linking, refresh
 from ..sources import pages
 from ..sources.scratch import scratch_dir, stored
-from .catalogue import REFRESHED_SQL, shop
-from .registry import query
-from .views import table
+from .catalogue import ADDRESS_SQL, ANCHORS_SQL, LINK_SCORE_SQL, REFRESHED_SQL, shop
+from .registry import SQL, query
+from .views import OFFERS_SQL, PRODUCTS_SQL, offers, products, table
 
 _LIST = "https://www.jimms.fi/fi/Product/List/B"
 #: Limits of the crawl query: at the larger sizes each of them cuts.
@@ -78,3 +79,140 @@ def refresh_stream_state(spark, sf_dir):
     raw = store.raw.read(spark, n).where(F.get_json_object("extracted_json", "$.inStock") == "true").select("url", F.lit(True).alias("in_raw"))
     state = store.offers.read(spark, n).select("url", "title", "price", "retry_count", F.col("product_id").isNotNull().alias("linked"))
     return state.join(raw, "url", "left").withColumn("stored", F.coalesce("in_raw", F.lit(False))).drop("in_raw")
+
+
+@query(f"WITH {OFFERS_SQL} SELECT offer_id, store, url FROM offers WHERE url <> '' AND coalesce(is_active, 1) = 1")
+def known_offers(spark, sf_dir):
+    """The offers that a job over all known ones refreshes."""
+    return refresh.known_offers(offers(spark, sf_dir).withColumnRenamed("offer_id", "id")).withColumnRenamed("id", "offer_id")
+
+
+@query(f"WITH {OFFERS_SQL} SELECT offer_id, store, url FROM offers WHERE lower(title) LIKE '%re_%uusi%' AND url <> '' ORDER BY fetched_at DESC, offer_id LIMIT 50")
+def offers_by_title(spark, sf_dir):
+    """The offers that a job by a title's words refreshes: the 50 newest."""
+    return refresh.offers_by_title(offers(spark, sf_dir).withColumnRenamed("offer_id", "id"), "Re_%uusi", 50).withColumnRenamed("id", "offer_id")
+
+
+_WORD = f"list_extract([{', '.join(repr(w) for w in pages.PRIORITY)}], CAST((page_id + pos) % {len(pages.PRIORITY)} + 1 AS BIGINT))"
+
+
+@query(f"""WITH {ANCHORS_SQL}, x AS (SELECT link, page_id * 100000 + pos AS pos, lower(link || ' ' || label || ' ' || {_WORD}) AS t FROM links), s AS (SELECT link, pos, {LINK_SCORE_SQL} + CASE WHEN contains(t, '?fq=') THEN 0 ELSE 3 END + CASE WHEN contains(t, '/fi/product/list/') THEN 2 ELSE 0 END AS score FROM x)
+SELECT link AS url, 0 AS depth, max(score) AS score FROM s GROUP BY link ORDER BY max(score) DESC, min(pos), link LIMIT 240""")
+def crawl_queue(spark, sf_dir):
+    """Where a crawl begins: each address of the pages' links with the best score of its labels, the 240 best."""
+    word = F.get(F.array(*[F.lit(w) for w in pages.PRIORITY]), F.pmod(F.col("page_id") + F.col("pos"), F.lit(len(pages.PRIORITY))).cast("int"))
+    found = pages.page_links(table(spark, sf_dir, "pages")).select(F.col("link").alias("url"), F.concat_ws(" ", "label", word).alias("label"), (F.col("page_id") * 100000 + F.col("pos")).alias("pos"))
+    return pages.first_queue(found)
+
+
+_HOST = "regexp_extract({0}, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(f"""WITH {ANCHORS_SQL}, p AS (SELECT page_id, {ADDRESS_SQL} AS url FROM pages), m AS (SELECT 0 AS source, page_id AS file, 0 AS pos, url FROM p UNION ALL SELECT 1, page_id, pos, link FROM links WHERE link LIKE '%://%'),
+f AS (SELECT {_HOST.format('url')} AS store, url, min((source, file, pos)) AS spot FROM m WHERE url NOT IN (SELECT url FROM p WHERE page_id % 2 = 0) GROUP BY ALL)
+SELECT store, url, n FROM (SELECT store, url, CAST(row_number() OVER (PARTITION BY store ORDER BY spot) AS INTEGER) AS n FROM f) WHERE n <= 4""")
+def sitemap_then_links(spark, sf_dir):
+    """New addresses of each host under one cap: those of its sitemap first, then those that its pages link."""
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("store")
+    listed = p.select(F.lit(0).alias("source"), F.col("page_id").alias("file"), F.lit(0).alias("pos"), urls.strip_address(F.col("url")).alias("url"))
+    xml = listed.select("source", "file", F.concat(F.lit("<urlset><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></urlset>")).alias("xml"))
+    sitemap = xml.select("source", "file", F.posexplode(pages.sitemap_urls(F.col("xml"))).alias("pos", "url"))
+    linked = pages.page_links(p).where(F.col("link").contains("://")).select(F.lit(1).alias("source"), F.col("page_id").alias("file"), "pos", F.col("link").alias("url"))
+    known = listed.where("file % 2 = 0").select(host, "url")
+    return pages.capped_urls(sitemap.unionByName(linked).select(host, "url", "source", "file", "pos"), known, 4)[0]
+
+
+@query(f"""WITH {ANCHORS_SQL}, own AS (SELECT page_id, {_HOST.format('url')} AS store, {ADDRESS_SQL} AS url FROM pages),
+m AS (SELECT store, url, 0 AS source FROM own WHERE length(store) % 2 = 0 UNION ALL SELECT {_HOST.format('link')}, link, 1 FROM links WHERE link LIKE '%://%'), best AS (SELECT store, min(source) AS source FROM m GROUP BY store)
+SELECT store, url, source FROM m JOIN best USING (store, source)""")
+def source_fallback(spark, sf_dir):
+    """The addresses of each host from its sitemap, or, for hosts without one, from the links of its pages."""
+    p, host = table(spark, sf_dir, "pages"), lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#]+)", 1).alias("store")
+    sitemap = p.select(host("url"), urls.strip_address(F.col("url")).alias("url")).where("length(store) % 2 = 0")
+    linked = pages.page_links(p).where(F.col("link").contains("://")).select(host("link"), F.col("link").alias("url"))
+    return pages.first_source(sitemap, linked)
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id + 1 WHEN 1 THEN 7 WHEN 2 THEN 7 WHEN 3 THEN 12 ELSE CASE WHEN user_id >= 1 THEN user_id ELSE 7 END END AS n FROM events")
+def option_numbers(spark, sf_dir):
+    """Numbers of options as they are typed, with a fallback for what is none or below 1."""
+    k, e = F.pmod("event_id", F.lit(5)), F.col("event_id")
+    typed = F.when(k == 0, F.concat(F.lit(" +"), (e + 1).cast("string"))).when(k == 1, F.concat(F.lit("x"), e.cast("string"))).when(k == 2, F.concat(F.lit("-"), e.cast("string"))).when(k == 3, "12.5abc").otherwise(F.concat(F.lit("00"), F.col("user_id").cast("string"), F.lit(" rows")))
+    return table(spark, sf_dir, "events").select("event_id", text.positive_int(typed, 7).alias("n"))
+
+
+_WRAPPED = "CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN '<Header>top</Header><div id=\"x content\">' || html || '</div><aside>a</aside><section class=''listing''>b</section>' ELSE '<main>' || html || '</MAIN><p>after</p><main id=m>more</main>' END"
+_REST = "html"
+for _tag in pages.OUTSIDE:
+    _REST = f"regexp_replace({_REST}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_CONTENT = pages.CONTENT.replace("'", "''")
+
+
+@query(f"""WITH w AS (SELECT page_id, {_WRAPPED} AS html FROM pages), r AS (SELECT page_id, {_REST} AS rest FROM w), x AS (SELECT page_id, rest, regexp_extract_all(rest, '{pages.MAIN}') AS m, regexp_extract_all(rest, '{_CONTENT}') AS c FROM r)
+SELECT page_id, md5(CASE WHEN len(m) > 0 THEN array_to_string(m, chr(10)) WHEN len(c) > 0 THEN array_to_string(c, chr(10)) ELSE rest END) AS content FROM x""")
+def main_contents(spark, sf_dir):
+    """The main content of all pages: as they are, in a block that looks like content, or in main elements."""
+    k, h = F.pmod("page_id", F.lit(3)), F.col("html")
+    block = F.concat(F.lit('<Header>top</Header><div id="x content">'), h, F.lit("</div><aside>a</aside><section class='listing'>b</section>"))
+    mains = F.concat(F.lit("<main>"), h, F.lit("</MAIN><p>after</p><main id=m>more</main>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(pages.main_content(F.when(k == 0, h).when(k == 1, block).otherwise(mains))).alias("content"))
+
+
+@query(f"""WITH l AS ({SQL['link_offers_full']}) SELECT l.product_id AS id, p_name || ' ' || p_type AS title, p_brand AS brand, CAST(p_size AS VARCHAR) AS model, 'S/' || p_partkey AS sku, '' AS ean, '' AS mpn FROM l JOIN part ON l.offer_id = p_partkey WHERE created""")
+def founded_records(spark, sf_dir):
+    """The products that link_offers_full founds, with the fields of the offers that found them; no two skus are equal."""
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(key.alias("offer_id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("brand"), F.col("p_size").cast("string").alias("model"), F.concat(F.lit("S/"), key.cast("string")).alias("sku"))
+    top = p.groupBy("brand").agg(F.max(F.col("model").cast("int")).cast("string").alias("model")).select(F.regexp_extract("brand", "([0-9]+)", 1).cast("long").alias("id"), F.lit("").alias("title"), "brand", "model")
+    return linking.founded_products(p, linking.link_offers(p, top))
+
+
+def _element(selector: str, value: Column) -> Column:
+    """An element that a selector names, with a value as its text, or as its content where it is a meta element."""
+    tag, cls, attr, op, named = extract.parsed(selector)
+    inside = (f" class='a {cls} b'" if cls else "") + (f" {attr}='{'x-' if op == '*=' else ''}{named}'" if op else f" {attr}" if attr else "")
+    if tag == "meta":
+        return F.concat(F.lit(f"<meta{inside} content='"), value, F.lit("'>"))
+    return F.concat(F.lit(f"<{tag or 'span'}{inside}>"), value, F.lit(f"</{tag or 'span'}>"))
+
+
+def _one_of(selectors: list[str], number: Column, value: Column) -> Column:
+    """The element of the selector of a number, in turn."""
+    return F.get(F.array(*[_element(s, value) for s in selectors]), F.pmod(number, F.lit(len(selectors))).cast("int"))
+
+
+def selector_pages(spark: SparkSession, sf_dir: str, browser: bool) -> DataFrame:
+    """Each part as a page of one of four stores, whose elements are named by the store's selectors in turn.
+
+    On the browser side every third page has elements that only the fallback's selectors name.
+    """
+    p = products(spark, sf_dir)
+    turn, number = F.floor(F.col("id") / 4), F.call_function("format_number", F.col("list_price"), F.lit("0.00"))
+    store = F.get(F.array(*[F.lit(s) for s in extract.STORES]), F.pmod("id", F.lit(4)).cast("int"))
+    by_store = lambda lists, name, value: F.coalesce(*[F.when(store == s, _one_of(lists[s][name], turn, value)) for s in lists])
+    lists = extract.PAGE_STORES if browser else extract.STORES
+    title, price = by_store(lists, "title", F.col("title")), by_store(lists, "price", F.concat(number, F.lit(" €")))
+    if browser:
+        fall = F.pmod(turn, F.lit(3)) == 0
+        named = [s for s in extract.PAGE_FALLBACK["title"] if not any(s in x["title"] for x in extract.PAGE_STORES.values())]
+        title = F.when(fall, _one_of(named, turn, F.col("title"))).otherwise(title)
+        price = F.when(fall, _one_of(extract.PAGE_FALLBACK["price"], turn, F.concat(number, F.lit(" €")))).otherwise(price)
+    ids = [_one_of(extract.IDENTIFIERS[k], turn, F.col(k)) for k in extract.IDENTIFIERS]
+    stock = F.when(F.pmod("id", F.lit(5)) == 0, "Loppu").otherwise("Varastossa")
+    parts = [title, price, by_store(extract.STORES, "shipping", F.lit("4,90 €")), by_store(extract.STORES, "stock", stock), *ids]
+    return p.select("id", store.alias("store"), F.lit("u").alias("url"), F.concat(F.lit("<html><body>"), *parts, F.lit("</body></html>")).alias("html"))
+
+
+@query(f"WITH {PRODUCTS_SQL} SELECT id, ['gigantti.fi', 'jimms.fi', 'power.fi', 'verkkokauppa.com'][id % 4 + 1] AS store, title, list_price AS price, brand, model, sku, ean, mpn, 4.9 AS shipping, 'EUR' AS currency, id % 5 <> 0 AS in_stock FROM products")
+def store_selectors(spark, sf_dir):
+    """Products from pages of four stores, by each of the stores' selectors."""
+    r = extract.product_records(selector_pages(spark, sf_dir, False))
+    return r.select("id", *[f"product.{c}" for c in ("store", "title", "price", "brand", "model", "sku", "ean", "mpn", "shipping", "currency", "in_stock")])
+
+
+@query(f"WITH {PRODUCTS_SQL} SELECT id, title, list_price AS price, CASE WHEN id // 4 % 3 = 1 THEN '' ELSE brand END AS brand, CASE WHEN id // 4 % 3 = 2 THEN model ELSE '' END AS model, CASE WHEN id // 4 % 3 = 1 THEN '' ELSE sku END AS sku, CASE WHEN id // 4 % 3 = 1 THEN '' ELSE mpn END AS mpn, CASE WHEN id // 4 % 4 = 2 THEN '' ELSE ean END AS ean FROM products")
+def browser_selectors(spark, sf_dir):
+    """The same as the browser side reads them: data attributes name no identifiers there, and a model's itemprop neither."""
+    r = extract.product_records(selector_pages(spark, sf_dir, True), browser=True)
+    return r.select("id", *[f"product.{c}" for c in ("title", "price", "brand", "model", "sku", "mpn", "ean")])

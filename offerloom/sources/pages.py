@@ -220,28 +220,32 @@ def crawl(links: DataFrame, seeds: DataFrame, depth: int = 3, pages: int = 120)
     return seen
 
 
-_TREE = """
-WITH RECURSIVE tree (url, parent, depth, path) MAX RECURSION LEVEL {levels} AS (
-  SELECT url, CAST(NULL AS STRING), 0, url FROM {roots}
+_WALKS = """
+WITH RECURSIVE walk (url, depth) MAX RECURSION LEVEL {levels} AS (
+  SELECT url, 0 FROM {roots}
   UNION ALL
-  SELECT p.url, p.parent, t.depth + 1, t.path || ' > ' || p.url FROM tree t JOIN {parents} p ON p.parent = t.url WHERE t.depth < {depth})
-SELECT * FROM tree
+  SELECT DISTINCT l.link, w.depth + 1 FROM walk w JOIN {links} l ON l.parent = w.url WHERE w.depth < {depth})
+SELECT url, min(depth) AS depth FROM walk GROUP BY url
 """
 
 
 def category_tree(links: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
-    """(url, parent, depth, path) of the categories below roots (url), by a recursive common table expression.
+    """(url, parent, depth) of all that links (parent, link) lead to from roots (url) in depth steps, by a recursive common
+    table expression.
 
-    links: (parent, link). A category hangs on one parent: the one with the shortest address, then the first by address. So
-    no category comes twice, whatever cycles the links have, and each level is one join; depth bounds the levels.
-    Links to itself, to a root, and nulls are left out; categories that hang on no root are in no tree.
+    depth is the least number of steps, parent the page one step before with the shortest address, then the first by address.
+    A level of the recursion holds an address once, whatever many ways lead there, so that the levels are depth joins of
+    as many rows as there are addresses at most. Nulls are left out; what no root leads to is in no tree.
     """
     spark = links.sparkSession
-    known = links.where(F.col("parent") != F.col("link")).join(roots.select(F.col("url").alias("link")), "link", "left_anti")
-    parents = known.groupBy(F.col("link").alias("url")).agg(F.min(F.struct(F.length("parent").alias("n"), "parent"))["parent"].alias("parent"))
+    known = stored(links.where("parent is not null and link is not null").select("parent", "link").distinct(), "tree-links")
     before = spark.conf.get("spark.sql.cteRecursionRowLimit")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the tree has a row for each category, not for each path
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the levels are bounded by the addresses
     try:
-        return stored(spark.sql(_TREE, levels=depth + 1, depth=depth, roots=stored(roots.select("url").distinct(), "roots"), parents=stored(parents, "parents")), "tree")
+        walked = spark.sql(_WALKS, levels=depth + 1, depth=depth, roots=stored(roots.where("url is not null").select("url").distinct(), "tree-roots"), links=known)
+        found = stored(walked, "tree")
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+    above = known.join(found.select(F.col("url").alias("parent"), F.col("depth").alias("above")), "parent").select(F.col("link").alias("url"), "parent", (F.col("above") + 1).alias("depth"))
+    parents = found.join(above, ["url", "depth"]).groupBy("url").agg(F.min(F.struct(F.length("parent").alias("n"), "parent"))["parent"].alias("parent"))
+    return found.join(parents, "url", "left").select("url", "parent", "depth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +47,19 @@ def checked(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_offers_json(spark: SparkSession, path: str) -> DataFrame:
-    """Offers of a JSON file that holds one array; another top-level value is an error. pos is the place in it."""
-    whole = spark.read.option("wholetext", True).text(path)
-    kinds = whole.select(F.regexp_extract("value", r"^\uFEFF?\s*(\S)", 1).alias("k"), F.from_json("value", T.ArrayType(OFFER_SCHEMA)).alias("rows"))
-    checked = kinds.withColumn("rows", F.when(F.col("k") == "[", F.col("rows")).otherwise(F.raise_error(F.lit("the file must hold an array of offers")).cast(T.ArrayType(OFFER_SCHEMA))))
-    rows = checked.select(F.posexplode("rows").alias("pos", "o")).select("pos", "o.*")
+    """Offers of JSON files that hold one array each; another top-level value is an error. pos is the place in the file.
+
+    A file's objects are parsed one by one as they are read, so that no file is a string. Its first sign that is not blank is
+    looked up apart, in the pieces between commas.
+    """
+    piece = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"), F.regexp_extract("value", r"^\uFEFF?\s*(\S)", 1).alias("sign"))
+    kinds = piece.where("sign <> ''").groupBy("file").agg(F.min_by("sign", "at").alias("sign"))
+    fault = F.raise_error(F.lit("the file must hold an array of offers"))
+    # an empty file has no first sign; the files themselves are few beside their rows
+    checked = kinds.select("file", F.when(F.col("sign") == "[", True).otherwise(fault.cast("boolean")).alias("is_array"))
+    read = spark.read.schema(OFFER_SCHEMA).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__n"))
+    of = read.join(checked, "file").where("is_array")
+    rows = of.withColumn("pos", (F.col("__n") - F.min("__n").over(Window.partitionBy("file"))).cast("int")).drop("file", "__n", "is_array")
     text = {c: F.coalesce(c, F.lit("")) for c in ("store", "title", "url", "brand", "model", "sku", "ean", "mpn")}
     out = rows.withColumns(text | {"currency": F.coalesce("currency", F.lit("EUR")), "shipping": F.coalesce("shipping", F.lit(0.0)), "in_stock": F.col("inStock").cast("int")})
     return out.withColumn("total", F.coalesce("total", money.total(F.col("price"), F.col("shipping")))).drop("inStock")
