@@ -208,6 +208,12 @@ def media_features(rows: DataFrame, id_col: str = "doc_id", media_col: str = "me
     return source.mapInArrow(features, schema).withColumnRenamed("id", id_col)
 
 
+def write_tiles(features: DataFrame, path: str, id_col: str = "doc_id") -> str:
+    """Write the NPY tiles of media_features as Parquet (id, tile); media with an error have none. Returns the path."""
+    features.where("tile is not null").select(id_col, "tile").write.parquet(path)
+    return path
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text is stored as a picture in a table of the shared folder, read back and described."""
     media = stored(texts_as_media(documents(spark, sf_dir)), "media", compression="zstd")

@@ -1,5 +1,6 @@
 """Nulls, empty tables, clashing names, repeated rows, long texts, and brute force for the operators without SQL."""
 
+import io
 import random
 import re
 import struct
@@ -57,6 +58,39 @@ def test_tiles_are_scaled_by_the_maximum(spark):
     assert op2.decode(fields)[0, 0].tolist() == [1, 2, 3]
 
 
+def plain_hash(a):
+    """The difference hash of a picture by the mean of each area, pixel by pixel in parts."""
+    h, w = a.shape[:2]
+    grey = a.reshape(h, w, -1).mean(2)
+
+    def mean(y0, y1, x0, x1):
+        total = 0.0
+        for y in range(int(y0), min(h, int(np.ceil(y1)))):
+            for x in range(int(x0), min(w, int(np.ceil(x1)))):
+                total += grey[y, x] * (min(y + 1, y1) - max(y, y0)) * (min(x + 1, x1) - max(x, x0))
+        return total / ((y1 - y0) * (x1 - x0))
+
+    cells = [[mean(i * h / 8, (i + 1) * h / 8, j * w / 9, (j + 1) * w / 9) for j in range(9)] for i in range(8)]
+    bits = "".join("1" if row[j] < row[j + 1] - 1e-9 else "0" for row in cells for j in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 3), (3, 64, 3), (8, 9, 1), (20, 7, 3), (37, 41, 3)])
+def test_difference_hashes_equal_plain_means(shape):
+    a = np.random.default_rng(sum(shape)).integers(0, 256, shape, dtype=np.uint8)
+    assert op2.difference_hash(a) == plain_hash(a.astype(float))
+
+
+def test_tiles_are_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text " * 50), (2, None), (3, "ä" * 1000)], "doc_id long, text string")
+    features = op2.media_features(op2.texts_as_media(docs))
+    path = op2.write_tiles(features, f"file://{tmp_path}/tiles")
+    tiles = {r.doc_id: np.load(io.BytesIO(r.tile)) for r in spark.read.parquet(path).collect()}
+    assert set(tiles) == {1, 2, 3} and all(t.shape == (32, 32, 3) and t.dtype == np.uint8 for t in tiles.values()) and (tiles[2] == 32).all()
+    broken = op2.media_features(spark.createDataFrame([(1, bytearray(b"P"))], "doc_id long, media binary"))
+    assert spark.read.parquet(op2.write_tiles(broken, f"file://{tmp_path}/none")).count() == 0
+
+
 # substring dedup
 
 
@@ -221,6 +255,32 @@ def test_op7_equals_all_pairs(spark, monkeypatch, block_chars):
     assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_op7_long_items_equal_all_probes(spark):
+    rnd = random.Random(34)
+    letters = lambda n: "".join(rnd.choice("abcde ") for _ in range(n)).strip()
+    norm = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+    items = [(k, letters(n)) for k, n in enumerate((129, 150, 192, 260, 300, 420))]
+
+    def part(x):  # a stretch of an item with edits here and there
+        a = rnd.randrange(max(1, len(x) - 110))
+        x = list(x[a : a + rnd.randint(100, 300)])
+        for _ in range(rnd.randint(0, 24)):
+            j = rnd.randrange(len(x))
+            x[j : j + 1] = rnd.choice([[], ["x"], [x[j], "x"]])
+        return "".join(x)
+
+    rows = [(i, f"{letters(50)} {part(rnd.choice(items)[1])} {letters(50)}") for i in range(50)]
+    want = set()
+    for k, y in items:
+        p = norm(y)
+        # probes of 128 characters, each 64 after the one before, and the item's last 128
+        probes = [p[a : a + 128] for a in {*range(0, len(p) - 127, 64), len(p) - 128}]
+        want |= {(i, k) for i, x in rows if any(least_edits(q, norm(x)) <= 12 for q in probes)}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op7.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 10 < len(want) < 45
+
+
 def test_op7_long_texts(spark):
     rnd = random.Random(32)
     item = "".join(rnd.choice("abcdefgh ") for _ in range(200))
