@@ -99,12 +99,12 @@ def price_sketches(spark, sf_dir):
     return cube.join(exact, same).select(*_BY, "level", "n_orders", near.alias("customers_close"), between.alias("median_close"))
 
 
-@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def event_props(spark, sf_dir):
     """Events by their type and a field of their properties, which are stored as VARIANT and read by path."""
     e = stored(table(spark, sf_dir, "events").select("event_type", "value", variants.parsed(F.col("props")).alias("props")), "event-props")
     k = F.try_variant_get("props", "$.k", "long")
-    return e.groupBy("event_type", F.pmod(k, F.lit(10)).alias("k")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return e.groupBy("event_type", F.pmod(k, F.lit(10)).alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query(f"SELECT id, title, price, brand, model, sku, ean, shipping, currency, in_stock, title AS ld_name, price AS ld_price FROM ({SQL['jsonld_roundtrip']})")

@@ -234,22 +234,6 @@ def retry_state(spark, sf_dir):
     return maintenance.retry_state(attempts(spark, sf_dir)).select("offer_id", F.col("retry_count").cast("long").alias("retry_count"), "last_error_at", "fetched_at")
 
 
-@query(f"WITH {STATES_SQL} SELECT offer_id, retry_count, last_error_at, fetched_at FROM states")
-def retry_state_stream(spark, sf_dir):
-    """The same from a stream over the events, whose updates are appended to a table by batch."""
-    source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    rows = stream.select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("offer_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
-    out = f"{scratch_dir(spark)}/retries-{uuid.uuid4().hex}"
-
-    def keep(batch, number):
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-
-    retries.retry_states(rows).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(lambda b, n: keep(b.drop("batch"), n)).start().awaitTermination()
-    got = spark.read.parquet(f"{out}/rows")
-    return got.groupBy("offer_id").agg(F.max_by(F.struct("retry_count", "last_error_at", "fetched_at"), "batch").alias("x")).select("offer_id", F.col("x.retry_count").cast("long").alias("retry_count"), "x.last_error_at", "x.fetched_at")
-
-
 @query(f"WITH {ATTEMPTS_SQL} SELECT attempt_id, CAST(nullif(regexp_extract(message, '\\b(\\d{{3}})\\b', 1), '') AS INTEGER) AS status_code FROM attempts")
 def status_codes(spark, sf_dir):
     return attempts(spark, sf_dir).select("attempt_id", text.status_code(F.col("message")).alias("status_code"))
@@ -370,19 +354,6 @@ def window_failures(spark, sf_dir):
     return retries.window_failures(attempts(spark, sf_dir))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT page_id AS a, (page_id * 7 + 1) % (SELECT count(*) FROM pages) AS b FROM pages UNION SELECT page_id, (page_id * 3 + 2) % (SELECT count(*) FROM pages) FROM pages),
-w AS (SELECT 0 AS page, 0 AS depth UNION SELECT e.b, depth + 1 FROM w JOIN e ON w.page = e.a WHERE depth < 3)
-SELECT 'u' || page AS url, min(depth) AS depth FROM w GROUP BY page""")
-def crawl_depths(spark, sf_dir):
-    """A crawl of three rounds from one page over a table of links."""
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("a"))
-    n = p.agg(F.count("*")).scalar()
-    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
-    links = p.select("a", n.alias("n")).select(name(F.col("a")).alias("parent"), F.explode(F.array(name((F.col("a") * 7 + 1) % F.col("n")), name((F.col("a") * 3 + 2) % F.col("n")))).alias("link"))
-    return pages.crawl(stored(links, "links"), spark.createDataFrame([("u0",)], "url string"))
-
-
 _LIST = "https://www.jimms.fi/fi/Product/List/B"
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_dir
-from ..streaming import due, sessions
+from ..streaming import due, retries, sessions
 from .registry import query
-from .views import ATTEMPTS_SQL, table
+from .views import ATTEMPTS_SQL, STATES_SQL, table
 
 #: Events come in this many batches of as many days each.
 BATCHES, DAYS = 4, 8
@@ -41,6 +41,20 @@ def drained(out: DataFrame, root: str, name: str, mode: str = "append") -> DataF
     return spark.read.schema(out.schema).parquet(f"{root}/{name}")
 
 
+@query(f"WITH {STATES_SQL} SELECT offer_id, retry_count, last_error_at, fetched_at FROM states")
+def retry_state_stream(spark, sf_dir):
+    """The offers' retry state from a stream of attempts in batches of days, whose updates are appended to a table by batch."""
+    root, stream = in_batches(spark, table(spark, sf_dir, "events"), batch_of("ts"))
+    rows = stream().select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("offer_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+
+    retries.retry_states(rows).writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    got = spark.read.parquet(f"{root}/rows")
+    return got.groupBy("offer_id").agg(F.max_by(F.struct("retry_count", "last_error_at", "fetched_at"), "batch").alias("x")).select("offer_id", F.col("x.retry_count").cast("long").alias("retry_count"), "x.last_error_at", "x.fetched_at")
+
+
 _END = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM attempts)"
 
 
@@ -74,12 +88,12 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> tuple[str, Callable[[], DataF
 @query(f"""
 WITH {_ARRIVALS}, g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM t WHERE NOT late WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g),
-d AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, sum(value) AS total, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY user_id, island)
+d AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, round(sum(value), 2) AS total, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY user_id, island)
 SELECT * FROM d WHERE "end" <= (SELECT date_trunc('millisecond', max(newest)) - INTERVAL 1 HOUR FROM m)""")
 def user_sessions(spark, sf_dir):
     """Sessions of users from a stream in which some events come twice and some too late."""
     root, stream = _arrivals(spark, sf_dir)
-    return drained(sessions.sessions(stream()), root, "sessions")
+    return drained(sessions.sessions(stream()), root, "sessions").withColumn("total", F.round("total", 2))
 
 
 @query(f"WITH {_ARRIVALS} SELECT event_id, user_id, ts, CAST(batch + 2 AS INTEGER) AS batch FROM t WHERE late")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import crawl, extract, linking, refresh
-from ..sources import pages
+from ..sources import pages, snapshots
 from ..sources.scratch import scratch_dir, stored
-from .catalogue import ADDRESS_SQL, ANCHORS_SQL, LINK_SCORE_SQL, REFRESHED_SQL, shop
+from .catalogue import ADDRESS_SQL, ANCHORS_SQL, LINK_SCORE_SQL, REFRESHED_SQL, SITE_LINKS, bare_offers, shop, store_site
 from .registry import SQL, query
 from .views import OFFERS_SQL, PRODUCTS_SQL, offers, products, table
 
@@ -50,6 +50,32 @@ def category_crawl(spark, sf_dir):
     return crawl.crawl_categories(crawl.site(shown), queue, known, categories=CATEGORIES, per_category=PER_CATEGORY, budget=BUDGET, products=PRODUCTS).products
 
 
+@query(f"""
+WITH RECURSIVE {SITE_LINKS}, w AS (SELECT 'https://www.jimms.fi/fi' AS url, 0 AS depth UNION SELECT link, depth + 1 FROM w JOIN links l ON l.url = w.url WHERE depth < 3)
+SELECT url, min(depth) AS depth FROM w GROUP BY url""")
+def crawl_depths(spark, sf_dir):
+    """How many steps each address of a shop is from its front page, by a crawl of three rounds over its pages' links."""
+    found = store_site(spark, sf_dir).select(F.col("url").alias("parent"), F.explode(pages.category_links(F.col("html"))).alias("x")).select("parent", F.col("x.url").alias("link"))
+    front = table(spark, sf_dir, "nation").agg(F.lit("https://www.jimms.fi/fi").alias("url"))
+    return pages.crawl(stored(found, "links"), front, pages=None)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS title, p_brand AS brand, CAST(NULL AS VARCHAR) AS model, 'SKU-' || p_partkey AS sku, CAST(p_partkey AS BIGINT) AS offer, 'u' || p_partkey AS url, CAST(0 AS BIGINT) AS n_raw FROM part")
+def stored_tables(spark, sf_dir):
+    """The parts as rows of the library's own tables, made in a database of their own, filled, read and dropped."""
+    name = f"offers_{uuid.uuid4().hex}"
+    snapshots.create_tables(spark, name)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("brand"), F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"))
+    columns = lambda rows, t: snapshots.checked(rows.select(*[(F.col(c) if c in rows.columns else F.lit(None).cast(k)).alias(c) for c, k in spark.table(f"{name}.{t}").dtypes]), t)
+    columns(p, "products").write.insertInto(f"{name}.products")
+    columns(bare_offers(p.select("id", F.lit("jimms.fi").alias("store"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))), "offers").write.insertInto(f"{name}.offers")
+    raw = spark.table(f"{name}.raw_store_products").agg(F.count("*").alias("n_raw"))
+    both = spark.table(f"{name}.products").join(spark.table(f"{name}.offers").select(F.col("id").alias("offer"), "url"), F.col("id") == F.col("offer"))
+    out = stored(both.select("id", "title", "brand", "model", "sku", "offer", "url", raw.scalar().alias("n_raw")), "tables")
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    return out
+
+
 def _streamed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[refresh.Store, int]:
     """The shop's offers after a stream that asks for all addresses in batches; the store and its last version."""
     shown, old, raw, catalogue, fetched, now = shop(spark, sf_dir)

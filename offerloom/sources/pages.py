@@ -199,24 +199,25 @@ def capped_urls(found: DataFrame, known: DataFrame, cap: int = 200, order: tuple
     return kept.select("store", "url", "n"), seen.groupBy("store").agg((F.count_if(within) + goes_on).alias("looked_at"))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, depth: int = 3, pages: int = 120) -> DataFrame:
+def crawl(links: DataFrame, seeds: DataFrame, depth: int = 3, pages: int | None = 120) -> DataFrame:
     """Best-first over a table of links (parent, link): (url, depth) of what is reached from seeds (url).
 
-    Each round takes the links of the pages of the last one, without those known, best keyword score first, up to
-    pages in all; at most depth rounds. The frontier is bounded by pages; the link table is only joined.
+    Each round takes the links of the pages of the last one, without those known: all of them, or, of best keyword score
+    first, up to pages in all. At most depth rounds, each written once; the link table is only joined.
     """
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    left = pages - seen.count()
+    front = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "crawl-round")
+    seen, left = front, None if pages is None else pages - front.count()
     for d in range(1, depth + 1):
-        if left <= 0:
+        if left is not None and left <= 0:
             break
-        front = seen.where(F.col("depth") == d - 1).select(F.col("url").alias("parent"))
-        found = links.join(front, "parent").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-        step = found.orderBy(F.desc(keyword_score(F.col("url"), F.lit(""))), F.length("url"), "url").limit(left)
-        n = step.count()
+        found = links.join(front.select(F.col("url").alias("parent")), "parent").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
+        if left is not None:
+            found = found.orderBy(F.desc(keyword_score(F.col("url"), F.lit(""))), F.length("url"), "url").limit(left)
+        front = stored(found.withColumn("depth", F.lit(d)), "crawl-round")
+        n = front.count()
         if not n:
             break
-        seen, left = seen.unionByName(step.withColumn("depth", F.lit(d))), left - n
+        seen, left = seen.unionByName(front), None if left is None else left - n
     return seen
 
 
