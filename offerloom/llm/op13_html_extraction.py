@@ -36,8 +36,12 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NAMES = frozenset(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs masthead topbar footer sidebar aside rail widget widgets notice notices cookie cookies consent gdpr banner banners popup modal overlay "
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promotion promoted newsletter subscribe subscription signup login share sharing social related recommended recommendations "
-    "comment comments disqus replies form search searchbox toolbar pagination pager copyright".split()
+    "comment comments disqus discussion replies responses form search searchbox toolbar pagination pager copyright alert alerts toast paywall skiplink".split()
 )
+#: The like with which longer words begin or end, as in commentlist, topnav or adbox.
+_BEGINS = ("comment", "sidebar", "footer", "navbar", "navigation", "menu", "cookie", "breadcrumb", "newsletter", "advert", "sponsor", "masthead", "promo", "popup", "related", "social")
+_ENDS = ("nav", "menu", "sidebar", "footer", "comment", "comments", "banner", "notice", "cookie", "cookies", "popup", "widget")
+_SLOTS = re.compile("ads?(?:box|slot|unit|wrap|wrapper|space|block|container|bygoogle|sense)|share(?:bar|box|buttons|links)")
 _NOT_THERE = frozenset("no non not without has have with is".split())
 _KEPT = frozenset("html body main".split())
 
@@ -81,7 +85,11 @@ def _not_article(tag: str, attributes: str, in_article: bool, by_name: bool) ->
         return False
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = [w.lower() for w in _NAME.findall(name)]
-        if not _NOT_THERE.intersection(words) and (_NAMES.intersection(words) or (words == ["header"] and not in_article)):
+        if _NOT_THERE.intersection(words):
+            continue
+        if _NAMES.intersection(words) or any(w.startswith(_BEGINS) or w.endswith(_ENDS) or _SLOTS.fullmatch(w) for w in words):
+            return True
+        if not in_article and any(w == "header" or w.endswith("header") for w in words) or {"skip", "link"} <= set(words):
             return True
     return False
 
@@ -117,7 +125,7 @@ def lines_of(source: str, by_name: bool = True) -> Page:
         tag, _, out = stack.pop()
         opened[tag] -= 1
         gone -= out
-        articles -= tag == "article"
+        articles -= tag in ("article", "main")
         gap |= tag not in _WITHIN and (tag in _GROUPS or (out and not articles))
 
     source = source[: source.rfind(">") + 1] if source.rfind("<") > source.rfind(">") else source
@@ -155,7 +163,7 @@ def lines_of(source: str, by_name: bool = True) -> Page:
             stack.append((tag, node, out))
             opened[tag] = opened.get(tag, 0) + 1
             gone += out
-            articles += tag == "article"
+            articles += tag in ("article", "main")
         heading |= tag == "h1" and not gone
         if tag in _RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(source, at)

@@ -140,6 +140,8 @@ TEMPLATES = [
     "<body><div id='topMenu'>" + NAV + "</div><div id=wrap class='has-sidebar'><div class=col>{0}</div><div class='sidebar'><p>" + LONG + "</p></div></div><div>&copy; 2024 Site</div>",
     "<div role=navigation>" + NAV + "</div><div><div><section>{0}</section></div></div><form><p>" + LONG + "</p><input name=q></form><script>document.write('<p>" + LONG + "</p>')</script>",
     "<table><tr><td><a href=1>One link</a><td><article class='post'>{0}<div class='share-buttons'>Share on all of these sites</div><section class=comments><p>" + LONG + "</p></section></article></table><div hidden><p>" + LONG * 3 + "</p></div>",
+    "<body><div class=topnav>" + NAV + "</div><div class='pageheader'><h1>The Site</h1></div><main><header>{0}</header></main><ol class='commentlist'><li><p>" + LONG + "</p></ol><div id='cookiebar'><p>" + LONG + "</p></div><div class=adbox>Buy</div>",
+    "<body><div id=outer><div class='alert alert-info'>Site news</div><div class='post hentry'>{0}<div id=disqus_thread><p>" + LONG + "</p></div><div class='newsletter-signup'><p>" + LONG + "</p></div></div></div><div class='site-footer'><p>" + LONG + "</p></div>",
     "{0}",
 ]
 
