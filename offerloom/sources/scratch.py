@@ -10,13 +10,17 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_RUNS: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset a temporary folder of a local session, and an error on a cluster.
 
-    Executors on other machines would write to their own disks, and later reads would miss these rows.
+    Executors on other machines would write to their own disks, and later reads would miss these rows. Within run_folder
+    it is that block's folder.
     """
+    if _RUNS:
+        return _RUNS[-1]
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -48,6 +52,20 @@ def passing(spark: SparkSession, name: str) -> Iterator[str]:
         delete(spark, path)
 
 
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all tables on the way of the queries that are built and run within the block; it is deleted at its end.
+
+    Results read these tables as they run, so write them elsewhere before the block ends.
+    """
+    with passing(spark, "run") as path:
+        _RUNS.append(path)
+        try:
+            yield path
+        finally:
+            _RUNS.remove(path)
+
+
 def stored(df: DataFrame, name: str, folder: str | None = None, **options: str) -> DataFrame:
     """df written as Parquet to the shared folder (or to folder) and read back: its lineage ends here and it survives
     lost executors."""

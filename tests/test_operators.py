@@ -1,12 +1,13 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators import crawl, extract, linking, maintenance, matching, prices, refresh
 from offerloom.operators.numbering import numbered
-from offerloom.sources import fetch, pages, snapshots
+from offerloom.sources import fetch, pages, scratch, snapshots
 from offerloom.sources.buckets import Buckets
 
 
@@ -195,6 +196,15 @@ def test_numbers_have_no_gaps(spark):
     assert numbered(df.where("false"), "k").count() == 0
 
 
+def test_tables_of_a_run_are_deleted(spark, tmp_path):
+    with scratch.run_folder(spark) as folder:
+        kept = scratch.stored(spark.range(5), "kept")
+        numbered(kept.withColumnRenamed("id", "k"), "k").write.parquet(f"{tmp_path}/out")
+        at = Path(folder.removeprefix("file:").replace("//", "/"))
+        assert scratch.scratch_dir(spark) == folder and sum(1 for _ in at.iterdir()) == 2
+    assert not at.exists() and scratch.scratch_dir(spark) != folder and spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
 def test_requests(spark):
     r = spark.createDataFrame([(1, " T ", ["b", "c"], " 007 ", "1.299,00"), (2, None, [], "a7", "5,5 e"), (3, "", None, None, "x")], "q int, title string, brand array<string>, sku string, price string")
     got = refresh.request_fields(r).orderBy("q").collect()
