@@ -49,8 +49,8 @@ def crawl_categories(site: DataFrame, queue: DataFrame, known: DataFrame, depth:
     front = queue.groupBy("url").agg(F.max("score").alias("score"))
     seen = pages = None
     for d in range(depth + 1):
-        place = F.row_number().over(Window.orderBy(best))
-        ring = stored(front.withColumns({"depth": F.lit(d), "place": place}).where(F.col("place") <= categories), "ring")
+        first = front.orderBy(best).limit(categories)
+        ring = stored(first.withColumns({"depth": F.lit(d), "place": F.row_number().over(Window.orderBy(best))}), "ring")
         read = site.join(F.broadcast(ring.select(F.col("url").alias("category"), "place")), "category").withColumn("nth", F.row_number().over(Window.partitionBy("category").orderBy("number")))
         within = F.sum(F.when(F.col("nth") > 1, 1).otherwise(0)).over(Window.orderBy("place", "nth"))
         read = stored(read.where(F.col("nth") <= per_category).withColumn("extra", within).where((F.col("nth") == 1) | (F.col("extra") <= budget)).withColumn("depth", F.lit(d)), "ring-pages")
