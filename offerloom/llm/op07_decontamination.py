@@ -6,6 +6,7 @@ with it (the q-gram lemma), on diagonals at most k apart. Only bands with so man
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slices
+from .common import documents, passing, slices, stored
 from .words import _letters, mix
 
 #: Characters of a gram, of a probe at most, and from one probe of a long item to the next.
@@ -24,7 +25,7 @@ Q, PROBE, STRIDE = 8, 128, 64
 EDITS = 0.1
 #: Items are searched in blocks of about so many characters: what a task holds of the benchmark at a time.
 BLOCK_CHARS = 4_000_000
-#: So many blocks are searched in one scan of the texts; a larger benchmark takes another scan.
+#: So many blocks are sent with one scan of the texts; a larger benchmark takes another scan.
 SCAN_BLOCKS = 16
 #: A task reads so many bytes of texts before it goes through the blocks.
 HELD_BYTES = 1 << 25
@@ -161,80 +162,103 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
     return [(doc, item, *x) for (doc, item), x in sorted(out.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
-    """(items, texts) of the benchmark's blocks, one after the other; each is of about block_chars characters."""
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // block_chars)
-    for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item", "text").collect()
-        yield [r[0] for r in own], [r[1] for r in own]
-
+def blocks(benchmark: DataFrame, folder: str, text_col: str = "text") -> Iterator[tuple[list[str], list[str]]]:
+    """(keys, texts) of the benchmark's different texts, block by block, each of about block_chars characters.
 
-def scans(benchmark: DataFrame, found, text_col: str, item_col: str, item_text_col: str, block_chars: int = BLOCK_CHARS) -> list:
-    """What mapInArrow runs for each scan of the texts; found(batch, hits) gives the batch that comes of one and its hits.
-
-    hits are those of search() with the item's value for its number. The texts of SCAN_BLOCKS blocks are sent with a scan. A
-    task holds the index of one block at a time: where there are more, it goes through them for each HELD_BYTES of texts.
+    A text's key is its sha256. Copies are one text from the start, so a block does not grow with them. Where there are
+    several blocks they are written to folder, one part each, so that each is read once.
     """
-    context = benchmark.sparkSession.sparkContext
-    sent: list[list] = []
-    for k, block in enumerate(blocks(benchmark, item_col, item_text_col, block_chars)):
-        if k % SCAN_BLOCKS == 0:
-            sent.append([])
-        sent[-1].append(context.broadcast(block))
-
-    def scan(own: list):
-        def run(batches):
-            only = build_index(*own[0].value) if len(own) == 1 else None
-
-            def through(held):
-                hits: list[list] = [[] for _ in held]
-                for block in own:
-                    index = only or build_index(*block.value)
-                    for mine, batch in zip(hits, held):
-                        mine += [(h[0], index.items[h[1]], *h[2:]) for h in search([x or "" for x in batch.column(text_col).to_pylist()], index)]
-                return [found(batch, mine) for batch, mine in zip(held, hits)]
-
-            held, size = [], 0
-            for batch in slices(batches, text_col):
-                held.append(batch)
-                size += batch.column(text_col).nbytes
-                if only or size >= HELD_BYTES:
-                    yield from through(held)
-                    held, size = [], 0
-            if held:
+    texts = benchmark.where(F.length(text_col) >= Q).select(F.col(text_col).alias("text")).distinct()
+    total = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = -(-total // BLOCK_CHARS)
+    keyed = texts.select(F.sha2("text", 256).alias("key"), "text")
+    if n > 1:
+        block = F.pmod(F.xxhash64("text"), F.lit(n))
+        keyed.withColumn("block", block).repartition("block").write.partitionBy("block").parquet(folder)
+        keyed = benchmark.sparkSession.read.schema("key string, text string, block long").parquet(folder)
+    for k in range(n):
+        own = (keyed.where(F.col("block") == k) if n > 1 else keyed).orderBy("key").collect()
+        yield [r.key for r in own], [r.text for r in own]
+
+
+def searching(sent: list, found, text_col: str):
+    """What mapInArrow runs; found(batch, hits) gives the batch that comes of one and its hits, those of search() with
+    the text's key for its number. A task holds the index of one block of sent at a time: where there are more, it goes
+    through them for each HELD_BYTES of texts."""
+
+    def run(batches):
+        only = build_index(*sent[0].value) if len(sent) == 1 else None
+
+        def through(held):
+            hits: list[list] = [[] for _ in held]
+            for block in sent:
+                index = only or build_index(*block.value)
+                for mine, batch in zip(hits, held):
+                    mine += [(h[0], index.items[h[1]], *h[2:]) for h in search([x or "" for x in batch.column(text_col).to_pylist()], index)]
+            return [found(batch, mine) for batch, mine in zip(held, hits)]
+
+        held, size = [], 0
+        for batch in slices(batches, text_col):
+            held.append(batch)
+            size += batch.column(text_col).nbytes
+            if only or size >= HELD_BYTES:
                 yield from through(held)
+                held, size = [], 0
+        if held:
+            yield from through(held)
 
-        return run
+    return run
 
-    return [scan(own) for own in sent]
+
+def scans(docs: DataFrame, benchmark: DataFrame, each, item_text_col: str) -> list[DataFrame]:
+    """each(docs, sent, last) for every scan of the texts, where sent are the blocks that the scan searches.
+
+    A scan's blocks are broadcast: SCAN_BLOCKS * BLOCK_CHARS characters at most, whatever the benchmark's size. A larger
+    benchmark takes more scans, one after the other; each but the last writes what it finds, and its blocks are
+    given up before the next ones are sent.
+    """
+    spark, out = docs.sparkSession, []
+    with passing(spark, "items") as folder:
+        left = blocks(benchmark, folder, item_text_col)
+        block = next(left, None)
+        while block is not None:
+            sent = []
+            while block is not None and len(sent) < SCAN_BLOCKS:
+                sent.append(spark.sparkContext.broadcast(block))
+                block = next(left, None)
+            found = each(docs, sent, out)
+            if block is not None:
+                found = stored(found, "scanned")
+                for x in sent:
+                    x.destroy()
+            out.append(found)
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document and item found in it: id, item, start, end (characters) and edits.
 
-    The stated items are searched in each text where it is scanned, whole, block by block; no shuffle, no pairs.
-    Null and empty texts, and null or short items, give nothing; equal items are found each; repeated rows give
-    their rows again; an empty table on either side gives an empty result. Other columns are not read.
+    The items' different texts are searched in each text where it is scanned, whole, block by block; the hits alone are
+    joined with the items of these texts. Null and empty texts, and null or short items, give nothing; equal items are
+    found each; repeated rows give their rows again; an empty table on either side gives an empty result. Other columns
+    are not read.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, item {item_kind}, start long, end long, edits int"
+    schema = f"id {kind}, key string, start long, end long, edits int"
 
     def found(batch, hits):
-        doc, item, start, end, edits = zip(*hits) if hits else ((),) * 5
-        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array(item, item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["id", "item", "start", "end", "edits"])
+        doc, key, start, end, edits = zip(*hits) if hits else ((),) * 5
+        return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array(key, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], names=["id", "key", "start", "end", "edits"])
 
-    parts = [rows.mapInArrow(run, schema) for run in scans(benchmark, found, "text", item_col, item_text_col)]
-    out = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    parts = scans(rows, benchmark, lambda d, sent, _: d.mapInArrow(searching(sent, found, "text"), schema), item_text_col)
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"id {kind}, item {item_kind}, start long, end long, edits int").withColumnsRenamed({"id": id_col, "item": item_col})
+    items = benchmark.where(F.length(item_text_col) >= Q).select(F.col(item_col).alias("item"), F.sha2(item_text_col, 256).alias("key"))
+    return reduce(DataFrame.unionByName, parts).join(items, "key").select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "end", "edits")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """docs without those that hold an item; all columns stay, whatever their names. Null and empty texts hold none."""
 
     def clean(batch, hits):
@@ -242,9 +266,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         stay[[x[0] for x in hits]] = False
         return batch.filter(pa.array(stay))
 
-    for run in scans(benchmark, clean, text_col, item_col, item_text_col):
-        docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
-    return docs
+    schema = T.StructType(docs.schema.fields)
+    left = scans(docs, benchmark, lambda d, sent, before: (before[-1] if before else d).mapInArrow(searching(sent, clean, text_col), schema), item_text_col)
+    return left[-1] if left else docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
