@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, documents, passing, slices, stored
-from .setjoin import SALT_BITS, close_edges, signatures, verified, wanted, with_blocks
+from .setjoin import close_edges, salted, signatures, verified, wanted, with_blocks
 from .words import byte_words, distinct_sets, mix, placed_words, run_hashes, shingles
 
 #: Tuned for recall at a Jaccard of 0.8: 1 - (1 - 0.8 ** 4) ** 14 = 0.9994 of such pairs share a band.
@@ -178,7 +178,7 @@ def near_paragraphs(rows: DataFrame, percent: int = 80, least_words: int = LEAST
     parts = stored(paragraphs(rows, least_words, varied), "paragraphs", compression="zstd")
     place = F.struct("id", "start", "end")
     classes = stored(parts.groupBy("node", "n").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "paragraph-classes", compression="zstd")
-    postings = classes.select("node", F.shiftleft("n", SALT_BITS).alias("m"), F.explode("bands").alias("h"))
+    postings = salted(classes.select("node", "n", F.explode("bands").alias("h")))
     with passing(rows.sparkSession, "paragraph-keys") as folder:
         groups = components(close_edges(postings, classes.select("node", "n", "sig"), folder, percent)).select("node", F.col("root").alias("comp"))
     candidates = stored(groups.join(classes.select("node", "n", "first", "copies"), "node"), "paragraph-candidates")

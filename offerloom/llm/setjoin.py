@@ -109,6 +109,25 @@ HELD_ROWS = 1_000_000
 SALTS, SALT_BITS = 64, 7
 
 
+#: Keys are counted in so many bins to tell which are frequent.
+LOAD_BINS = 1 << 16
+
+
+def salted(postings: DataFrame) -> DataFrame:
+    """(h, node, m), as shared_keys takes them, of postings (h, node, n): keys of crowded bins are salted by node.
+
+    A bin is crowded if it holds HELD_ROWS more than twice the mean, so a key that is much for a task is in one. Bins are
+    summed up before they are dealt; the driver gets LOAD_BINS counts at most, and the crowded bins' numbers are sent.
+    """
+    spark, name = postings.sparkSession, F.pmod("h", F.lit(LOAD_BINS))
+    loads = postings.groupBy(name.alias("bin")).agg(F.count("*").alias("rows")).collect()
+    most = 2 * sum(r["rows"] for r in loads) / LOAD_BINS + HELD_ROWS
+    crowded = spark.createDataFrame([(r["bin"],) for r in loads if r["rows"] > most], "bin long")
+    marked = postings.withColumn("bin", name).join(F.broadcast(crowded.withColumn("crowded", F.lit(True))), "bin", "left")
+    salt = F.when(F.col("crowded"), F.pmod("node", F.lit(SALTS)) + 1).otherwise(0)
+    return marked.select("h", "node", F.shiftleft("n", SALT_BITS).bitwiseOR(salt).alias("m"))
+
+
 def shared_keys(postings: DataFrame, percent: int) -> DataFrame:
     """(h, node, n, df) from postings (h, node, m = n << SALT_BITS | salt): nodes with a partner of fitting size under h.
 
