@@ -180,6 +180,28 @@ def test_op4_runs_equal_all_windows(spark, size, varied):
         assert any(k <= at <= k + size - 1 for at in inside[i])
 
 
+@pytest.mark.parametrize("held", [0, 1 << 20])
+def test_crowded_keys_are_salted(spark, monkeypatch, tmp_path, held):
+    monkeypatch.setattr(setjoin, "HELD_ROWS", held)
+    rnd = np.random.default_rng(3)
+    base = np.arange(60, dtype=np.uint64) * np.uint64(7919)
+    sets = [np.unique(np.append(base[rnd.random(60) < 0.97], rnd.integers(1 << 40, 1 << 41, 2, dtype=np.uint64))) for _ in range(80)]
+    keys = [(7, k, len(s)) for k, s in enumerate(sets)] + [(1000 + k // 2, k, len(s)) for k, s in enumerate(sets)]
+    postings = setjoin.salted(spark.createDataFrame(keys, "h long, node long, n long"))
+    salts = {(r.h, r.m & 127) for r in postings.collect()}
+    assert len({s for h, s in salts if h == 7}) > 8 if not held else {s for _, s in salts} == {0}
+    nodes = spark.createDataFrame([(k, len(s), setjoin.signature(s)) for k, s in enumerate(sets)], "node long, n long, sig binary")
+    found = [(r.u, r.v) for r in setjoin.close_edges(postings, nodes, f"file://{tmp_path}").collect()]
+    root = list(range(80))
+    for _ in range(80):
+        for u, v in found:
+            root[u] = root[v] = min(root[u], root[v])
+    for i in range(80):  # all linked pairs share the key 7
+        for j in range(i):
+            x = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * x < 80 * (len(sets[i]) + len(sets[j]) - x) or root[i] == root[j]
+
+
 def test_op4_all_short_paragraphs(spark):
     rnd = random.Random(8)
     short = [" ".join(f"q{rnd.randint(0, 5000)}" for _ in range(k)) for k in range(1, 19)]
@@ -225,8 +247,7 @@ def least_edits(p, t):
 
 @pytest.mark.parametrize("block_chars", [op7.BLOCK_CHARS, 150])
 def test_op7_equals_all_pairs(spark, monkeypatch, block_chars):
-    monkeypatch.setattr(op7.blocks, "__defaults__", ("item_id", "text", block_chars))
-    monkeypatch.setattr(op7.scans, "__defaults__", (block_chars,))
+    monkeypatch.setattr(op7, "BLOCK_CHARS", block_chars)
     monkeypatch.setattr(op7, "SCAN_BLOCKS", 2)
     monkeypatch.setattr(op7, "HELD_BYTES", 500)
     rnd = random.Random(31)
@@ -281,6 +302,19 @@ def test_op7_long_items_equal_all_probes(spark):
     assert got == want and 10 < len(want) < 45
 
 
+def test_op7_copies_of_items_over_several_scans(spark, monkeypatch):
+    monkeypatch.setattr(op7, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(op7, "SCAN_BLOCKS", 1)
+    rnd = random.Random(35)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(80)) for _ in range(9)]
+    items = [(k, texts[k] if k < 9 else texts[0]) for k in range(40)] + [(40, None), (41, ""), (0, texts[0])]  # most are copies of one
+    rows = [(k, f"zz {x} yy") for k, x in enumerate(texts)] + [(9, "nothing of it"), (10, None), (11, " ".join(texts)), (0, f"zz {texts[0]} yy")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = Counter((i, k) for i, x in rows for k, y in items if x and y and " ".join(y.split()) in " ".join(x.split()))
+    assert Counter((r.doc_id, r.item_id) for r in op7.leaks(d, b).collect()) == want and len(want) == 80
+    assert {r.doc_id for r in op7.decontaminate(d, b).collect()} == {9, 10}
+
+
 def test_op7_long_texts(spark):
     rnd = random.Random(32)
     item = "".join(rnd.choice("abcdefgh ") for _ in range(200))
