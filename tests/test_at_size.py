@@ -23,3 +23,17 @@ def test_offers_are_read_once_and_equal_queries_share_their_ranks(spark):
     assert reads.value == len(rows)
     own = {k: [(x, s) for x, s in ((10, "s1"), (14, "s5")) if k % 3 or s != "s1"] for k in range(12)}
     assert got == {(k, 1, x, 80, n, s) for k, xs in own.items() for n, (x, s) in enumerate(xs, 1)}
+
+
+def test_equal_queries_are_ranked_once_in_the_fallback(spark):
+    q = spark.range(40).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "s1").alias("store"), F.lit("Acme Phone X200 blue").alias("title"), F.lit("acme").alias("brand"))
+    o = spark.range(50).select(F.col("id").alias("offer_id"), F.when(F.col("id") % 5 == 0, "s1").when(F.col("id") % 5 == 1, "").otherwise("s2").alias("store"), F.lit("Phone Acme X200 blue").alias("title"), F.lit("").alias("brand"), (F.col("id") % 7).cast("double").alias("price"), F.lit(0.0).alias("shipping"))
+    df = matching.compare_fallback(q, o)
+    got = {(r.query_id, r.offer_id, r.match_score, r.match_reason, r.match_rank) for r in df.collect()}
+    want = set()
+    for k in range(40):
+        fit = sorted((x % 7, x) for x in range(50) if (x % 5 != 0 if k % 2 == 0 else x % 5 != 1))
+        want |= {(k, x, 80, "strong title overlap", n) for n, (_, x) in enumerate(fit, 1)}
+    assert got == want
+    # the window runs over the two kinds of queries, not over the forty queries
+    assert "windowspecdefinition(q_kind" in df._jdf.queryExecution().analyzed().toString()
