@@ -37,3 +37,10 @@ def test_equal_queries_are_ranked_once_in_the_fallback(spark):
     assert got == want
     # the window runs over the two kinds of queries, not over the forty queries
     assert "windowspecdefinition(q_kind" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_pages_of_selectors_are_read_by_many_tasks(spark):
+    from offerloom.plans import stored_offers
+
+    for name in ("browser_selectors", "store_selectors"):
+        assert getattr(stored_offers, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
