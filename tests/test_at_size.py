@@ -44,3 +44,16 @@ def test_pages_of_selectors_are_read_by_many_tasks(spark):
 
     for name in ("browser_selectors", "store_selectors"):
         assert getattr(stored_offers, name)(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 12
+
+
+def test_product_pages_are_read_by_many_tasks_and_prices_are_parsed_once(spark):
+    from offerloom.operators import extract
+    from offerloom.plans import catalogue
+
+    for json_ld in (True, False):
+        assert catalogue.product_pages(spark, "/root/testdata/sf0.001", json_ld).rdd.getNumPartitions() >= 12
+    pages = spark.createDataFrame([("jimms.fi", "u", "<h1>a</h1><p class=price>1 299,50 €</p>")], "store string, url string, html string")
+    df = extract.product_records(pages)
+    assert df.first().product.total == 1299.5
+    plan = df.select("product.total", "product.price", "product.currency")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[.,\\s]\\d{3}") <= 2  # of the price and of the shipping
