@@ -42,7 +42,11 @@ def _number(df: DataFrame, c: str) -> Column:
     return F.unix_micros(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)
 
 
-def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, by: str | None = None, width: float = 86_400e6) -> DataFrame:
+#: A key of no more intervals meets its points by the key alone: so many comparisons of a point cost less than its copies for bins.
+FEW = 128
+
+
+def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, by: str | None = None, width: float = 86_400e6, few: int = FEW) -> DataFrame:
     """The rows of points with those of intervals that hold their time: start <= at < end, and equal by where it is given.
 
     An interval belongs to the level whose bins, width * 2 ** level wide, are not shorter than it, and lies in two or three of
@@ -50,7 +54,23 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, end: str,
     key, level and bin, then the exact test. Times are timestamps (width in microseconds) or numbers; a null end
     is open, and reaches over all points. Empty intervals, null starts, times or keys are in no pair. Columns of the two
     tables but by have different names.
+
+    Intervals of a key with few of them are joined by key, and only those of the other keys, with these keys' points, by bins.
     """
+    if by is None:
+        return _binned_join(intervals, points, start, end, at, by, width)
+    many = stored(intervals.where(F.col(by).isNotNull()).groupBy(by).count().where(F.col("count") > few).select(by), "many")
+    none = many.isEmpty()
+    rows = (intervals if none else intervals.join(many, by, "left_anti")).withColumns({"__s": _number(intervals, start), "__e": _number(intervals, end)})
+    inside = (F.col("__t") >= F.col("__s")) & (F.col("__e").isNull() | (F.col("__t") < F.col("__e")))
+    plain = points.withColumn("__t", _number(points, at)).join(rows, by).where(inside).drop("__s", "__e", "__t")
+    if none:
+        return plain
+    kept = [x.join(many, by, "left_semi") for x in (intervals, points)]
+    return plain.unionByName(_binned_join(*kept, start, end, at, by, width))
+
+
+def _binned_join(intervals: DataFrame, points: DataFrame, start: str, end: str, at: str, by: str | None, width: float) -> DataFrame:
     top = points.agg(F.max(_number(points, at))).scalar()
     s, e = _number(intervals, start), F.coalesce(_number(intervals, end), top + 1)
     length = e - s

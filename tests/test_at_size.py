@@ -57,3 +57,15 @@ def test_product_pages_are_read_by_many_tasks_and_prices_are_parsed_once(spark):
     assert df.first().product.total == 1299.5
     plan = df.select("product.total", "product.price", "product.currency")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[.,\\s]\\d{3}") <= 2  # of the price and of the shipping
+
+
+def test_intervals_of_few_a_key_need_no_bins(spark):
+    from offerloom.operators import temporal
+
+    i = spark.range(90).select(F.when(F.col("id") < 60, 1).when(F.col("id") < 88, F.col("id") % 7 + 2).alias("k"), (F.col("id") * 3 % 50).cast("double").alias("s"), F.when(F.col("id") % 4 > 0, F.col("id") * 3 % 50 + F.col("id") % 9).cast("double").alias("e"))
+    p = spark.range(200).select((F.col("id") % 10).cast("int").alias("k"), F.col("id").alias("p"), F.when(F.col("id") != 11, F.col("id") % 60).cast("double").alias("t"))
+    found = lambda df: sorted((r.k, r.p, r.t, r.s, -1 if r.e is None else r.e) for r in df.collect())
+    want = found(p.join(i, "k").where("t >= s and (e is null or t < e)"))
+    few, some, none = (temporal.interval_join(i, p, "s", "e", "t", by="k", width=1.0, few=n) for n in (128, 10, 0))
+    assert found(few) == found(some) == found(none) == want and want
+    assert "explode" not in few._jdf.queryExecution().optimizedPlan().toString()  # a row of points for each level before
