@@ -3,7 +3,9 @@ recursion. They extend the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links, variants
@@ -87,16 +89,21 @@ def price_sketches(spark, sf_dir):
 
     Close: the distinct count within 6 % (or 1), the median between the exact quantiles 0.45 and 0.55.
     """
-    sales = _sales(spark, sf_dir)
+    sales = stored(_sales(spark, sf_dir), "sales")
     loads = [stored(sketches.sketched(sales.where(part), _BY, "customer", "price"), "sketches") for part in ("month < '1998-06'", "month >= '1998-06'")]
     cube = sketches.cubed(sketches.combined(_BY, *loads), _BY).select(*_BY, "level", F.col("n").alias("n_orders"), sketches.distinct_count().alias("customers"), sketches.quantile(0.5).alias("median"))
-    exact = sales.cube(*_BY).agg(F.grouping_id().cast("int").alias("e_level"), F.count_distinct("customer").alias("e_customers"), F.percentile("price", F.array(F.lit(0.45), F.lit(0.55))).alias("e_prices"))
-    exact = exact.select("e_level", *[F.col(c).alias(f"e_{c}") for c in _BY], "e_customers", "e_prices")
-    same = (F.col("level") == F.col("e_level")) & F.col("nation").eqNullSafe(F.col("e_nation")) & F.col("segment").eqNullSafe(F.col("e_segment")) & F.col("month").eqNullSafe(F.col("e_month"))
+    # each apart: together every customer of a group would have a map of prices
+    level = F.grouping_id().cast("int")
+    customers = sales.cube(*_BY).agg(level.alias("e_level"), F.count_distinct("customer").alias("e_customers")).withColumnsRenamed({c: f"e_{c}" for c in _BY})
+    prices = sales.cube(*_BY).agg(level.alias("p_level"), F.percentile("price", F.array(F.lit(0.45), F.lit(0.55))).alias("e_prices")).withColumnsRenamed({c: f"p_{c}" for c in _BY})
+
+    def same(x: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{x}_{c}")) for c in _BY], F.col("level") == F.col(f"{x}_level"))
+
     near = F.abs(F.col("customers") - F.col("e_customers")) <= F.greatest(F.lit(1.0), 0.06 * F.col("e_customers"))
     # of a few prices the sketch names one of them, and the exact quantile lies between two
     between = (F.col("n_orders") < 20) | F.col("median").between(F.col("e_prices")[0], F.col("e_prices")[1])
-    return cube.join(exact, same).select(*_BY, "level", "n_orders", near.alias("customers_close"), between.alias("median_close"))
+    return cube.join(customers, same("e")).join(prices, same("p")).select(*_BY, "level", "n_orders", near.alias("customers_close"), between.alias("median_close"))
 
 
 @query("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -69,3 +69,12 @@ def test_intervals_of_few_a_key_need_no_bins(spark):
     few, some, none = (temporal.interval_join(i, p, "s", "e", "t", by="k", width=1.0, few=n) for n in (128, 10, 0))
     assert found(few) == found(some) == found(none) == want and want
     assert "explode" not in few._jdf.queryExecution().optimizedPlan().toString()  # a row of points for each level before
+
+
+def test_exact_quantiles_are_no_part_of_the_distinct_count(spark):
+    from offerloom.plans import analytics
+
+    plan = analytics.price_sketches(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    together = [line for line in plan.splitlines() if "Aggregate" in line and "percentile(" in line and "distinct" in line.lower()]
+    assert plan.count("percentile(") and not together
+    assert "o_orderkey" not in plan and "c_custkey" not in plan  # the joined sales are read, not joined again
