@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "retry_count int, last_error_at timestamp, fetched_at timestamp"
+#: The number of a missing time.
+NO_TIME = np.iinfo("int64").min
 
 
 def retry_states(attempts: DataFrame, key: str = "offer_id", at: str = "ts", tie: str = "attempt_id", ok: str = "ok") -> DataFrame:
@@ -21,20 +24,21 @@ def retry_states(attempts: DataFrame, key: str = "offer_id", at: str = "ts", tie
     def step(k, batches, state: GroupState):
         n, failed_at, fetched_at = state.get if state.exists else (0, None, None)
         success, failures = None, []
-        for rows in batches:
-            good = rows[ok].astype(bool)
-            if good.any():
-                last = max(zip(rows.loc[good, at], rows.loc[good, tie]))
-                success = last if success is None else max(success, last)
-            failures.append(rows.loc[~good, [at, tie]])
-            if success is not None:
-                failures = [f[(f[at] > success[0]) | ((f[at] == success[0]) & (f[tie] > success[1]))] for f in failures]
+        for rows in batches:  # plain values: an offer has few attempts in a batch, and pandas takes its time for each call
+            good, times = rows[ok].to_numpy().astype(bool).tolist(), rows[at].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            for this, fine in zip(zip(times, rows[tie].tolist()), good):
+                if success is None or this > success:
+                    if fine:
+                        success = this
+                    else:
+                        failures.append(this)
+            failures = [f for f in failures if success is None or f > success]
         if success is not None:
-            n, failed_at, fetched_at = 0, None, success[0]
-        times = [f[at].max() for f in failures if len(f)]
-        n, failed_at = n + sum(map(len, failures)), max(times) if times else failed_at
+            n, failed_at, fetched_at = 0, None, pd.Timestamp(success[0], unit="us")
+        known = [t for t, _ in failures if t != NO_TIME]
+        n, failed_at = n + len(failures), pd.Timestamp(max(known), unit="us") if known else failed_at
         state.update((n, failed_at, fetched_at))
-        yield pd.DataFrame({key: [k[0]], "retry_count": pd.array([n], "int32"), "last_error_at": pd.to_datetime([failed_at]), "fetched_at": pd.to_datetime([fetched_at])})
+        yield pd.DataFrame({key: [k[0]], "retry_count": np.array([n], "int32"), "last_error_at": np.array([failed_at], "datetime64[us]"), "fetched_at": np.array([fetched_at], "datetime64[us]")})
 
     kind = attempts.schema[key].dataType.simpleString()
     out = f"{key} {kind}, retry_count int, last_error_at timestamp, fetched_at timestamp"
