@@ -18,6 +18,8 @@ from .views import ATTEMPTS_SQL, STATES_SQL, table
 
 #: Events come in this many batches of as many days each.
 BATCHES, DAYS = 4, 8
+#: Rows of a file of a batch.
+PER_FILE = 250_000
 
 
 def batch_of(at: str) -> Column:
@@ -25,13 +27,22 @@ def batch_of(at: str) -> Column:
     return F.least(F.floor((F.dayofmonth(at) - 1) / DAYS), F.lit(BATCHES - 1))
 
 
-def in_batches(spark: SparkSession, events: DataFrame, batch) -> tuple[str, Callable[[], DataFrame]]:
-    """A folder of its own, and streams over events whose batches are the files of the numbers 0, 1, ... of batch."""
+def in_batches(spark: SparkSession, events: DataFrame, batch, per_file: int = PER_FILE) -> tuple[str, Callable[[], DataFrame]]:
+    """A folder of its own, and streams over events whose batches are those of the numbers 0, 1, ... of batch.
+
+    A stream takes so many files at a time, so each batch has as many files as the largest one needs, some of them empty
+    where it has few rows.
+    """
     root = f"{scratch_dir(spark)}/events-{uuid.uuid4().hex}"
+    path, schema = f"{root}/events", events.schema
+    largest = events.groupBy(batch.alias("batch")).count().agg(F.max("count")).first()[0] or 1
+    n = -(-largest // per_file)
     for k in range(BATCHES + 2):  # one after the other, as streams take files by the time they were written
-        events.where(batch == k).coalesce(1).write.mode("append").parquet(f"{root}/events")
-    schema = events.schema
-    return root, lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/events")
+        rows = events.where(batch == k)
+        (rows.repartition(n) if n > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+        while n > 1 and len(spark.read.schema(schema).parquet(path).inputFiles()) < (k + 1) * n:  # partitions without rows leave no file
+            events.where("false").coalesce(1).write.mode("append").parquet(path)
+    return root, lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(path)
 
 
 def drained(out: DataFrame, root: str, name: str, mode: str = "append") -> DataFrame:

@@ -78,3 +78,51 @@ def test_exact_quantiles_are_no_part_of_the_distinct_count(spark):
     together = [line for line in plan.splitlines() if "Aggregate" in line and "percentile(" in line and "distinct" in line.lower()]
     assert plan.count("percentile(") and not together
     assert "o_orderkey" not in plan and "c_custkey" not in plan  # the joined sales are read, not joined again
+
+
+def test_batches_of_a_stream_are_written_by_many_tasks(spark):
+    from offerloom.plans import events
+
+    days = [1] * 100 + [9] * 3 + [17] * 41 + [25] * 90  # the second batch has fewer rows than the first has files
+    e = spark.createDataFrame([(i, f"2024-01-{d:02d} 00:00:00") for i, d in enumerate(days)], "event_id long, at string").withColumn("ts", F.col("at").cast("timestamp")).repartition(3)
+    for per_file in (10, 1000):
+        root, stream = events.in_batches(spark, e, events.batch_of("ts"), per_file)
+        assert len(spark.read.parquet(f"{root}/events").inputFiles()) == (events.BATCHES + 2) * max(1, 100 // per_file)
+        got = {}
+        stream().writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda b, n: got.update({n: sorted(r.event_id for r in b.collect())})).start().awaitTermination()
+        want = [[i for i, d in enumerate(days) if (d - 1) // 8 == k] for k in range(4)]
+        assert [got[k] for k in sorted(got)] == [*want, [], []]
+
+
+def test_freshness_asks_little_of_the_state(spark, tmp_path):
+    from offerloom.streaming import due
+
+    class Handle:
+        def __init__(self):
+            self.kept, self.timers, self.calls = None, set(), 0
+
+        def getValueState(self, *_):
+            return self
+
+        def __getattr__(self, name):
+            def call(*given):
+                self.calls += 1
+                if name == "get":
+                    return self.kept
+                if name in ("update", "clear"):
+                    self.kept = given[0] if given else None
+                else:
+                    {"registerTimer": self.timers.add, "deleteTimer": self.timers.remove}[name](*given)
+
+            return call
+
+    handle, step = Handle(), due.Freshness(10_000)
+    step.init(handle)
+    tell = lambda *rows: [tuple(r)[1:] for r in step.handleInputRows((7,), iter([due.Row(us=us, attempt_id=k, ok=ok) for k, (us, ok) in enumerate(rows)]), None)]
+    assert tell((2_500, True), (1_000, False)) == [(1_000, "failed"), (2_500, "fetched")] and handle.kept == (2_500,) and handle.timers == {13}
+    assert handle.calls == 3
+    assert tell((2_000, False)) == [(2_000, "failed")] and handle.calls == 4  # older than the success: nothing is written
+    assert tell((None, True), (12_500, False)) == [(None, "fetched"), (12_500, "expired"), (12_500, "failed")] and handle.kept is None and not handle.timers
+    assert tell((20_000, False)) == [(20_000, "failed")] and handle.calls == 8
+    tell((30_000, True))
+    assert [tuple(r)[1:] for r in step.handleExpiredTimer((7,), None, None)] == [(40_000, "expired")] and handle.kept is None
