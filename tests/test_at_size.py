@@ -126,3 +126,31 @@ def test_freshness_asks_little_of_the_state(spark, tmp_path):
     assert tell((20_000, False)) == [(20_000, "failed")] and handle.calls == 8
     tell((30_000, True))
     assert [tuple(r)[1:] for r in step.handleExpiredTimer((7,), None, None)] == [(40_000, "expired")] and handle.kept is None
+
+
+def test_only_pages_that_were_asked_for_are_told_apart(spark, monkeypatch):
+    from offerloom.operators import refresh
+    from offerloom.sources import snapshots
+
+    url = lambda k: f"https://www.jimms.fi/fi/Product/Show/{k}/x"
+    html = """<script type="application/ld+json">{"@type":"Product","name":"Acme X","offers":{"price":5}}</script>"""
+    pages = spark.createDataFrame([(url(k), html, 200, "OK") for k in range(40)] * 2, "url string, html string, status int, status_text string")
+    chosen = spark.createDataFrame([(None, "jimms.fi", url(k)) for k in (1, 2, 99)], "id long, store string, url string")
+    plans = {}
+
+    def stored(df, name, *a, **b):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return kept(df, name, *a, **b)
+
+    kept = refresh.stored
+    monkeypatch.setattr(refresh, "stored", stored)
+    empty = [spark.createDataFrame([], s) for s in (snapshots.OFFERS, snapshots.RAW_PRODUCTS, snapshots.PRODUCTS)]
+    done = refresh.refresh(*empty, chosen, pages, F.lit("2024-01-01").cast("timestamp"), unknown="insert")
+    assert sorted((r.url, r.status) for r in done.results.collect()) == [(url(1), "refreshed"), (url(2), "refreshed"), (url(99), "failed")]
+    assert "LeftSemi" in plans["refresh-judged"]
+
+
+def test_a_refresh_stream_has_buckets_for_its_rows():
+    from offerloom.plans import stored_offers
+
+    assert [stored_offers.buckets_for(n) for n in (0, 20_000, 1_200_000, 7_200_000)] == [8, 8, 8, 36]
