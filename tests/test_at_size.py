@@ -154,3 +154,10 @@ def test_a_refresh_stream_has_buckets_for_its_rows():
     from offerloom.plans import stored_offers
 
     assert [stored_offers.buckets_for(n) for n in (0, 20_000, 1_200_000, 7_200_000)] == [8, 8, 8, 36]
+
+
+def test_pages_of_a_shop_are_read_by_many_tasks(spark):
+    from offerloom.plans import catalogue
+
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert catalogue.store_site(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= n
