@@ -1,5 +1,8 @@
 """What keeps queries small on larger tables: work done once, rows that are not dealt again."""
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,30 @@ def test_equal_queries_are_ranked_once_in_the_fallback(spark):
     assert "windowspecdefinition(q_kind" in df._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_a_block_of_queries_gets_its_offers_once_in_the_fallback(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(matching, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(matching, "TASK_ROWS", 30, raising=False)
+    number, store = F.when(F.col("id") % 20 != 3, F.col("id")), lambda n: F.when(F.col("id") % n != 0, F.concat(F.lit("s"), (F.col("id") % n).cast("string")))
+    q = spark.range(60).select(number.alias("query_id"), store(9).alias("store"), F.lit("Acme Phone X200 blue").alias("title"), F.lit("acme").alias("brand"))
+    o = spark.range(30).select(F.col("id").alias("offer_id"), store(4).alias("store"), F.lit("Phone Acme X200 blue").alias("title"), F.lit("").alias("brand"), (F.col("id") % 7).cast("double").alias("price"), F.lit(0.0).alias("shipping"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = matching.compare_fallback(q, o)
+        got = Counter((r.query_id, r.offer_id, r.match_rank) for r in df.collect())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = Counter()
+    for k in range(60):
+        fit = sorted((x % 7, x) for x in range(30) if x % 4 != k % 9)
+        want.update((None if k % 20 == 3 else k, x, n) for n, (_, x) in enumerate(fit, 1))
+    assert got == want
+    assert "hashpartitioning(q_kind" not in plan  # rows of each store's ranks are not dealt
+    # 1800 rows at most, 30 of each query; offers come as lists of 7 at most
+    assert set(re.findall(r"hashpartitioning\(deal#\d+L?, (\d+)\), REPARTITION", plan)) == {"61"}
+
+
 def test_pages_of_selectors_are_read_by_many_tasks(spark):
     from offerloom.plans import stored_offers
 
